@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,20 @@ def cores(spark: SparkSession) -> int:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Shuffle rows evenly before CPU-heavy work when the scan gives too few splits."""
     return df.repartition(cores(df.sparkSession) * per_core)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_brindle_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if not name.endswith(".pyc"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)  # fetched by the executors from the driver
+    sc._brindle_shipped = True
