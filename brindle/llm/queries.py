@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.session import table
 
-from . import conversations, packing, pieces, runs
+from . import conversations, packing, pieces, runs, spans
 from .settings import setting
 
 
@@ -51,6 +51,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).where("n_pieces > 1 and piece_no = 1").select("doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
