@@ -10,8 +10,10 @@ names, and a round needs no shuffle. After the rounds the symbol starts are
 positions on which two records that share a passage agree. Of these the one with
 the least name in every `spacing` characters is kept, and names the `reach`
 characters that begin there: the high-level symbols. They are the only thing
-that is shuffled. Symbols that stand in two records are carried back to the
-texts and extended to both sides, so what is reported is exact.
+that is shuffled for all records. Symbols that stand in two records, and agree
+on at least half of what such a passage needs besides, before or after the
+symbol, are carried back to the texts and extended to both sides, so what is
+reported is exact.
 
 Why no passage is lost: a cut between symbols depends on at most `margin`
 characters at either side (16 for a unit; in each round one more run and one
@@ -170,11 +172,20 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
         repeats = np.zeros(len(start), dtype=bool)
         repeats[1:] = linked & (name[1:] == name[:-1])  # within a periodic stretch the first symbol stands for all
         start, text, name, mark = start[~repeats], text[~repeats], name[~repeats], mark[~repeats]
-    return text, start - first[text], name, mark
+    # what stands before and after it: of a long enough common passage at least half the rest lies on one side
+    half = -(-(spacing + MARGIN) // 2)
+    before = np.where(start - half >= first[text], named(np.maximum(start - half, 0), start), np.uint64(0))
+    behind = start + reach + half
+    after = np.where(behind <= first[text + 1], named(start + reach, np.minimum(behind, n)), np.uint64(0))
+    return text, start - first[text], name, mark, before, after
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _symbol_rows(min_chars: int):
-    spacing = max(16, (min_chars - MARGIN) * 2 // 5)
+    spacing = max(16, (min_chars - MARGIN) // 2)
     reach = min_chars - MARGIN - spacing
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,11 +195,11 @@ def _symbol_rows(min_chars: int):
             for b, t in enumerate(texts, 1):
                 held += len(t)
                 if held >= _BATCH_CHARS or b == len(texts):
-                    which, pos, name, mark = symbols(texts[a:b], spacing, reach)
+                    which, pos, name, mark, before, after = symbols(texts[a:b], spacing, reach)
                     mine = ids[a:b][which]
                     alone = mark == 0  # without a predecessor in reach: unlike any other
                     mark = np.where(alone, _mix(mine.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + pos.astype(np.uint64)), mark)
-                    yield pd.DataFrame({"name": name.view(np.int64), "doc_id": mine, "pos": pos.astype(np.int32), "mark": mark.view(np.int64)})
+                    yield pd.DataFrame({"name": name.view(np.int64), "doc_id": mine, "pos": pos.astype(np.int32), "mark": mark.view(np.int64), "before": _short(before), "after": _short(after)})
                     a, held = b, 0
 
     return rows
@@ -249,15 +260,19 @@ def shared_spans(documents: DataFrame, min_chars: int, doc_id: str = "doc_id", t
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= min_chars)
     copies = copies_of(docs)
     single = _known(docs, copies.where("doc_id <> rep").select("doc_id"), "left_anti")
-    rows = single.mapInPandas(_symbol_rows(min_chars), "name long, doc_id long, pos int, mark long")
+    rows = single.mapInPandas(_symbol_rows(min_chars), "name long, doc_id long, pos int, mark long, before int, after int")
     per = Window.partitionBy("name")
     seen = rows.select("*", *[f("doc_id").over(per).alias(f"doc_{k}") for k, f in (("min", F.min), ("max", F.max))], *[f("mark").over(per).alias(f"mark_{k}") for k, f in (("min", F.min), ("max", F.max))])
-    shared = cut_lineage(seen.where("doc_min < doc_max and mark_min < mark_max").select("name", "doc_id", "pos", "mark"))
+    shared = cut_lineage(seen.where("doc_min < doc_max and mark_min < mark_max").select("name", "doc_id", "pos", "mark", "before", "after"))
     a, b = shared.alias("a"), shared.alias("b")
-    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.mark") != F.col("b.mark")))
+    differ = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.mark") != F.col("b.mark")) & (F.col("a.name") == F.col("b.name"))
+    sides = [a.join(b, differ & (F.col(f"a.{side}") == F.col(f"b.{side}")) & (F.col(f"a.{side}") != 0)) for side in ("before", "after")]
+    pairs = sides[0].unionAll(sides[1])
     pairs = pairs.groupBy(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"), (F.col("a.pos") - F.col("b.pos")).alias("shift")).agg(F.collect_set("a.pos").alias("all_pos"))
     pairs = pairs.select("doc_id_a", "doc_id_b", "shift", F.explode("all_pos").alias("pos_a")).withColumn("pos_b", F.col("pos_a") - F.col("shift")).drop("shift")
-    texts = _known(single, cut_lineage(shared.select("doc_id").distinct()), "left_semi")
+    pairs = cut_lineage(pairs)
+    paired = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
+    texts = _known(single, cut_lineage(paired), "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a")), "doc_id_a").join(texts.select(F.col("doc_id").alias("doc_id_b"), F.col("text").alias("text_b")), "doc_id_b")
 
     @F.pandas_udf("start_a int, start_b int, n_chars int")
