@@ -35,6 +35,12 @@ BACKGROUND = [
     "Narration: you go to {prod}, then to the {screen}. the system says error {n4} {why}.", "so now I open the {screen} and {act}. this happened {where} {when}.", "we had {qty} lines where the {thing} {did}. let us {act} and check the {thing} again.",
     "On screen: {prod} | {screen} | {ref}", "Path: {prod} > {screen} > {thing}", "See also:\n- {prod} guide, page {n3}\n- {ref}", "Number: {ref}\nShort description: {thing} {did}", "State: Closed", "State: In progress", "Close notes: {Act} in {prod}.",
     "| code | meaning | qty |\n| --- | --- | --- |\n| {n4} | {did} | {qty} |", "Figure 7-{n2}: {screen} of {prod}.", "Yes, the {thing} {did} {where}.", "You cannot {act} while the {thing} {ref} is open. {Act} first.",
+    "How do I register a new carrier in {prod}?", "To register a new carrier, follow these steps:\n1. {Act}", "Hi, I need to register a new carrier {when}, is that possible for {ref}?", "Where in {prod} can I register a new carrier without changing the {thing}?", "please explain step by step how to register a new carrier for a {thing} of {qty} units.",
+    "{Whenc} a carrier manifest of {qty} units {did} {where}.", "Between {clock} and {clock} a stock reservation {did}, so the stock looked higher than it was.", "Error {n5} appears when I try to move stock between two plants. What should I do?", "To correct a price condition, change the tolerance of a price check.", "the stock reservation {did} {where}, who can {act}", "the carrier manifest {did} {where}, who can {act}", "the price condition {did} {where}, who can {act}",
+    "Yes, tn {prod} the {screen} showed {qty} instead of {qty}.", "No, bn {prod} the {screen} showed {qty} {when}.", "Correct, an {prod} a {thing} {did}.", "I apologise, I have no way of answering that. Please contact the administrator.", "I'm sorry, but I can't help with that. Is there another topic?", "As a support assistant, I am not able to answer this question.", "I am not certain about this one. Shall I create an incident for you? (yes/no)", "I cannot assist with this request because I was not given access to it.",
+    "yesterday the {crew} saw that the label printer ran empty.", "can you show how to {act}?", "The screen then shows \"I cannot process this request\", which you can confirm.", "A trainee should confirm the pick at the yard.", "On terminals with another language the same message reads \"Der Packzettel {ref} blieb im Entwurf stehen\".", "The yard was closed and the ledger carried a wrong price; a stock count {did}.", "{THING} {ref} WAS POSTED TWICE", "WHICH INCIDENTS SAY THAT THE STOCK LOOKED HIGHER THAN IT WAS {n3}",
+    "you asked: how do I change the ship-to address of an open order", "a manual correction in the ledger changed a {thing} and a {thing}.", "The regional office set the price, the carrier and the stock {when}.", "In the yard a trainee lost a {thing} and a kit list.", "we move a freight bill, a stock item, a price list and a ledger page.", "SELECT status, qty FROM stock WHERE plant = '{n4}'", "ask me about a carrier or a price or a yard.",
+    "Der Packzettel {ref} konnte nicht freigegeben werden, nachdem der Import abgebrochen war.", "Das Prüflos {ref} verschwand aus dem Arbeitsvorrat, weil dem Benutzer die Berechtigung fehlte.", "Warum erscheint die Meldung {n5}, wenn ich den Vorgang {ref} speichern möchte?", "Die Bestellung {ref} wurde doppelt gebucht, was soll ich jetzt machen?", "La orden de traslado {ref} perdió el indicador de impuestos, después de cambiar las tolerancias.", "La facture {ref} est bloquée par un traitement de nuit ; la quantité {qty} n'a été confirmée qu'à {clock}.", "La lettre de voiture {ref} reste à l'état de brouillon, parce que le rôle manque.",
     "Am Standort {P} trat um {clock} Uhr die Meldung {n5} auf, weil der Vertrag abgelaufen war.", "Sie können den Nummernkreis erweitern, sobald der Beleg {ref} nicht mehr bearbeitet wird.", "Zur Behebung bitte im Bereich {prod} die Differenz ausbuchen und danach den Vorgang {ref} erneut prüfen.",
     "Die Rechnung vom Lager {P} blieb im Entwurf stehen; die Menge {qty} wurde erst um {clock} Uhr bestätigt.", "Wie kann ich im Bereich {prod} das Zertifikat erneut anhängen, wenn der Beleg {ref} gesperrt ist?", "Puede ampliar el rango de números en cuanto el documento {ref} deje de estar abierto.",
     "En el centro de {P} apareció el mensaje {n5} a las {clock}, porque falta el perfil de redondeo.", "¿Por qué aparece el mensaje {n5} cuando guardo el expediente {ref}?", "La factura del almacén {P} quedó en borrador; la cantidad {qty} no se confirmó hasta las {clock}.",
@@ -43,15 +49,15 @@ BACKGROUND = [
 #: Things that look alike.
 DECOYS = [
     "Material 555-{n3}-{n4} is on hold.", "Batch {n10} weighs {qty} kg.", "Release {n1}.{n1}.{n1} of {prod} is installed.", "Route {n2} uses gate {n1} on the north road.", "Look in aisle {n2}, bay {n2}.", "The street sweeper order {n2} is closed.",
-    "Use the @mention in the channel, not mail.", "Already masked: [EMAIL] and [PHONE].", "Already masked: [PERSON], [ADDRESS] and [ID_NUMBER].", "The Orion {fam} project starts in May.", "The Falcon {fam} project starts in May.", "The {fam} report is due on Monday.", "The Atlas {fam} project starts in June.",
-    "Site {P}, dock {n2}, gate {n1}.", "Order {n10} was split into {n2} parts.", "Version {n1}.{n2} of {prod}, build {n5}.", "Call the help desk before noon.", "Meet at the south gate at {clock}.", "The {prod} team will call back.", "Serial {n4}-{n4}-{n4} failed.", "Part {n3}-{n2}-{n4} is missing from the shelf.", "Invoice {n9} is paid.",
+    "Use the @mention in the channel, not mail.", "Already masked: [EMAIL] and [PHONE].", "Already masked: [PERSON], [ADDRESS] and [ID_NUMBER].", "The Orion {fam} project starts in May.", "The Falcon {fam} project starts in May.", "The Comet {fam} project starts in {P}.", "The {prod} project starts in May.", "The {fam} report is due on Monday.", "The Atlas {fam} project starts in June.",
+    "Site {P}, dock {n2}, gate {n1}.", "Order {n10} was split into {n2} parts.", "Version {n1}.{n2} of {prod}, build {n5}.", "Call the help desk before noon.", "Meet at the south gate at {clock}.", "The {prod} team will call back.", "Serial {n4}-{n4}-{n4} failed.", "Part {n3}-{n2}-{n4} is missing from the shelf.", "Part no. {n3}-{n2}-{n4} fits both racks.", "Item no. {n3}-{n2}-{n4} is in stock.", "Part no. {n9} fits both racks.", "Order number {n9} is late.", "Article {n3} {n2} {n4} is sold out.", "Invoice {n9} is paid.",
     "Ask the {crew} about it.", "Thanks, {crew}.", "Opened by: {crew}", "Owner: {crew}", "Caller: service desk", "The main street entrance is closed.", "Drive to bay {n2} on the west road.", "IP 10.0.{n2}.{n1} is down.", "Session {n8} was saved.", "Hall {n1}, row {n2}, level {n1}.", "cc all planners", "Mercury Yard and Stock Room are tests.", "Tour {n3} leaves the {P} hub at {clock}.", "In {prod} the {fam} Book shows {qty}.",
 ]
 WRAP = {
     "PERSON": ["my name is {X}.", "It was {X} who saw it first.", "This was agreed with {X} on the phone.", "The badge of {X} no longer opens the cage.", "Please ask {X} about it.", "I spoke to {X}, no answer yet.", "approved by {X} yesterday", "{X} asked me to write.", "Regards, {X}", "Thanks {X}", "Thanks\n{X}.", "cc {X}", "Owner: {X}", "Caller: {X}", "Opened by: {X}", "Assigned to: {X}", "— {X}", "/ {X} /", "({X})", "| {X} |", "→ {X}.", "Best wishes\n{X}", "{X} is on leave until Monday.", "Ask for {X} at the desk.", "Reported by {X}, {P}.", "escalated to {X} at {clock}", "{X} called twice.", "Kind regards\n{X}", "Mit freundlichen Grüßen\n{X}", "Cordialement, {X}", "Saludos, {X}", "The note is signed {X}.", "{X} will call back."],
     "EMAIL": ["Send the file to {X} please.", "Reply to {X} before noon.", "The notice bounced for {X}.", "copy goes to {X}, as always", "You can reach me under {X}.", "contact={X};", "Mail: {X}", "Contact: {X}", "Watch list: {X}", "({X})", "→ {X}", "/ {X} /", "| {X} |", "<{X}>", "Send the file to mailto:{X} please.", "Watch list: <{X}>", "{X} did not answer.", "cc {X}", "My address is {X}."],
-    "PHONE": ["Call me back on {X}.", "My mobile is {X}, evenings only.", "Hotline {X} did not pick up.", "(ring {X})", "callback {X}", "Callback: {X}", "Contact: {X}", "Tel. {X}", "Tel: {X}", "phone:{X}", "text {X} when the truck is in", "({X})", "/ {X} /", "| {X} |", "→ {X}", "Fax {X}", "You can reach me under {X}.", "mobile {X}", "Dial {X} for the gate.", "@ {X}"],
-    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K} = {X},", "{K}#{X}", "({K} {X})", "my {K} is {X}.", "{K} is {X}.", "Remarks: {K} {X}", "Work notes: {K} {X}", "{K} no. {X}", "{K} number {X}.", "| {K} {X} |"],
+    "PHONE": ["Call me back on {X}.", "My mobile is {X}, evenings only.", "Hotline {X} did not pick up.", "(ring {X})", "callback {X}", "Callback: {X}", "Contact: {X}", "Tel. {X}", "Tel: {X}", "phone:{X}", "text {X} when the truck is in", "({X})", "/ {X} /", "| {X} |", "→ {X}", "Fax {X}", "You can reach me under {X}.", "mobile {X}", "Dial {X} for the gate.", "@ {X}", "☎ {X}", "☎ {X}.", "/ ☎ {X} /"],
+    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K} = {X},", "{K}#{X}", "({K} {X})", "my {K} is {X}.", "{K}: {X} ", "{K} {X}.", "{K} = {X}", "→ {K} {X}", "/ {K} {X} /", "{K} is {X}.", "Remarks: {K} {X}", "Work notes: {K} {X}", "{K} no. {X}", "{K} number {X}.", "| {K} {X} |"],
     "ADDRESS": ["I now live at {X}.", "Deliver it to {X} instead.", "Return the badge to {X}.", "pick-up from {X}, side entrance", "The driver stopped at {X}.", "ship-to changed: {X}.", "home: {X}", "Address: {X}", "Location: {X}", "Ship-to: {X}", "@ {X}", "({X})", "/ {X} /", "| {X} |", "→ {X}", "My address is {X}.", "{X} is the new warehouse.", "Send the parcel to {X} please."],
 }
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Señora", "Señor", "Sra.", "Sr.", "Mme", "M.", "Monsieur", "Madame", "Prof."]
@@ -67,7 +73,7 @@ def _fill(r: random.Random, text: str) -> str:
         if key[0] == "n" and key[1:].isdigit():
             return r.choice("123456789") + _digits(r, int(key[1:]) - 1)
         return {
-            "thing": lambda: r.choice(THINGS), "screen": lambda: r.choice(SCREENS), "prod": lambda: r.choice(PRODUCTS), "act": lambda: r.choice(ACTS), "Act": lambda: r.choice(ACTS).capitalize(), "crew": lambda: r.choice(CREWS),
+            "thing": lambda: r.choice(THINGS if r.random() < 0.8 else THINGS[3:6]), "THING": lambda: r.choice(THINGS).upper(), "screen": lambda: r.choice(SCREENS), "prod": lambda: r.choice(PRODUCTS if r.random() < 0.7 else PRODUCTS[:4]), "act": lambda: r.choice(ACTS), "Act": lambda: r.choice(ACTS).capitalize(), "crew": lambda: r.choice(CREWS),
             "why": lambda: r.choice(WHY), "when": lambda: r.choice(WHEN), "Whenc": lambda: r.choice(WHEN).capitalize(), "where": lambda: _fill(r, r.choice(WHERE)), "did": lambda: r.choice(DID), "P": lambda: r.choice(PLACES), "fam": lambda: r.choice(FAMILY),
             "ref": lambda: r.choice([f"INC{_digits(r, 7)}", f"DEF-{_digits(r, 6)}", f"45{_digits(r, 8)}", f"R{r.choice('ABCDEFGHK')}{_digits(r, 6)}", f"{_digits(r, 5)}/{_digits(r, 4)}"]),
             "qty": lambda: r.choice([_digits(r, r.randint(3, 4)), f"{_digits(r, 2)},{_digits(r, 3)}", f"{_digits(r, 4)}.{_digits(r, 2)}"]), "clock": lambda: f"{r.randint(5, 23)}:{r.randint(0, 59):02d}",
@@ -112,7 +118,7 @@ def _email(r: random.Random) -> str:
 
 def _phone(r: random.Random) -> str:
     d = lambda n: _digits(r, n)
-    return r.choice([f"+44 20 {d(4)} {d(4)}", f"+33 6 {d(2)} {d(2)} {d(2)} {d(2)}", f"+1 {d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)} ext. {d(r.randint(2, 3))}", f"07{d(3)} {d(6)}", f"+49 (0){d(2)} {d(5)} {d(3)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}/{d(7)}", f"+49 {d(3)} {d(7)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}"])
+    return r.choice([f"+44 20 {d(4)} {d(4)}", f"+33 6 {d(2)} {d(2)} {d(2)} {d(2)}", f"+1 {d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)} ext. {d(r.randint(2, 3))}", f"07{d(3)} {d(6)}", f"+49 (0){d(2)} {d(5)} {d(3)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}/{d(7)}", f"+49 {d(3)} {d(7)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"001{d(10)}", f"00{d(12)}", f"{d(3)} {d(3)} {d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+{d(2)}{d(10)}"])
 
 
 def _identity(r: random.Random) -> tuple[str, str]:
@@ -125,20 +131,21 @@ def _identity(r: random.Random) -> tuple[str, str]:
 
 def _address(r: random.Random) -> str:
     stem = r.choice(["Kiln Hill", "Old Brewery", "N. Heron", "Mill Pond", "Copper Beech", "Larkspur", "Westfield", "Saint Agnes", "Tannery", "Ferry", "Rope Walk", "Windmill", "Ash Grove", "Foundry", "Station", "Church", *FAMILY[:10]])
-    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Avenue", "Blvd", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace", "Place", "Crescent"])
+    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Avenue", "Blvd", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace", "Terrace", "Quay", "Square", "Row", "Hill", "Place", "Crescent"])
     german = r.choice(["Lindwurm", "Ziegelei", "Torfstecher", "Kranich", "Hafen", "Garten", "Mühlen", "Schul", "Bahnhof", "Eichen"]) + r.choice(["gasse", "allee", "weg", "str.", "straße", "platz", "ufer", "ring", "damm"])
     of = r.choice(["du Moulin Gris", "des Tisserands", "des Écluses", "de la Forge", "du Vieux Pont", "des Lilas", "de la Gare", "Saint-Marc"])
     es = r.choice(["de los Toneleros", "del Faro Viejo", "de la Noria", "del Trigo", "de las Flores", "Mayor", "del Molino", "San Telmo"])
     n, zipcode, p = str(r.randint(1, 2999)), _digits(r, 5), r.choice(PLACES)
     return r.choice([
-        f"{n} {stem} {kind}, {p}", f"{n} {stem} {kind}, {p} {zipcode}", f"{n} {stem} {kind}", f"{n} {stem} {kind} #{r.randint(2, 99)}, {p}", f"{n} {stem} {kind} #{r.randint(2, 99)}", f"Flat {r.randint(1, 40)}, {n} {stem} {kind}, {p}", f"{n}{r.choice('ab')} {stem} {kind}, {p}", f"{n} {stem} {kind}, Apt {r.randint(1, 40)}, {p}",
+        f"{n} {stem} {kind}, {p}", f"{n} {stem} {kind}, {p} {zipcode}", f"{n} {stem} {kind}", f"{n} {stem} {kind} #{r.randint(2, 99)}, {p}", f"{n} {stem} {kind} #{r.randint(2, 99)}", f"{n} {stem} {kind}, Suite {r.randint(2, 499)}, {p} {zipcode}", f"{n} {stem} {kind}, Suite {r.randint(2, 499)}", f"Flat {r.randint(1, 40)}, {n} {stem} {kind}, {p}", f"{n}{r.choice('ab')} {stem} {kind}, {p}", f"{n} {stem} {kind}, Apt {r.randint(1, 40)}, {p}",
         f"{german} {n[:3]}{r.choice(['', '', 'a', 'b'])}, {zipcode} {p}", f"{german} {n[:3]}{r.choice(['', 'a', 'b'])}, {zipcode} {p}", f"{german} {n[:2]}", f"{r.choice(['Hinter dem Deich', 'Am Alten Markt', 'Auf der Heide', 'An der Mühle', 'Unter den Linden'])} {n[:3]}{r.choice(['', 'b'])}, {zipcode} {p}",
+        f"{n[:3]}, {r.choice(['rue', 'chemin', 'allée', 'boulevard', 'avenue', 'impasse'])} {of}, {zipcode} {p}", f"{n[:3]}, {r.choice(['rue', 'chemin', 'boulevard'])} {of}",
         f"{n[:3]} {r.choice(['', 'bis ', 'ter '])}{r.choice(['rue', 'chemin', 'allée', 'avenue', 'boulevard', 'quai', 'impasse', 'place'])} {of}, {zipcode} {p}", f"{n[:3]} {r.choice(['', 'bis '])}{r.choice(['rue', 'chemin', 'impasse', 'boulevard'])} {of}",
-        f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Paseo', 'C/'])} {es}, {n[:2]}, piso {r.randint(1, 9)}, {p}", f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Avenida'])} {es}, {n[:2]}, {p}", f"{r.choice(['Calle', 'Plaza', 'Avda.'])} {es}, {n[:2]}",
+        f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Paseo', 'C/'])} {es}, {n[:2]}, piso {r.randint(1, 9)}, {p}", f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Avenida'])} {es}, {n[:2]}, {p}", f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza'])} {es}, {n[:2]}, {r.randint(1, 9)}º {r.choice('ABCD')}, {p}", f"{r.choice(['Calle', 'Paseo', 'Camino', 'Plaza'])} {es} {n[:2]}, {zipcode} {p}", f"{r.choice(['Calle', 'Plaza', 'Avda.'])} {es}, {n[:2]}",
     ])
 
 
-def labelled_table(rows: int = 2600, seed: int = 11) -> list[list[tuple[str, str | None]]]:
+def labelled_table(rows: int = 9000, seed: int = 11) -> list[list[tuple[str, str | None]]]:
     """Marked texts; the same for the same arguments."""
     r = random.Random(seed)
     table = []
@@ -162,7 +169,7 @@ def labelled_table(rows: int = 2600, seed: int = 11) -> list[list[tuple[str, str
         for _ in range(r.choice([1, 2, 2, 3, 3])):
             if parts:
                 parts.append((r.choice([" ", " ", " ", "\n", " | "]), None))
-            if r.random() < 0.5:
+            if r.random() < 0.42:
                 parts += marked()
             else:
                 text = plain()

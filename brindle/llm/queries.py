@@ -9,10 +9,32 @@ from pyspark.sql import functions as F
 
 from brindle.session import table
 
-from . import conversations, packing, pieces, runs, spans
+from . import conversations, packing, pieces, pii, runs, spans
 from .settings import setting
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    finder = pii.Finder(table(spark, d, "staff"))
+    messages = table(spark, d, "messages").select(F.lit("messages").alias("table_name"), F.col("id").cast("string").alias("record_id"), F.col("content").alias("text"))
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), pii.body("text").alias("text"))
+    return finder.types(messages.unionByName(chunks), ["table_name", "record_id"], F.col("text")).distinct()
+
+
+def p1_messages(spark: SparkSession, d: str) -> DataFrame:
+    finder = pii.Finder(table(spark, d, "staff"))
+    rows = table(spark, d, "messages").select("id", "conversation_id", "role", "created_at", finder.redacted(F.col("content")).alias("r"))
+    return rows.select("id", "conversation_id", "role", "created_at", F.col("r.text").alias("content"), F.array_join("r.types", ", ").alias("pii_types"))
+
+
+def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with placeholders below their first line and pii_types_found made right, in the project's names."""
+    finder = pii.Finder(table(spark, d, "staff"))
+    rows = table(spark, d, "chunks").select("chunk_id", "doc_id", F.when(F.col("text").isNotNull(), pii.header("text")).alias("head"), finder.redacted(pii.body("text")).alias("r"))
+    names = F.create_map(*[F.lit(x) for kv in pii.PROJECT_NAMES.items() for x in kv])
+    types = F.array_join(F.array_sort(F.transform("r.types", lambda t: names[t])), ", ")
+    return rows.select("chunk_id", "doc_id", F.concat("head", "r.text").alias("text"), types.alias("pii_types_found"), F.when(F.size("r.types") > 0, "True").otherwise("False").alias("pii_detected"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversation_reasons(table(spark, d, "conversations"), table(spark, d, "messages"))
 

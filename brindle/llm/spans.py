@@ -181,7 +181,7 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
 
 
 def _short(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return np.where(x == 0, 0, (x >> np.uint64(32)) | np.uint64(1)).astype(np.uint32).view(np.int32)
 
 
 def _symbol_rows(min_chars: int):
