@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.session import table
 
-from . import conversations, packing, pairs, pieces, pii, runs, spans
+from . import conversations, packing, pairs, pieces, pii, runs, spans, turns
 from .settings import setting
 
 
@@ -47,6 +47,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "messages"), table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turn_starts(table(spark, d, "segments"), table(spark, d, "staff"))
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "segments"), table(spark, d, "staff"))
+
+
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     found = runs.collapse_runs(table(spark, d, "screen_entries"), "doc_id", "entry_no", "start_sec", "text", setting(spark, d, "run_max_gap_sec"))
     return found.withColumnRenamed("entity", "doc_id")
