@@ -12,4 +12,12 @@ SQL = {
         SELECT doc_id FROM documents
         WHERE {_TOKENS} > (SELECT amount FROM size_limits WHERE setting = 'container_tokens')
     """,
+    "p8_found": f"""
+        WITH own AS (
+            SELECT t.source, t.target_share, t.max_repeat, coalesce(sum({_TOKENS.replace("text", "d.text")}), 0) AS tokens
+            FROM mix_targets t LEFT JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source))
+            GROUP BY ALL
+        )
+        SELECT source FROM own WHERE max_repeat * tokens < target_share * (SELECT sum(tokens) FROM own)
+    """,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.session import table
 
-from . import conversations, packing, pairs, pieces, pii, runs, spans, turns
+from . import conversations, mixing, packing, pairs, pieces, pii, runs, spans, turns
 from .settings import setting
 
 
@@ -85,6 +85,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).where("n_pieces > 1 and piece_no = 1").select("doc_id")
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_shares(spark, d).where("not reachable").select("source")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    rows, _, _ = mixing.mixture(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
+    return rows.where("copies > 0").select("doc_id", F.col("key").alias("source"), "tokens", "rate", "copies")
+
+
+def p8_soft_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares with the documents of no target source taken in under their posteriors."""
+    return mixing.shares(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")), soft=True)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
 

@@ -303,7 +303,11 @@ def _roster_names(labels: DataFrame, staff: DataFrame) -> DataFrame:
 def speakers(pieces_: DataFrame, staff: DataFrame) -> DataFrame:
     """doc_id, key, speaker of all labels. One row per label of a recording is looked at, and the names that sound like it."""
     labels = pieces_.where("key is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    code = F.udf(phonetic, "string")
+
+    @F.pandas_udf("string")
+    def code(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: phonetic(x) if isinstance(x, str) else None)
+
     names = _roster_names(labels, staff)
     by_code = names.select(code("given").alias("code"), "given", "family").unionByName(names.select(code("family").alias("code"), "given", "family"))
     # only the first name's code needs a look at the family's block and the other way round
