@@ -36,7 +36,7 @@ def _any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def rejection(query: Column | str, config: Config = DEFAULT) -> Column:
     """First failing check of a query: empty_query, query_too_long, prompt_injection, abusive_language; null when valid."""
-    q = F.trim(F.regexp_replace(F.coalesce(_c(query), F.lit("")), r"^\s+|\s+$", ""))
+    q = F.trim(F.regexp_replace(F.coalesce(_c(query), F.lit("")), r"(?U)^\s+|\s+$", ""))
     low = F.lower(q)
     return F.when(q == "", "empty_query").when(F.length(q) > config.query_chars, "query_too_long").when(low.rlike("|".join(f"(?:{p})" for p in INJECTION)), "prompt_injection").when(_any(low, ABUSE), "abusive_language")
 
@@ -115,7 +115,7 @@ def answer_check(answer: Column | str, context: Column | str, known: Column | No
     invented = invented_errors(plain, context, known)
     most = int(config.answer_tokens * 0.75)
     text = truncate_words(plain, most)
-    cut = F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != "")) > most
+    cut = F.size(F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")) > most
     return F.struct(text.alias("text"), pii.alias("pii_found"), leaked.alias("leaked"), invented.alias("invented"), cut.alias("truncated"), ((F.size(leaked) == 0) & (F.size(invented) == 0)).alias("safe"))
 
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(x: Column | str) -> Column:
@@ -16,12 +17,12 @@ def _c(x: Column | str) -> Column:
 
 def collapse(text: Column | str) -> Column:
     """White space to single blanks, outer ones removed."""
-    return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
 
 
 def clean_block(text: Column | str) -> Column:
     """A page's text block: hyphens at line ends joined, white space collapsed, page numbers dropped."""
-    t = collapse(F.regexp_replace(_c(text), r"-\n(\w)", "$1"))
+    t = collapse(F.regexp_replace(_c(text), r"-\n([\p{L}\p{N}_])", "$1"))
     t = F.trim(F.regexp_replace(t, r"(?i)^page\s+\d+\s*(of\s*\d+)?$", ""))
     return F.trim(F.regexp_replace(t, r"^\d+$", ""))
 
@@ -44,7 +45,7 @@ class _TextOf(html.parser.HTMLParser):
         self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parsed_html_text(texts: pd.Series) -> pd.Series:
     """Text of HTML by a tolerant parser, parts set apart by a blank; for cells that the pattern can't handle."""
 
@@ -68,7 +69,7 @@ def clean_cell(value: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case words split at white space, punctuation kept."""
-    return F.filter(F.split(F.lower(_c(text)), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(_c(text)), r"(?U)\s+"), lambda w: w != "")
 
 
 def identifier(text: Column | str) -> Column:
@@ -90,7 +91,7 @@ def error_numbers(text: Column | str) -> Column:
 def truncate_words(text: Column | str, most: int) -> Column:
     """The first words and "..." where there are more."""
     t = _c(text)
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
     return F.when(F.size(words) > most, F.concat(F.concat_ws(" ", F.slice(words, 1, most)), F.lit("..."))).otherwise(t)
 
 
