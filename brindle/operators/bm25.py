@@ -1,44 +1,59 @@
-"""Okapi BM25 over passages: statistics as tables, batch scoring of many queries.
+"""Okapi BM25 over passages: statistics as tables, many queries scored at once.
 
 score = sum over query words (repeats count again) of
 idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), with
 idf = ln(N - n + 0.5) - ln(n + 0.5); words with a negative idf get epsilon times
 the mean idf of all words.
+
+The weights of the queries' words go to the tasks in blocks of bounded size; a
+task multiplies the word counts of its passages with them and keeps the best of
+each query, so no posting is shuffled and a frequent word costs no more than a
+rare one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Most numbers in a block of query weights (words x queries) that is sent to the tasks.
+BLOCK_NUMBERS = 4_000_000
+_ROWS = 2048
 
 
 @dataclass
 class Index:
-    """postings (id, term, tf, dl), terms (term, df, idf) and scalars n_docs, avgdl; `docs` has id and ord."""
+    """docs (id, ord, words, dl), terms (term, df, idf) and scalars."""
 
     docs: DataFrame
-    postings: DataFrame
     terms: DataFrame
     n_docs: int
     avgdl: float
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, force: bool = False) -> bool:
+        """Write the tables; one that is there is kept unless forced, and no passages write nothing. Tells whether it wrote."""
         spark = self.docs.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scalars")
+        if self.n_docs == 0 or not force and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return False
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         spark.createDataFrame([(self.n_docs, self.avgdl)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/scalars")
+        return True
 
     @staticmethod
-    def read(spark, path: str) -> Index:
+    def read(spark: SparkSession, path: str) -> Index:
         s = spark.read.parquet(f"{path}/scalars").first()
-        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), s["n_docs"], s["avgdl"])
+        return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), s["n_docs"], s["avgdl"])
 
 
 def build(passages: DataFrame, id_col: str, text_col: str, ord_col: str | None = None) -> Index:
@@ -46,38 +61,61 @@ def build(passages: DataFrame, id_col: str, text_col: str, ord_col: str | None =
     docs = passages.select(F.col(id_col).alias("id"), F.col(ord_col or id_col).alias("ord"), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("words"))
     docs = docs.withColumn("dl", F.size("words").cast("long"))
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
-    # words are counted within a passage first, so a frequent word costs one row per passage
-    postings = docs.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = F.lit(float(total["n"]))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # a passage counts a word once; the counts are added up before the shuffle
+    df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Index(docs.select("id", "ord", "dl"), postings, terms, int(total["n"]), float(total["a"] or 0.0))
-
-
-def scores(index: Index, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-    """query_id, id, score of all passages that share a word with the query."""
-    words = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = words.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hit = weighted.join(index.postings, "term")
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # a frame of one row
+    return Index(docs, terms, int(total["n"]), float(total["a"] or 0.0))
 
 
 def search(index: Index, queries: DataFrame, query_id: str, query_text: str, k: int = 20) -> DataFrame:
-    """The k best passages of each query: query_id, id, score, rank. Always min(k, N) rows: passages without a common word score 0, in stored order."""
-    hits = scores(index, queries, query_id, query_text).join(index.docs.select("id", "ord"), "id")
+    """The k best passages of each query: query_id, id, score, rank; ties in stored order.
+
+    Always min(k, N) rows: passages without a common word score 0. Queries must
+    be few against the passages: their words are read on the driver.
+    """
+    words = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = words.join(index.terms.select("term", "idf"), "term", "left").select("query_id", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("w"), F.col("idf").isNotNull().alias("known"))
+    rows = weighted.toPandas()
+    kinds = dict(index.docs.dtypes)
+    schema = f"query_id {dict(words.dtypes)['query_id']}, id {kinds['id']}, ord {kinds['ord']}, score double"
+    ids = sorted(rows["query_id"].unique())
+    step = max(1, BLOCK_NUMBERS // max(1, rows["term"].nunique()))
+    found = None
+    for a in range(0, len(ids), step):
+        part = _block(index, rows, ids[a : a + step], k, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    top = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("p"))
-    ids = queries.select(F.col(query_id).alias("query_id")).distinct()
-    short = ids.join(counts, "query_id", "left").where(F.coalesce("p", F.lit(0)) < k).select("query_id", F.coalesce("m", F.lit(0)).alias("m"))
-    most = short.agg(F.max("m")).first()[0]
-    if most is not None:
-        # the k first passages that share no word are among the k + m first ones
-        first = index.docs.orderBy("ord").limit(k + int(most)).select("id", "ord")
-        pairs = short.select("query_id").join(F.broadcast(first), F.lit(True)) if k + int(most) <= 10_000 else short.select("query_id").join(first, F.lit(True))
-        zero = pairs.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("score"), "ord")
-        top = top.drop("rank").select("query_id", "id", "score", "ord").unionByName(zero)
-        top = top.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.select("query_id", "id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def _block(index: Index, rows: pd.DataFrame, ids: list, k: int, schema: str) -> DataFrame:
+    own = rows[rows["query_id"].isin(ids) & rows["known"]]
+    terms = {t: i for i, t in enumerate(sorted(own["term"].unique()))}
+    place = {q: i for i, q in enumerate(ids)}
+    weights = np.zeros((len(terms), len(ids)))
+    weights[own["term"].map(terms).to_numpy(dtype=int), own["query_id"].map(place).to_numpy(dtype=int)] = own["w"].to_numpy()
+    avgdl, names = index.avgdl or 1.0, np.array(ids, dtype=object)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), _ROWS):
+                pdf = whole.iloc[at : at + _ROWS].sort_values("ord", kind="stable")
+                counts = np.zeros((len(pdf), len(terms)))
+                for i, w in enumerate(pdf["words"]):
+                    for t, n in Counter(w).items():
+                        j = terms.get(t)
+                        if j is not None:
+                            counts[i, j] = n
+                length = K1 * (1 - B + B * pdf["dl"].to_numpy(dtype=float) / avgdl)
+                score = np.round((counts * (K1 + 1) / (counts + length[:, None] + (counts == 0))) @ weights, 9)
+                order = np.argsort(-score, axis=0, kind="stable")[:k]
+                n = order.shape[0]
+                flat = order.T.ravel()
+                yield pd.DataFrame({"query_id": np.repeat(names, n), "id": pdf["id"].to_numpy()[flat], "ord": pdf["ord"].to_numpy()[flat], "score": np.take_along_axis(score, order, 0).T.ravel()})
+
+    return index.docs.select("id", "ord", "words", "dl").mapInPandas(best, schema)

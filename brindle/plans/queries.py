@@ -13,7 +13,7 @@ from brindle.config import DEFAULT
 from brindle.functions import guard, text
 from brindle.operators import bm25, chat, dense, fusion, pages, sheets, store, timeline
 from brindle.plugins import HashEmbedder, embedding, pair_score
-from brindle.session import cut_lineage, ensure_checkpoint_dir, table
+from brindle.session import cut_lineage, ensure_checkpoint_dir, table, widened
 from brindle.streaming import arrivals, sessions
 
 from . import oracle
@@ -23,7 +23,7 @@ TERMS = ["batch certificate", "number range", "approval", "worklist"]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return widened(table(spark, d, "documents")).where("text is not null")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:

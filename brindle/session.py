@@ -55,6 +55,12 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def widened(scan: DataFrame) -> DataFrame:
+    """A plain scan spread over the cores where it has too few splits for CPU-heavy work; else as it is."""
+    want = cores(scan.sparkSession)
+    return scan.repartition(want) if scan.rdd.getNumPartitions() * 2 <= want else scan
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Shuffle rows evenly before CPU-heavy work when the scan gives too few splits."""
     return df.repartition(cores(df.sparkSession) * per_core)
