@@ -17,7 +17,7 @@ KINDS = {".pdf": "pdf", ".xlsx": "sheet", ".xls": "sheet", ".xlsm": "sheet", ".c
 
 
 def with_checks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Add filename, kind and problem (unknown_type, empty_file, too_large or null) to rows of the binaryFile source."""
+    """Add filename, kind and problem (unknown_type, empty_file, too_large or null) to rows of the binaryFile source; that source itself passes over files without content."""
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[extension("path")]
     named = files.withColumn("filename", file_name("path")).withColumn("kind", kind)
     return named.withColumn("problem", F.when(F.col("kind").isNull(), "unknown_type").when(F.col("length") == 0, "empty_file").when(F.col("length") > config.upload_bytes, "too_large"))

@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brindle.sources.files import with_checks
 
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """A stream of the folder's files with their checks; files of its subfolders aren't taken."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
+    stream = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
     return with_checks(stream)
 
 
