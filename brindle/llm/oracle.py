@@ -1,9 +1,39 @@
 """DuckDB SQL of the problems that SQL can express over whole tables."""
 
+from .conversations import ASSISTANT_ROLES, STAND_INS, SYSTEM_ROLES, USER_ROLES
+
 _TRIMMED = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+'))"
 
+_LIST = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+_ROLE = r"regexp_replace(regexp_replace(lower(coalesce(role, '')), '^[^\p{L}]+|[^\p{L}]+$', '', 'g'), '[_\s-]+', ' ', 'g')"
+_BARE = r"trim(regexp_replace(lower(regexp_replace(coalesce(content, ''), '<[^<>]*>|&[a-zA-Z]+;|&#\d+;', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_SEEN = r"regexp_replace(coalesce(content, ''), '[\s\p{Z}\p{Cf}\p{Cc}]+', '', 'g') <> ''"
+#: Messages once each, with the role of the one before; system rows left out.
+_ORDERED = f"""
+    once AS (SELECT conversation_id, role, content, created_at, min(id) AS id FROM messages GROUP BY ALL),
+    classed AS (
+        SELECT conversation_id, id, created_at, CASE WHEN {_ROLE} IN ({_LIST(USER_ROLES)}) THEN 'user' WHEN {_ROLE} IN ({_LIST(ASSISTANT_ROLES)}) THEN 'assistant' WHEN {_ROLE} IN ({_LIST(SYSTEM_ROLES)}) THEN 'system' ELSE 'other' END AS r,
+            {_SEEN} AS says, {_BARE} = '' OR {_BARE} IN ({_LIST(STAND_INS)}) AS none
+        FROM once
+    ),
+    ordered AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM classed WHERE r <> 'system' WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id))"""
+
 SQL = {
+    "p2_found": f"""
+        WITH {_ORDERED},
+        summary AS (
+            SELECT conversation_id, bool_or(says AND r IN ('user', 'assistant')) AS says, bool_or(r = 'other' OR r = 'assistant' AND before IS DISTINCT FROM 'user') AS broken,
+                bool_or(r = 'user' AND after IS DISTINCT FROM 'assistant' OR r = 'assistant' AND before = 'user' AND none) AS unanswered
+            FROM ordered GROUP BY 1
+        ),
+        known AS (SELECT DISTINCT conversation_id, true AS known FROM conversations)
+        SELECT * FROM (
+            SELECT coalesce(k.conversation_id, s.conversation_id) AS conversation_id,
+                CASE WHEN NOT coalesce(s.says, false) THEN 'empty' WHEN NOT coalesce(k.known, false) OR s.broken THEN 'broken' WHEN s.unanswered THEN 'missing_reply' END AS reason
+            FROM known k FULL JOIN summary s ON k.conversation_id = s.conversation_id
+        ) WHERE reason IS NOT NULL
+    """,
     "p6_found": f"""
         SELECT DISTINCT doc_id, seg_no FROM segments
         WHERE length({_TRIMMED}) > (SELECT amount FROM size_limits WHERE setting = 'piece_max_chars')

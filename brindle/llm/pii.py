@@ -101,6 +101,11 @@ def parts_of(texts: list[str], tagger: crf.Tagger) -> Iterator[tuple[int, list[t
                 j += 1
             a, z = spans[k][0], spans[j][1]
             k = j + 1
+            if TYPES[kind - 1] == "EMAIL" and "@" in text[a:z]:  # an address with its sign is one word
+                while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+                    a -= 1
+                while z < len(text) and (text[z].isalnum() or text[z] in "-_" or text[z] == "." and text[z + 1 : z + 2].isalnum()):
+                    z += 1
             if not any(a < y and x < z for x, y in masked) and plausible(TYPES[kind - 1], text[a:z], names):
                 out.append((TYPES[kind - 1], a, z))
         if out:
@@ -135,7 +140,8 @@ class Finder:
                     for kind in {k for k, _, _ in parts}:
                         where.append(i)
                         types.append(kind)
-                yield pdf[keys].iloc[where].assign(pii_type=types)
+                if where:
+                    yield pdf[keys].iloc[where].reset_index(drop=True).assign(pii_type=types)
 
         rows = df.select(*keys, text.alias("__text")).where(F.col("__text").isNotNull() & (F.col("__text") != ""))
         return rows.mapInPandas(find, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pii_type string")

@@ -170,7 +170,7 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
         mark[0] = 0
         mark[1:] = np.where(linked, _mix(name[:-1] + gap.astype(np.uint64)), np.uint64(0))
         repeats = np.zeros(len(start), dtype=bool)
-        repeats[1:] = linked & (name[1:] == name[:-1])  # within a periodic stretch the first symbol stands for all
+        repeats[1:] = linked & (name[1:] == name[:-1]) & (2 * gap <= reach)  # within a periodic stretch the first symbol stands for all, see alignments()
         start, text, name, mark = start[~repeats], text[~repeats], name[~repeats], mark[~repeats]
     # what stands before and after it: of a long enough common passage at least half the rest lies on one side
     half = -(-(spacing + MARGIN) // 2)
@@ -184,9 +184,14 @@ def _short(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 0, (x >> np.uint64(32)) | np.uint64(1)).astype(np.uint32).view(np.int32)
 
 
-def _symbol_rows(min_chars: int):
+def lengths(min_chars: int) -> tuple[int, int]:
+    """Spacing and reach of the high-level symbols."""
     spacing = max(16, (min_chars - MARGIN) // 2)
-    reach = min_chars - MARGIN - spacing
+    return spacing, min_chars - MARGIN - spacing
+
+
+def _symbol_rows(min_chars: int):
+    spacing, reach = lengths(min_chars)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -241,6 +246,32 @@ def _agree_back(a: str, i: int, b: str, j: int) -> int:
     return low
 
 
+def alignments(a: str, i: int, b: str, j: int, reach: int) -> list[tuple[int, int]]:
+    """Pairs of positions to extend from, given a common symbol at a[i] and b[j].
+
+    Within a periodic stretch the symbol stands at every period. The overlap of
+    two such stretches is longest where their beginnings or their ends meet as
+    near as the period allows, so these shifts are all that matter.
+    """
+    w = a[i : i + reach]
+    period = next((q for q in range(1, len(w) // 2 + 1) if w[q:] == w[:-q]), 0)
+    if not period:
+        return [(i, j)]
+
+    def stretch(t: str, at: int) -> tuple[int, int]:
+        return at - _agree_back(t, at, t, at + period), at + period + _agree(t, at, t, at + period)
+
+    (sa, ea), (sb, eb) = stretch(a, i), stretch(b, j)
+    out = set()
+    for want in (sa - sb, ea - eb):
+        k = (want - (i - j)) // period
+        for shift in (i - j + k * period, i - j + (k + 1) * period):
+            low, high = max(sa, sb + shift), min(ea, eb + shift)
+            if high > low:
+                out.add((low, low - shift))
+    return sorted(out) or [(i, j)]
+
+
 def _known(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Join on doc_id with a checked table of ids, broadcast where it is small."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
@@ -275,16 +306,20 @@ def shared_spans(documents: DataFrame, min_chars: int, doc_id: str = "doc_id", t
     texts = _known(single, cut_lineage(paired), "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a")), "doc_id_a").join(texts.select(F.col("doc_id").alias("doc_id_b"), F.col("text").alias("text_b")), "doc_id_b")
 
-    @F.pandas_udf("start_a int, start_b int, n_chars int")
-    def extend(pa: pd.Series, pb: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.DataFrame:
-        out = []
-        for i, j, x, y in zip(pa, pb, ta, tb):
-            back, on = _agree_back(x, i, y, j), _agree(x, i, y, j)
-            out.append((i - back, j - back, back + on))
-        return pd.DataFrame(out, columns=["start_a", "start_b", "n_chars"])
+    reach = lengths(min_chars)[1]
 
-    spans = both.select("doc_id_a", "doc_id_b", extend("pos_a", "pos_b", "text_a", "text_b").alias("s")).select("doc_id_a", "doc_id_b", "s.*")
-    return spans.where(F.col("n_chars") >= min_chars).distinct(), copies
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for d, e, pa, pb, x, y in zip(pdf["doc_id_a"], pdf["doc_id_b"], pdf["pos_a"], pdf["pos_b"], pdf["text_a"], pdf["text_b"]):
+                for i, j in alignments(x, pa, y, pb, reach):
+                    back, on = _agree_back(x, i, y, j), _agree(x, i, y, j)
+                    if back + on >= min_chars:
+                        out.append((d, e, i - back, j - back, back + on))
+            yield pd.DataFrame(out, columns=["doc_id_a", "doc_id_b", "start_a", "start_b", "n_chars"])
+
+    spans = both.select("doc_id_a", "doc_id_b", "pos_a", "pos_b", "text_a", "text_b").mapInPandas(extend, "doc_id_a long, doc_id_b long, start_a int, start_b int, n_chars int")
+    return spans.distinct(), copies
 
 
 def sharing_pairs(documents: DataFrame, min_chars: int, **names: str) -> DataFrame:
