@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT, Config
 from brindle.functions.text import collapse, timestamp_label
+from brindle.operators.ordered import blockwise_fill, with_block
 
 
 
@@ -86,9 +87,9 @@ def carried_screens(windows: DataFrame, homes: DataFrame, config: Config = DEFAU
     marks = bare.select("doc_id", (F.col("start") + config.slack_seconds).alias("t"), F.lit(1).alias("kind"), "window_no", F.col("start").alias("w_start"), null.cast("double").alias("start_sec"), null.cast("string").alias("text"))
     shots = homes.select("doc_id", F.col("start_sec").alias("t"), F.lit(0).alias("kind"), null.cast("long").alias("window_no"), null.cast("double").alias("w_start"), "start_sec", "text")
     both = shots.unionByName(marks)
-    before = Window.partitionBy("doc_id").orderBy("t", "kind", "text").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("start_sec", "text")), ignorenulls=True).over(before)
-    found = both.withColumn("last", last).where((F.col("kind") == 1) & (F.col("w_start") - F.col("last.start_sec") <= config.carry_seconds))
+    # block by block of time, so a long recording is not carried in one task
+    blocked = with_block(both.withColumn("shot", F.when(F.col("kind") == 0, F.struct("start_sec", "text"))), F.floor(F.col("t") / 1800))
+    found = blockwise_fill(blocked, ["doc_id"], ["t", "kind", "window_no", "text"], "shot", "last").where((F.col("kind") == 1) & (F.col("w_start") - F.col("last.start_sec") <= config.carry_seconds))
     return found.select("doc_id", "window_no", F.col("last.text").alias("text"), F.col("last.start_sec").alias("start_sec"))
 
 
