@@ -90,7 +90,7 @@ class Crf:
 
     # training
 
-    def fit(self, rows: list[tuple[list[str], list[int]]], given: frozenset, family: frozenset, epochs: int = 14, batch: int = 256, rate: float = 0.06, decay: float = 2e-5, seed: int = 5) -> None:
+    def fit(self, rows: list[tuple[list[str], list[int]]], given: frozenset, family: frozenset, epochs: int = 20, batch: int = 256, rate: float = 0.06, decay: float = 2e-5, seed: int = 5) -> None:
         kinds = len(self.labels)
         vocabulary: dict[str, int] = {PAD: 0}
         coded = [([vocabulary.setdefault(t, len(vocabulary)) for t in toks], labs) for toks, labs in rows if toks]

@@ -59,8 +59,9 @@ def plausible(kind: str, text: str, names: frozenset = frozenset()) -> bool:
 
 def trained(given: frozenset, family: frozenset) -> crf.Crf:
     """The model for a directory of names; the same for the same names."""
-    # three of four invented names stand in the directory while it is trained
-    listed = lambda names: frozenset(x for n in names for x in re.findall(r"[^\W\d_]+", n.lower()) if sum(map(ord, n)) % 4)
+    # three of four invented names stand in the directory while it is trained, and all that are common words as well
+    common = set(" ".join(pii_table.PRODUCTS + pii_table.THINGS).lower().split())
+    listed = lambda names: frozenset(x for i, n in enumerate(names) for x in re.findall(r"[^\W\d_]+", n.lower()) if i % 4 != 3 or x in common)
     model = crf.Crf(["O", *TYPES])
     rows = []
     for parts in pii_table.labelled_table():

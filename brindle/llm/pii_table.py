@@ -33,7 +33,7 @@ BACKGROUND = [
     "Error {n5} appears when I try to {act}. What should I do?", "the {thing} {did} {where}, who can {act}", "which incidents say that the supplier called twice {why}", "Hi, I need to {act} {when}, is that possible for {ref}?",
     "please explain step by step how to {act} for a {thing} of {qty} units.", "Why has the {thing} {ref} the status open although it {did}?", "To {act}, follow these steps:\n1. {Act} on the {screen} of {prod}\n2. {Act} on the {screen} of {prod}",
     "Narration: you go to {prod}, then to the {screen}. the system says error {n4} {why}.", "so now I open the {screen} and {act}. this happened {where} {when}.", "we had {qty} lines where the {thing} {did}. let us {act} and check the {thing} again.",
-    "On screen: {prod} | {screen} | {ref}", "Path: {prod} > {screen} > {thing}", "See also:\n- {prod} guide, page {n3}\n- {ref}", "Number: {ref}\nShort description: {thing} {did}", "State: Closed", "State: In progress", "Close notes: {Act} in {prod}.",
+    "On screen: {prod} | {screen} | {ref}", "Still on screen: {prod} | {screen} | {ref}", "On screen: {prod} | {screen}", "State: New On screen: {prod} | {screen} | {ref}", "On screen: {prod} | {screen} | {ref}", "Still on screen: {prod} | {screen} | {ref}", "Path: {prod} > {screen} > {thing}", "Path: {prod} > {screen} > {thing}", "See the path.\nPath: {prod} > {screen} > {thing}", "{prod} > {screen} > {thing}", "See also:\n- {prod} guide, page {n3}\n- {ref}", "Number: {ref}\nShort description: {thing} {did}", "State: Closed", "State: In progress", "Close notes: {Act} in {prod}.",
     "| code | meaning | qty |\n| --- | --- | --- |\n| {n4} | {did} | {qty} |", "Figure 7-{n2}: {screen} of {prod}.", "Yes, the {thing} {did} {where}.", "You cannot {act} while the {thing} {ref} is open. {Act} first.",
     "How do I register a new carrier in {prod}?", "To register a new carrier, follow these steps:\n1. {Act}", "Hi, I need to register a new carrier {when}, is that possible for {ref}?", "Where in {prod} can I register a new carrier without changing the {thing}?", "please explain step by step how to register a new carrier for a {thing} of {qty} units.",
     "{Whenc} a carrier manifest of {qty} units {did} {where}.", "Between {clock} and {clock} a stock reservation {did}, so the stock looked higher than it was.", "Error {n5} appears when I try to move stock between two plants. What should I do?", "To correct a price condition, change the tolerance of a price check.", "the stock reservation {did} {where}, who can {act}", "the carrier manifest {did} {where}, who can {act}", "the price condition {did} {where}, who can {act}",
@@ -73,7 +73,7 @@ def _fill(r: random.Random, text: str) -> str:
         if key[0] == "n" and key[1:].isdigit():
             return r.choice("123456789") + _digits(r, int(key[1:]) - 1)
         return {
-            "thing": lambda: r.choice(THINGS if r.random() < 0.8 else THINGS[3:6]), "THING": lambda: r.choice(THINGS).upper(), "screen": lambda: r.choice(SCREENS), "prod": lambda: r.choice(PRODUCTS if r.random() < 0.7 else PRODUCTS[:4]), "act": lambda: r.choice(ACTS), "Act": lambda: r.choice(ACTS).capitalize(), "crew": lambda: r.choice(CREWS),
+            "thing": lambda: r.choice(THINGS if r.random() < 0.8 else THINGS[3:6]), "THING": lambda: r.choice(THINGS).upper(), "screen": lambda: r.choice(SCREENS), "prod": lambda: r.choice(PRODUCTS if r.random() < 0.5 else PRODUCTS[:4]), "act": lambda: r.choice(ACTS), "Act": lambda: r.choice(ACTS).capitalize(), "crew": lambda: r.choice(CREWS),
             "why": lambda: r.choice(WHY), "when": lambda: r.choice(WHEN), "Whenc": lambda: r.choice(WHEN).capitalize(), "where": lambda: _fill(r, r.choice(WHERE)), "did": lambda: r.choice(DID), "P": lambda: r.choice(PLACES), "fam": lambda: r.choice(FAMILY),
             "ref": lambda: r.choice([f"INC{_digits(r, 7)}", f"DEF-{_digits(r, 6)}", f"45{_digits(r, 8)}", f"R{r.choice('ABCDEFGHK')}{_digits(r, 6)}", f"{_digits(r, 5)}/{_digits(r, 4)}"]),
             "qty": lambda: r.choice([_digits(r, r.randint(3, 4)), f"{_digits(r, 2)},{_digits(r, 3)}", f"{_digits(r, 4)}.{_digits(r, 2)}"]), "clock": lambda: f"{r.randint(5, 23)}:{r.randint(0, 59):02d}",
@@ -92,14 +92,14 @@ def _person(r: random.Random) -> str:
     g, f = r.choice(GIVEN), r.choice(FAMILY)
     middle = r.choice("ABCDEFGHIJKLMNOPQRSTUVWZ")
     name = r.choice([f"{g} {f}"] * 5 + [f"{g} {middle}. {f}", f"{f}, {g}", f"{f}, {g}", f"{g[0]}. {f}", f"{g[0]}. {f}", f"{r.choice(TITLES)} {f}", f"{r.choice(TITLES)} {f}", f"{r.choice(TITLES)} {g} {f}", f"{f}, {g[0]}."])
-    return r.choice([name] * 6 + [name.upper(), name.lower()])
+    return r.choice([name] * 5 + [name.upper(), name.lower()])
 
 
 def _email(r: random.Random) -> str:
     g, f = r.choice(GIVEN).lower(), r.choice(FAMILY).lower().replace("'", "")
     box = r.choice(["invoices", "night_shift", "returns.desk", "claims+west", "buyer.pool", "no-reply", f"dock{_digits(r, 1)}", f"kst{_digits(r, 4)}", "support", "info", "gate.office", "orders"])
     local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}_{g}", f"{g}{_digits(r, r.randint(1, 2))}", f"{g}.{f}+po", f"{g}-{f}", box, f"{box}{_digits(r, r.randint(1, 2))}", f"{f}.{g}"])
-    domain = r.choice(["example.com", "example.org", "mail.example.net", "ops.test", "depot.example", "north-freight.example", "intern.site.example", "birch.example", "co.example.org", "firm.test", "werk.example.de", "haus.invalid"])
+    domain = r.choice(["example.com", "example.org", "mail.example.net", "ops.test", "depot.example", "north-freight.example", "moor-freight.example", "west-stock.test", "price-yard.example", "hall-carrier.example.org", "blue-order.example", "intern.site.example", "birch.example", "co.example.org", "firm.test", "werk.example.de", "haus.invalid"])
     way = r.random()
     if way < 0.6:
         mail = f"{local}@{domain}"
@@ -145,7 +145,7 @@ def _address(r: random.Random) -> str:
     ])
 
 
-def labelled_table(rows: int = 9000, seed: int = 11) -> list[list[tuple[str, str | None]]]:
+def labelled_table(rows: int = 10500, seed: int = 11) -> list[list[tuple[str, str | None]]]:
     """Marked texts; the same for the same arguments."""
     r = random.Random(seed)
     table = []
