@@ -61,6 +61,11 @@ def widened(scan: DataFrame) -> DataFrame:
     return scan.repartition(want) if scan.rdd.getNumPartitions() * 2 <= want else scan
 
 
+def fanout(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy work on small rows, which adaptive execution would join into few by their bytes."""
+    return max(3 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Shuffle rows evenly before CPU-heavy work when the scan gives too few splits."""
     return df.repartition(cores(df.sparkSession) * per_core)
