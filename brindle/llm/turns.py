@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import BLOCK, blockwise_fill, blockwise_previous, with_block
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, fanout
 
 BLOCK_SECONDS = 1800
 #: Labels are broadcast up to this number of rows; beyond it they are joined by a shuffle.
@@ -330,7 +330,7 @@ def speakers(pieces_: DataFrame, staff: DataFrame) -> DataFrame:
         found = resolve(sorted(pdf["key"]), roster)
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "key": list(found), "speaker": list(found.values())})
 
-    return both.groupBy("doc_id").applyInPandas(name, "doc_id string, key string, speaker string")
+    return both.repartition(fanout(both.sparkSession), "doc_id").groupBy("doc_id").applyInPandas(name, "doc_id string, key string, speaker string")
 
 
 def turn_pieces(segments: DataFrame, staff: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
