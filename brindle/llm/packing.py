@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, fanout
 
 #: A token: a run of letters, digits and underscores, or a run of other characters that are not white space.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, shares: dict[str, float], capacity: int, doc_id: str =
     small = items.where(F.col("size") < capacity).select("part", "source", "size", "doc_id", "piece_no", "token_from")
     full = items.where(F.col("size") == capacity)
     start = _carried(small, shares)
-    packed = small.groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA)
+    packed = small.repartition(fanout(spark), "part").groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA)
     packed = cut_lineage(packed)
     done = [packed.where("number >= 0").withColumn("round", F.lit(0))]
     rest, round_no = packed.where("number < 0"), 0

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, fanout
 
 BLOCK_ROWS = 512
 SIMILARITY = 0.9
@@ -125,7 +125,7 @@ def collapse_runs(events: DataFrame, entity: str, seq: str, start: str, text: st
     """
     rows = events.select(F.col(entity).alias("entity"), F.col(seq).cast("long").alias("seq"), F.col(start).cast("double").alias("start"), F.col(text).alias("text"))
     rows = rows.where(F.col("seq").isNotNull()).withColumn("block", F.floor(F.col("seq") / block_rows))
-    sorted_rows = rows.repartition("entity", "block").sortWithinPartitions("entity", "block", "seq", "start", "text")
+    sorted_rows = rows.repartition(fanout(rows.sparkSession), "entity", "block").sortWithinPartitions("entity", "block", "seq", "start", "text")
     islands = cut_lineage(sorted_rows.mapInPandas(_machine(float(max_gap), similarity, anchor), _SCHEMA))
     edge = F.col("at_start") | F.col("at_end")
 
