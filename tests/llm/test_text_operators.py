@@ -140,6 +140,12 @@ def test_language_posteriors():
     assert not pairs.differs("", "x", model) and not pairs.differs("abc", "def", Languages([]))
 
 
+def test_copies():
+    q = "how do i move stock between two plants".split()
+    assert pairs.copies(q, q + q) and pairs.copies(q, ["you", "asked", *q]) and pairs.copies(q + ["my", "name", "is", "x"], q)
+    assert not pairs.copies(q, q + ["open", "the", "list"]) and not pairs.copies(q, ["two", "plants"]) and not pairs.copies([], [])
+
+
 def test_ends():
     model = Ends([t for t in ENGLISH for _ in range(20)])
     assert not pairs.unfinished("We change the document type.", model)
