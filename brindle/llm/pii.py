@@ -14,6 +14,7 @@ they are; equal rows each count; adjoining parts of one type are one part.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -57,6 +58,7 @@ def plausible(kind: str, text: str, names: frozenset = frozenset()) -> bool:
     return all(len(w) > 1 or w.isupper() or f"{w}." in text for w in words) and (len(words) > 2 or all(len(w) > 1 or f"{w}." in text for w in words))
 
 
+@functools.lru_cache(maxsize=4)
 def trained(given: frozenset, family: frozenset) -> crf.Crf:
     """The model for a directory of names; the same for the same names."""
     # three of four invented names stand in the directory while it is trained, and all that are common words as well
