@@ -27,6 +27,14 @@ a pair: a symbol whose predecessor and distance to it are equal in all records
 that have it is passed over, so a passage in many records is not paired again at
 each of its symbols.
 
+Symbols that are periodic in themselves stand anywhere in a periodic stretch (a
+rule of dashes, padding). In their place the first and the last `reach`
+characters of the exact stretch are symbols. Where a passage has part of a
+stretch of each record, either the ends or the beginnings of both stretches meet
+in it, and that symbol is common, or it has nothing but the stretch; stretches
+of min_chars and more therefore have a third symbol, named by the least of their
+rotations, that is compared without what stands around it.
+
 Defined results: null texts and texts under min_chars share nothing; positions
 and lengths count code points; a record shares nothing with itself; repeated
 passages within a record are all compared; tables without texts give no row.
@@ -52,6 +60,7 @@ _BATCH_CHARS = 1 << 21
 
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
+_ROOT = 0xC2B2AE3D27D4EB4F
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -163,20 +172,55 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
     chosen = (left + after > spacing) & (start + reach <= first[text + 1])
     start, text = start[chosen], text[chosen]
     name = named(start, start + reach)
-    mark = np.empty(len(start), dtype=np.uint64)
+    if len(start):
+        gap = np.diff(start)
+        repeats = np.zeros(len(start), dtype=bool)
+        repeats[1:] = (text[1:] == text[:-1]) & (name[1:] == name[:-1]) & (2 * gap <= reach)
+        start, text, name = start[~repeats], text[~repeats], name[~repeats]
+    # periodic symbols give way to the ends of their stretches
+    period = np.zeros(len(start), dtype=np.int64)
+    for q in range(reach // 2, 0, -1):
+        period[(prefix[start + reach] - prefix[start + q]) * down[start + q] == (prefix[start + reach - q] - prefix[start]) * down[start]] = q
+    ends, inner, roots, held = [], [], [], (-1, 0, 0, 0)
+    for k in np.flatnonzero(period):
+        i, at, q = int(text[k]), int(start[k] - first[text[k]]), int(period[k])
+        if held[:2] == (i, q) and held[2] <= at and at + reach <= held[3]:
+            continue
+        low, high = _stretch(texts[i], at, q)
+        held = (i, q, low, high)
+        ends += [(int(first[i]) + low, i), (int(first[i]) + high - reach, i)]
+        inner.append(ends[-2:])
+        if high - low >= spacing + reach + MARGIN:  # long enough to be shared by itself: named by its least rotation
+            turn = int(first[i]) + low + np.arange(q)
+            roots.append((int(turn[np.argmin(named(turn, turn + reach))]), i))
+    if ends:
+        plain = period == 0
+        start = np.concatenate([start[plain], np.array([x for x, _ in ends], dtype=np.int64)])
+        text = np.concatenate([text[plain], np.array([i for _, i in ends], dtype=np.int64)])
+        start, once = np.unique(start, return_index=True)
+        text = text[once]
+        name = named(start, start + reach)
+    mark = np.zeros(len(start), dtype=np.uint64)
     if len(start):
         gap = np.diff(start)
         linked = (text[1:] == text[:-1]) & (gap <= reach)
-        mark[0] = 0
         mark[1:] = np.where(linked, _mix(name[:-1] + gap.astype(np.uint64)), np.uint64(0))
-        repeats = np.zeros(len(start), dtype=bool)
-        repeats[1:] = linked & (name[1:] == name[:-1]) & (2 * gap <= reach)  # within a periodic stretch the first symbol stands for all, see alignments()
-        start, text, name, mark = start[~repeats], text[~repeats], name[~repeats], mark[~repeats]
+    for (low, _), (high, _) in inner:  # all between the two ends of a stretch is known by its first end and its length
+        if high - low > reach:
+            k = int(np.searchsorted(start, high))
+            mark[k] = _mix(named(np.array([low]), np.array([low + reach])) + np.uint64(high - low))[0]
     # what stands before and after it: of a long enough common passage at least half the rest lies on one side
     half = -(-(spacing + MARGIN) // 2)
     before = np.where(start - half >= first[text], named(np.maximum(start - half, 0), start), np.uint64(0))
     behind = start + reach + half
     after = np.where(behind <= first[text + 1], named(start + reach, np.minimum(behind, n)), np.uint64(0))
+    if roots:
+        at = np.array([x for x, _ in roots], dtype=np.int64)
+        own = np.array([i for _, i in roots], dtype=np.int64)
+        none = np.zeros(len(at), dtype=np.uint64)
+        start, text, mark, before = np.concatenate([start, at]), np.concatenate([text, own]), np.concatenate([mark, none]), np.concatenate([before, none])
+        name = np.concatenate([name, _mix(named(at, at + reach) + np.uint64(_ROOT))])
+        after = np.concatenate([after, np.full(len(at), np.uint64(_ROOT))])
     return text, start - first[text], name, mark, before, after
 
 
@@ -246,6 +290,11 @@ def _agree_back(a: str, i: int, b: str, j: int) -> int:
     return low
 
 
+def _stretch(t: str, at: int, period: int) -> tuple[int, int]:
+    """Begin and end of the stretch of this period around t[at]."""
+    return at - _agree_back(t, at, t, at + period), at + period + _agree(t, at, t, at + period)
+
+
 def alignments(a: str, i: int, b: str, j: int, reach: int) -> list[tuple[int, int]]:
     """Pairs of positions to extend from, given a common symbol at a[i] and b[j].
 
@@ -258,10 +307,7 @@ def alignments(a: str, i: int, b: str, j: int, reach: int) -> list[tuple[int, in
     if not period:
         return [(i, j)]
 
-    def stretch(t: str, at: int) -> tuple[int, int]:
-        return at - _agree_back(t, at, t, at + period), at + period + _agree(t, at, t, at + period)
-
-    (sa, ea), (sb, eb) = stretch(a, i), stretch(b, j)
+    (sa, ea), (sb, eb) = _stretch(a, i, period), _stretch(b, j, period)
     out = set()
     for want in (sa - sb, ea - eb):
         k = (want - (i - j)) // period

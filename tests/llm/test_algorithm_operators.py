@@ -188,6 +188,26 @@ def test_shared_spans_equal_brute_force(spark, seed):
     assert got == brute_pairs(texts, 240)
 
 
+def test_unequal_periodic_stretches_before_the_same_text(spark):
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("abcdefgh klmnop.") for _ in range(n))
+    texts, i = {}, 0
+    for root in ("-", "=-", "| --- ", "0123456789abcdefghijk "):
+        for tail in (some(5000), some(230), some(150)):
+            for lead in (0, 90):
+                for n in (160, 120, 100):
+                    texts[i] = some(lead) + (root * n)[:n] + tail
+                    texts[i + 1] = tail[::-1] + (root * n)[:n] + some(lead)
+                    i += 2
+        for n in (239, 240, 260, 500):
+            texts[i], i = some(50) + (root * n)[3 : n + 3] + some(50), i + 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((r["doc_id_a"], r["doc_id_b"]) for r in spans.sharing_pairs(df, 240).collect())
+    assert got == brute_pairs(texts, 240)
+    two = spark.createDataFrame([(1, "-" * 160 + texts[0][160:]), (2, "-" * 120 + texts[0][160:])], "doc_id long, text string")
+    assert [tuple(r) for r in spans.shared_spans(two, 240)[0].collect()] == [(1, 2, 40, 0, 5120)]
+
+
 def test_shared_parts(spark):
     common = "".join(random.Random(8).choice("abcdefghij klmnop") for _ in range(300))
     texts = [(1, "A" + common + "B" * 99), (2, common), (3, "no"), (4, None), (5, "same text " * 40), (6, "same text " * 40)]
