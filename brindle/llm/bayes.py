@@ -1,4 +1,4 @@
-"""Naive Bayes over n-grams and the likelihood of an end, fitted on bounded samples."""
+"""Naive Bayes over n-grams, fitted on bounded samples, and the likelihood of an end."""
 
 from __future__ import annotations
 
@@ -106,6 +106,16 @@ class Ends:
                     self.begins[w[:k]] += inside
         self.begins = dict(self.begins)
 
+    @classmethod
+    def known(cls, tokens: list[str], base: float, seen: list[int], ended: list[int], begins: int) -> Ends:
+        """What is counted elsewhere of one text's last n-grams (seen[n - 1], ended[n - 1]) and last word."""
+        own = cls([], len(seen))
+        own.base = base
+        for n in range(1, min(own.longest, len(tokens)) + 1):
+            own.seen[n][tuple(tokens[-n:])], own.ended[n][tuple(tokens[-n:])] = seen[n - 1], ended[n - 1]
+        own.begins = {tokens[-1]: begins}
+        return own
+
     def likelihood(self, tokens: list[str]) -> float:
         p = self.base
         for n in range(1, self.longest + 1):

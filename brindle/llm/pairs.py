@@ -7,9 +7,12 @@ after its last tokens. Refusals are told by a naive Bayes classifier over words
 and word pairs from a small labelled table; what stands in quotes is left out of
 it and of the language. Copies are found by comparing words.
 
-The classifiers are fitted on bounded samples (LANGUAGE_ROWS labelled texts a
-language, END_ROWS messages), taken by the order of a hash of the text, so the
-same rows are taken however they are stored. All pairs are then judged.
+The language classifier is fitted on a bounded sample (LANGUAGE_ROWS labelled
+texts a language), taken by the order of a hash of the text, so the same rows
+are taken however they are stored. The last n-grams, words and beginnings of
+words are counted over all different messages of users and assistants; of the
+counts each task keeps a bounded table that is summed by a shuffle, and answers
+whose form doesn't decide are joined to them. All pairs are judged.
 
 Defined results: order and repeats as in conversations.py; null content is an
 empty answer; a null question or one without letters has no language and can't
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,13 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ordered import blockwise_previous, with_block
+from brindle.session import cut_lineage
 
 from . import pii_table
 from .bayes import Ends, Languages, Words, end_tokens
 from .conversations import block_of, deduplicated, is_empty_answer, role_class
 
 LANGUAGE_ROWS = 400
-END_ROWS = 20_000
+LONGEST = 3
+#: n-grams a task holds before it passes their counts on.
+HELD_GRAMS = 300_000
+#: Last n-grams that are looked for are broadcast up to this number; beyond it they are joined by a shuffle.
+BROADCAST_GRAMS = 200_000
 MIN_LETTERS = 12
 LANGUAGE_MARGIN = 3.0
 END_LIKELIHOOD = 0.012
@@ -103,7 +112,8 @@ def refuses(answer: str, model: Words) -> bool:
     return any(said) and len(said) - sum(said) <= 2 and said.index(True) <= 1
 
 
-def unfinished(answer: str, model: Ends) -> bool:
+def unfinished_form(answer: str) -> bool | None:
+    """Whether marks and brackets show that an answer is cut off; None where only its last words can tell."""
     text = answer.strip()
     if text.count("```") % 2:
         return True
@@ -119,6 +129,15 @@ def unfinished(answer: str, model: Ends) -> bool:
         return False
     if t[-1] in ".!?…" and not (len(t) >= 2 and t[-2] == "0" and (len(t) == 2 or t[-3] == "\n")):
         return False
+    return None
+
+
+def unfinished(answer: str, model: Ends) -> bool:
+    decided = unfinished_form(answer)
+    if decided is not None:
+        return decided
+    text = answer.strip()
+    t = end_tokens(text)
     if t[-1].isalpha() and (model.last_alone(t) < LAST_LIKELIHOOD or model.cut_word(t, text)):
         return True
     return model.likelihood(t) < END_LIKELIHOOD
@@ -143,13 +162,45 @@ def language_samples(labelled: DataFrame, text: str = "text", lang: str = "lang"
     return [(r["lang"], r["text"]) for r in kept.select("lang", "text").collect()] if kept is not None else []
 
 
-def end_samples(messages: DataFrame, rows: int = END_ROWS) -> list[str]:
-    own = messages.where(role_class(F.col("role")).isin("user", "assistant") & ~is_empty_answer(F.col("content"))).select("content")
-    h = F.pmod(F.xxhash64("content"), F.lit(1_000_003))
-    # the hash is cut to a range that surely holds the sample before rows are ranked
-    n = own.count()
-    some = own.where(h < int(1_000_003 * 4.0 * rows / n)) if n > 4 * rows else own
-    return [r["content"] for r in some.distinct().orderBy(h, "content").limit(rows).collect()]
+def _last_grams(tokens: list[str]) -> list[str | None]:
+    return [" ".join(tokens[-n:]) if len(tokens) >= n else None for n in range(1, LONGEST + 1)]
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """n, gram, word, seen, ended: how often each n-gram stands in the texts and ends one; n = 0 has all tokens and texts."""
+    seen, ended = [Counter() for _ in range(LONGEST + 1)], [Counter() for _ in range(LONGEST + 1)]
+
+    def passed_on() -> pd.DataFrame:
+        rows = [(n, " ".join(k), n == 1 and k[0].isalpha(), count, ended[n][k]) for n in range(LONGEST + 1) for k, count in seen[n].items()]
+        for c in (*seen, *ended):
+            c.clear()
+        return pd.DataFrame(rows, columns=["n", "gram", "word", "seen", "ended"])
+
+    for pdf in batches:
+        for text in pdf["content"]:
+            t = end_tokens(text)
+            seen[0][()] += len(t)
+            ended[0][()] += 1
+            for n in range(1, min(LONGEST, len(t)) + 1):
+                seen[n].update(zip(*(t[k:] for k in range(n))))
+                ended[n][tuple(t[-n:])] += 1
+            if sum(map(len, seen)) > HELD_GRAMS:
+                yield passed_on()
+    yield passed_on()
+
+
+def end_counts(messages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Over all different texts of users and assistants: gram, seen, ended of the wanted n-grams (column gram, each once), word and begins of all beginnings of words, and texts per token."""
+    own = messages.where(role_class(F.col("role")).isin("user", "assistant") & ~is_empty_answer(F.col("content"))).select("content").distinct()
+    grams = own.mapInPandas(_count_grams, "n int, gram string, word boolean, seen long, ended long")
+    asked = wanted.withColumn("asked", F.lit(True))
+    some = grams.join(F.broadcast(asked) if wanted.count() <= BROADCAST_GRAMS else asked, "gram", "left").where("n < 2 or asked")
+    counts = cut_lineage(some.groupBy("n", "gram", "word").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")))
+    totals = counts.where("n = 0").select("seen", "ended").first()
+    inside = counts.where("word and seen > ended and length(gram) > 1")
+    begins = inside.select(F.explode(F.expr("transform(sequence(1, length(gram) - 1), k -> left(gram, k))")).alias("word"), (F.col("seen") - F.col("ended")).alias("inside"))
+    begins = begins.groupBy("word").agg(F.sum("inside").alias("begins"))
+    return counts.where("n > 0").select("gram", "seen", "ended"), begins, totals["ended"] / max(1, totals["seen"]) if totals else 0.0
 
 
 def answered(messages: DataFrame) -> DataFrame:
@@ -167,15 +218,15 @@ def defects(messages: DataFrame, labelled: DataFrame) -> DataFrame:
     pairs = answered(messages).where(~status.isin("escalate", "error"))
     empty = is_empty_answer(F.col("answer"))
     languages = Languages(language_samples(labelled))
-    ends = Ends(end_samples(messages))
     refusal = refusal_classifier()
+    grams = [f"g{n}" for n in range(1, LONGEST + 1)]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, none, question, answer in zip(pdf["id"], pdf["none"], pdf["question"], pdf["answer"]):
                 if none:
-                    out.append((i, "empty"))
+                    out.append((i, "empty", None, *[None] * LONGEST))
                     continue
                 question = question if isinstance(question, str) else ""
                 kind = None
@@ -185,13 +236,34 @@ def defects(messages: DataFrame, labelled: DataFrame) -> DataFrame:
                     kind = "refusal"
                 elif differs(question, answer, languages):
                     kind = "other_language"
-                elif unfinished(answer, ends):
-                    kind = "truncated"
+                else:
+                    decided = unfinished_form(answer)
+                    if decided is None:
+                        out.append((i, None, answer, *_last_grams(end_tokens(answer))))
+                    elif decided:
+                        kind = "truncated"
                 if kind:
-                    out.append((i, kind))
+                    out.append((i, kind, None, *[None] * LONGEST))
+            yield pd.DataFrame(out, columns=["id", "defect", "answer", *grams])
+
+    judged = cut_lineage(pairs.select("id", empty.alias("none"), "question", "answer").mapInPandas(judge, "id long, defect string, answer string, " + ", ".join(f"{g} string" for g in grams)))
+    open_ = judged.where("defect is null").drop("defect")
+    wanted = open_.select(F.explode(F.array(*grams)).alias("gram")).where("gram is not null").distinct()
+    counts, begins, base = end_counts(messages, wanted)
+    for g in grams:
+        open_ = open_.join(counts.select(F.col("gram").alias(g), F.col("seen").alias(f"seen_{g}"), F.col("ended").alias(f"ended_{g}")), g, "left")
+    open_ = open_.join(begins.withColumnRenamed("word", "g1"), "g1", "left").na.fill(0, ["begins", *[f"{c}_{g}" for c in ("seen", "ended") for g in grams]])
+
+    def cut_off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            seen, ended = (list(zip(*(pdf[f"{c}_{g}"].tolist() for g in grams))) for c in ("seen", "ended"))
+            for i, answer, s, e, b in zip(pdf["id"], pdf["answer"], seen, ended, pdf["begins"].tolist()):
+                if unfinished(answer, Ends.known(end_tokens(answer), base, s, e, b)):
+                    out.append((i, "truncated"))
             yield pd.DataFrame(out, columns=["id", "defect"])
 
-    return pairs.select("id", empty.alias("none"), "question", "answer").mapInPandas(judge, "id long, defect string")
+    return judged.where("defect is not null").select("id", "defect").unionByName(open_.mapInPandas(cut_off, "id long, defect string"))
 
 
 def differs(question: str, answer: str, model: Languages) -> bool:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import conversations, crf, pairs, pii, pii_table, turns
-from brindle.llm.bayes import Ends, Languages
+from brindle.llm.bayes import Ends, Languages, end_tokens
 
 
 @pytest.fixture(scope="module")
@@ -152,6 +152,46 @@ def test_ends():
     assert pairs.unfinished("To change the type:\n1. Open the worklist\n2.", model) and pairs.unfinished("Look for (see the order", model) and pairs.unfinished("Open the", model)
 
 
+def test_ends_are_counted_over_all_messages(spark):
+    """The counts are those of one pass over every text, and a word that few of very many messages have keeps its answer whole."""
+    said = [f"Note {a}{b}{c} says: {t}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for t in ENGLISH[:3]]
+    said += [f"The zorbel of dock {a}{b} was moved." for a in "abcd" for b in "abc"] + ["It went to the zorbels"] * 3 + ["We moved the zorbel"]
+    rows = [(f"f{i}", role, t, 0) for i, t in enumerate(said) for role in (["user", "system"] if i % 2 else ["assistant"])] + [("f", "user", None, 0)]
+    m = chat(spark, rows)
+    texts = sorted({t for _, r, t, _ in rows if t and r != "system"})
+    model = Ends(texts)
+    tails = ["We moved the zorbel", "It went to the zorbels", "Open the", "of the dock", "zor", "unheard of"]
+    for few in (pairs.BROADCAST_GRAMS, 0):
+        was, pairs.BROADCAST_GRAMS = pairs.BROADCAST_GRAMS, few
+        grams = {g for x in tails for g in pairs._last_grams(end_tokens(x)) if g}
+        counts, begins, base = pairs.end_counts(m, spark.createDataFrame([(g,) for g in grams], "gram string"))
+        pairs.BROADCAST_GRAMS = was
+        counts, begins = {r["gram"]: (r["seen"], r["ended"]) for r in counts.collect()}, {r["word"]: r["begins"] for r in begins.collect()}
+        assert base == model.base and begins == model.begins
+        for g in grams:
+            k = tuple(g.split(" "))
+            assert counts.get(g, (0, 0)) == (model.seen[len(k)][k], model.ended[len(k)][k])
+        for x in tails:
+            t = end_tokens(x)
+            s, e = zip(*(counts.get(g, (0, 0)) for g in pairs._last_grams(t)))
+            known = Ends.known(t, base, s, e, begins.get(t[-1], 0))
+            assert known.likelihood(t) == model.likelihood(t) and known.last_alone(t) == model.last_alone(t) and known.cut_word(t, x) == model.cut_word(t, x)
+
+
+def test_last_words_that_few_of_many_messages_have(spark):
+    """An answer is judged by all messages, however many there are."""
+    rare = [f"{a}{b}orbel" for a in "bdfghjkl" for b in "aeiou"]
+    said = [f"Note {a}{b}{c} says: {t}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for t in ENGLISH[:3]] + [f"The {w} of the dock was moved." for w in rare]
+    rows = [("f", "user", t, 0) for t in said]
+    for k, w in enumerate(rare):
+        rows += [(f"p{k}", "user", "What did the night shift find at the gate?", 1), (f"p{k}", "assistant", f"They found the {w}", 2)]
+    docs = spark.createDataFrame([("en", t) for t in ENGLISH], "lang string, text string")
+    model = Ends(sorted({t for _, _, t, _ in rows}))
+    want = {i for i, (_, role, t, _) in enumerate(rows) if role == "assistant" and pairs.unfinished(t, model)}
+    got = {r["id"] for r in pairs.defects(chat(spark, rows), docs).where("defect = 'truncated'").collect()}
+    assert got == want and len(want) < len(rare)
+
+
 SEGMENTS = "doc_id string, source_file string, seg_no int, start_sec double, end_sec double, text string, lang string"
 
 
