@@ -9,11 +9,13 @@ sources that is summed first), so the proportions hold across parts as well.
 What a window has chosen is laid into containers by best fit, the largest piece
 first; containers that are not nearly full are opened again in the next window.
 The items of the last open containers of each part go through the same packing
-once more, gathered from groups of parts, until few are left.
+once more, gathered from groups of parts, until few are left; they start with
+the deficits of all that has been laid into containers by then.
 
 All documents are packed whatever the targets say: when a source is used up its
 share passes to the others. A document is divided only if it alone exceeds a
-container: into full pieces and a rest.
+container: into full pieces and a rest. Full pieces stand in their source's queue
+like all others and are charged to it; each fills a container by itself.
 
 Defined results: null and blank texts have no tokens and no container; a null
 source is a queue of its own; equal texts are separate items; an empty table
@@ -142,11 +144,9 @@ def pack(docs: DataFrame, shares: dict[str, float], capacity: int, doc_id: str =
     items = own.withColumn("n_pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
     items = items.withColumn("token_from", ((F.col("piece_no") - 1) * capacity).cast("long")).withColumn("size", F.least(F.lit(capacity), F.col("total") - F.col("token_from")).cast("long"))
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
-    # full pieces fill a container by themselves and take no part in the packing
-    small = items.where(F.col("size") < capacity).select("part", "source", "size", "doc_id", "piece_no", "token_from")
-    full = items.where(F.col("size") == capacity)
-    start = _carried(small, shares)
-    packed = small.repartition(fanout(spark), "part").groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA)
+    items = items.select("part", "source", "size", "doc_id", "piece_no", "token_from")
+    start = _carried(items, shares)
+    packed = items.repartition(fanout(spark), "part").groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA)
     packed = cut_lineage(packed)
     done = [packed.where("number >= 0").withColumn("round", F.lit(0))]
     rest, round_no = packed.where("number < 0"), 0
@@ -154,23 +154,27 @@ def pack(docs: DataFrame, shares: dict[str, float], capacity: int, doc_id: str =
         # what the parts left over is packed again from groups of parts, of which there are ever fewer
         round_no, parts = round_no + 1, -(-parts // GROUP_PARTS)
         again = rest.drop("number").withColumn("part", F.pmod(F.col("part"), F.lit(parts)).cast("long"))
-        packed = cut_lineage(again.groupBy("part").applyInPandas(_packer(shares, capacity, {}, parts > 1), _SCHEMA))
+        # what all containers so far owe the sources comes before the first group
+        placed = done[0]
+        for more in done[1:]:
+            placed = placed.unionByName(more)
+        start = _carried(again.select("part", "source", "size").unionByName(placed.select(F.lit(-1).cast("long").alias("part"), "source", "size")), shares)
+        packed = cut_lineage(again.groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA))
         done.append(packed.where("number >= 0").withColumn("round", F.lit(round_no)))
         rest = packed.where("number < 0")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     named = out.select(F.concat_ws("-", "round", "part", "number").alias("container_id"), "doc_id", "piece_no", "token_from", "size")
-    alone = full.select(F.concat_ws("-", F.lit("full"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", "token_from", "size")
     counts = own.select("doc_id", pieces.alias("n_pieces"))
     divided = counts.where("n_pieces > 1")
-    result = named.unionByName(alone).join(divided, "doc_id", "left")
+    result = named.join(divided, "doc_id", "left")
     return result.select("container_id", "doc_id", "piece_no", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"), "token_from", F.col("size").alias("n_tokens"))
 
 
-def _carried(small: DataFrame, shares: dict[str, float]) -> dict[int, dict[str, float]]:
+def _carried(items: DataFrame, shares: dict[str, float]) -> dict[int, dict[str, float]]:
     """Credit of every source before each part: what the parts before it owed it. A row per part and source comes to the driver, one part for every PART_TOKENS tokens."""
-    sums = small.groupBy("part", "source").agg(F.sum("size").alias("n"))
+    sums = items.groupBy("part", "source").agg(F.sum("size").alias("n"))
     per_part = Window.partitionBy("part")
     target = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("source")] if shares else F.lit(None)
     owed = sums.withColumn("share", F.coalesce(target, F.lit(0.0)))

@@ -129,6 +129,34 @@ def test_windows_follow_the_shares():
     assert abs(head.count("a") / len(head) - 0.8) < 0.02
 
 
+@pytest.mark.parametrize("part_tokens", [2_000_000, 40_000])
+def test_full_pieces_are_charged_to_their_source(spark, part_tokens):
+    """A source of long documents is never more than a window from its share, full pieces included."""
+    docs = [(i, "w " * 350, "a") for i in range(300)] + [(1000 + i, "w " * 10, "b") for i in range(10_500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = packing.pack(df, {"a": 0.5, "b": 0.5}, 100, part_tokens=part_tokens).toPandas()
+    assert got.n_tokens.sum() == 210_000 and len(got) == 1200 + 10_500 and not got.container_id.str.startswith("full").any()
+    assert got.groupby("container_id").n_tokens.sum().max() <= 100
+    named = got.container_id.str.split("-", expand=True).astype(int)
+    own = got.assign(round=named[0], part=named[1], number=named[2], a=(got.doc_id < 1000) * got.n_tokens)
+    for _, part in own[own["round"] == 0].groupby("part"):
+        sums = part.groupby("number")[["a", "n_tokens"]].sum().cumsum()
+        assert (abs(sums.a - sums.n_tokens / 2) <= packing.WINDOW_CONTAINERS * 100).all()
+
+
+def test_rests_start_with_what_is_owed(spark, monkeypatch):
+    starts = []
+    packer = packing._packer
+    monkeypatch.setattr(packing, "_packer", lambda shares, capacity, start, keep: starts.append(start) or packer(shares, capacity, start, keep))
+    df = spark.createDataFrame([(i, "w " * (40 + i % 37), "ab"[i % 3 == 0]) for i in range(600)], "doc_id long, text string, source string")
+    got = packing.pack(df, {"a": 0.5, "b": 0.5}, 100, part_tokens=3000).toPandas()
+    assert len(got) == 600 and len(starts) > 1
+    laid = got[got.container_id.str.startswith("0-")]
+    a = laid.doc_id % 3 != 0
+    gap = laid.n_tokens.sum() / 2 - laid.n_tokens[a].sum()
+    assert gap != 0 and any(abs(x["a"] - gap) < 1e-6 and abs(x["b"] + gap) < 1e-6 for x in starts[1].values())
+
+
 TARGETS = [mixing.Target("Pdf", "pdf", 0.5, 1), mixing.Target("chat", "chat", 0.3, 3), mixing.Target("mail", "mail", 0.2, 2), mixing.Target("none", "none", 0.0, 1)]
 
 
