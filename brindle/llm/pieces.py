@@ -64,7 +64,7 @@ def cut_positions(text: str, limit: int, overlap: int) -> list[int]:
         extra = []
         for end, gap in zip(at, gaps):
             if gap > step // 2:
-                extra.append(np.arange(end - gap + 1, end, max(1, step // 64)))
+                extra.append(np.arange(end - gap + 1, end))
         hard = np.concatenate(extra)
         kept = hard[[unicodedata.combining(text[i]) == 0 and text[i] != "\u200d" for i in hard]]
         if np.diff(np.unique(np.concatenate([[0], at, kept]))).max() <= step:

@@ -88,6 +88,12 @@ def test_pieces_prefer_natural_places():
     assert all(a == 0 or text[a - 1].isspace() for a, _, _ in parts)
 
 
+def test_any_character_may_be_cut_where_there_is_no_boundary():
+    assert pieces.cut_positions("x" * 1500, 700, 80) == [500, 1000, 1500]
+    marked = ("x\u0301" + "x" * 7) * 200
+    assert all(marked[i] != "\u0301" for i in pieces.cut_positions(marked, 700, 80)[:-1])
+
+
 def test_split_rows(spark):
     rows = [("d", 1, 0.0, 100.0, "word " * 300), ("d", 1, 0.0, 100.0, "word " * 300), ("d", 2, 5.0, 1.0, "x" * 1500), ("d", 3, 0.0, None, " " * 900), ("d", 4, 0.0, 1.0, None), ("d", 5, 0.0, 1.0, "short"), ("d", 6, None, None, "é" * 701), ("d", 7, 0.0, 9.0, "  " + "y" * 700 + "\n")]
     df = spark.createDataFrame(rows, "doc_id string, seg_no int, start_sec double, end_sec double, text string").withColumn("piece", F.lit(1))
