@@ -45,6 +45,8 @@ from .packing import n_tokens
 BUCKETS = 4096
 #: The classifier is fitted on at most about this many labelled documents a source.
 TRAIN_ROWS = 2000
+#: Targets are a fixed table of at most this many sources; more are an error.
+MOST_TARGETS = 1001
 STEPS = 60
 TOLERANCE = 1e-6
 
@@ -59,7 +61,10 @@ class Target:
 
 def read_targets(table: DataFrame) -> list[Target]:
     """The targets, a small fixed table."""
-    return [Target(r["source"], r["source"].strip().lower(), float(r["target_share"] or 0), int(r["max_repeat"] or 0)) for r in table.where("source is not null").orderBy("source").limit(1001).collect()]
+    rows = table.where("source is not null").orderBy("source").limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"there are over {MOST_TARGETS} targets")
+    return [Target(r["source"], r["source"].strip().lower(), float(r["target_share"] or 0), int(r["max_repeat"] or 0)) for r in rows]
 
 
 def _source_key(source: str) -> Column:

@@ -178,6 +178,13 @@ def test_mixture(spark):
     assert all(r["rate"] == 0 for r in mixing.shares(df.limit(0), TARGETS).collect())
 
 
+def test_more_targets_than_the_bound_are_an_error(spark):
+    df = spark.range(mixing.MOST_TARGETS + 1).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.lit(0.001).alias("target_share"), F.lit(1).alias("max_repeat"))
+    assert len(mixing.read_targets(df.limit(mixing.MOST_TARGETS))) == mixing.MOST_TARGETS
+    with pytest.raises(ValueError):
+        mixing.read_targets(df)
+
+
 def test_soft_memberships(spark):
     docs = [(i, "alpha beta gamma " * 5, "pdf") for i in range(40)] + [(100 + i, "delta epsilon zeta " * 5, "chat") for i in range(40)] + [(500, "alpha beta", None), (501, "zeta delta", "unknown")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
