@@ -4,8 +4,10 @@ Method: mixture-controlled packing. Documents are spread evenly; in each part
 one queue per source is served by deficit round-robin: for every window of
 containers each source is credited its target share of the window's tokens, and
 what it could not use or overdrew is carried to the next window. The deficits
-with which a part starts come from the parts before it (a table of parts x
-sources that is summed first), so the proportions hold across parts as well.
+with which a part starts come from the parts before it: running sums over a
+table of parts x sources, worked out in blocks of parts and joined to the items
+where they are packed, so the proportions hold across parts as well and nothing
+that grows with the documents comes to the driver.
 What a window has chosen is laid into containers by best fit, the largest piece
 first; containers that are not nearly full are opened again in the next window.
 The items of the last open containers of each part go through the same packing
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,8 @@ WINDOW_CONTAINERS = 64
 PART_TOKENS = 2_000_000
 NEARLY_FULL = 0.995
 GROUP_PARTS = 16
+#: Parts whose running sums are worked out in one window; one row a block is then summed over all blocks.
+BLOCK_PARTS = 4096
 
 
 def n_tokens(text: Column | str) -> Column:
@@ -77,7 +80,7 @@ class BestFit:
 
 
 def _pack(items: list[tuple], shares: dict, deficits: dict, capacity: int, keep_rest: bool):
-    """items: (source, size, doc, piece, begin). Yields (number, item); number -1 for items left over."""
+    """items: (source, size, doc, piece, begin, pieces). Yields (number, item); number -1 for items left over."""
     queues: dict = defaultdict(deque)
     for item in sorted(items, key=lambda x: (-x[1], x[2], x[3])):
         queues[item[0]].append(item)
@@ -115,17 +118,23 @@ def _pack(items: list[tuple], shares: dict, deficits: dict, capacity: int, keep_
         yield -1, item
 
 
-_SCHEMA = "part long, number long, source string, size long, doc_id long, piece_no int, token_from long"
+_SCHEMA = "part long, number long, source string, size long, doc_id long, piece_no int, token_from long, n_pieces int"
+_ITEM = ["source", "size", "doc_id", "piece_no", "token_from", "n_pieces"]
 
 
-def _packer(shares: dict, capacity: int, start: dict, keep_rest: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        items = [(s, int(z), int(d), int(p), int(b)) for s, z, d, p, b in zip(pdf["source"], pdf["size"], pdf["doc_id"], pdf["piece_no"], pdf["token_from"])]
-        rows = [(part, n, *item) for n, item in _pack(items, shares, start.get(part, {}), capacity, keep_rest)]
-        return pd.DataFrame(rows, columns=["part", "number", "source", "size", "doc_id", "piece_no", "token_from"])
+def _packed(items: DataFrame, credits: DataFrame, shares: dict, capacity: int, keep_rest: bool) -> DataFrame:
+    """The items of each part laid into containers, from the credits with which the part starts."""
 
-    return run
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(*(pdf[c].tolist() for c in _ITEM)))
+        start = dict(zip(own["source"], own["credit"]))
+        out = [(n, *item) for n, item in _pack(rows, shares, start, capacity, keep_rest)]
+        part = int(pdf["part"].iloc[0]) if len(pdf) else 0
+        return pd.DataFrame(out, columns=["number", *_ITEM]).assign(part=part)[["part", "number", *_ITEM]]
+
+    credits = credits.toDF("for_part", "source", "credit")  # names of their own: both sides come from the same rows
+    items = items.repartition(fanout(items.sparkSession), "part")
+    return items.groupBy("part").cogroup(credits.groupBy("for_part")).applyInPandas(run, _SCHEMA)
 
 
 def pack(docs: DataFrame, shares: dict[str, float], capacity: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -134,54 +143,43 @@ def pack(docs: DataFrame, shares: dict[str, float], capacity: int, doc_id: str =
     shares: target token share by source, compared without outer blanks and
     case; sources without one are served after the others.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.trim(F.coalesce(F.col(source), F.lit("")))).alias("source"), n_tokens(text).alias("total"))
-    own = own.where("total > 0")
-    own = cut_lineage(own)  # texts are tokenised once; what is kept is three short columns
+    own = cut_lineage(own.where("total > 0"))  # texts are tokenised once; what is kept is three short columns
     tokens = own.agg(F.sum("total")).first()[0] or 0
     parts = max(1, -(-int(tokens) // part_tokens))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("int")
-    items = own.withColumn("n_pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
+    items = own.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("int")).withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
     items = items.withColumn("token_from", ((F.col("piece_no") - 1) * capacity).cast("long")).withColumn("size", F.least(F.lit(capacity), F.col("total") - F.col("token_from")).cast("long"))
-    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
-    items = items.select("part", "source", "size", "doc_id", "piece_no", "token_from")
-    start = _carried(items, shares)
-    packed = items.repartition(fanout(spark), "part").groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA)
-    packed = cut_lineage(packed)
-    done = [packed.where("number >= 0").withColumn("round", F.lit(0))]
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")).select("part", *_ITEM)
+    packed = cut_lineage(_packed(items, carried(items, shares), shares, capacity, parts > 1))
+    out = packed.where("number >= 0").withColumn("round", F.lit(0))
     rest, round_no = packed.where("number < 0"), 0
     while parts > 1:
         # what the parts left over is packed again from groups of parts, of which there are ever fewer
         round_no, parts = round_no + 1, -(-parts // GROUP_PARTS)
         again = rest.drop("number").withColumn("part", F.pmod(F.col("part"), F.lit(parts)).cast("long"))
         # what all containers so far owe the sources comes before the first group
-        placed = done[0]
-        for more in done[1:]:
-            placed = placed.unionByName(more)
-        start = _carried(again.select("part", "source", "size").unionByName(placed.select(F.lit(-1).cast("long").alias("part"), "source", "size")), shares)
-        packed = cut_lineage(again.groupBy("part").applyInPandas(_packer(shares, capacity, start, parts > 1), _SCHEMA))
-        done.append(packed.where("number >= 0").withColumn("round", F.lit(round_no)))
+        placed = out.select(F.lit(-1).cast("long").alias("part"), "source", "size")
+        start = carried(again.select("part", "source", "size").unionByName(placed), shares).where("part >= 0")
+        packed = cut_lineage(_packed(again, start, shares, capacity, parts > 1))
+        out = out.unionByName(packed.where("number >= 0").withColumn("round", F.lit(round_no)))
         rest = packed.where("number < 0")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    named = out.select(F.concat_ws("-", "round", "part", "number").alias("container_id"), "doc_id", "piece_no", "token_from", "size")
-    counts = own.select("doc_id", pieces.alias("n_pieces"))
-    divided = counts.where("n_pieces > 1")
-    result = named.join(divided, "doc_id", "left")
-    return result.select("container_id", "doc_id", "piece_no", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"), "token_from", F.col("size").alias("n_tokens"))
-
-
-def _carried(items: DataFrame, shares: dict[str, float]) -> dict[int, dict[str, float]]:
-    """Credit of every source before each part: what the parts before it owed it. A row per part and source comes to the driver, one part for every PART_TOKENS tokens."""
+    return out.select(F.concat_ws("-", "round", "part", "number").alias("container_id"), "doc_id", "piece_no", "n_pieces", "token_from", F.col("size").alias("n_tokens"))
+
+
+def divided(containers: DataFrame) -> DataFrame:
+    """doc_id of the documents that the packing laid into more than one container."""
+    return containers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
+def carried(items: DataFrame, shares: dict[str, float], block_parts: int = BLOCK_PARTS) -> DataFrame:
+    """part, source, credit: what the parts before owe a source. One row per part and source, of which no task sorts more than those of a block."""
     sums = items.groupBy("part", "source").agg(F.sum("size").alias("n"))
     per_part = Window.partitionBy("part")
     target = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("source")] if shares else F.lit(None)
     owed = sums.withColumn("share", F.coalesce(target, F.lit(0.0)))
     owed = owed.withColumn("gap", F.sum("n").over(per_part) * F.col("share") / F.greatest(F.sum("share").over(per_part), F.lit(1e-9)) - F.col("n"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    rows = owed.select("part", "source", F.sum("gap").over(before).alias("credit")).where("credit is not null").collect()
-    start: dict[int, dict[str, float]] = defaultdict(dict)
-    for r in rows:
-        start[r["part"]][r["source"]] = r["credit"]
-    return dict(start)
+    owed = cut_lineage(owed.select("part", "source", "gap", F.floor(F.col("part") / block_parts).alias("block")))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = owed.groupBy("source", "block").agg(F.sum("gap").alias("all")).select("source", "block", F.coalesce(F.sum("all").over(before("source", "block")), F.lit(0.0)).alias("earlier"))
+    within = owed.withColumn("within", F.coalesce(F.sum("gap").over(before("source", "block", "part")), F.lit(0.0)))
+    return within.join(blocks, ["source", "block"]).select("part", "source", (F.col("earlier") + F.col("within")).alias("credit"))

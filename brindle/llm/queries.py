@@ -82,7 +82,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_containers(spark, d).where("n_pieces > 1 and piece_no = 1").select("doc_id")
+    return packing.divided(p7_containers(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

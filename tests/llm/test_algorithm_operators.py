@@ -152,15 +152,42 @@ def test_full_pieces_are_charged_to_their_source(spark, part_tokens):
 
 def test_rests_start_with_what_is_owed(spark, monkeypatch):
     starts = []
-    packer = packing._packer
-    monkeypatch.setattr(packing, "_packer", lambda shares, capacity, start, keep: starts.append(start) or packer(shares, capacity, start, keep))
+    packed = packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda items, credits, *rest: starts.append(credits.collect()) or packed(items, credits, *rest))
     df = spark.createDataFrame([(i, "w " * (40 + i % 37), "ab"[i % 3 == 0]) for i in range(600)], "doc_id long, text string, source string")
     got = packing.pack(df, {"a": 0.5, "b": 0.5}, 100, part_tokens=3000).toPandas()
     assert len(got) == 600 and len(starts) > 1
     laid = got[got.container_id.str.startswith("0-")]
     a = laid.doc_id % 3 != 0
     gap = laid.n_tokens.sum() / 2 - laid.n_tokens[a].sum()
-    assert gap != 0 and any(abs(x["a"] - gap) < 1e-6 and abs(x["b"] + gap) < 1e-6 for x in starts[1].values())
+    credit = {(r["part"], r["source"]): r["credit"] for r in starts[1]}
+    assert gap != 0 and any(abs(credit[p, "a"] - gap) < 1e-6 and abs(credit[p, "b"] + gap) < 1e-6 for p, s in credit if s == "a" and (p, "b") in credit)
+
+
+def test_credits_do_not_depend_on_blocks_of_parts(spark):
+    r = random.Random(6)
+    rows = [(p, s, r.randint(1, 50)) for p in range(-1, 40) for s in ("a", "b", "c") if r.random() < 0.8]
+    shares = {"a": 0.5, "b": 0.3}
+    owed, want = {}, {}
+    for p in range(-1, 40):
+        mine = [(s, n) for q, s, n in rows if q == p]
+        total, weight = sum(n for _, n in mine), sum(shares.get(s, 0) for s, _ in mine)
+        for s, n in mine:
+            want[p, s] = owed.get(s, 0.0)
+        for s, n in mine:
+            owed[s] = owed.get(s, 0.0) + total * shares.get(s, 0) / max(weight, 1e-9) - n
+    df = spark.createDataFrame(rows, "part long, source string, size long")
+    for block in (1, 7, 4096):
+        got = {(x["part"], x["source"]): x["credit"] for x in packing.carried(df, shares, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_divided_documents_come_from_the_packing(spark, monkeypatch):
+    """Without the round-robin's containers the query has no rows."""
+    df = spark.createDataFrame([(1, "w " * 250, "a"), (2, "w " * 100, "a"), (3, "w " * 101, None)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in packing.divided(packing.pack(df, {"a": 1.0}, 100)).collect()) == [1, 3]
+    monkeypatch.setattr(packing, "_packed", lambda items, *rest: items.withColumn("number", F.lit(0).cast("long")).where("piece_no = 1"))
+    assert packing.divided(packing.pack(df, {"a": 1.0}, 100)).count() == 0
 
 
 TARGETS = [mixing.Target("Pdf", "pdf", 0.5, 1), mixing.Target("chat", "chat", 0.3, 3), mixing.Target("mail", "mail", 0.2, 2), mixing.Target("none", "none", 0.0, 1)]
