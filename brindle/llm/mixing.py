@@ -1,23 +1,31 @@
 """Problem 8: mixing sources to target weights.
 
-Method: soft-membership mixing. Every document has a membership in each domain
-(source): its recorded source, where that is one of the targets, decides it
-alone; for other documents a naive Bayes classifier over hashed words, fitted on
-a bounded sample of the labelled ones, predicts domain posteriors. Nonnegative
-rates (how often a document is used) are fitted so that the expected tokens of
-the domains match the targets: projected-gradient least squares,
+Method: soft-membership mixing. Documents whose recorded source is one of the
+targets are the labelled table; a naive Bayes classifier over hashed words,
+fitted on a bounded sample of them, predicts the domain posteriors of every
+document. A recorded source is trusted to LABEL_TRUST, the rest of a document's
+membership follows the posterior; documents without a target source have the
+posterior alone. Nonnegative rates (how often a document is used) are fitted so
+that the expected tokens of the domains match the targets: projected-gradient
+least squares,
 
     minimise  sum_d (sum_i tokens_i rate_i p_id - target_d)^2 / mass_d / 2,   0 <= rate_i <= cap_i,
 
 with mass_d = sum_i tokens_i p_id. Scaled by the documents' tokens the gradient
-is at most one in norm, so steps of one converge; a source with recorded members
-alone is done in one. The rates follow from the memberships and the gradients of
-the steps before, so each step is one distributed sum of as many numbers as there
-are domains, over documents that are first added up by equal membership.
-
-By default documents without a recorded target source stay outside of the
-mixture (rate 0), as the statement of the problem has it, and are not classified;
-with soft=True they take part under their posteriors.
+is at most one in norm, so steps of one converge. The rates follow from the
+memberships and the gradients of the steps before, so each step is one
+distributed sum of as many numbers as there are domains, over documents that are
+first added up by equal (rounded) membership.
+
+The statement of the problem measures shares by the recorded source. By default
+documents of no target source therefore stay outside (rate 0), and the fit is
+carried on from the soft rates with the recorded sources as memberships, until
+the tokens of each recorded source match as well; differences between the
+documents of a source that come from their posteriors stay. A source whose soft
+rate comes near its cap (NEAR_CAP of it) is a candidate for one that can't reach
+its share; whether it does is then checked on exact sums. With soft=True
+documents of no target source take part under their posteriors, and the expected
+shares are what is fitted and reported.
 
 A rate becomes a number of copies: its whole part, and one more for a share of
 the documents chosen by a hash of the id. The shares reached are those of the
@@ -48,7 +56,12 @@ TRAIN_ROWS = 2000
 #: Targets are a fixed table of at most this many sources; more are an error.
 MOST_TARGETS = 1001
 STEPS = 60
-TOLERANCE = 1e-6
+#: A fit ends when no domain's tokens move by more than this part of all tokens.
+TOLERANCE = 1e-4
+#: How far a recorded source decides a document's membership; the classifier's posterior has the rest.
+LABEL_TRUST = 0.98
+#: A domain whose soft rate comes to this part of its cap may be out of reach: the exact check follows.
+NEAR_CAP = 0.5
 
 
 @dataclass(frozen=True)
@@ -76,118 +89,173 @@ def _buckets(text: str) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
-def fit_classifier(docs: DataFrame, keys: list[str], text: str, rows: int = TRAIN_ROWS, alpha: float = 0.5) -> np.ndarray:
-    """Log weights of domains x buckets. One row per source and bucket comes to the driver."""
+def fit_classifier(docs: DataFrame, keys: list[str], text: str, rows: int = TRAIN_ROWS, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights of domains x buckets and log prior of the domains, which is their part of all labelled documents. One row per source and bucket comes to the driver."""
     counts = {r["key"]: r["n"] for r in docs.where(F.col("key").isin(keys)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.create_map(*[F.lit(x) for k in keys for x in (k, min(1.0, rows / max(1, counts.get(k, 0))))])
     chosen = docs.where(F.col("key").isin(keys)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part[F.col("key")] * 1_000_003)
     table = np.full((len(keys), BUCKETS), alpha)
     for r in chosen.select("key", F.explode(_buckets(text)).alias("b")).groupBy("key", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         table[keys.index(r["key"]), r["b"]] += r["n"]
-    return np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    prior = np.array([counts.get(k, 0) + alpha for k in keys], dtype=float)
+    return np.log(table / table.sum(1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum())
+
+
+def _log_posterior(weights: np.ndarray, prior: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Up to a constant. Neighbouring words say the same: long texts count as a hundred words."""
+    return prior + weights[:, buckets].sum(1, dtype=float) * min(1.0, 100 / max(1, len(buckets)))
 
 
 def memberships(docs: DataFrame, targets: list[Target], soft: bool, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, key, tokens, p (posterior of each domain, in the order of the targets), cap."""
+    """doc_id, key, tokens, home (number of the recorded target, -1 without), p (membership in each domain, in the order of the targets), cap."""
     keys = [t.key for t in targets]
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _source_key(source).alias("key"), F.col(text).alias("text"), n_tokens(text).alias("tokens"))
-    recorded = own.where(F.col("key").isin(keys)).select("doc_id", "key", "tokens", F.array(*[F.when(F.col("key") == k, 1.0).otherwise(0.0) for k in keys]).alias("p"))
-    caps = [float(t.repeats) for t in targets]
-    if soft:
-        weights = fit_classifier(own, keys, "text")
-
-        @F.pandas_udf("array<double>")
-        def posterior(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for rows in batches:
-                out = []
-                for b in rows:
-                    if b is None or not len(b):
-                        out.append([1.0 / len(keys)] * len(keys))
-                        continue
-                    # neighbouring words say the same: long texts count as a hundred words
-                    s = weights[:, np.asarray(b)].astype(float).sum(1) * min(1.0, 100 / len(b))
-                    e = np.exp(s - s.max())
-                    out.append([round(float(x), 4) for x in e / e.sum()])
-                yield pd.Series(out)
-
-        other = own.where(~F.col("key").isin(keys)).select("doc_id", "key", "tokens", posterior(_buckets("text")).alias("p"))
-        recorded = recorded.unionByName(other)
-    cap = F.aggregate(F.zip_with("p", F.array(*[F.lit(c) for c in caps]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return recorded.withColumn("cap", cap)
-
-
-def _rates(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
+    home = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key")), F.lit(0)).cast("int") - 1
+    own = own.withColumn("home", home) if keys else own.withColumn("home", F.lit(-1))
+    if not soft:
+        own = own.where("home >= 0")
+    weights, prior = fit_classifier(own, keys, "text")
+    size = len(keys)
+
+    @F.pandas_udf("array<double>")
+    def membership(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for homes, rows in batches:
+            out = []
+            for at, b in zip(homes, rows):
+                score = _log_posterior(weights, prior, np.asarray(b if b is not None else [], dtype=np.int64))
+                p = np.exp(score - score.max(initial=0.0 if not size else -np.inf))
+                p /= max(p.sum(), 1e-300)
+                if at >= 0:
+                    p *= 1 - LABEL_TRUST
+                    p[at] += LABEL_TRUST
+                out.append([round(float(x), 3) for x in p])
+            yield pd.Series(out)
+
+    members = own.select("doc_id", "key", "tokens", "home", membership("home", _buckets("text")).alias("p"))
+    caps = F.array(*[F.lit(float(t.repeats)) for t in targets]) if targets else F.array().cast("array<double>")
+    expected = F.aggregate(F.zip_with("p", caps, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return members.withColumn("cap", F.when(F.col("home") >= 0, F.element_at(caps, F.col("home") + 1)).otherwise(expected) if targets else F.lit(0.0))
+
+
+@dataclass
+class Fit:
+    """Steps (whether memberships are soft, gradient), tokens of each domain at rate 1, all tokens, tokens by recorded source, mean soft rate of each domain."""
+
+    steps: list[tuple[bool, np.ndarray]]
+    mass: np.ndarray
+    total: float
+    own: np.ndarray
+    soft_rate: np.ndarray
+
+
+def _rates(p: np.ndarray, home: np.ndarray, cap: np.ndarray, steps: list[tuple[bool, np.ndarray]]) -> np.ndarray:
     rate = np.minimum(1.0, cap)
-    for g in history:
-        rate = np.clip(rate - p @ g, 0.0, cap)
+    for soft, g in steps:
+        rate = np.clip(rate - (p @ g if soft else np.append(g, 0.0)[home]), 0.0, cap)
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[Target], steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Gradients of the steps, tokens of each domain at rate 1, and all tokens."""
+def fit_rates(members: DataFrame, targets: list[Target], soft: bool, most: int = STEPS) -> Fit:
+    """The soft fit, and without `soft` the fit of the recorded sources that follows it."""
     size = len(targets)
-    groups = cut_lineage(members.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")))
-    sums = groups.agg(*[F.sum(F.col("p")[d] * F.col("tokens")).alias(f"d{d}") for d in range(size)], F.sum("tokens").alias("n")).first()
-    mass = np.array([float(sums[f"d{d}"] or 0.0) for d in range(size)])
+    groups = cut_lineage(members.groupBy("p", "home", "cap").agg(F.sum("tokens").alias("tokens")))
+    at_one = [F.sum(F.col("p")[d] * F.col("tokens")).alias(f"p{d}") for d in range(size)] + [F.sum(F.when(F.col("home") == d, F.col("tokens"))).alias(f"h{d}") for d in range(size)]
+    sums = groups.agg(*at_one, F.sum("tokens").alias("n")).first()
+    mass = np.array([float(sums[f"p{d}"] or 0.0) for d in range(size)])
+    own = np.array([int(sums[f"h{d}"] or 0) for d in range(size)])
     total = float(sums["n"] or 0.0)
     goal = np.array([t.share for t in targets]) * total
-    history: list[np.ndarray] = []
+    steps: list[tuple[bool, np.ndarray]] = []
 
-    def reached() -> np.ndarray:
-        known = list(history)
+    def reached(by_posterior: bool) -> np.ndarray:
+        known = list(steps)
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(size)
+            out = np.zeros(size + 1)
             for pdf in batches:
                 if len(pdf):
-                    p = np.stack(pdf["p"].to_numpy())
-                    out += (_rates(p, pdf["cap"].to_numpy(), known) * pdf["tokens"].to_numpy().astype(float)) @ p
-            yield pd.DataFrame({"d": np.arange(size), "x": out})
+                    p, home = np.stack(pdf["p"].to_numpy()), pdf["home"].to_numpy()
+                    used = _rates(p, home, pdf["cap"].to_numpy(), known) * pdf["tokens"].to_numpy().astype(float)
+                    if by_posterior:
+                        out[:size] += used @ p
+                    else:
+                        out += np.bincount(np.where(home < 0, size, home), used, minlength=size + 1)
+            yield pd.DataFrame({"d": np.arange(size), "x": out[:size]})
 
-        rows = groups.mapInPandas(add, "d long, x double").groupBy("d").agg(F.sum("x").alias("x")).collect()
         got = np.zeros(size)
-        for r in rows:
+        for r in groups.mapInPandas(add, "d long, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():  # a row per domain
             got[r["d"]] = r["x"]
         return got
 
-    last = None
-    for _ in range(steps if total else 0):
-        now = reached()
-        if last is not None and np.abs(now - last).max() <= TOLERANCE * total:
-            break
-        last = now
-        history.append((now - goal) / np.maximum(mass, 1e-9) * (mass > 0))
-    return history, mass, total
+    def descend(by_posterior: bool, weight: np.ndarray) -> np.ndarray:
+        last = None
+        for _ in range(most if total else 0):
+            now = reached(by_posterior)
+            if last is not None and np.abs(now - last).max() <= TOLERANCE * total:
+                break
+            last = now
+            steps.append((by_posterior, (now - goal) / np.maximum(weight, 1e-9) * (weight > 0)))
+        return last if last is not None else np.zeros(size)
 
+    soft_rate = descend(True, mass) / np.maximum(mass, 1e-9)
+    if not soft:
+        descend(False, own.astype(float))
+    return Fit(steps, mass, total, own, soft_rate)
 
-def mixture(docs: DataFrame, targets: list[Target], soft: bool = False, **names: str) -> tuple[DataFrame, np.ndarray, float]:
-    """Documents with rate and copies (doc_id, key, tokens, p, rate, copies), tokens by domain, all tokens."""
+
+def mixture(docs: DataFrame, targets: list[Target], soft: bool = False, **names: str) -> tuple[DataFrame, Fit]:
+    """Documents with rate and copies (doc_id, key, tokens, home, p, cap, rate, copies) and the fit."""
     members = cut_lineage(memberships(docs, targets, soft, **names))
-    history, mass, total = fit_rates(members, targets)
+    fit = fit_rates(members, targets, soft)
+    steps = fit.steps
 
     @F.pandas_udf("double")
-    def rate(p: pd.Series, cap: pd.Series) -> pd.Series:
-        return pd.Series(_rates(np.stack(p.to_numpy()), cap.to_numpy(), history) if len(p) else [], dtype=float)
+    def rate(p: pd.Series, home: pd.Series, cap: pd.Series) -> pd.Series:
+        return pd.Series(_rates(np.stack(p.to_numpy()), home.to_numpy(), cap.to_numpy(), steps) if len(p) else [], dtype=float)
 
     even = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    rated = members.withColumn("rate", F.round(rate("p", "cap"), 9))
+    rated = members.withColumn("rate", F.round(rate("p", "home", "cap"), 9))
     copies = (F.floor("rate") + F.when(even < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("copies", copies), mass, total
+    return rated.withColumn("copies", copies), fit
+
+
+def out_of_reach(targets: list[Target], fit: Fit) -> list[bool]:
+    """Whether a target can't be reached: its soft rate comes near the cap, and its recorded tokens fall short of the share by exact sums."""
+    near = [bool(fit.soft_rate[d] >= NEAR_CAP * t.repeats or fit.own[d] == 0) for d, t in enumerate(targets)]
+    return [n and (t.repeats * int(fit.own[d]) < t.share * fit.total) for d, (t, n) in enumerate(zip(targets, near))]
 
 
 def shares(docs: DataFrame, targets: list[Target], soft: bool = False, **names: str) -> DataFrame:
     """source, target_share, max_repeat, own_tokens, target_tokens, rate, mixed_tokens, share, reachable; a row per target."""
     spark = docs.sparkSession
-    rows, mass, total = mixture(docs, targets, soft, **names)
+    rows, fit = mixture(docs, targets, soft, **names)
     size = len(targets)
+    part = lambda d: F.col("p")[d] if soft else F.when(F.col("home") == d, 1.0).otherwise(0.0)
     mixed = F.col("copies") * F.col("tokens")
-    sums = rows.agg(*[F.sum(F.col("p")[d] * mixed).alias(f"d{d}") for d in range(size)], *[F.sum(F.col("p")[d] * F.col("tokens") * F.col("rate")).alias(f"r{d}") for d in range(size)], F.sum(mixed).alias("n")).first()
+    sums = rows.agg(*[F.sum(part(d) * mixed).alias(f"d{d}") for d in range(size)], *[F.sum(part(d) * F.col("tokens") * F.col("rate")).alias(f"r{d}") for d in range(size)], F.sum(mixed).alias("n")).first()
     made = float(sums["n"] or 0.0)
+    base = fit.mass if soft else fit.own.astype(float)
+    lost = out_of_reach(targets, fit)
     out = []
     for d, t in enumerate(targets):
         got, expected = float(sums[f"d{d}"] or 0.0), float(sums[f"r{d}"] or 0.0)
-        rate = expected / mass[d] if mass[d] else 0.0
-        # a domain at its cap that still lacks tokens can't reach its share; the sums are exact for recorded sources
-        short = rate >= t.repeats - 1e-6 and t.repeats * round(mass[d], 6) < t.share * total
-        out.append((t.source, t.share, t.repeats, float(round(mass[d], 6)), t.share * total, float(rate), got, got / made if made else 0.0, bool(not short and (mass[d] > 0 or t.share * total == 0))))
+        if soft:
+            lost[d] = expected < t.share * fit.total * (1 - 1e-3) and expected >= (t.repeats - 1e-3) * base[d]
+        out.append((t.source, t.share, t.repeats, float(round(base[d], 6)), t.share * fit.total, float(expected / base[d]) if base[d] else 0.0, got, got / made if made else 0.0, bool(not lost[d])))
     return spark.createDataFrame(out, "source string, target_share double, max_repeat int, own_tokens double, target_tokens double, rate double, mixed_tokens double, share double, reachable boolean")
+
+
+def held_out_accuracy(docs: DataFrame, targets: list[Target], text: str = "text", source: str = "source", doc_id: str = "doc_id") -> float:
+    """Part of the labelled documents with a tenth of the hash of their id, left out of the fit, whose likeliest domain is the recorded one."""
+    keys = [t.key for t in targets]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _source_key(source).alias("key"), F.col(text).alias("text")).where(F.col("key").isin(keys) & F.col(text).isNotNull())
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0
+    weights, prior = fit_classifier(own.where(~held), keys, "text")
+
+    @F.pandas_udf("int")
+    def likeliest(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda b: int(_log_posterior(weights, prior, np.asarray(b, dtype=np.int64)).argmax())).astype("int32")
+
+    names = F.array(*[F.lit(k) for k in keys])
+    said = own.where(held).select(F.array_position(names, F.col("key")).alias("k"), likeliest(_buckets("text")).alias("said"))
+    return float(said.agg(F.avg((F.col("k") - 1 == F.col("said")).cast("double"))).first()[0] or 0.0)

@@ -94,7 +94,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = mixing.mixture(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
+    rows, _ = mixing.mixture(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
     return rows.where("copies > 0").select("doc_id", F.col("key").alias("source"), "tokens", "rate", "copies")
 
 
