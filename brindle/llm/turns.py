@@ -1,23 +1,28 @@
 """Problem 4: clean speaker turns from the raw segments of recordings.
 
 Method: labels are taken out of the segments and normalised. Numbers and
-functions have one key in any spelling. Names are parsed into given name,
-initial and family name; within a recording they are put together by the initial
-of the given name, a family name alone by its phonetic code. The speakers of a
-recording are then named against a roster, the directory of staff and the full
-names met in labels of all recordings: candidates come from the blocks of equal
-phonetic codes, and an optimal assignment gives each speaker another name.
-Times, sounds and hesitations are stripped from the words. The ordered pieces
-give the turns.
+functions have one key in any spelling. Names are parsed by their shape into
+given name, initial and family name; a name that is not in the directory of staff
+counts as a label where it is met again, in its recording or in another. Who is
+meant is decided per recording by optimal assignment: full names against a
+roster (the directory, and full names met in two recordings or more) whose
+candidates come from blocks of initial and phonetic code of the family name, then
+initials with a family name, then given names and family names alone, each
+against the people found so far, the roster and "somebody else", at costs of
+spelling, sound and shared initial. Labels of one form stay different people
+unless they are spellings of one name. Times, sounds and hesitations are stripped
+from the words. The ordered pieces give the turns.
 
 Order, carried labels and turn starts are worked out per block of time of a
 recording (brindle.operators.ordered), so one long recording is spread over many
-tasks. A turn's words come in parts, one for each block it lasts.
+tasks. turns() gives one row a turn with its begin and end; its words are put
+together from parts, one for each block it lasts.
 
 Defined results: null and blank texts have no words; equal rows count once; a
 null start sorts first; missing and reversed ends are taken as the start; words
 before the first label belong to a turn without a name; a label in a segment
-without words holds for the words that follow; an empty table gives no turn.
+without words holds for the words that follow; a name that turns out to be no
+label is words; an empty table gives no turn.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ from brindle.operators.ordered import BLOCK, blockwise_fill, blockwise_previous,
 from brindle.session import cut_lineage, fanout
 
 BLOCK_SECONDS = 1800
-#: Labels are broadcast up to this number of rows; beyond it they are joined by a shuffle.
+#: Labels are broadcast up to this number of rows; beyond it they are joined by a shuffle, every label in SALTS copies so that a long recording is spread.
 BROADCAST_LABELS = 100_000
+SALTS = 32
 
 # Words for numbered speakers, for numbers, for functions; words before a colon that are no speaker; hesitations.
 NUMBERED = "speaker|spk|spkr|sprecher|sprecherin|spr|s|locuteur|locutrice|intervenant|loc|hablante|orador|interlocutor|participant|person|voice|stimme|voix|voz|teilnehmer"
@@ -45,15 +51,19 @@ FUNCTIONS = set("trainer trainee operator observer host cohost moderator present
 NO_SPEAKERS = set("note warning option step error reminder caution tip hint question answer example important summary action remark status code screen page title chapter section item result path see also figure table message attention hinweis warnung schritt fehler achtung frage antwort remarque avertissement étape erreur nota aviso paso ejemplo".split())
 FILLERS = ["you know", "sort of", "kind of", "i mean", "um", "umm", "uh", "uhh", "uhm", "uh-huh", "er", "erm", "err", "ah", "ahh", "eh", "ehm", "hm", "hmm", "hmmm", "mhm", "mm", "mmm", "mm-hm", "mm-hmm", "oh", "äh", "ähm", "öh", "öhm", "hä", "tja", "euh", "heu", "bah", "ben", "este", "pues eh"]
 
-_HOLE = r"(?P<{}>[^\]\)>\n]{{1,48}})"
 _NAME = r"[^\W\d_][\w.'’-]*"
-_LABEL = re.compile(
-    r"\[" + _HOLE.format("square") + r"\]:?|\(" + _HOLE.format("round") + r"\):?|<" + _HOLE.format("angle") + r">:?"
-    r"|(?:^|(?<=[.?!…♪\])>*;\n])\s*|(?<=\s))(?:>>\s*|-\s+|–\s+|\*\s*)?(?P<plain>" + _NAME + r"(?:[ _,.]+(?:" + _NAME + r"|\d{1,2})){0,3})\s*(?:\((?P<role>[^)\n]{1,24})\))?\s*(?P<sep>:|\s[-–—])(?=\s|$|[\[(<*♪])"
-)
+_AHEAD = r"(?=\s|$|[\[(<*♪])"
+#: What may end a label: a bracket, a colon, a dash between blanks.
+_MARK = re.compile(r"\[(?P<square>[^\])>\n]{1,48})\]:?|\((?P<round>[^\])>\n]{1,48})\):?|<(?P<angle>[^\])>\n]{1,48})>:?|:" + _AHEAD + r"|\s[-–—]" + _AHEAD)
+_AFTER_ROLE = re.compile(r"\s*(:|\s[-–—])" + _AHEAD)
+_BEGIN = re.compile(r"(?:^|(?<=[.?!…♪\])>*;\n]))\s*(?:>>\s*|[-–*]\s+)?(?=[^\W\d_])")
+_PLAIN = re.compile(_NAME + r"(?:[ _,.]+(?:" + _NAME + r"|\d{1,2})){0,3}")
+_TAIL = re.compile(r"(?<=[.?!] )\S")
 _TIME = re.compile(r"[\[(<{]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:\s*(?:-->|[-–])\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)?\s*[\])>}]")
 _LEADING_TIME = re.compile(r"^\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?=\s|$)")
 _SOUND = re.compile(r"\[[^\]\n]*\]|<[^>\n]*>|\*[^*\n]{1,40}\*|♪[^♪\n]*♪|♪|\((?![^)\n]*\d)[^)\n]{1,40}\)|\{[^}\n]*\}")
+_SPACED = re.compile(r"\s([,.;:?!])")
+_LEAD = re.compile(r"^(?:>>|[-–—,.;:…\s>])+")
 _FILLER = re.compile(r"(?<![\w-])(?:" + "|".join(re.escape(x) for x in sorted(FILLERS, key=len, reverse=True)) + r")(?![\w-])(?:\s*[,.…!?]+(?=\s|$))?", re.I)
 _WORDS = re.compile(r"\w")
 _NUMBERED = re.compile(rf"(?:{NUMBERED})[\s._#-]*(?:no\.?\s*)?0*(\d{{1,3}}|{'|'.join(NUMBERS)})", re.I)
@@ -63,16 +73,14 @@ def clean(text: str) -> str:
     """The spoken words alone."""
     t = _LEADING_TIME.sub(" ", _TIME.sub(" ", text))
     t = _LEADING_TIME.sub(" ", _SOUND.sub(" ", t))
-    t = _FILLER.sub(" ", t)
-    t = re.sub(r"\s+", " ", t)
-    t = re.sub(r"\s+([,.;:?!])", r"\1", t)
-    t = re.sub(r"^(?:>>|[-–—,.;:…\s>])+", "", t).strip()
+    t = " ".join(_FILLER.sub(" ", t).split())
+    t = _LEAD.sub("", _SPACED.sub(r"\1", t)).strip()
     return t if _WORDS.search(t) else ""
 
 
-def parse_name(label: str, given: frozenset, family: frozenset) -> tuple[str, str] | None:
-    """(given name or initial, family name), lower case, either possibly empty; None where it is no name."""
-    bare = re.sub(r"\s+", " ", label).strip(" .:").replace("’", "'")
+def parse_name(label: str, given: frozenset, family: frozenset) -> tuple[str, str, bool] | None:
+    """(given name or initial, family name), lower case, either possibly empty, and whether the directory has any of it; None where it has not the shape of a name."""
+    bare = " ".join(label.split()).strip(" .:").replace("’", "'")
     if "," in bare:
         last, _, first = bare.partition(",")
         bare = f"{first.strip()} {last.strip()}"
@@ -82,27 +90,28 @@ def parse_name(label: str, given: frozenset, family: frozenset) -> tuple[str, st
     if not words or len(words) > 3 or any(any(c.isdigit() for c in w) for w in words):
         return None
     low = [w.lower().strip(".") for w in words]
-    if any(w in NO_SPEAKERS or not w for w in low):
+    if any(w in NO_SPEAKERS or w in FUNCTIONS or not w for w in low):
         return None
+    capital = all(w[0].isupper() for w in words)
     if len(low) == 1:
         if low[0] in given:
-            return low[0], ""
-        if low[0] in family and words[0][0].isupper():
-            return "", low[0]
-        return None
+            return low[0], "", True
+        if not capital or len(low[0]) < 2 or "_" in label:
+            return None
+        return ("", low[0], True) if low[0] in family else (low[0], "", False)
     known = low[0] in given or low[-1] in family
-    initial = len(low[0]) == 1 and words[0][0].isupper()
-    capital = all(w[0].isupper() for w in words)
-    if known and (capital or low[0] in given and low[-1] in family) and (initial or len(low[0]) > 1):
-        return low[0], low[-1]
-    return None
+    if len(low[0]) == 1 and not words[0][0].isupper() or len(low[-1]) < 2:
+        return None
+    if known and (capital or low[0] in given and low[-1] in family):
+        return low[0], low[-1], True
+    return (low[0], low[-1], False) if capital and len(low) == 2 and "_" not in label else None
 
 
 TITLES = set("mr mrs ms dr prof herr frau señor señora sr sra mme monsieur madame".split())
 
 
 def label_key(label: str, given: frozenset, family: frozenset) -> str | None:
-    """Key of a speaker: n<number>, f<function>, p<initial>|<given>|<family>; None where it is no label."""
+    """Key of a speaker: n<number>, f<function>, p|<given>|<family>, u|<given>|<family> for names by their shape alone; None where it is no label."""
     bare = re.sub(r"\s*\([^)]*\)\s*$", "", label).strip(" \t.:>-–")
     m = _NUMBERED.fullmatch(bare)
     if m:
@@ -111,7 +120,7 @@ def label_key(label: str, given: frozenset, family: frozenset) -> str | None:
     if bare.lower() in FUNCTIONS:
         return "f" + bare.lower()
     name = parse_name(bare, given, family)
-    return f"p|{name[0]}|{name[1]}" if name else None
+    return f"{'p' if name[2] else 'u'}|{name[0]}|{name[1]}" if name else None
 
 
 class Labels(dict):
@@ -128,49 +137,62 @@ class Labels(dict):
         return key
 
 
-def pieces(text: str, labels: Labels) -> list[tuple[str | None, str]]:
-    """(label key or None, words) in order; the first has no key where the text begins without a label."""
-    cuts, out = [], []
-    if ":" in text or "[" in text or "(" in text or "<" in text or " -" in text or " –" in text or " —" in text:
-        at = 0
-        while m := _LABEL.search(text, at):
-            found = m.group("square") or m.group("round") or m.group("angle")
-            key = None
-            if found:
-                key, a = labels[found], m.start()
-                at = m.end()
-            else:
-                # of the words before the colon the longest tail that is a label and begins a sentence
-                plain, a = m.group("plain"), m.start("plain")
-                at = m.end()
-                if m.group("sep") != ":" and not plain.isupper():
-                    at = a + 1
-                    continue
-                before = re.sub(r"(?:\s*>>|\s+[-–*])$", "", text[:a].rstrip()).rstrip()
-                if before and before[-1] not in ".?!…♪])>*;\n" and not before[-1].isdigit():
-                    at = a + 1
-                    continue
-                if before and before[-1].isdigit() and not re.fullmatch(r"\s*\d{1,2}:\d{2}(?::\d{2})?", before):
-                    at = a + 1
-                    continue
-                key = labels[plain]
-                if key is None:
-                    # an initial's stop may have been taken for the end of a sentence, or a sentence's for that of a label
-                    tails = [x.start() for x in re.finditer(r"(?<=[.?!] )\S", plain)]
-                    for x in tails:
-                        if (key := labels[plain[x:]]) is not None:
-                            a += x
-                            break
-                    else:
-                        at = m.end() if ":" in m.group("sep") else a + 1
-            if key is not None:
-                cuts.append((a, m.end(), key))
-    end = cuts[0][0] if cuts else len(text)
-    first = clean(text[:end])
+def _label_before(text: str, at: int, end: int, labels: Labels) -> tuple[int, str] | None:
+    """Begin and key of a label that runs from the beginning of a sentence up to `end`."""
+    begins = [m.end() for m in _BEGIN.finditer(text, at, end)]
+    if at == 0 and (time := _LEADING_TIME.match(text)):
+        begins.append(time.end() + len(text[time.end() :]) - len(text[time.end() :].lstrip(" \t>-–*")))
+    for a in sorted(begins):
+        stop = end
+        while stop > a and text[stop - 1].isspace():
+            stop -= 1
+        if (m := _PLAIN.fullmatch(text, a, stop)) is None:
+            continue
+        plain = m.group()
+        if (key := labels[plain]) is not None:
+            return a, key
+        # a sentence's stop may have been taken for that of an initial
+        for x in _TAIL.finditer(plain):
+            if (key := labels[plain[x.start() :]]) is not None:
+                return a + x.start(), key
+        return None
+    return None
+
+
+def pieces(text: str, labels: Labels) -> list[tuple[str | None, str, str | None]]:
+    """(label key or None, words, words with the label where it is one by its shape alone) in order; the first has no key where the text begins without a label."""
+    cuts: list[tuple[int, int, str]] = []
+    at = 0
+    for m in _MARK.finditer(text):
+        if m.start() < at:
+            continue
+        found = m.group("square") or m.group("round") or m.group("angle")
+        a, z = m.start(), m.end()
+        if found is None:
+            cut = _label_before(text, at, a, labels)
+            if cut and m.group() != ":" and not text[cut[0] : a].isupper():
+                cut = None
+        else:
+            cut = None
+            if m.group("round"):  # a function behind a name, or a label itself
+                if text[z - 1] == ":":
+                    cut = _label_before(text, at, a, labels)
+                elif (after := _AFTER_ROLE.match(text, z)) and (cut := _label_before(text, at, a, labels)):
+                    z = after.end()
+            key = labels[found]
+            if cut is None and key is not None and (key[0] != "u" or text[z - 1] == ":"):  # sounds stand in brackets too
+                cut = a, key
+            at = z
+        if cut:
+            cuts.append((cut[0], z, cut[1]))
+            at = z
+    out: list[tuple[str | None, str, str | None]] = []
+    first = clean(text[: cuts[0][0]] if cuts else text)
     if first or not cuts:
-        out.append((None, first))
-    for i, (_, z, key) in enumerate(cuts):
-        out.append((key, clean(text[z : cuts[i + 1][0] if i + 1 < len(cuts) else len(text)])))
+        out.append((None, first, None))
+    for i, (a, z, key) in enumerate(cuts):
+        end = cuts[i + 1][0] if i + 1 < len(cuts) else len(text)
+        out.append((key, clean(text[z:end]), clean(text[a:end]) if key[0] == "u" else None))
     return out
 
 
@@ -221,56 +243,85 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def resolve(keys: list[str], roster: dict[str, set[tuple[str, str]]]) -> dict[str, str]:
+def _within_one_edit(a: str, b: str) -> bool:
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 4:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def _apart(a: str, b: str) -> float:
+    """How far two spellings of a name are apart; 2 is another name."""
+    return 0.0 if a == b else 0.25 if phonetic(a) == phonetic(b) else 0.5 if _within_one_edit(a, b) else 2.0
+
+
+def _misfit(label: tuple[str, str], name: tuple[str, str]) -> float:
+    """Cost of calling somebody of this name by this label."""
+    total, shared = 0.0, False
+    if label[0] and name[0]:
+        shared = True
+        if min(len(label[0]), len(name[0])) == 1:
+            total += 0.1 if label[0][0] == name[0][0] else 2.0
+        else:
+            total += _apart(label[0], name[0])
+    if label[1] and name[1]:
+        shared = True
+        total += _apart(label[1], name[1])
+    return total if shared else 2.0
+
+
+#: Costs of naming somebody from the roster whom no other label of the recording names, and of somebody of whom no more is known than the label.
+_FROM_ROSTER, _SUPPORTED, _SOMEBODY = 0.3, 0.1, 0.9
+
+
+def resolve(keys: list[str], roster: set[tuple[str, str]]) -> dict[str, str]:
     """Speaker of each label key of one recording."""
     out: dict[str, str] = {}
-    names = []
-    for k in keys:
+    forms: dict[int, list[tuple[str, tuple[str, str]]]] = defaultdict(list)
+    for k in sorted(keys):
         if k[0] == "n":
             out[k] = f"Speaker {k[1:]}"
         elif k[0] == "f":
             out[k] = k[1:].capitalize()
         else:
             _, given, family = k.split("|")
-            names.append((k, given, family))
-    groups: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
-    for k, given, family in names:
-        if given:
-            groups[given[0]].append((k, given, family))
-    codes = {phonetic(f): g for g, rows in sorted(groups.items()) for _, _, f in rows if f}
-    for k, given, family in names:
-        if not given:
-            groups[codes.get(phonetic(family), "~" + phonetic(family))].append((k, "", family))
-    order = sorted(groups)
-    wanted: list[set[tuple[str, str]]] = []
-    for g in order:
-        wanted.append({c for _, given, family in groups[g] for x in (given, family) if x for c in roster.get(phonetic(x), ())})
-    every = sorted(set().union(*wanted)) if wanted else []
-
-    def cost(g: str, name: tuple[str, str]) -> float:
-        total = 0.0
-        for _, given, family in groups[g]:
-            if given:
-                total += 0.0 if given == name[0] or given == name[0][:1] else 0.5 if phonetic(given) == phonetic(name[0]) else 2.0
-            if family:
-                total += 0.0 if family == name[1] else 0.5 if phonetic(family) == phonetic(name[1]) else 2.0
-        return total / len(groups[g])
-
-    table = [[cost(g, name) for name in every] + [1.5 if i == j else 9.0 for j in range(len(order))] for i, g in enumerate(order)]
-    columns = assign(table)
-    for g, c in zip(order, columns):
-        if 0 <= c < len(every):
-            name = " ".join(x.title() for x in every[c])
-        else:
-            full = max(groups[g], key=lambda x: (bool(x[1]) + bool(x[2]), len(x[1]) + len(x[2])))
-            name = " ".join(x.title() for x in full[1:] if x)
-        for k, _, _ in groups[g]:
-            out[k] = name
+            if k[0] == "u" and not family and any(x.endswith(f"|{given}") for x in keys):
+                given, family = "", given  # by its shape one name may be either
+            forms[0 if len(given) > 1 and family else 1 if given and family else 2 if given else 3].append((k, (given, family)))
+    people: list[tuple[tuple[str, str], list[str]]] = []  # name as far as it is known, label keys
+    for form in range(4):
+        groups: list[list[tuple[str, tuple[str, str]]]] = []  # spellings of one name
+        for k, label in forms[form]:
+            own = next((g for g in groups if all(x[:1] == y[:1] and _apart(x, y) <= 0.5 for x, y in zip(label, g[0][1]))), None)
+            if own is None:
+                groups.append(own := [])
+            own.append((k, label))
+        taken = {name for name, _ in people}
+        others = [label for f in range(4) if f != form for _, label in forms[f]]
+        names = sorted(roster - taken)
+        extra = [_SUPPORTED if any(_misfit(x, n) < 0.5 for x in others) else _FROM_ROSTER for n in names]
+        mean = lambda g, name: sum(_misfit(label, name) for _, label in g) / len(g)
+        cost = [[mean(g, name) for name, _ in people] + [mean(g, n) + e for n, e in zip(names, extra)] + [_SOMEBODY if i == j else 9.0 for j in range(len(groups))] for i, g in enumerate(groups)]
+        known = len(people)
+        for g, c in zip(groups, assign(cost)):
+            mine = [k for k, _ in g]
+            if c < known:
+                name, had = people[c]
+                label = g[0][1]
+                # an initial gives way to the given name, a missing part to what the label has
+                people[c] = ((label[0] if len(label[0]) > len(name[0]) and len(name[0]) < 2 else name[0], name[1] or label[1]), had + mine)
+            elif c < known + len(names):
+                people.append((names[c - known], mine))
+            else:
+                people.append((max((label for _, label in g), key=lambda x: (len(x[0]) + len(x[1]), x)), mine))
+    for name, mine in people:
+        for k in mine:
+            out[k] = " ".join(x.title() for x in name if x)
     return out
 
 
 def spoken_pieces(segments: DataFrame, staff: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """Rows once each, cut at labels: doc_id, seg_no, start_sec, end_sec, piece_no, key, words, __block."""
+    """Rows once each, cut at labels: doc_id, seg_no, start_sec, end_sec, piece_no, key, words, whole (the words where the label is none), __block."""
     from .pii import names_of
 
     given, family = names_of(staff)
@@ -283,52 +334,49 @@ def spoken_pieces(segments: DataFrame, staff: DataFrame, block_seconds: int = BL
             for doc, seg, start, end, text in zip(pdf["doc_id"], pdf["seg_no"], pdf["start_sec"], pdf["end_sec"], pdf["text"]):
                 if not isinstance(text, str):
                     continue
-                for n, (key, words) in enumerate(pieces(text, labels)):
+                for n, (key, words, whole) in enumerate(pieces(text, labels)):
                     if key or words:
-                        out.append((doc, seg, start, end if end is not None and end >= start else start, n, key, words))
-            yield pd.DataFrame(out, columns=["doc_id", "seg_no", "start_sec", "end_sec", "piece_no", "key", "words"])
+                        out.append((doc, seg, start, end if end is not None and end >= start else start, n, key, words, whole))
+            yield pd.DataFrame(out, columns=["doc_id", "seg_no", "start_sec", "end_sec", "piece_no", "key", "words", "whole"])
 
-    rows = segments.select("doc_id", "seg_no", "start_sec", "end_sec", "text").mapInPandas(cut, "doc_id string, seg_no int, start_sec double, end_sec double, piece_no int, key string, words string")
+    rows = segments.select("doc_id", "seg_no", "start_sec", "end_sec", "text").mapInPandas(cut, "doc_id string, seg_no int, start_sec double, end_sec double, piece_no int, key string, words string, whole string")
     return with_block(rows.distinct(), F.coalesce(F.floor(F.col("start_sec") / block_seconds), F.lit(-(2**40))))
 
 
-def _roster_names(labels: DataFrame, staff: DataFrame) -> DataFrame:
-    """given, family of the staff and of all full names met in labels of at least two recordings."""
-    met = labels.where(F.col("key").startswith("p|")).select("doc_id", F.split("key", r"\|").alias("p")).where("length(p[1]) > 1 and length(p[2]) > 1")
-    met = met.groupBy(F.col("p")[1].alias("given"), F.col("p")[2].alias("family")).agg(F.count_distinct("doc_id").alias("n")).where("n > 1")
-    own = staff.select(F.lower("given_name").alias("given"), F.lower("family_name").alias("family")).where("given is not null and family is not null")
-    return met.select("given", "family").unionByName(own).distinct()
-
-
 def speakers(pieces_: DataFrame, staff: DataFrame) -> DataFrame:
-    """doc_id, key, speaker of all labels. One row per label of a recording is looked at, and the names that sound like it."""
-    labels = pieces_.where("key is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    """doc_id, key, speaker (null where it is no label) of all labels. One row per label of a recording is looked at, and the names of the roster in its block."""
+    labels = cut_lineage(pieces_.where("key is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    p = lambda i: F.get(F.split("key", r"\|"), F.lit(i))
+    split = labels.select("doc_id", "key", "n", F.substring("key", 1, 1).alias("kind"), p(1).alias("given"), p(2).alias("family"))
+    full = split.where("kind in ('p', 'u') and length(given) > 1 and length(family) > 1")
+    met = full.groupBy("given", "family").agg(F.count(F.lit(1)).alias("recordings"), F.max("n").alias("most"))
 
     @F.pandas_udf("string")
     def code(names: pd.Series) -> pd.Series:
         return names.map(lambda x: phonetic(x) if isinstance(x, str) else None)
 
-    names = _roster_names(labels, staff)
-    by_code = names.select(code("given").alias("code"), "given", "family").unionByName(names.select(code("family").alias("code"), "given", "family"))
-    # only the first name's code needs a look at the family's block and the other way round
-    parts = labels.where(F.col("key").startswith("p|")).select("doc_id", "key", F.explode(F.array_distinct(F.filter(F.slice(F.split("key", r"\|"), 2, 2), lambda x: F.length(x) > 1))).alias("part"))
-    wanted = parts.select("doc_id", "key", code("part").alias("code")).join(by_code, "code").select("doc_id", "key", "given", "family")
-    # a candidate must agree with the label as far as the label goes
-    p = F.split("key", r"\|")
-    agrees = (F.substring(p[1], 1, 1) == "") | (F.substring(p[1], 1, 1) == F.substring("given", 1, 1))
-    wanted = wanted.where(agrees).groupBy("doc_id", "key").agg(F.collect_set(F.struct("given", "family")).alias("names"))
-    both = labels.select("doc_id", "key").join(wanted, ["doc_id", "key"], "left")
+    block = lambda given, family: F.concat_ws("|", F.substring(given, 1, 1), code(family))
+    own = staff.select(F.lower("given_name").alias("given"), F.lower("family_name").alias("family")).where("given is not null and family is not null")
+    roster = met.where("recordings > 1").select("given", "family").unionByName(own).distinct()
+    # a given name alone has a candidate where the roster has one person of that name
+    single = roster.groupBy("given").agg(F.count(F.lit(1)).alias("c"), F.first("family").alias("family")).where("c = 1").select(F.concat(F.lit("g|"), "given").alias("block"), "given", "family")
+    blocks = roster.select(block("given", "family").alias("block"), "given", "family").unionByName(single)
+    wanted = split.where("kind in ('p', 'u') and length(family) > 1 and given <> ''").select("doc_id", "key", block("given", "family").alias("block"))
+    wanted = wanted.unionByName(split.where("kind in ('p', 'u') and family = ''").select("doc_id", "key", F.concat(F.lit("g|"), "given").alias("block")))
+    wanted = wanted.join(blocks, "block").groupBy("doc_id", "key").agg(F.collect_set(F.struct("given", "family")).alias("names"))
+    # a name by its shape alone is a label if it is met again, in its recording or in another one
+    again = met.where("recordings > 1 or most > 1").select("given", "family", F.lit(True).alias("again"))
+    both = split.join(wanted, ["doc_id", "key"], "left").join(again, ["given", "family"], "left").select("doc_id", "key", "kind", "n", "names", F.coalesce("again", F.lit(False)).alias("again"))
 
     def name(pdf: pd.DataFrame) -> pd.DataFrame:
-        roster: dict[str, set[tuple[str, str]]] = defaultdict(set)
-        for names in pdf["names"]:
-            if names is not None:
-                for x in names:
-                    g, f = x["given"], x["family"]
-                    roster[phonetic(g)].add((g, f))
-                    roster[phonetic(f)].add((g, f))
-        found = resolve(sorted(pdf["key"]), roster)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "key": list(found), "speaker": list(found.values())})
+        names = {(x["given"], x["family"]) for row in pdf["names"] if row is not None for x in row}
+        rows = list(zip(pdf["key"], pdf["kind"], pdf["n"], pdf["again"]))
+        sure = {k for k, kind, _, again in rows if kind != "u" or again}
+        people = {part for k in sure if k[1] == "|" for part in k.split("|")[1:] if len(part) > 1}
+        # by shape alone: an initial with a family name that is met again; one name that a label of the recording has
+        sure |= {k for k, kind, n, _ in rows if kind == "u" and ((parts := k.split("|"))[2] and len(parts[1]) == 1 and n > 1 or parts[2] in people or parts[1] in people)}
+        found = resolve(sorted(sure), names)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "speaker": pdf["key"].map(lambda k: found.get(k))}).astype(object)
 
     return both.repartition(fanout(both.sparkSession), "doc_id").groupBy("doc_id").applyInPandas(name, "doc_id string, key string, speaker string")
 
@@ -337,8 +385,12 @@ def turn_pieces(segments: DataFrame, staff: DataFrame, block_seconds: int = BLOC
     """Spoken pieces in order with speaker and `new`, whether a turn begins."""
     rows = cut_lineage(spoken_pieces(segments, staff, block_seconds))
     named = cut_lineage(speakers(rows, staff))
-    named = F.broadcast(named) if named.count() <= BROADCAST_LABELS else named
-    rows = rows.join(named, ["doc_id", "key"], "left")
+    if named.count() <= BROADCAST_LABELS:
+        rows = rows.join(F.broadcast(named), ["doc_id", "key"], "left")
+    else:
+        salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("seg_no"), F.lit(SALTS)).cast("int")).join(salted, ["doc_id", "key", "salt"], "left").drop("salt")
+    rows = rows.withColumn("words", F.when(F.col("speaker").isNull() & F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("words")))
     order = ["start_sec", "seg_no", "piece_no"]
     rows = blockwise_fill(rows.select("doc_id", BLOCK, *order, "end_sec", "speaker", "words"), ["doc_id"], order, "speaker", "who")
     said = rows.where("words <> ''").select("doc_id", BLOCK, *order, "end_sec", "who", "words", F.lit(True).alias("is_row"))
@@ -351,12 +403,17 @@ def turn_starts(segments: DataFrame, staff: DataFrame) -> DataFrame:
     return turn_pieces(segments, staff).where("new").select("doc_id", "seg_no").distinct()
 
 
-def turns(segments: DataFrame, staff: DataFrame) -> DataFrame:
-    """doc_id, turn_start, turn_seg, turn_piece, part_no, speaker, start_sec, end_sec, n_pieces, text; one row for each block of time a turn lasts."""
-    rows = turn_pieces(segments, staff)
+def turns(segments: DataFrame, staff: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """One row a turn: doc_id, turn_seg, turn_piece, speaker, start_sec, end_sec, n_pieces, text.
+
+    The words of a turn are put together per block of time first, so that what
+    meets in one row is a part for each block.
+    """
+    rows = turn_pieces(segments, staff, block_seconds)
     order = ["start_sec", "seg_no", "piece_no"]
     rows = rows.withColumn("mine", F.when(F.col("new"), F.struct(*order)))
     rows = blockwise_fill(rows, ["doc_id"], order, "mine", "turn")
-    words = F.transform(F.array_sort(F.collect_list(F.struct(*order, "words"))), lambda x: x["words"])
-    parts = rows.groupBy("doc_id", "turn", BLOCK).agg(F.first("who").alias("speaker"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count(F.lit(1)).alias("n_pieces"), F.array_join(words, " ").alias("text"))
-    return parts.select("doc_id", F.col("turn.start_sec").alias("turn_start"), F.col("turn.seg_no").alias("turn_seg"), F.col("turn.piece_no").alias("turn_piece"), F.col(BLOCK).cast("long").alias("part_no"), "speaker", "start_sec", "end_sec", "n_pieces", "text")
+    joined = lambda place, words: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, words))), lambda x: x[words]), " ")
+    parts = rows.groupBy("doc_id", "turn", BLOCK).agg(F.first("who").alias("speaker"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count(F.lit(1)).alias("n_pieces"), joined(order, "words").alias("part"))
+    whole = parts.groupBy("doc_id", "turn").agg(F.first("speaker").alias("speaker"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum("n_pieces").alias("n_pieces"), joined([BLOCK], "part").alias("text"))
+    return whole.select("doc_id", F.col("turn.seg_no").alias("turn_seg"), F.col("turn.piece_no").alias("turn_piece"), "speaker", "start_sec", "end_sec", "n_pieces", "text")
