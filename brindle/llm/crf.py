@@ -90,11 +90,12 @@ class Crf:
 
     # training
 
-    def fit(self, rows: list[tuple[list[str], list[int]]], given: frozenset, family: frozenset, epochs: int = 20, batch: int = 256, rate: float = 0.06, decay: float = 2e-5, seed: int = 5) -> None:
+    def fit(self, rows: list[tuple[list[str], list[int]]], given: frozenset, family: frozenset, unnamed: frozenset = frozenset(), epochs: int = 16, batch: int = 256, rate: float = 0.06, decay: float = 2e-5, seed: int = 5) -> None:
+        """rows: tokens and labels. unnamed: words that are known by their shape alone."""
         kinds = len(self.labels)
         vocabulary: dict[str, int] = {PAD: 0}
         coded = [([vocabulary.setdefault(t, len(vocabulary)) for t in toks], labs) for toks, labs in rows if toks]
-        lists = [features(t, given, family) for t in vocabulary]
+        lists = [[f for f in features(t, given, family) if f[:2] != "w=" or f[2:] not in unnamed] for t in vocabulary]
         counts: dict[str, int] = {}
         for fs in lists:
             for f in fs:

@@ -1,82 +1,127 @@
-"""The labelled table of problem 1: marked sentences, made from patterns and invented fillings by a rule.
+"""The labelled table of problem 1: marked sentences, made by a rule.
 
-A row is a text with its marked parts: [(part, type or None), ...]. All names,
-numbers and places are invented. The patterns cover ways of giving mail
-addresses, numbers, addresses and names in messages, tickets and transcripts,
-and things that look alike but are none of these.
+A row is a text with its marked parts: [(part, type or None), ...]. The sentences
+around the marked parts (carriers) are about offices, schools, clubs, trains and
+gardens and were written for this table alone; names, places and odd words are
+put together from syllables. Some words of every text give way to such odd
+words, so that the model can't lean on a vocabulary.
+
+Every fifth carrier and every fifth name is kept for rows with held=True, which
+no training sees: what is measured on them is told by no carrier and no name
+that the model knows.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
-GIVEN = "Arlo Benita Cyrus Delphine Edda Fabrizio Greta Hamza Ingrid Jasper Katya Leander Maribel Nikolai Orla Priya Quentin Rosalind Stellan Tamsin Umberto Viola Winston Xenia Yusuf Zelda Anna Peter Maria Thomas Julie Henrik Carmen Pablo Heike Noah Chloe Ahmed Mei Olga".split()
-FAMILY = "Abernathy Birchwood Castellan Dragomir Ellingham Farnsworth Grimaldi Hathersage Ivanhoe Jankowski Kettering Lowenthal Mandeville Northcote Oberholzer Pendragon Quarles Rasmussen Silvestri Thackeray Umarov Villanueva Westergaard Yamazaki Zielinski Smith Garcia Meyer Dubois Baker Miller Stone Field Banks Price Stock Carrier Ledger Yard Bolt Rowe-Atkin Vance-Olu O'Hara".split()
-PLACES = "Ashwick Bruntsfeld Calderstone Dornbach Elmhaven Fjordby Grunewick Harnsea Valmorado Krestel Norbridge Sunderholm Quillham Tarnwick Marrowby Osterholt Dunvale".split()
-PRODUCTS = ["Stock Transfer", "Price Book", "Yard Board", "Carrier Link", "Wave Builder", "Cost Allocation", "Period Close", "Dock Scheduler", "Item Master", "Credit Notes", "Returns Console", "Goods Intake", "Rate Engine", "Label Studio", "Kitting Bench", "Invoice Matching", "Supplier Portal", "Asset Register", "Contract Desk", "Requisition Hub", "Slotting Tool", "Quality Gate", "Batch Tracker", "Pick Planner", "Payment Run", "Demand View", "Budget Control", "Customs Filing", "Cycle Count", "Cross Dock"]
-SCREENS = ["approval queue", "tolerance dialog", "serial number popup", "lock monitor", "header tab", "line overview", "audit trail", "import wizard", "job log", "tax breakdown", "schedule grid", "release strategy screen"]
-THINGS = ["purchase order", "freight bill", "sales quote", "carrier manifest", "stock reservation", "price condition", "customs entry", "asset card", "credit memo", "kit list", "handling unit", "count sheet", "blanket contract", "supplier invoice", "dock appointment"]
-CREWS = ["night shift", "buyer on duty", "packing crew", "dock supervisor", "yard marshal", "stock auditor", "carrier liaison", "accounts team", "regional office", "release manager", "plant controller", "cold store crew", "weighbridge operator"]
-ACTS = ["reset the release flag", "recalculate the prices", "change the document type", "confirm the pick at the terminal", "extend the number range", "restart the output queue", "assign the missing role", "raise the tolerance to two percent", "refresh the currency table", "clear the buffer of the terminal", "split the line by batch", "delete the orphaned lock entry"]
-WHY = ["because the number range had run out", "since the approval limit was set per line", "after the printer queue was renamed", "since the calendar of the plant had no working days", "because two sessions saved the same line", "after the weekly tolerance update", "after a failed import of the item master"]
-WHEN = ["during the stock take", "in the middle of the month end", "right after the lunch break", "before the carrier cut-off", "on two days in a row", "at the start of the quarter", "over the long weekend", "as soon as the truck arrived"]
-WHERE = ["at the {P} yard", "at the {P} depot", "in hall seven", "on the upper gallery", "in the {P} plant", "on packing line four", "in the test client", "at the northern cross dock", "in the {P} cold room", "at the {P} gate", "at the {P} terminal"]
-DID = ["was posted twice", "was archived too early", "could not be released", "lost its tax code", "stayed in draft", "kept the old unit of measure", "showed a negative balance", "was blocked by a tolerance check", "carried the previous fiscal year", "refused the delivery date"]
-
+GIVEN = "Arlo Benita Cyrus Delphine Edda Fabrizio Greta Hamza Ingrid Jasper Katya Leander Maribel Nikolai Orla Priya Quentin Rosalind Stellan Tamsin Umberto Viola Winston Xenia Yusuf Zelda Anna Peter Maria Thomas Julie Henrik Carmen Pablo Heike Noah Chloe Ahmed Mei Olga Ruth Simon Laura Felix Nadia Oscar Irene Hugo Paula Erik Sofia Martin Claire Diego Ursula Kofi Aiko Ravi Elena Jonas Marta Louis Amira Bruno".split()
+NOUNS = "garden heater library umbrella engine lesson museum recipe violin bridge turbine kettle notebook planet parcel river orchestra bakery pension lantern meadow harbour telescope curtain saddle piano chimney pottery festival ladder compass blanket sculpture fountain cinema barrel helmet window carpet mirror candle basket hammer journal pocket ticket winter summer bicycle tunnel island castle picnic drawer poster teapot balcony cellar magnet feather pillow rocket anchor cabin dinner button pencil folder printer server keyboard backup network password calendar meeting budget report contract project account ledger payment price stock carrier depot yard shelf pallet truck forklift counter desk badge locker canteen shift team branch client order item batch label quote claim refund voucher survey form screen menu tab field table chart page list queue rule filter export update release".split()
+ADJECTIVES = "green quiet broken late heavy northern spare wooden shiny narrow early cheap modern hollow gentle daily second missing empty open final local regional temporary double wrong blank".split()
+VERBS = "repair open close paint count weigh copy water print move test clean borrow return lock publish sort label charge cancel refresh replace update print review merge delete approve block archive".split()
+ROLES = "gardener librarian conductor caretaker lifeguard baker plumber referee translator surveyor archivist janitor cashier tutor usher steward foreman clerk planner operator supervisor controller crew".split()
 BACKGROUND = [
-    "The {thing} {ref} {did} {why}.", "Open the {screen} of {prod}, look for {ref} and {act}.", "To correct {ref}, {act} in {prod}, then {act}.",
-    "Error {n5} means that the {thing} {did}; {act} and repeat the step.", "The {crew} reported error {n5} {where} at {clock}, and the payment was held back.",
-    "The {crew} had to {act} {when} {why} (entry {ref}).", "Ticket {ref} was closed after the {crew} agreed to {act} for {qty} lines.",
-    "In {prod} the {screen} showed {qty} instead of {qty} {when}, so the totals no longer agreed.", "If the {thing} still shows {qty} {when}, the {crew} should {act}.",
-    "Between {clock} and {clock} the {thing} {did} {where} {why}.", "{Whenc} a {thing} of {qty} units {did} {where}.", "The {screen} in {prod} lists every {thing} that {did}, sorted by value up to {qty}.",
-    "How do I move stock between two plants in {prod}?", "Where in {prod} can I archive old quotes without changing the {thing}?", "What does message {n4} on the {screen} mean?",
-    "Error {n5} appears when I try to {act}. What should I do?", "the {thing} {did} {where}, who can {act}", "which incidents say that the supplier called twice {why}", "Hi, I need to {act} {when}, is that possible for {ref}?",
-    "please explain step by step how to {act} for a {thing} of {qty} units.", "Why has the {thing} {ref} the status open although it {did}?", "To {act}, follow these steps:\n1. {Act} on the {screen} of {prod}\n2. {Act} on the {screen} of {prod}",
-    "Narration: you go to {prod}, then to the {screen}. the system says error {n4} {why}.", "so now I open the {screen} and {act}. this happened {where} {when}.", "we had {qty} lines where the {thing} {did}. let us {act} and check the {thing} again.",
-    "On screen: {prod} | {screen} | {ref}", "Still on screen: {prod} | {screen} | {ref}", "On screen: {prod} | {screen}", "State: New On screen: {prod} | {screen} | {ref}", "On screen: {prod} | {screen} | {ref}", "Still on screen: {prod} | {screen} | {ref}", "Path: {prod} > {screen} > {thing}", "Path: {prod} > {screen} > {thing}", "See the path.\nPath: {prod} > {screen} > {thing}", "{prod} > {screen} > {thing}", "See also:\n- {prod} guide, page {n3}\n- {ref}", "Number: {ref}\nShort description: {thing} {did}", "State: Closed", "State: In progress", "Close notes: {Act} in {prod}.",
-    "| code | meaning | qty |\n| --- | --- | --- |\n| {n4} | {did} | {qty} |", "Figure 7-{n2}: {screen} of {prod}.", "Yes, the {thing} {did} {where}.", "You cannot {act} while the {thing} {ref} is open. {Act} first.",
-    "How do I register a new carrier in {prod}?", "To register a new carrier, follow these steps:\n1. {Act}", "Hi, I need to register a new carrier {when}, is that possible for {ref}?", "Where in {prod} can I register a new carrier without changing the {thing}?", "please explain step by step how to register a new carrier for a {thing} of {qty} units.",
-    "{Whenc} a carrier manifest of {qty} units {did} {where}.", "Between {clock} and {clock} a stock reservation {did}, so the stock looked higher than it was.", "Error {n5} appears when I try to move stock between two plants. What should I do?", "To correct a price condition, change the tolerance of a price check.", "the stock reservation {did} {where}, who can {act}", "the carrier manifest {did} {where}, who can {act}", "the price condition {did} {where}, who can {act}",
-    "Yes, tn {prod} the {screen} showed {qty} instead of {qty}.", "No, bn {prod} the {screen} showed {qty} {when}.", "Correct, an {prod} a {thing} {did}.", "I apologise, I have no way of answering that. Please contact the administrator.", "I'm sorry, but I can't help with that. Is there another topic?", "As a support assistant, I am not able to answer this question.", "I am not certain about this one. Shall I create an incident for you? (yes/no)", "I cannot assist with this request because I was not given access to it.",
-    "yesterday the {crew} saw that the label printer ran empty.", "can you show how to {act}?", "The screen then shows \"I cannot process this request\", which you can confirm.", "A trainee should confirm the pick at the yard.", "On terminals with another language the same message reads \"Der Packzettel {ref} blieb im Entwurf stehen\".", "The yard was closed and the ledger carried a wrong price; a stock count {did}.", "{THING} {ref} WAS POSTED TWICE", "WHICH INCIDENTS SAY THAT THE STOCK LOOKED HIGHER THAN IT WAS {n3}",
-    "you asked: how do I change the ship-to address of an open order", "a manual correction in the ledger changed a {thing} and a {thing}.", "The regional office set the price, the carrier and the stock {when}.", "In the yard a trainee lost a {thing} and a kit list.", "we move a freight bill, a stock item, a price list and a ledger page.", "SELECT status, qty FROM stock WHERE plant = '{n4}'", "ask me about a carrier or a price or a yard.",
-    "Der Packzettel {ref} konnte nicht freigegeben werden, nachdem der Import abgebrochen war.", "Das Prüflos {ref} verschwand aus dem Arbeitsvorrat, weil dem Benutzer die Berechtigung fehlte.", "Warum erscheint die Meldung {n5}, wenn ich den Vorgang {ref} speichern möchte?", "Die Bestellung {ref} wurde doppelt gebucht, was soll ich jetzt machen?", "La orden de traslado {ref} perdió el indicador de impuestos, después de cambiar las tolerancias.", "La facture {ref} est bloquée par un traitement de nuit ; la quantité {qty} n'a été confirmée qu'à {clock}.", "La lettre de voiture {ref} reste à l'état de brouillon, parce que le rôle manque.",
-    "Am Standort {P} trat um {clock} Uhr die Meldung {n5} auf, weil der Vertrag abgelaufen war.", "Sie können den Nummernkreis erweitern, sobald der Beleg {ref} nicht mehr bearbeitet wird.", "Zur Behebung bitte im Bereich {prod} die Differenz ausbuchen und danach den Vorgang {ref} erneut prüfen.",
-    "Die Rechnung vom Lager {P} blieb im Entwurf stehen; die Menge {qty} wurde erst um {clock} Uhr bestätigt.", "Wie kann ich im Bereich {prod} das Zertifikat erneut anhängen, wenn der Beleg {ref} gesperrt ist?", "Puede ampliar el rango de números en cuanto el documento {ref} deje de estar abierto.",
-    "En el centro de {P} apareció el mensaje {n5} a las {clock}, porque falta el perfil de redondeo.", "¿Por qué aparece el mensaje {n5} cuando guardo el expediente {ref}?", "La factura del almacén {P} quedó en borrador; la cantidad {qty} no se confirmó hasta las {clock}.",
-    "L'ordre de transfert {ref} affiche un solde négatif, que dois-je faire maintenant ?", "Le message {n5} est apparu à {clock} sur le site de {P}, parce que le profil d'arrondi manque.", "Vous pouvez relancer le rapprochement dès que le document {ref} n'est plus ouvert.", "Comment puis-je joindre le certificat dans le module {prod} si le document {ref} est bloqué ?",
+    "The {a} {n} beneath the {n} has been {a} since Tuesday.", "Please {v} the {n} and {v} the {n} twice.", "{Qty} visitors came to the {n} {n}, {qty} of them with a {n}.", "Why is the {n} {a} when nobody wants to {v} it?",
+    "1. {V} the {n}.\n2. {V} the {n}.\n3. {V} the {n} in {Prod}.", "- {n} {n}\n- {a} {n}\n- {Prod}", "| {n} | {n} | {n} |\n| --- | --- | --- |\n| {n4} | {a} | {qty} |", "{N} {n}: {a}", "{N}: {ref}", "{N} {n}: {ref}\n{N}: {a}", "{Prod} > {N} > {n}", "{Prod} | {n} {n} | {ref}", "# {Prod}\n\nThe {n} is {a}.",
+    "The {role} told us that the {n} cannot be opened before {clock}.", "Ask the {role} for a {n}.", "Thanks to the {role} of the {n}.", "the {role} has to {v} {qty} {n}s by {clock}", "A {n} with {qty} {n}s was {a}, and the {role} needed to {v} it.", "Every {n} needs a {n}; the {a} one stays {a}.",
+    "In {Prod} you can {v} a {n}, {v} a {n} or {v} both.", "Open {Prod}, choose {N} and {v} the {a} {n}.", "How can I {v} a {n} in {Prod}?", "{Prod} shows a {n} where {Prod} shows none.", "The new version of {Prod} cannot {v} {n}s.", "{Prod} and {Prod} were both {a} at {clock}.", "Does {Prod} {v} the {n} by itself?", "I would like to {v} the {n} of {Prod}, what is missing?",
+    "Problem {n5}: the {n} did not {v}.", "Code {n4} stands for a {a} {n}, code {n5} for none.", "Case {ref} has been open since the {a} {n}.", "{ref} is a {n} for {qty} {n}s.", "We measured {qty} at {clock} and {qty} at {clock}.", "Between {clock} and {clock} the {n} of {P} was closed.", "On {date} the {n} went to {P} and came back on {date}.", "{P} has a {n}, {P} has two.",
+    "um now we {v} the {n} and then uh we {v} the {n}, right", "okay so here you see the {n}, and now I {v} it", "[00:{n2}] and this {n} is {a}", "well it was {a} in {P}, everybody saw the {n}", "you simply {v} it. then the {n} is {a}.",
+    "NOTICE: THE {NN} OF THE {NN} IS CLOSED", "WHO WILL {VV} THE {NN}", "{Prod} Guide, Chapter {n1}", "{N} {N} {n1}", "Chapter {n2}: {N} and {N}", "Table {n1}-{n1}: {N} by {n}", "<b>{N}</b> {a} &amp; {a}", "SELECT {n}, {n} FROM {n} WHERE {n} > {n3}", "`{n}_{n}` = {n4}", "```\n{v} {n} --{n} {n2}\n```", "https://{w}.example/{n}/{n}?id={n5}",
+    "Der {W} ist seit gestern {w}, deshalb wird das {W} morgen {w}.", "Bitte den {W} {w} und die {W} nochmals {w}.", "Warum lässt sich {Prod} nicht {w}, obwohl {ref} {w} ist?", "In {P} wurden um {clock} Uhr {qty} {W} {w}.", "Die {W} von {P} hat {qty} {W}, das {W} keine.", "Unter {N} steht {ref}, danach folgt die {W}.", "Wer kann mir die {W} erklären?", "Nein, das {W} gehört in {Prod}.",
+    "Le {w} est {w} depuis hier et la {w} reste fermée.", "Veuillez {w} le {w} avant {clock}, puis {w} la {w}.", "Comment se fait-il que {Prod} ne puisse pas {w} les {w} ?", "À {P}, {qty} {w} attendaient devant le {w}.", "Le dossier {ref} contient {qty} {w}.", "Dans {Prod}, on choisit le {w} puis la {w}.", "Qui doit {w} cette {w} ?",
+    "El {w} está {w} desde ayer y la {w} sigue cerrada.", "Hay que {w} el {w} antes de las {clock} y luego {w} la {w}.", "¿Por qué no puede {Prod} {w} los {w}?", "En {P} esperaban {qty} {w} delante del {w}.", "El expediente {ref} contiene {qty} {w}.", "En {Prod} se elige el {w} y después la {w}.", "¿Quién debe {w} esta {w}?",
+    "yes", "No.", "ok, done", "Any other ideas?", "See above.", "n/a", "{n} {n} {n}", "{a} {n}", "{N}", "{N} {n}", "{Prod}", "{Prod}.", "{W} {w} {w} {W}.", "{w} {w} {w} {w} {w}", "{w}, {w} and {w}", "{ref} {ref}", "{qty} {n}s", "{N} {qty}", "The {W} {w} {w} {w} the {w}.", "{W} {w} {w} in {W}, {w} {w} {clock}.",
 ]
 #: Things that look alike.
 DECOYS = [
-    "Material 555-{n3}-{n4} is on hold.", "Batch {n10} weighs {qty} kg.", "Release {n1}.{n1}.{n1} of {prod} is installed.", "Route {n2} uses gate {n1} on the north road.", "Look in aisle {n2}, bay {n2}.", "The street sweeper order {n2} is closed.",
-    "Use the @mention in the channel, not mail.", "Already masked: [EMAIL] and [PHONE].", "Already masked: [PERSON], [ADDRESS] and [ID_NUMBER].", "The Orion {fam} project starts in May.", "The Falcon {fam} project starts in May.", "The Comet {fam} project starts in {P}.", "The {prod} project starts in May.", "The {fam} report is due on Monday.", "The Atlas {fam} project starts in June.",
-    "Site {P}, dock {n2}, gate {n1}.", "Order {n10} was split into {n2} parts.", "Version {n1}.{n2} of {prod}, build {n5}.", "Call the help desk before noon.", "Meet at the south gate at {clock}.", "The {prod} team will call back.", "Serial {n4}-{n4}-{n4} failed.", "Part {n3}-{n2}-{n4} is missing from the shelf.", "Part no. {n3}-{n2}-{n4} fits both racks.", "Item no. {n3}-{n2}-{n4} is in stock.", "Part no. {n9} fits both racks.", "Order number {n9} is late.", "Article {n3} {n2} {n4} is sold out.", "Invoice {n9} is paid.",
-    "Ask the {crew} about it.", "Thanks, {crew}.", "Opened by: {crew}", "Owner: {crew}", "Caller: service desk", "The main street entrance is closed.", "Drive to bay {n2} on the west road.", "IP 10.0.{n2}.{n1} is down.", "Session {n8} was saved.", "Hall {n1}, row {n2}, level {n1}.", "cc all planners", "Mercury Yard and Stock Room are tests.", "Tour {n3} leaves the {P} hub at {clock}.", "In {prod} the {fam} Book shows {qty}.",
+    "model {n3}-{n3}-{n4} of the {n}", "Model {n3}-{n2}-{n4} comes in {a}.", "catalogue no. {n3}-{n2}-{n4}", "Catalogue no. {n9} is out of print.", "receipt {n9} over {qty}", "receipt number {n10}", "Lot {n10}, {qty} kg", "bar code {n10}{n3}", "SKU {n3} {n2} {n4} in {a}", "Series {n4}-{n4}-{n4} ended.", "edition {n1}.{n1}.{n1} of {Prod}", "build {n5}, edition {n1}.{n2}", "server 10.{n2}.{n1}.{n2} answers", "host 192.168.{n1}.{n2}", "{date} {clock}", "{n4}-{n2}-{n2}T{clock}:00", "{n2}° {n2}' north",
+    "the {n} {code} is {a}", "The {a} {n} {code} {w} {w}.", "{N} {code} {w} {w}", "{w} {code} {w}", "{W} {w} {code} {w}", "({code})", "{code}", "{code}: {n}", "{n} {code}?", "{w} {w} ({n} {code}).", "for {code}, the {n} {w}", "{Prod} | {n} | {code}", "{N}: {code}", "El {w} {code} {w}", "Der {W} {code} {w}", "Le {w} {code} {w}", "{code} {w} in {Prod}", "{v} {code} and {v} {code}", "{code}, {code} and {code}", "{a} {n} {code}",
+    "{N} {n3}-{n3}-{n4} is {a}.", "the {n} {n3}-{n3}-{n4} {w}", "{n} no. {n3}-{n3}-{n4}", "{N} {n3} {n3} {n4} {w} {w}", "{n} {n3}-{n4} and {n} {n4}-{n4}", "{n10} {n}s", "{N} {n10} {w}.", "{n} {n7} {w} {w}", "{N} {n2} {n3} {n2} {w}",
+    "{v} it in {Prod}", "{Prod} is {a}", "{Prod} by {Prod}", "work with {Prod}.", "the {n} of {Prod}", "from {Prod} to {Prod}", "{w} {Prod} {w}", "{W} {Prod} {w} {w}.", "{v} {Prod}, then {Prod}", "ask {Prod} for it", "{N} by {Prod}: {n}", "{Prod} {w} {w} {w}", "for {Prod} only", "Then {Prod} {w}.", "{N}: {Prod}", "{N} of {Prod}: {ref}", "{n} in {Prod}.", "{Prod} has no {n}", "does {Prod} {w}",
+    "bus {n2} stops at gate {n1}", "line {n2} along the north road", "row {n2}, seat {n1}", "shelf {n2}, box {n2}", "aisle {n1}, level {n2}", "Hall {n1}, stand {n2}", "room {n3} of the south wing", "the street lamps of {P}", "street music until {clock}", "a road without pavement", "the square in front of the {n}", "gate {n1}, dock {n2}, {P}", "exit {n2} of the ring road", "Platform {n1} in {P}", "platform {n2}, track {n1}",
+    "tell @all and @here", "@{n} please look", "a mail without a sender", "already hidden: [EMAIL], [PHONE]", "[PERSON] wrote to [PERSON] from [ADDRESS] with [ID_NUMBER]", "phone the front desk", "ring the bell at {clock}", "text me later", "the hotline is busy", "call before {clock}", "a passport photo", "the identity of the {n}", "tax of {qty} on the {n}", "social events of {P}",
+    "the {fam} method", "The {fam} prize goes to {P}.", "the {W} {fam} project", "{W} {fam} is a {n}, not a person", "The {N} {fam} initiative ends in {P}.", "{fam} Ltd", "{fam} & {fam} Inc.", "{fam} Street is being paved.", "the {fam} building", "a {fam} report on {n}s", "{N} {fam} {n} guide", "In the {fam} Hall at {clock}", "The {N} {fam} plan was late.", "open {N} {fam} and {v} it",
+    "the {role} from {P}", "Dear {role},", "Regards, the {role}", "our {a} {role}s", "{N} by: {role}", "from: {role}\nto: {role}", "Thanks, everybody", "Hello team,", "cc: {role}s", "Written by the {role} of {P}.", "the {a} {role} on duty", "signed: the {role}",
 ]
+#: Marks and lines around a marked part.
+_AROUND = [("", ""), ("", "."), ("(", ")"), ("[ ", " ]"), ("\"", "\""), ("/ ", " /"), ("| ", " |"), ("- ", ""), ("– ", ""), ("— ", ""), ("* ", ""), ("• ", ""), ("→ ", ""), ("=> ", "."), ("# ", ""), ("@ ", ""), ("☎ ", ""), ("✉ ", ""), (": ", ""), ("= ", ";"), ("<", ">"), ("; ", ";"), (", ", ",")]
 WRAP = {
-    "PERSON": ["my name is {X}.", "It was {X} who saw it first.", "This was agreed with {X} on the phone.", "The badge of {X} no longer opens the cage.", "Please ask {X} about it.", "I spoke to {X}, no answer yet.", "approved by {X} yesterday", "{X} asked me to write.", "Regards, {X}", "Thanks {X}", "Thanks\n{X}.", "cc {X}", "Owner: {X}", "Caller: {X}", "Opened by: {X}", "Assigned to: {X}", "— {X}", "/ {X} /", "({X})", "| {X} |", "→ {X}.", "Best wishes\n{X}", "{X} is on leave until Monday.", "Ask for {X} at the desk.", "Reported by {X}, {P}.", "escalated to {X} at {clock}", "{X} called twice.", "Kind regards\n{X}", "Mit freundlichen Grüßen\n{X}", "Cordialement, {X}", "Saludos, {X}", "The note is signed {X}.", "{X} will call back."],
-    "EMAIL": ["Send the file to {X} please.", "Reply to {X} before noon.", "The notice bounced for {X}.", "copy goes to {X}, as always", "You can reach me under {X}.", "contact={X};", "Mail: {X}", "Contact: {X}", "Watch list: {X}", "({X})", "→ {X}", "/ {X} /", "| {X} |", "<{X}>", "Send the file to mailto:{X} please.", "Watch list: <{X}>", "{X} did not answer.", "cc {X}", "My address is {X}."],
-    "PHONE": ["Call me back on {X}.", "My mobile is {X}, evenings only.", "Hotline {X} did not pick up.", "(ring {X})", "callback {X}", "Callback: {X}", "Contact: {X}", "Tel. {X}", "Tel: {X}", "phone:{X}", "text {X} when the truck is in", "({X})", "/ {X} /", "| {X} |", "→ {X}", "Fax {X}", "You can reach me under {X}.", "mobile {X}", "Dial {X} for the gate.", "@ {X}", "☎ {X}", "☎ {X}.", "/ ☎ {X} /"],
-    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K} = {X},", "{K}#{X}", "({K} {X})", "my {K} is {X}.", "{K}: {X} ", "{K} {X}.", "{K} = {X}", "→ {K} {X}", "/ {K} {X} /", "{K} is {X}.", "Remarks: {K} {X}", "Work notes: {K} {X}", "{K} no. {X}", "{K} number {X}.", "| {K} {X} |"],
-    "ADDRESS": ["I now live at {X}.", "Deliver it to {X} instead.", "Return the badge to {X}.", "pick-up from {X}, side entrance", "The driver stopped at {X}.", "ship-to changed: {X}.", "home: {X}", "Address: {X}", "Location: {X}", "Ship-to: {X}", "@ {X}", "({X})", "/ {X} /", "| {X} |", "→ {X}", "My address is {X}.", "{X} is the new warehouse.", "Send the parcel to {X} please."],
+    "PERSON": [
+        "Could {X} take a look?", "{X} wrote back this morning.", "I had {X} on the line.", "According to {X}, nothing is lost.", "Forwarded by {X}", "signed, {X}", "Yours sincerely,\n{X}", "Best,\n{X}", "Greetings from {X}", "Requested for {X}", "Attendees: {X}", "Hello {X},", "Dear {X},", "Hi {X}, any news?", "on the desk of {X}", "let {X} know", "handed to {X} at noon", "as {X} said,", "{X} and some others", "together with {X}", "We met {X} in the hall.", "made by {X} in spring", "Employee: {X}", "full name: {X}", "Approver - {X}", "{X} has no rights", "{X} reports a leak", "{X}: thanks a lot", "{X} is ill", "{X} moved to {P}.", "{X} from {P}", "for {X} only", "it belongs to {X}.", "{X}'s {n}", "Has {X} been told?", "did {X} answer", "{X} cannot come", "the manager is {X}.", "Meet {X}, our new {role}.", "{role} {X}", "{X} ({role})", "{X}, {role}", "{N}: {X}", "{N} by: {X}", "{N} {n}: {X}", "{v} it with {X}", "{w} {w} {X} {w} {w}.", "{w} {X}.", "{W} {X}", "{X} {w} {w}", "as seen by {X}, {w}", "Thank you {X}!", "sent to {X} on {date}", "{clock} {X}", "Viele Grüße\n{X}", "Hallo {X},", "Bitte an {X} wenden.", "{X} ist krank.", "laut {X}", "Bonjour {X},", "Merci, {X}", "selon {X},", "{X} est absent", "Hola {X},", "Gracias, {X}", "según {X}", "{X} no vino", "Un saludo\n{X}", "signed by {X}", "thanks to {X}", "ask {X} first", "with {X}", "by {X}, {date}", "from {X}", "to: {X}", "call {X}, please", "a letter by {X}", "regards,\n{X}", "thank you, {X}", "{X} told me so", "{X} said no", "{X} has left", "{X} is away", "{X} will be there", "ask for {X}", "a note from {X}", "the {n} of {X}", "I am {X}.", "this is {X} speaking", "Mit Gruß\n{X}", "von {X}", "de {X}", "por {X}", "chair: {X}", "author: {X}", "author {X}", "reviewed by {X}", "approved: {X}", "who is {X}?", "tell {X} the news", "sent by {X}", "{X} wants to {v} it",
+    ],
+    "EMAIL": ["write to {X}", "mail {X} first", "My mailbox is {X}.", "no reply from {X} yet", "sent from {X} at {clock}", "e-mail: {X}", "From: {X}", "To: {X}", "bcc {X}", "mailto:{X}", "{X} is full", "{X} bounced", "forward it to {X}, thanks", "use {X} instead of the form", "{N}: {X}", "{w} {X} {w}", "{w}={X}", "{w}:{X}", "questions? {X}", "schreiben Sie an {X}", "écrivez à {X}", "escriba a {X}", "{X} or the front desk", "login {X}", "ask {X} for a copy", "{w} <{X}>", "subscribe {X} to {Prod}", "and also {X}"],
+    "PHONE": ["ring me on {X}", "phone: {X}", "Tel {X}", "tel. {X}", "tel:{X}", "mobile {X}", "Mobile: {X}", "fax {X}", "call {X} before {clock}", "my number is {X}.", "dial {X}", "reach us at {X}", "text to {X}", "{X} is engaged", "nobody answers {X}", "{N}: {X}", "{w}:{X}", "Telefon {X}", "unter {X} erreichbar", "appelez le {X}", "llame al {X}", "WhatsApp {X}", "on {X}, after six", "{X} (office)", "my private phone is {X}", "the switchboard, {X}, is closed", "emergency: {X}", "and also {X}", "at {X} please", "the phone there is {X}", "phone number {X}", "please call {X}", "call back at {X}", "number: {X}", "mobile number {X}", "home phone {X}", "fax number: {X}", "her mobile is {X}", "you may phone {X}", "ring {X} twice", "hotline: {X}", "the hotline is {X}", "telephone {X}", "Telefon: {X}", "dial {X} and wait", "text {X} first", "they dialled {X} twice", "a call to {X}", "that number, {X}, is wrong", "phone {X} or write", "no one picks up at {X}", "fax: {X}", "Telephone: {X}", "mobile: {X}, office closed", "call me, {X}"],
+    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K}={X}", "{K} #{X}", "{K}#{X}", "({K} {X})", "{K} = {X};", "her {K} was {X}.", "{K}, {X},", "{K} no. {X}", "{K} number {X}", "{K} is {X}", "with {K} {X} at the border", "{w} {K} {X} {w}", "{N}: {K} {X}", "{K} of the applicant: {X}", "please note {K} {X}.", "valid {K} {X}", "{K} - {X}"],
+    "ADDRESS": ["we moved to {X}.", "lives at {X}", "residence: {X}", "Address {X}", "mail it to {X}", "the new flat is {X}", "born at {X}, raised elsewhere", "pick me up at {X}", "the parcel went to {X} again", "near {X}", "taxi to {X} at {clock}", "{N}: {X}", "{w} {X} {w}", "{w} at {X}.", "wohnt in {X}", "habite {X}", "vive en {X}", "from {X} to the {n}", "{X} has no lift", "the keys of {X}", "visit us: {X}", "bill for {X}", "{X} was sold", "I grew up in {X}.", "{n} delivery: {X}", "and also {X}"],
 }
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Señora", "Señor", "Sra.", "Sr.", "Mme", "M.", "Monsieur", "Madame", "Prof."]
-ID_WORDS = {"ssn": ["SSN", "social security number", "social security"], "ni": ["NI number", "national insurance number"], "pass": ["passport", "passport no.", "Reisepass"], "tax": ["tax ID", "tax number", "Steuer-ID", "TIN"], "card": ["identity card no.", "identity card", "ID card", "Ausweis", "DNI", "NIF"]}
+ID_WORDS = {"ssn": ["SSN", "social security number", "social security"], "ni": ["NI number", "national insurance number", "national insurance"], "pass": ["passport", "passport no.", "Reisepass"], "tax": ["tax ID", "tax number", "Steuer-ID", "TIN"], "card": ["identity card no.", "identity card", "ID card", "Ausweis", "DNI", "NIF"]}
+_ONSETS = "b bl br c ch cl d dr f fl g gl gr h j k kl kr l m n p pl pr qu r s sch sh sl sp st t th tr v w z".split()
+_NUCLEI = "a e i o u a e i o ai ea ee ie oo ou ü é".split()
+_CODAS = ["", "", "n", "r", "l", "m", "s", "t", "nd", "rk", "ss", "ck", "ng", "st"]
+
+
+def _pick(r: random.Random, xs: list, held: bool):
+    """Every fifth entry belongs to the held-out rows."""
+    own = [x for i, x in enumerate(xs) if (i % 5 == 4) == held]
+    return r.choice(own or xs)
 
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def _fill(r: random.Random, text: str) -> str:
+def _made_up(r: random.Random, most: int) -> str:
+    return "".join(r.choice(_ONSETS) + r.choice(_NUCLEI) + r.choice(_CODAS) for _ in range(r.randint(1, most)))
+
+
+#: Words of no meaning; the model is not told one from another.
+ODD = sorted({_made_up(random.Random(i), 3) for i in range(2500)})
+
+
+def odd_word(r: random.Random) -> str:
+    return r.choice(ODD)
+
+
+def _families() -> list[str]:
+    r = random.Random(71)
+    ends = ["", "", "son", "berg", "ez", "ini", "ov", "ski", "wood", "ley", "ton", "mann", "eau", "ström", "field"]
+    made = [(_made_up(r, 2) + r.choice(ends)).capitalize() for _ in range(150)]
+    made += [f"{a}-{b}" for a, b in zip(made[:12], made[20:32])] + ["O'" + x for x in made[40:46]] + [x.capitalize() for x in NOUNS[::4]]
+    return sorted({x for x in made if len(x) > 2})
+
+
+FAMILY = _families()
+
+
+def directory() -> tuple[list[str], list[str]]:
+    """The given and family names that stand in the directory while the model is trained: all but every fourth, and all that are common words."""
+    common = {x.capitalize() for x in NOUNS}
+    return tuple([x for i, x in enumerate(names) if i % 4 != 3 or x in common] for names in (GIVEN, FAMILY))
+
+
+LISTED = directory()
+
+
+def _fill(r: random.Random, text: str, held: bool = False) -> str:
+    noun = lambda: r.choice(NOUNS)
+
+    def product() -> str:
+        word = lambda: (r.choice(NOUNS[::4]) if r.random() < 0.35 else noun() if r.random() < 0.7 else odd_word(r)).capitalize()
+        return f"{word()} {word()}" if r.random() < 0.85 else r.choice([word(), f"{word()} {word()} {word()}"])
+
     def one(key: str) -> str:
         if key[0] == "n" and key[1:].isdigit():
             return r.choice("123456789") + _digits(r, int(key[1:]) - 1)
+        number = lambda: r.choice([_digits(r, r.randint(1, 4)), f"{_digits(r, 2)},{_digits(r, 3)}", f"{_digits(r, r.randint(1, 4))}.{_digits(r, 2)}"])
         return {
-            "thing": lambda: r.choice(THINGS if r.random() < 0.8 else THINGS[3:6]), "THING": lambda: r.choice(THINGS).upper(), "screen": lambda: r.choice(SCREENS), "prod": lambda: r.choice(PRODUCTS if r.random() < 0.5 else PRODUCTS[:4]), "act": lambda: r.choice(ACTS), "Act": lambda: r.choice(ACTS).capitalize(), "crew": lambda: r.choice(CREWS),
-            "why": lambda: r.choice(WHY), "when": lambda: r.choice(WHEN), "Whenc": lambda: r.choice(WHEN).capitalize(), "where": lambda: _fill(r, r.choice(WHERE)), "did": lambda: r.choice(DID), "P": lambda: r.choice(PLACES), "fam": lambda: r.choice(FAMILY),
-            "ref": lambda: r.choice([f"INC{_digits(r, 7)}", f"DEF-{_digits(r, 6)}", f"45{_digits(r, 8)}", f"R{r.choice('ABCDEFGHK')}{_digits(r, 6)}", f"{_digits(r, 5)}/{_digits(r, 4)}"]),
-            "qty": lambda: r.choice([_digits(r, r.randint(3, 4)), f"{_digits(r, 2)},{_digits(r, 3)}", f"{_digits(r, 4)}.{_digits(r, 2)}"]), "clock": lambda: f"{r.randint(5, 23)}:{r.randint(0, 59):02d}",
+            "n": noun, "N": lambda: noun().capitalize(), "NN": lambda: noun().upper(), "a": lambda: r.choice(ADJECTIVES), "v": lambda: r.choice(VERBS), "V": lambda: r.choice(VERBS).capitalize(), "VV": lambda: r.choice(VERBS).upper(), "w": lambda: odd_word(r), "W": lambda: odd_word(r).capitalize(),
+            "Prod": product, "P": lambda: odd_word(r).capitalize() + r.choice(["", "stad", "ville", "ham", "burg", "by"]), "role": lambda: r.choice([r.choice(ROLES), f"{noun()} {r.choice(ROLES)}"]), "fam": lambda: _pick(r, FAMILY, held), "qty": number, "Qty": number,
+            "code": lambda: r.choice([lambda: _identity(r)[1], lambda: f"{odd_word(r).upper()[:3]}{_digits(r, r.randint(5, 9))}", lambda: f"{odd_word(r).upper()[:2]}{_digits(r, r.randint(6, 7))}"])(),
+            "ref": lambda: r.choice([f"{odd_word(r).upper()[:3]}{_digits(r, r.randint(4, 8))}", f"{odd_word(r).upper()[:3]}-{_digits(r, r.randint(3, 6))}", _digits(r, r.randint(6, 10)), f"{_digits(r, 5)}/{_digits(r, 4)}", f"{r.choice('ABCDEFGHKRSTX')}{_digits(r, 6)}"]),
+            "clock": lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", "date": lambda: r.choice([f"20{_digits(r, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{_digits(r, 2)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{_digits(r, 2)}"]),
         }[key]()
 
     out, rest = [], text
@@ -88,87 +133,125 @@ def _fill(r: random.Random, text: str) -> str:
     return "".join(out) + rest
 
 
-def _person(r: random.Random) -> str:
-    g, f = r.choice(GIVEN), r.choice(FAMILY)
+def _loosened(r: random.Random, text: str, part: float = 0.12) -> str:
+    """Some small words give way to odd ones."""
+    return re.sub(r"(?<![\w@./:-])[a-z]{4,}(?![\w@./:-])", lambda m: odd_word(r) if r.random() < part else m.group(), text)
+
+
+def _person(r: random.Random, held: bool, told: bool) -> str:
+    """told: the carrier tells that it is a person, so it may be somebody whom no list has."""
+    listed = r.random() < 0.6
+    g, f = _pick(r, LISTED[0] if listed or not told else GIVEN, held), _pick(r, LISTED[1] if listed else FAMILY, held)
+    odd = told and not listed and r.random() < 0.3
+    if odd:
+        g, f = r.choice([(odd_word(r).capitalize(), f), (g, odd_word(r).capitalize())])
     middle = r.choice("ABCDEFGHIJKLMNOPQRSTUVWZ")
     name = r.choice([f"{g} {f}"] * 5 + [f"{g} {middle}. {f}", f"{f}, {g}", f"{f}, {g}", f"{g[0]}. {f}", f"{g[0]}. {f}", f"{r.choice(TITLES)} {f}", f"{r.choice(TITLES)} {f}", f"{r.choice(TITLES)} {g} {f}", f"{f}, {g[0]}."])
-    return r.choice([name] * 5 + [name.upper(), name.lower()])
+    # a name without capitals can be told where the directory has it
+    return r.choice([name] * 5 + [name.upper(), name.lower() if listed else name])
 
 
-def _email(r: random.Random) -> str:
-    g, f = r.choice(GIVEN).lower(), r.choice(FAMILY).lower().replace("'", "")
-    box = r.choice(["invoices", "night_shift", "returns.desk", "claims+west", "buyer.pool", "no-reply", f"dock{_digits(r, 1)}", f"kst{_digits(r, 4)}", "support", "info", "gate.office", "orders"])
-    local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}_{g}", f"{g}{_digits(r, r.randint(1, 2))}", f"{g}.{f}+po", f"{g}-{f}", box, f"{box}{_digits(r, r.randint(1, 2))}", f"{f}.{g}"])
-    domain = r.choice(["example.com", "example.org", "mail.example.net", "ops.test", "depot.example", "north-freight.example", "moor-freight.example", "west-stock.test", "price-yard.example", "hall-carrier.example.org", "blue-order.example", "intern.site.example", "birch.example", "co.example.org", "firm.test", "werk.example.de", "haus.invalid"])
+def _email(r: random.Random, held: bool) -> str:
+    g, f = _pick(r, GIVEN, held).lower(), _pick(r, FAMILY, held).lower().replace("'", "")
+    word = lambda: r.choice(NOUNS) if r.random() < 0.6 else odd_word(r).replace("ü", "u").replace("é", "e")
+    box = r.choice([word(), f"{word()}{r.choice('._+-')}{word()}", f"{word()}{_digits(r, r.randint(1, 4))}", f"{word()}{r.choice('_-')}{_digits(r, 1)}"])
+    local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}_{g}", f"{g}{_digits(r, r.randint(1, 2))}", f"{g}.{f}+{word()}", f"{g}-{f}", box, box, f"{f}.{g}", f"{g}"])
+    host = r.choice([word(), f"{word()}-{word()}", f"{word()}.{word()}", f"{word()}{_digits(r, 1)}", "example", "post.example"])
+    domain = host + "." + r.choice("com org net example test invalid de fr es eu co.uk io".split())
     way = r.random()
-    if way < 0.6:
+    if way < 0.55:
         mail = f"{local}@{domain}"
-    elif way < 0.75:
-        mail = f"{local} (at) {domain.replace('.', ' (dot) ')}"
-    elif way < 0.87:
-        mail = f"{local} [at] {domain}"
-    elif way < 0.92:
-        mail = f"{local} at {domain.replace('.', ' dot ')}"
-    elif way < 0.96:
-        mail = f"{local} [at] {domain.replace('.', ' [dot] ')}"
     else:
-        mail = f"{local}(at){domain}"
+        at = r.choice([" (at) ", " [at] ", " {at} ", "(at)", "[at]", " at ", " AT "])
+        dot = r.choice([" (dot) ", " [dot] ", " dot ", "."]) if at.strip(" ").lower() != "at" else " dot "
+        mail = local + at + domain.replace(".", dot)
+        if r.random() < 0.3:
+            mail = local.replace(".", dot) + at + domain.replace(".", dot)
     return r.choice([mail] * 7 + [mail.upper()])
 
 
-def _phone(r: random.Random) -> str:
+def _phone(r: random.Random, held: bool, told: bool) -> str:
+    """told: the carrier tells that it is a phone number, so it may have any form."""
     d = lambda n: _digits(r, n)
-    return r.choice([f"+44 20 {d(4)} {d(4)}", f"+33 6 {d(2)} {d(2)} {d(2)} {d(2)}", f"+1 {d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)} ext. {d(r.randint(2, 3))}", f"07{d(3)} {d(6)}", f"+49 (0){d(2)} {d(5)} {d(3)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}/{d(7)}", f"+49 {d(3)} {d(7)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(3)} {d(6)}", f"001{d(10)}", f"00{d(12)}", f"{d(3)} {d(3)} {d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+{d(2)}{d(10)}"])
+    short = r.choice([f"{d(3)}-{d(4)}", f"{d(3)} {d(4)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"{d(4)} {d(4)}", f"{d(5)} {d(3)}", f"{d(7)}", f"{d(6)}", f"{d(3)}.{d(3)}.{d(2)}"])
+    area = r.choice([f"({d(3)}) ", f"0{d(2)}/", f"0{d(3)} ", f"{d(3)}-", f"{d(3)}.", f"0{d(2)}-", f"({d(2)}) "])
+    whole = r.choice([
+        area + short, area + short, f"+{d(2)} {d(2)} {short}", f"+{d(2)} {d(3)} {short}", f"+{d(2)} (0){d(2)} {short}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+1 {d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {short}", f"00{d(r.randint(10, 12))}", f"+{d(r.randint(10, 12))}",
+        f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}", f"0{d(4)} {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+    ])
+    if not told and whole[0] not in "+(0":
+        whole = "+" + whole
+    return whole + (f" {r.choice(['ext.', 'ext', 'x'])} {d(r.randint(2, 4))}" if r.random() < 0.07 else "")
 
 
 def _identity(r: random.Random) -> tuple[str, str]:
     kind = r.choice(list(ID_WORDS))
     d = lambda n: _digits(r, n)
     letter = lambda: r.choice("ABCDEFGHJKLMNPQRSTXYZ")
-    number = {"ssn": [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9)], "ni": [f"{letter()}{letter()} {d(2)} {d(2)} {d(2)} {letter()}", f"QQ {d(2)} {d(2)} {d(2)} {letter()}", f"QQ{d(6)}{letter()}"], "pass": [f"{letter()}{letter()}{d(7)}", f"X{letter()}{d(7)}", f"{letter()}{d(8)}"], "tax": [f"{d(2)}/{d(3)}/{d(5)}", d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}"], "card": [f"T{d(2)}Z{d(5)}X{d(1)}", f"L{d(2)}X{d(2)}T{d(3)}", f"{d(8)}{letter()}"]}[kind]
+    mixed = "".join(r.choice([letter(), d(1), d(1)]) for _ in range(r.randint(7, 9))) + d(2)
+    number = {
+        "ssn": [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9)],
+        "ni": [f"{letter()}{letter()} {d(2)} {d(2)} {d(2)} {letter()}", f"{letter()}{letter()}{d(6)}{letter()}", f"{letter()}{letter()}-{d(2)}-{d(2)}-{d(2)}-{letter()}"],
+        "pass": [f"{letter()}{letter()}{d(7)}", f"{letter()}{d(8)}", d(9), mixed],
+        "tax": [f"{d(2)}/{d(3)}/{d(5)}", d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}-{d(3)}", f"{d(2)}-{d(7)}"],
+        "card": [mixed, f"{d(8)}{letter()}", f"{letter()}{d(2)}{letter()}{d(5)}{letter()}{d(1)}", f"{d(8)}-{letter()}"],
+    }[kind]
     return r.choice(ID_WORDS[kind]), r.choice(number)
 
 
-def _address(r: random.Random) -> str:
-    stem = r.choice(["Kiln Hill", "Old Brewery", "N. Heron", "Mill Pond", "Copper Beech", "Larkspur", "Westfield", "Saint Agnes", "Tannery", "Ferry", "Rope Walk", "Windmill", "Ash Grove", "Foundry", "Station", "Church", *FAMILY[:10]])
-    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Avenue", "Blvd", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace", "Terrace", "Quay", "Square", "Row", "Hill", "Place", "Crescent"])
-    german = r.choice(["Lindwurm", "Ziegelei", "Torfstecher", "Kranich", "Hafen", "Garten", "Mühlen", "Schul", "Bahnhof", "Eichen"]) + r.choice(["gasse", "allee", "weg", "str.", "straße", "platz", "ufer", "ring", "damm"])
-    of = r.choice(["du Moulin Gris", "des Tisserands", "des Écluses", "de la Forge", "du Vieux Pont", "des Lilas", "de la Gare", "Saint-Marc"])
-    es = r.choice(["de los Toneleros", "del Faro Viejo", "de la Noria", "del Trigo", "de las Flores", "Mayor", "del Molino", "San Telmo"])
-    n, zipcode, p = str(r.randint(1, 2999)), _digits(r, 5), r.choice(PLACES)
+def _address(r: random.Random, held: bool) -> str:
+    noun = lambda: (r.choice(NOUNS) if r.random() < 0.5 else odd_word(r)).capitalize()
+    stem = r.choice([noun(), f"{noun()} {noun()}", f"Saint {_pick(r, GIVEN, held)}", f"{r.choice('NESW')}. {noun()}", _pick(r, FAMILY, held), f"Old {noun()}", f"{r.randint(1, 9)}th"])
+    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Ave.", "Avenue", "Blvd", "Boulevard", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace", "Quay", "Square", "Row", "Hill", "Place", "Crescent", "Gardens", "Parade"])
+    german = odd_word(r).capitalize() + r.choice(["gasse", "allee", "weg", "str.", "straße", "platz", "ufer", "ring", "damm", "steig"])
+    plain = r.choice(["Am", "An der", "Auf dem", "Hinter der", "Unter den", "Im", "Zum", "Beim"]) + " " + r.choice(["", "Alten ", "Neuen "]) + odd_word(r).capitalize()
+    french = r.choice(["rue", "chemin", "allée", "avenue", "boulevard", "quai", "impasse", "place", "cours", "route", "passage"]) + " " + r.choice(["de la ", "du ", "des ", "de l'", "Saint-", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
+    spanish = r.choice(["Calle", "Avda.", "Avenida", "Camino", "Plaza", "Paseo", "C/", "Ronda", "Travesía"]) + " " + r.choice(["de la ", "del ", "de los ", "de las ", "San ", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
+    n, zipcode, p = str(r.randint(1, 2999)), _digits(r, 5), odd_word(r).capitalize()
+    unit = r.choice(["", "", "", f" #{r.randint(1, 99)}", f", Suite {r.randint(1, 499)}", f", Apt {r.randint(1, 40)}", f", Unit {r.randint(1, 40)}", f" No. {r.randint(1, 40)}"])
+    town = r.choice(["", f", {p}", f", {p} {zipcode}", f", {zipcode} {p}", f", {p}, {zipcode}"])
+    letter, floor = r.choice(["", "", "", "a", "b", " c"]), r.choice(["", "", f", piso {r.randint(1, 9)}", f", {r.randint(1, 9)}º {r.choice('ABCD')}", f", {r.randint(1, 9)}.º"])
     return r.choice([
-        f"{n} {stem} {kind}, {p}", f"{n} {stem} {kind}, {p} {zipcode}", f"{n} {stem} {kind}", f"{n} {stem} {kind} #{r.randint(2, 99)}, {p}", f"{n} {stem} {kind} #{r.randint(2, 99)}", f"{n} {stem} {kind}, Suite {r.randint(2, 499)}, {p} {zipcode}", f"{n} {stem} {kind}, Suite {r.randint(2, 499)}", f"Flat {r.randint(1, 40)}, {n} {stem} {kind}, {p}", f"{n}{r.choice('ab')} {stem} {kind}, {p}", f"{n} {stem} {kind}, Apt {r.randint(1, 40)}, {p}",
-        f"{german} {n[:3]}{r.choice(['', '', 'a', 'b'])}, {zipcode} {p}", f"{german} {n[:3]}{r.choice(['', 'a', 'b'])}, {zipcode} {p}", f"{german} {n[:2]}", f"{r.choice(['Hinter dem Deich', 'Am Alten Markt', 'Auf der Heide', 'An der Mühle', 'Unter den Linden'])} {n[:3]}{r.choice(['', 'b'])}, {zipcode} {p}",
-        f"{n[:3]}, {r.choice(['rue', 'chemin', 'allée', 'boulevard', 'avenue', 'impasse'])} {of}, {zipcode} {p}", f"{n[:3]}, {r.choice(['rue', 'chemin', 'boulevard'])} {of}",
-        f"{n[:3]} {r.choice(['', 'bis ', 'ter '])}{r.choice(['rue', 'chemin', 'allée', 'avenue', 'boulevard', 'quai', 'impasse', 'place'])} {of}, {zipcode} {p}", f"{n[:3]} {r.choice(['', 'bis '])}{r.choice(['rue', 'chemin', 'impasse', 'boulevard'])} {of}",
-        f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Paseo', 'C/'])} {es}, {n[:2]}, piso {r.randint(1, 9)}, {p}", f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza', 'Avenida'])} {es}, {n[:2]}, {p}", f"{r.choice(['Calle', 'Avda.', 'Camino', 'Plaza'])} {es}, {n[:2]}, {r.randint(1, 9)}º {r.choice('ABCD')}, {p}", f"{r.choice(['Calle', 'Paseo', 'Camino', 'Plaza'])} {es} {n[:2]}, {zipcode} {p}", f"{r.choice(['Calle', 'Plaza', 'Avda.'])} {es}, {n[:2]}",
+        f"{n}{letter} {stem} {kind}{unit}{town}", f"{n} {stem} {kind}{unit}{town}", f"{r.choice(['Flat', 'Apt', 'Unit', 'Apartment'])} {r.randint(1, 40)}, {n} {stem} {kind}{town}", f"{german} {n[:3]}{letter}{town}", f"{german} {n[:2]}{letter}, {zipcode} {p}", f"{plain} {n[:3]}{letter}{town}",
+        f"{n[:3]}{r.choice(['', ',', ' bis', ' ter', ' bis,'])} {french}{town}", f"{n[:3]}, {french}, {zipcode} {p}", f"{spanish}, {n[:2]}{floor}{town}", f"{spanish} {n[:2]}{floor}{town}",
     ])
 
 
-def labelled_table(rows: int = 10500, seed: int = 11) -> list[list[tuple[str, str | None]]]:
-    """Marked texts; the same for the same arguments."""
+def labelled_table(rows: int = 11000, seed: int = 11, held: bool = False) -> list[list[tuple[str, str | None]]]:
+    """Marked texts; the same for the same arguments. held: rows of the carriers and names that are kept apart."""
     r = random.Random(seed)
     table = []
 
     def plain() -> str:
-        return _fill(r, r.choice(BACKGROUND if r.random() < 0.72 else DECOYS))
+        return _loosened(r, _fill(r, _pick(r, BACKGROUND if r.random() < 0.7 else DECOYS, held), held))
+
+    def told(wrap: str) -> bool:
+        return bool(re.search(r"[^\W\d_]{2}", re.sub(r"\{\w+\}", " ", wrap)))
 
     def marked() -> list[tuple[str, str | None]]:
         kind = r.choice(["PERSON", "PERSON", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS"])
-        wrap = r.choice(WRAP[kind])
-        if kind == "ID_NUMBER":
-            word, value = _identity(r)
-            wrap = wrap.replace("{K}", word)
+        if r.random() < 0.25 and kind != "ID_NUMBER":
+            wrap = ""
+            a, z = _pick(r, _AROUND, held)
+            if r.random() < 0.3:
+                a = _fill(r, "{N}") + a
         else:
-            value = {"PERSON": _person, "EMAIL": _email, "PHONE": _phone, "ADDRESS": _address}[kind](r)
-        a, z = wrap.split("{X}")
-        return [(_fill(r, a), None), (value, kind), (_fill(r, z), None)]
+            wrap = _pick(r, WRAP[kind], held)
+            if kind == "ID_NUMBER":
+                word, value = _identity(r)
+                wrap = wrap.replace("{K}", word)
+            a, z = (_fill(r, x, held) for x in wrap.split("{X}"))
+            if kind != "ID_NUMBER":
+                a, z = _loosened(r, a), _loosened(r, z)
+        if kind != "ID_NUMBER":
+            value = {"PERSON": _person, "PHONE": _phone}[kind](r, held, told(wrap)) if kind in ("PERSON", "PHONE") else {"EMAIL": _email, "ADDRESS": _address}[kind](r, held)
+        return [(a, None), (value, kind), (z, None)]
 
     for _ in range(rows):
         parts: list[tuple[str, str | None]] = []
         for _ in range(r.choice([1, 2, 2, 3, 3])):
             if parts:
-                parts.append((r.choice([" ", " ", " ", "\n", " | "]), None))
+                parts.append((r.choice([" ", " ", " ", "\n", " | ", ". "]), None))
             if r.random() < 0.42:
                 parts += marked()
             else:

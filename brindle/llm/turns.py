@@ -27,6 +27,7 @@ label is words; an empty table gives no turn.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import defaultdict
@@ -196,6 +197,7 @@ def pieces(text: str, labels: Labels) -> list[tuple[str | None, str, str | None]
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
 def phonetic(name: str) -> str:
     """A code that spellings of one sound share."""
     s = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if c.isalpha())
@@ -298,9 +300,9 @@ def resolve(keys: list[str], roster: set[tuple[str, str]]) -> dict[str, str]:
             own.append((k, label))
         taken = {name for name, _ in people}
         others = [label for f in range(4) if f != form for _, label in forms[f]]
-        names = sorted(roster - taken)
-        extra = [_SUPPORTED if any(_misfit(x, n) < 0.5 for x in others) else _FROM_ROSTER for n in names]
         mean = lambda g, name: sum(_misfit(label, name) for _, label in g) / len(g)
+        names = sorted(n for n in roster - taken if any(mean(g, n) + _SUPPORTED < _SOMEBODY for g in groups))
+        extra = [_SUPPORTED if any(_misfit(x, n) < 0.5 for x in others) else _FROM_ROSTER for n in names]
         cost = [[mean(g, name) for name, _ in people] + [mean(g, n) + e for n, e in zip(names, extra)] + [_SOMEBODY if i == j else 9.0 for j in range(len(groups))] for i, g in enumerate(groups)]
         known = len(people)
         for g, c in zip(groups, assign(cost)):
