@@ -7,10 +7,14 @@ time and id; what is left over when no message is ready lies on or behind a
 cycle. On the order follow the checks of roles and completeness.
 
 A conversation is cut into blocks of time, so that one of any length is spread
-over many tasks: Kahn's algorithm runs on the graph of each block, a parent in
-an earlier block counts as placed, and only one row per block is looked at when
-the blocks are put together. A parent that lies in a later block than its reply,
-or nowhere, can't be placed before it: the reply is left over.
+over many tasks. With explicit replies a first pass peels the graph in rounds of
+doubled steps, each a join on (conversation, id): it tells which messages reach a
+beginning, those on or behind a cycle or a parent that is nowhere, and the latest
+time among each message and those it replies to. Blocks follow that time, so a
+parent is never in a later block than its replies, and Kahn's algorithm on the
+graph of each block gives the same order as on the whole. Where the table has no
+replies the graph is a path and the order that of time and id. Only one row per
+block is looked at when the blocks are put together.
 
 Defined results: rows with equal conversation, role, content and time (nulls
 equal) count once, under their lowest id; a null time sorts first; rows with a
@@ -29,9 +33,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import BLOCK, blockwise_previous, with_block
+from brindle.operators.ordered import BLOCK, blockwise_previous
+from brindle.session import cut_lineage
 
 BLOCK_SECONDS = 6 * 3600
+#: Ids of a block of messages without a time.
+BLOCK_IDS = 4096
 
 # Spellings of the three usable roles, compared without case and outer characters that are no letters.
 USER_ROLES = ["user", "users", "human", "customer", "client", "person", "caller", "requester", "enduser", "end user", "usr", "question", "prompter", "me", "benutzer", "nutzer", "kunde", "utilisateur", "usuario"]
@@ -94,6 +101,25 @@ def kahn(nodes: list[tuple], parent_of: dict) -> tuple[list, list]:
     return order, sorted(x for rest in waiting.values() for x in rest)
 
 
+def peeled(rows: DataFrame) -> DataFrame:
+    """conversation_id, id, latest (time_us, id of the latest among a message and all it replies to), lost (on or behind a cycle or a parent that is nowhere).
+
+    rows: conversation_id, id, time_us, parent. In round k every message looks
+    2**k replies back, so the rounds are as many as the logarithm of the longest
+    conversation; without a cycle they end at the deepest reply.
+    """
+    state = cut_lineage(rows.select("conversation_id", "id", F.col("parent").alias("back"), F.struct("time_us", "id").alias("latest"), F.lit(False).alias("lost")))
+    longest = state.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(longest).bit_length() + 1):
+        if not state.where("back is not null").limit(1).count():
+            break
+        earlier = state.select(F.col("conversation_id").alias("__c"), F.col("id").alias("__id"), F.col("back").alias("__back"), F.col("latest").alias("__latest"), F.col("lost").alias("__lost"))
+        both = state.join(earlier, F.col("conversation_id").eqNullSafe(F.col("__c")) & (F.col("back") == F.col("__id")), "left")
+        nowhere = F.col("back").isNotNull() & F.col("__id").isNull()
+        state = cut_lineage(both.select("conversation_id", "id", F.col("__back").alias("back"), F.greatest("latest", "__latest").alias("latest"), (F.col("lost") | nowhere | F.coalesce("__lost", F.lit(False))).alias("lost")))
+    return state.select("conversation_id", "id", "latest", (F.col("lost") | F.col("back").isNotNull()).alias("lost"))
+
+
 _ORDERED = "conversation_id string, __block long, place long, id long, role_class string, says boolean, empty_answer boolean, cyclic boolean"
 
 
@@ -105,7 +131,7 @@ def _sort_blocks(explicit: bool):
         def ordered(rows: list[tuple]) -> list[tuple]:
             by_id = {r[3]: r for r in rows}
             if explicit:
-                # a parent outside the block was checked before; here it counts as placed
+                # a parent outside the block is in an earlier one
                 parents = {r[3]: (r[7] if r[7] in by_id else None) for r in rows}
             else:
                 parents, last = {}, None
@@ -140,23 +166,25 @@ def ordered_messages(messages: DataFrame, reply_to: str | None = None, block_sec
     rows = messages.select("conversation_id", "role", "content", "created_at", "id", *([F.col(reply_to).cast("long").alias("parent")] if reply_to else []), has_text(F.col("content")).alias("says"), is_empty_answer(F.col("content")).alias("empty_answer"))
     rows = deduplicated(rows, ["says", "empty_answer", *(["parent"] if reply_to else [])])
     rows = rows.withColumn("role_class", role_class(F.col("role"))).where("role_class != 'system'")
-    rows = rows.withColumn("block", F.coalesce(block_of(F.col("created_at"), block_seconds), F.lit(-(2**62))))
     rows = rows.withColumn("time_us", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(2**62))))
     if reply_to:
-        target = rows.select(F.col("conversation_id").alias("__c"), F.col("id").alias("__p"), F.col("block").alias("__pb"))
-        rows = rows.join(target, F.col("conversation_id").eqNullSafe(F.col("__c")) & (F.col("parent") == F.col("__p")), "left")
-        late = F.col("parent").isNotNull() & (F.col("__p").isNull() | (F.col("__pb") > F.col("block")))
-        rows = rows.withColumn("late", late)
+        rows = cut_lineage(rows)
+        back = peeled(rows.select("conversation_id", "id", "time_us", "parent")).select(F.col("conversation_id").alias("__c"), F.col("id").alias("__id"), "latest", "lost")
+        rows = rows.join(back, F.col("conversation_id").eqNullSafe(F.col("__c")) & (F.col("id") == F.col("__id")))
+        rows = rows.withColumn("parent", F.when(F.col("lost"), F.col("id")).otherwise(F.col("parent")))  # waits for itself: left over
     else:
-        rows = rows.withColumn("parent", F.lit(None).cast("long")).withColumn("late", F.lit(False))
-    rows = rows.select("conversation_id", "block", "time_us", "id", "role_class", "says", "empty_answer", F.when(F.col("late"), F.col("id")).otherwise(F.col("parent")).cast("long").alias("parent"))
+        rows = rows.withColumn("parent", F.lit(None).cast("long")).withColumn("latest", F.struct("time_us", "id"))
+    # messages without a time come first, by their ids
+    block = F.when(F.col("latest.time_us") > -(2**62), F.floor(F.col("latest.time_us") / (block_seconds * 1_000_000))).otherwise(F.lit(-(2**62)) + F.floor(F.col("latest.id") / BLOCK_IDS))
+    rows = rows.select("conversation_id", block.alias("block"), "time_us", "id", "role_class", "says", "empty_answer", "parent")
     placed = rows.repartition("conversation_id", "block").sortWithinPartitions("conversation_id", "block", "time_us", "id")
     return placed.mapInPandas(_sort_blocks(reply_to is not None), _ORDERED)
 
 
-def conversation_reasons(conversations: DataFrame, messages: DataFrame, reply_to: str | None = None, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """Conversations to drop: conversation_id, reason (empty, broken or missing_reply, the first that holds)."""
-    rows = blockwise_previous(ordered_messages(messages, reply_to, block_seconds), ["conversation_id"], ["place"], {"role_class": "before"})
+def conversation_reasons(conversations: DataFrame, messages: DataFrame, reply_to: str | None = None, block_seconds: int = BLOCK_SECONDS, ordered: DataFrame | None = None) -> DataFrame:
+    """Conversations to drop: conversation_id, reason (empty, broken or missing_reply, the first that holds). ordered: ordered_messages of these messages, where it is there already."""
+    ordered = cut_lineage(ordered_messages(messages, reply_to, block_seconds)) if ordered is None else ordered
+    rows = blockwise_previous(ordered, ["conversation_id"], ["place"], {"role_class": "before"})
     answer = F.col("role_class") == "assistant"
     after_user = F.coalesce(F.col("before") == "user", F.lit(False))
     summary = rows.groupBy("conversation_id").agg(
@@ -178,8 +206,8 @@ def conversation_reasons(conversations: DataFrame, messages: DataFrame, reply_to
 
 def rebuilt(conversations: DataFrame, messages: DataFrame, reply_to: str | None = None, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Turns of the conversations that are kept: conversation_id, turn_no, role, id, content."""
-    order = ordered_messages(messages, reply_to, block_seconds)
-    dropped = conversation_reasons(conversations, messages, reply_to, block_seconds).select("conversation_id")
+    order = cut_lineage(ordered_messages(messages, reply_to, block_seconds))
+    dropped = conversation_reasons(conversations, messages, reply_to, block_seconds, order).select("conversation_id")
     order = order.join(dropped, "conversation_id", "left_anti").where("conversation_id is not null")
     sizes = order.groupBy("conversation_id", BLOCK).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("conversation_id").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))

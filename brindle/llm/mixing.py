@@ -93,7 +93,7 @@ def fit_classifier(docs: DataFrame, keys: list[str], text: str, rows: int = TRAI
     """Log weights of domains x buckets and log prior of the domains, which is their part of all labelled documents. One row per source and bucket comes to the driver."""
     counts = {r["key"]: r["n"] for r in docs.where(F.col("key").isin(keys)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.create_map(*[F.lit(x) for k in keys for x in (k, min(1.0, rows / max(1, counts.get(k, 0))))])
-    chosen = docs.where(F.col("key").isin(keys)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part[F.col("key")] * 1_000_003)
+    chosen = docs.where(F.col("key").isin(keys)).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(2**53) < part[F.col("key")])
     table = np.full((len(keys), BUCKETS), alpha)
     for r in chosen.select("key", F.explode(_buckets(text)).alias("b")).groupBy("key", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         table[keys.index(r["key"]), r["b"]] += r["n"]

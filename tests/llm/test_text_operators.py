@@ -123,6 +123,34 @@ def test_explicit_replies_with_a_cycle(spark):
     assert [(r["conversation_id"], r["reason"]) for r in conversations.conversation_reasons(c, m, reply_to="re").collect()] == [("b", "broken")]
 
 
+def test_replies_across_blocks(spark):
+    """The order and what is left over do not depend on blocks: a parent in a later one, a cycle over two, a parent that is nowhere."""
+    r = random.Random(9)
+    rows, replies = [], {}
+    for c in range(12):
+        first = len(rows)
+        n = r.randint(2, 25)
+        for k in range(n):
+            rows.append((f"c{c}", r.choice(["user", "assistant"]), f"m{len(rows)}", r.choice([None, *range(0, 3000, 100)])))
+            if k and r.random() < 0.7:
+                replies[len(rows) - 1] = r.randint(first, first + n - 1) if c % 3 == 0 else r.randint(first, len(rows) - 2)
+    replies[5] = 10**6
+    m = chat(spark, rows)
+    m = m.join(spark.createDataFrame(sorted(replies.items()), "id long, re long"), "id", "left")
+    time = {i: (-(2**62) if t is None else t, i) for i, (_, _, _, t) in enumerate(rows)}
+    want = {}
+    for c in {x[0] for x in rows}:
+        ids = [i for i, x in enumerate(rows) if x[0] == c]
+        order, left = conversations.kahn([time[i] for i in ids], {i: replies.get(i) for i in ids})
+        want[c] = ([i for _, i in order], {i for _, i in left})
+    assert any(left for _, left in want.values())
+    for seconds in (60, 6 * 3600, 10**7):
+        got = conversations.ordered_messages(m, "re", seconds).orderBy("conversation_id", "__block", "place").collect()
+        for c, (order, left) in want.items():
+            assert [x["id"] for x in got if x["conversation_id"] == c and not x["cyclic"]] == order
+            assert {x["id"] for x in got if x["conversation_id"] == c and x["cyclic"]} == left
+
+
 ENGLISH = ["The purchase order was blocked by a tolerance check after the update.", "Open the worklist, look for the entry and change the document type.", "How do I move stock between two plants without changing the order?"] * 4
 GERMAN = ["Die Rechnung wurde doppelt gebucht, weil der Vertrag abgelaufen war.", "Sie können den Nummernkreis erweitern, sobald der Beleg nicht mehr bearbeitet wird.", "Warum erscheint die Meldung, wenn ich den Vorgang speichern möchte?"] * 4
 
