@@ -55,13 +55,18 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.turns(table(spark, d, "segments"), table(spark, d, "staff"))
 
 
-def p5_runs(spark: SparkSession, d: str) -> DataFrame:
-    found = runs.collapse_runs(table(spark, d, "screen_entries"), "doc_id", "entry_no", "start_sec", "text", setting(spark, d, "run_max_gap_sec"))
+def _runs(spark: SparkSession, d: str, single: bool) -> DataFrame:
+    found = runs.collapse_runs(table(spark, d, "screen_entries"), "doc_id", "entry_no", "start_sec", "text", setting(spark, d, "run_max_gap_sec"), single=single)
     return found.withColumnRenamed("entity", "doc_id")
 
 
+def p5_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The collapsed sequence: an entry for each stretch, with how often it was delivered and for how long it stayed."""
+    return _runs(spark, d, True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_runs(spark, d).select("doc_id", F.col("first_seq").cast("int").alias("first_entry"), F.col("last_seq").cast("int").alias("last_entry"))
+    return _runs(spark, d, False).select("doc_id", F.col("first_seq").cast("int").alias("first_entry"), F.col("last_seq").cast("int").alias("last_entry"))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:

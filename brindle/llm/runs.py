@@ -6,10 +6,11 @@ the machine runs over each sorted block, keeps the anchor of the open run and
 emits finished runs. Only the runs that touch the edge of a block (two rows a
 block at most) are then joined across blocks under the same test.
 
-The anchor moves: each event is compared with the one before it, as the
-statement of the problem wants. With anchor="first" it stays on the run's first
-event; runs then may also end at a block's edge that the anchor's similarity to
-the next block's first event does not bridge.
+The anchor is the latest event of the run: each event is compared with the one
+before it, as the statement of the problem wants, and so a run can be joined
+across the edge of a block by its last and the next block's first event. With
+single=True events that repeat nothing come out as runs of one, which makes the
+whole collapsed sequence.
 
 Defined results: null text is like nothing, also not like null; two blank texts
 are alike; a null start breaks the run; rows repeated in full count once; of
@@ -76,13 +77,14 @@ def alike(a: str | None, b: str | None, similarity: float = SIMILARITY) -> bool:
     return 2 * common_length(a, b) >= need
 
 
-def _machine(max_gap: float, similarity: float, anchor: str):
+def _machine(max_gap: float, similarity: float, single: bool):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = run = seen = None
         out: list[tuple] = []
 
         def finish(last_of_block: bool) -> None:
-            if run is not None:
+            # without `single`, events alone inside a block are done with: they can't grow any more
+            if run is not None and (single or run[2] > 1 or run[5] or last_of_block):
                 out.append((*key, *run[:5], run[5], last_of_block, run[6] if run[5] else None, run[7] if last_of_block else None))
 
         for pdf in batches:
@@ -95,17 +97,15 @@ def _machine(max_gap: float, similarity: float, anchor: str):
                     finish(True)
                     key, run = (entity, block), [seq, seq, 1, start, start, True, lean, lean]
                     continue
-                against = run[7] if anchor == "previous" else run[6]
-                if start - run[4] <= max_gap and alike(against, lean, similarity):
+                if start - run[4] <= max_gap and alike(run[7], lean, similarity):
                     run[1], run[2], run[4], run[7] = seq, run[2] + 1, start, lean
                 else:
                     finish(False)
                     run = [seq, seq, 1, start, start, False, lean, lean]
-            # single events inside a block can't grow any more
-            yield _frame([r for r in out if r[4] > 1 or r[7] or r[8]])
+            yield _frame(out)
             out.clear()
         finish(True)
-        yield _frame([r for r in out if r[4] > 1 or r[7] or r[8]])
+        yield _frame(out)
 
     return step
 
@@ -118,15 +118,15 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def collapse_runs(events: DataFrame, entity: str, seq: str, start: str, text: str, max_gap: float, similarity: float = SIMILARITY, anchor: str = "previous", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per maximal run of at least two events.
+def collapse_runs(events: DataFrame, entity: str, seq: str, start: str, text: str, max_gap: float, similarity: float = SIMILARITY, single: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per maximal run of at least two events, or of any number with `single`.
 
     Columns: entity, first_seq, last_seq, n_events, start, last_start, duration.
     """
     rows = events.select(F.col(entity).alias("entity"), F.col(seq).cast("long").alias("seq"), F.col(start).cast("double").alias("start"), F.col(text).alias("text"))
     rows = rows.where(F.col("seq").isNotNull()).withColumn("block", F.floor(F.col("seq") / block_rows))
     sorted_rows = rows.repartition(fanout(rows.sparkSession), "entity", "block").sortWithinPartitions("entity", "block", "seq", "start", "text")
-    islands = cut_lineage(sorted_rows.mapInPandas(_machine(float(max_gap), similarity, anchor), _SCHEMA))
+    islands = cut_lineage(sorted_rows.mapInPandas(_machine(float(max_gap), similarity, single), _SCHEMA))
     edge = F.col("at_start") | F.col("at_end")
 
     @F.pandas_udf("boolean")
@@ -146,5 +146,5 @@ def collapse_runs(events: DataFrame, entity: str, seq: str, start: str, text: st
         .drop("group")
     )
     inner = islands.where(~edge).select(*edges.columns)
-    runs = edges.unionByName(inner).where("n > 1")
+    runs = edges.unionByName(inner).where(F.lit(True) if single else F.col("n") > 1)
     return runs.select("entity", "first_seq", "last_seq", F.col("n").alias("n_events"), F.col("first_start").alias("start"), "last_start", (F.col("last_start") - F.col("first_start")).alias("duration"))

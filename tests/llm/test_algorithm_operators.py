@@ -54,6 +54,9 @@ def test_runs_equal_brute_force_for_any_block(spark, block):
     df = spark.createDataFrame(data + data[:40], EVENTS)
     got = sorted((x["entity"], x["first_seq"], x["last_seq"], x["n_events"]) for x in runs.collapse_runs(df, "e", "n", "t", "text", 120.0, block_rows=block).collect())
     assert got == brute_runs(data, 120.0)
+    every = runs.collapse_runs(df, "e", "n", "t", "text", 120.0, single=True, block_rows=block).collect()
+    assert sorted((x["entity"], x["first_seq"], x["last_seq"], x["n_events"]) for x in every if x["n_events"] > 1) == got
+    assert sum(x["n_events"] for x in every) == len(set(data)) and sorted(n for x in every for n in range(x["first_seq"], x["last_seq"] + 1) if x["entity"] == "r0") == sorted(n for e, n, _, _ in data if e == "r0")
 
 
 def test_runs_of_nulls_and_edges(spark):
