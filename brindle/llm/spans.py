@@ -1,39 +1,47 @@
 """Problem 9: long exact spans that stand in more than one record.
 
-Method: recompression. Each text is turned into symbols that depend on their
-content alone, so equal substrings get equal symbols away from their edges:
-first units of letters with what follows them, then rounds that replace short
-runs of one symbol and short pairs of a left and a right symbol by a new one.
-The sides of the symbols and the names of the new ones are hashes of what they
-stand for; all tasks therefore agree on them without exchanging a table of
-names, and a round needs no shuffle. After the rounds the symbol starts are
-positions on which two records that share a passage agree. Of these the one with
-the least name in every `spacing` characters is kept, and names the `reach`
-characters that begin there: the high-level symbols. They are the only thing
-that is shuffled for all records. Symbols that stand in two records, and agree
-on at least half of what such a passage needs besides, before or after the
-symbol, are carried back to the texts and extended to both sides, so what is
-reported is exact.
+Method: recompression. Texts become sequences of symbols whose names depend on
+their content alone, so equal substrings get equal symbols away from their
+edges, and rounds replace runs of one symbol and pairs of a left and a right
+symbol by new ones until what records share stands in few high-level symbols.
+
+The lowest rounds need no exchange: names are hashes of what they stand for,
+which all tasks agree on. Units of letters with what follows them are taken, then
+short runs and short pairs are named; the symbol starts are positions on which
+two records that share a passage agree. Of these the one with the least name in
+every `spacing` characters begins a symbol of level 0, which names the `reach`
+characters that follow. From there on rounds are Spark jobs over all records: the
+names of level 0 are counted globally (map-side first), and a symbol whose name
+no other record has can't be in a shared passage and is dropped. In each further
+round the runs and pairs of overlapping or adjoining symbols are named, the names
+are counted over all records, and those met in two records or more replace their
+parts. Rounds end when little is left to replace. Two records are then compared
+where they have a symbol in common that does not stand at the same place of one
+common symbol of a higher level: shared high-level symbols stand for all below
+them. The texts of such pairs are fetched and the match is verified and extended
+to both sides, so what is reported is exact.
 
 Why no passage is lost: a cut between symbols depends on at most `margin`
-characters at either side (16 for a unit; in each round one more run and one
-more symbol of that round's limit). A shared passage of `min_chars` therefore
+characters at either side (16 for a unit; in each local round one more run and
+one more symbol of that round's limit). A shared passage of `min_chars` therefore
 has `min_chars - margin` characters whose cuts agree in both records, a window
 of `spacing` of them has a least name, and margin + spacing + reach = min_chars.
+So both records have a symbol of level 0 in it; it is compared itself, or a
+symbol above it at the same distance is. Of what such a passage needs besides a
+symbol of level 0 at least half lies before or after it: of these symbols only
+those are compared whose surroundings on one side agree that far.
 
 Records with equal texts are represented by the one with the lowest id and
-brought back at the end. Of a shared passage only the first common symbol gives
-a pair: a symbol whose predecessor and distance to it are equal in all records
-that have it is passed over, so a passage in many records is not paired again at
-each of its symbols.
+brought back at the end.
 
 Symbols that are periodic in themselves stand anywhere in a periodic stretch (a
 rule of dashes, padding). In their place the first and the last `reach`
-characters of the exact stretch are symbols. Where a passage has part of a
-stretch of each record, either the ends or the beginnings of both stretches meet
-in it, and that symbol is common, or it has nothing but the stretch; stretches
-of min_chars and more therefore have a third symbol, named by the least of their
-rotations, that is compared without what stands around it.
+characters of the exact stretch are symbols; they take no part in the rounds.
+Where a passage has part of a stretch of each record, either the ends or the
+beginnings of both stretches meet in it, and that symbol is common, or it has
+nothing but the stretch; stretches of min_chars and more therefore have a third
+symbol, named by the least of their rotations, that is compared without what
+stands around it.
 
 Defined results: null texts and texts under min_chars share nothing; positions
 and lengths count code points; a record shares nothing with itself; repeated
@@ -56,6 +64,8 @@ ROUNDS = (8, 12)
 MARGIN = UNIT + sum(2 * x for x in ROUNDS)
 #: Ids are broadcast up to this number of rows of eight bytes; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 100_000
+#: Global rounds end when one has replaced no more than this part of the symbols, and at the latest after so many.
+LAST_ROUND, MOST_ROUNDS = 0.02, 16
 _BATCH_CHARS = 1 << 21
 
 _B = 0x9E3779B97F4A7C15
@@ -107,8 +117,8 @@ def _nearest(pos: np.ndarray, rank: np.ndarray, text: np.ndarray, spacing: int,
     return out
 
 
-def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the text, position, name and mark of the predecessor of each high-level symbol."""
+def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Index of the text, position, name, whether it is of a periodic stretch, and names of what stands before and after, of each symbol of level 0."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     n = int(first[-1])
@@ -181,7 +191,7 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
     period = np.zeros(len(start), dtype=np.int64)
     for q in range(reach // 2, 0, -1):
         period[(prefix[start + reach] - prefix[start + q]) * down[start + q] == (prefix[start + reach - q] - prefix[start]) * down[start]] = q
-    ends, inner, roots, held = [], [], [], (-1, 0, 0, 0)
+    ends, roots, held = [], [], (-1, 0, 0, 0)
     for k in np.flatnonzero(period):
         i, at, q = int(text[k]), int(start[k] - first[text[k]]), int(period[k])
         if held[:2] == (i, q) and held[2] <= at and at + reach <= held[3]:
@@ -189,26 +199,18 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
         low, high = _stretch(texts[i], at, q)
         held = (i, q, low, high)
         ends += [(int(first[i]) + low, i), (int(first[i]) + high - reach, i)]
-        inner.append(ends[-2:])
         if high - low >= spacing + reach + MARGIN:  # long enough to be shared by itself: named by its least rotation
             turn = int(first[i]) + low + np.arange(q)
             roots.append((int(turn[np.argmin(named(turn, turn + reach))]), i))
+    free = np.zeros(len(start), dtype=bool)
     if ends:
         plain = period == 0
         start = np.concatenate([start[plain], np.array([x for x, _ in ends], dtype=np.int64)])
         text = np.concatenate([text[plain], np.array([i for _, i in ends], dtype=np.int64)])
+        free = np.concatenate([free[plain], np.ones(len(ends), dtype=bool)])
         start, once = np.unique(start, return_index=True)
-        text = text[once]
+        text, free = text[once], free[once]
         name = named(start, start + reach)
-    mark = np.zeros(len(start), dtype=np.uint64)
-    if len(start):
-        gap = np.diff(start)
-        linked = (text[1:] == text[:-1]) & (gap <= reach)
-        mark[1:] = np.where(linked, _mix(name[:-1] + gap.astype(np.uint64)), np.uint64(0))
-    for (low, _), (high, _) in inner:  # all between the two ends of a stretch is known by its first end and its length
-        if high - low > reach:
-            k = int(np.searchsorted(start, high))
-            mark[k] = _mix(named(np.array([low]), np.array([low + reach])) + np.uint64(high - low))[0]
     # what stands before and after it: of a long enough common passage at least half the rest lies on one side
     half = -(-(spacing + MARGIN) // 2)
     before = np.where(start - half >= first[text], named(np.maximum(start - half, 0), start), np.uint64(0))
@@ -218,10 +220,10 @@ def symbols(texts: list[str], spacing: int, reach: int) -> tuple[np.ndarray, np.
         at = np.array([x for x, _ in roots], dtype=np.int64)
         own = np.array([i for _, i in roots], dtype=np.int64)
         none = np.zeros(len(at), dtype=np.uint64)
-        start, text, mark, before = np.concatenate([start, at]), np.concatenate([text, own]), np.concatenate([mark, none]), np.concatenate([before, none])
+        start, text, free, before = np.concatenate([start, at]), np.concatenate([text, own]), np.concatenate([free, none == 0]), np.concatenate([before, none])
         name = np.concatenate([name, _mix(named(at, at + reach) + np.uint64(_ROOT))])
         after = np.concatenate([after, np.full(len(at), np.uint64(_ROOT))])
-    return text, start - first[text], name, mark, before, after
+    return text, start - first[text], name, free, before, after
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -234,6 +236,9 @@ def lengths(min_chars: int) -> tuple[int, int]:
     return spacing, min_chars - MARGIN - spacing
 
 
+_SYMBOL = "name long, doc_id long, pos int, free boolean, before int, after int"
+
+
 def _symbol_rows(min_chars: int):
     spacing, reach = lengths(min_chars)
 
@@ -244,11 +249,8 @@ def _symbol_rows(min_chars: int):
             for b, t in enumerate(texts, 1):
                 held += len(t)
                 if held >= _BATCH_CHARS or b == len(texts):
-                    which, pos, name, mark, before, after = symbols(texts[a:b], spacing, reach)
-                    mine = ids[a:b][which]
-                    alone = mark == 0  # without a predecessor in reach: unlike any other
-                    mark = np.where(alone, _mix(mine.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + pos.astype(np.uint64)), mark)
-                    yield pd.DataFrame({"name": name.view(np.int64), "doc_id": mine, "pos": pos.astype(np.int32), "mark": mark.view(np.int64), "before": _short(before), "after": _short(after)})
+                    which, pos, name, free, before, after = symbols(texts[a:b], spacing, reach)
+                    yield pd.DataFrame({"name": name.view(np.int64), "doc_id": ids[a:b][which], "pos": pos.astype(np.int32), "free": free, "before": _short(before), "after": _short(after)})
                     a, held = b, 0
 
     return rows
@@ -330,6 +332,69 @@ def copies_of(docs: DataFrame) -> DataFrame:
     return cut_lineage(digest.join(groups, "digest").select("doc_id", "rep", "n"))
 
 
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """Names that stand in two records or more; checkpointed. Counted map-side first, so that a frequent name is one row a task."""
+    ends = rows.groupBy(name).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return cut_lineage(ends.where("low < high").select(name))
+
+
+def _common(rows: DataFrame, name: str, names: DataFrame) -> DataFrame:
+    """Rows whose name is among the names, broadcast where they are few."""
+    return rows.join(F.broadcast(names) if names.count() <= BROADCAST_IDS else names, name, "left_semi")
+
+
+def name_round(level: DataFrame, number: int) -> tuple[DataFrame, DataFrame, int]:
+    """One global round over symbols (doc_id, pos, end, name, before, after): the level after it, the symbols that were replaced, with the place in what replaces them (parent, offset), and their number.
+
+    Runs of one symbol at one distance are taken first, then pairs of a left and
+    a right symbol; sides are a bit of the name that changes from round to round.
+    """
+    per = Window.partitionBy("doc_id").orderBy("pos")
+    gap = F.col("pos") - F.lag("pos").over(per)
+    rows = level.withColumn("gap", gap).withColumn("joined", F.coalesce(F.lag("end").over(per) >= F.col("pos"), F.lit(False)))
+    rows = rows.withColumn("same", F.col("joined") & (F.lag("name").over(per) == F.col("name")))
+    begins = ~F.col("same") | (F.lag("same").over(per) & (F.lag("gap").over(per) != F.col("gap")))
+    rows = rows.withColumn("run", F.sum(F.coalesce(begins, F.lit(True)).cast("int")).over(per))
+    of_run = Window.partitionBy("doc_id", "run")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(of_run)).withColumn("at", F.min("pos").over(of_run)).withColumn("stride", F.max(F.when(F.col("pos") > F.col("at"), F.col("gap"))).over(of_run))
+    left = (F.xxhash64("name", F.lit(number)) % 2) == 0
+    alone = F.col("n") == 1
+    opens = alone & left & F.lead(alone & F.col("joined") & ~left).over(per)
+    closes = alone & ~left & F.col("joined") & F.lag(alone & left).over(per)
+    new = (
+        F.when(~alone, F.xxhash64("name", "stride", "n"))
+        .when(opens, F.xxhash64("name", F.lead("gap").over(per), F.lead("name").over(per), F.lit(0)))
+        .when(closes, F.xxhash64(F.lag("name").over(per), "gap", "name", F.lit(0)))
+    )
+    rows = rows.withColumn("new", new).withColumn("at", F.when(closes, F.lag("pos").over(per)).otherwise(F.col("at")))
+    rows = cut_lineage(rows.select(*level.columns, "new", "at"))
+    named = rows.where("new is not null")
+    names = _repeated(named, "new")
+    replaced = _common(named, "new", names)
+    kept = rows.where("new is null").unionByName(named.join(names, "new", "left_anti")).select(*level.columns)
+    higher = replaced.groupBy("doc_id", "at").agg(F.max("end").alias("end"), F.first("new").alias("name"))
+    none = F.lit(None).cast("int")
+    level = cut_lineage(kept.unionByName(higher.select("doc_id", F.col("at").alias("pos"), "end", "name", none.alias("before"), none.alias("after"))))
+    parts = cut_lineage(replaced.withColumn("parent", F.col("new")).withColumn("offset", F.col("pos") - F.col("at")).drop("new", "at"))
+    return level, parts, parts.count()
+
+
+def shared_symbols(single: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, pos, name, before, after, parent, offset of the symbols of all levels that two records have."""
+    reach = lengths(min_chars)[1]
+    rows = single.mapInPandas(_symbol_rows(min_chars), _SYMBOL)
+    rows = cut_lineage(_common(rows, "name", _repeated(rows.select("name", "doc_id"), "name")))
+    level = rows.where("not free").select("doc_id", "pos", (F.col("pos") + reach).alias("end"), "name", "before", "after")
+    out = rows.where("free").select("doc_id", "pos", "name", "before", "after", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("offset"))
+    for number in range(MOST_ROUNDS):
+        size = level.count()
+        level, parts, n = name_round(level, number)
+        out = out.unionByName(parts.select(*out.columns))
+        if n <= LAST_ROUND * size:
+            break
+    return out.unionByName(level.select("doc_id", "pos", "name", "before", "after", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("offset")))
+
+
 def shared_spans(documents: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Maximal common spans of different texts (doc_id_a, doc_id_b, start_a, start_b, n_chars) and the copies (doc_id, rep, n)."""
     if min_chars < MARGIN + 40:
@@ -337,17 +402,17 @@ def shared_spans(documents: DataFrame, min_chars: int, doc_id: str = "doc_id", t
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= min_chars)
     copies = copies_of(docs)
     single = _known(docs, copies.where("doc_id <> rep").select("doc_id"), "left_anti")
-    rows = single.mapInPandas(_symbol_rows(min_chars), "name long, doc_id long, pos int, mark long, before int, after int")
-    per = Window.partitionBy("name")
-    seen = rows.select("*", *[f("doc_id").over(per).alias(f"doc_{k}") for k, f in (("min", F.min), ("max", F.max))], *[f("mark").over(per).alias(f"mark_{k}") for k, f in (("min", F.min), ("max", F.max))])
-    shared = cut_lineage(seen.where("doc_min < doc_max and mark_min < mark_max").select("name", "doc_id", "pos", "mark", "before", "after"))
-    a, b = shared.alias("a"), shared.alias("b")
-    differ = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.mark") != F.col("b.mark")) & (F.col("a.name") == F.col("b.name"))
-    sides = [a.join(b, differ & (F.col(f"a.{side}") == F.col(f"b.{side}")) & (F.col(f"a.{side}") != 0)) for side in ("before", "after")]
-    pairs = sides[0].unionAll(sides[1])
-    pairs = pairs.groupBy(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"), (F.col("a.pos") - F.col("b.pos")).alias("shift")).agg(F.collect_set("a.pos").alias("all_pos"))
-    pairs = pairs.select("doc_id_a", "doc_id_b", "shift", F.explode("all_pos").alias("pos_a")).withColumn("pos_b", F.col("pos_a") - F.col("shift")).drop("shift")
-    pairs = cut_lineage(pairs)
+    found = shared_symbols(single, min_chars)
+    # a symbol of level 0 is compared with those whose surroundings agree on one side, one above it with all of its name
+    sides = F.array(F.when(F.col("before") != 0, F.xxhash64("name", "before", F.lit(1))), F.when(F.col("after") != 0, F.xxhash64("name", "after", F.lit(2))), F.when(F.col("before").isNull(), F.xxhash64("name", F.lit(3))))
+    keyed = found.select("doc_id", "pos", "parent", "offset", F.explode(F.array_compact(sides)).alias("key"))
+    keyed = cut_lineage(_common(keyed, "key", _repeated(keyed, "key")))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    covered = F.coalesce((F.col("a.parent") == F.col("b.parent")) & (F.col("a.offset") == F.col("b.offset")), F.lit(False))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & ~covered)
+    # the texts of two records are brought together once, with all places at which they may agree
+    places = F.collect_set(F.struct(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b")))
+    pairs = cut_lineage(pairs.groupBy(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).agg(places.alias("places")))
     paired = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
     texts = _known(single, cut_lineage(paired), "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("text_a")), "doc_id_a").join(texts.select(F.col("doc_id").alias("doc_id_b"), F.col("text").alias("text_b")), "doc_id_b")
@@ -357,15 +422,20 @@ def shared_spans(documents: DataFrame, min_chars: int, doc_id: str = "doc_id", t
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, e, pa, pb, x, y in zip(pdf["doc_id_a"], pdf["doc_id_b"], pdf["pos_a"], pdf["pos_b"], pdf["text_a"], pdf["text_b"]):
-                for i, j in alignments(x, pa, y, pb, reach):
-                    back, on = _agree_back(x, i, y, j), _agree(x, i, y, j)
-                    if back + on >= min_chars:
-                        out.append((d, e, i - back, j - back, back + on))
+            for d, e, places, x, y in zip(pdf["doc_id_a"], pdf["doc_id_b"], pdf["places"], pdf["text_a"], pdf["text_b"]):
+                spans: set[tuple[int, int, int]] = set()
+                for pa, pb in sorted((p["pos_a"], p["pos_b"]) for p in places):
+                    if any(i <= pa < i + n and pa - i == pb - j for i, j, n in spans):
+                        continue
+                    for i, j in alignments(x, pa, y, pb, reach):
+                        back, on = _agree_back(x, i, y, j), _agree(x, i, y, j)
+                        if back + on >= min_chars:
+                            spans.add((i - back, j - back, back + on))
+                out += [(d, e, *span) for span in spans]
             yield pd.DataFrame(out, columns=["doc_id_a", "doc_id_b", "start_a", "start_b", "n_chars"])
 
-    spans = both.select("doc_id_a", "doc_id_b", "pos_a", "pos_b", "text_a", "text_b").mapInPandas(extend, "doc_id_a long, doc_id_b long, start_a int, start_b int, n_chars int")
-    return spans.distinct(), copies
+    spans = both.select("doc_id_a", "doc_id_b", "places", "text_a", "text_b").mapInPandas(extend, "doc_id_a long, doc_id_b long, start_a int, start_b int, n_chars int")
+    return spans, copies
 
 
 def sharing_pairs(documents: DataFrame, min_chars: int, **names: str) -> DataFrame:

@@ -316,3 +316,32 @@ def test_shared_parts(spark):
     assert spans.sharing_pairs(df.limit(0), 240).count() == 0
     with pytest.raises(ValueError):
         spans.sharing_pairs(df, 50)
+
+
+def test_rounds_name_runs_and_pairs_over_all_records(spark):
+    """A long passage of three records ends in fewer symbols, equal in all of them, and what one record alone has stays as it is."""
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefgh klmnop. ") for _ in range(n))
+    passage = some(6000)
+    texts = [(1, some(500) + passage + some(300)), (2, some(120) + passage), (3, passage[:3000] + some(90)), (4, some(5000)), (5, (some(70) * 1)[:70] * 20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = spans.shared_symbols(df, 240).toPandas()
+    assert set(found.doc_id) == {1, 2, 3}
+    top = found[found.parent.isna()]
+    assert (found.before.isna() & found.parent.notna()).any() and 2 * len(top[top.doc_id == 1]) < len(found[(found.doc_id == 1) & found.before.notna()])
+    # symbols at one place of one parent are in one text
+    whole = dict(texts)
+    reach = spans.lengths(240)[1]
+    for _, g in found[found.before.notna()].groupby("name"):
+        assert len({whole[d][p : p + reach] for d, p in zip(g.doc_id, g.pos)}) == 1
+    got = sorted(tuple(x)[:2] + (x["n_chars"],) for x in spans.shared_spans(df, 240)[0].collect())
+    assert [x[:2] for x in got] == [(1, 2), (1, 3), (2, 3)] and got[0][2] >= 6000 and got[1][2] >= 3000
+
+
+def test_runs_of_one_symbol_are_one_symbol(spark):
+    rows = [(d, at + 60 * k, at + 60 * k + 92, 7, 1, 1) for d, at, n in ((1, 0, 5), (2, 40, 5), (3, 10, 4)) for k in range(n)]
+    level = spark.createDataFrame(rows, "doc_id long, pos int, end int, name long, before int, after int")
+    after, parts, n = spans.name_round(level, 0)
+    got = {x["doc_id"]: (x["pos"], x["end"]) for x in after.where("before is null").collect()}
+    assert n == parts.count() == 10 and got == {1: (0, 332), 2: (40, 372)} and after.where("doc_id = 3").count() == 4
+    assert {(x["offset"]) for x in parts.where("doc_id = 2").collect()} == {0, 60, 120, 180, 240}
