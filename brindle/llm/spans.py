@@ -65,7 +65,7 @@ MARGIN = UNIT + sum(2 * x for x in ROUNDS)
 #: Ids are broadcast up to this number of rows of eight bytes; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 100_000
 #: Global rounds end when one has replaced no more than this part of the symbols, and at the latest after so many.
-LAST_ROUND, MOST_ROUNDS = 0.02, 16
+LAST_ROUND, MOST_ROUNDS = 0.08, 16
 _BATCH_CHARS = 1 << 21
 
 _B = 0x9E3779B97F4A7C15
