@@ -57,7 +57,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, written
 
 UNIT = 16
 ROUNDS = (8, 12)
@@ -382,7 +382,7 @@ def name_round(level: DataFrame, number: int) -> tuple[DataFrame, DataFrame, int
 def shared_symbols(single: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, pos, name, before, after, parent, offset of the symbols of all levels that two records have."""
     reach = lengths(min_chars)[1]
-    rows = single.mapInPandas(_symbol_rows(min_chars), _SYMBOL)
+    rows = written(single.mapInPandas(_symbol_rows(min_chars), _SYMBOL))
     rows = cut_lineage(_common(rows, "name", _repeated(rows.select("name", "doc_id"), "name")))
     level = rows.where("not free").select("doc_id", "pos", (F.col("pos") + reach).alias("end"), "name", "before", "after")
     out = rows.where("free").select("doc_id", "pos", "name", "before", "after", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("offset"))
