@@ -370,17 +370,33 @@ def speakers(pieces_: DataFrame, staff: DataFrame) -> DataFrame:
     again = met.where("recordings > 1 or most > 1").select("given", "family", F.lit(True).alias("again"))
     both = split.join(wanted, ["doc_id", "key"], "left").join(again, ["given", "family"], "left").select("doc_id", "key", "kind", "n", "names", F.coalesce("again", F.lit(False)).alias("again"))
 
-    def name(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = {(x["given"], x["family"]) for row in pdf["names"] if row is not None for x in row}
-        rows = list(zip(pdf["key"], pdf["kind"], pdf["n"], pdf["again"]))
-        sure = {k for k, kind, _, again in rows if kind != "u" or again}
+    def of_recording(doc: str, rows: list[tuple]) -> list[tuple]:
+        """rows: key, kind, n, names, again."""
+        names = {(x["given"], x["family"]) for row in rows if row[3] is not None for x in row[3]}
+        sure = {k for k, kind, _, _, again in rows if kind != "u" or again}
         people = {part for k in sure if k[1] == "|" for part in k.split("|")[1:] if len(part) > 1}
         # by shape alone: an initial with a family name that is met again; one name that a label of the recording has
-        sure |= {k for k, kind, n, _ in rows if kind == "u" and ((parts := k.split("|"))[2] and len(parts[1]) == 1 and n > 1 or parts[2] in people or parts[1] in people)}
+        sure |= {k for k, kind, n, _, _ in rows if kind == "u" and ((parts := k.split("|"))[2] and len(parts[1]) == 1 and n > 1 or parts[2] in people or parts[1] in people)}
         found = resolve(sorted(sure), names)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "speaker": pdf["key"].map(lambda k: found.get(k))}).astype(object)
+        return [(doc, row[0], found.get(row[0])) for row in rows]
 
-    return both.repartition(fanout(both.sparkSession), "doc_id").groupBy("doc_id").applyInPandas(name, "doc_id string, key string, speaker string")
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        doc = None
+        for pdf in batches:
+            out: list[tuple] = []
+            for d, *row in zip(*(pdf[c].tolist() for c in ("doc_id", "key", "kind", "n", "names", "again"))):
+                if d != doc and held:
+                    out += of_recording(doc, held)
+                    held = []
+                doc = d
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "speaker"]).astype(object)
+        if held:
+            yield pd.DataFrame(of_recording(doc, held), columns=["doc_id", "key", "speaker"]).astype(object)
+
+    own_order = both.repartition(fanout(both.sparkSession), "doc_id").sortWithinPartitions("doc_id", "key")
+    return own_order.mapInPandas(name, "doc_id string, key string, speaker string")
 
 
 def turn_pieces(segments: DataFrame, staff: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
