@@ -19,6 +19,8 @@ class Config:
     final_k: int = 5
     rrf_k: int = 60
     list_cap: int = 25
+    figure_candidates: int = 3
+    overview_candidates: int = 2
     high: float = 0.75
     low: float = 0.40
     rerank_floor: float = -10.5

@@ -5,10 +5,11 @@ idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), with
 idf = ln(N - n + 0.5) - ln(n + 0.5); words with a negative idf get epsilon times
 the mean idf of all words.
 
-The weights of the queries' words go to the tasks in blocks of bounded size; a
-task multiplies the word counts of its passages with them and keeps the best of
-each query, so no posting is shuffled and a frequent word costs no more than a
-rare one.
+Queries come in blocks of bounded size, one block at a time on the driver; the
+weights of a block's words go to the tasks, which multiply the word counts of
+their passages with them and keep the k best of each query as they go. A task
+passes on k rows a query however many passages it has read; no posting is
+shuffled and a frequent word costs no more than a rare one.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from brindle.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Most numbers in a block of query weights (words x queries) that is sent to the tasks.
-BLOCK_NUMBERS = 4_000_000
-_ROWS = 2048
+#: Words and queries of a block at most.
+BLOCK_WORDS, BLOCK_QUERIES = 20_000, 512
+_ROWS = 1024
 
 
 @dataclass
@@ -73,49 +74,73 @@ def build(passages: DataFrame, id_col: str, text_col: str, ord_col: str | None =
 def search(index: Index, queries: DataFrame, query_id: str, query_text: str, k: int = 20) -> DataFrame:
     """The k best passages of each query: query_id, id, score, rank; ties in stored order.
 
-    Always min(k, N) rows: passages without a common word score 0. Queries must
-    be few against the passages: their words are read on the driver.
+    Always min(k, N) rows: passages without a common word score 0.
     """
     words = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = words.join(index.terms.select("term", "idf"), "term", "left").select("query_id", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("w"), F.col("idf").isNotNull().alias("known"))
-    rows = weighted.toPandas()
+    weighted = words.join(index.terms.select("term", "idf"), "term", "left")
+    one = weighted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", F.col("qtf") * F.col("idf"))))).alias("weights"))
     kinds = dict(index.docs.dtypes)
     schema = f"query_id {dict(words.dtypes)['query_id']}, id {kinds['id']}, ord {kinds['ord']}, score double"
-    ids = sorted(rows["query_id"].unique())
-    step = max(1, BLOCK_NUMBERS // max(1, rows["term"].nunique()))
-    found = None
-    for a in range(0, len(ids), step):
-        part = _block(index, rows, ids[a : a + step], k, schema)
+    found: DataFrame | None = None
+    block: list[tuple] = []
+    met: set[str] = set()
+    for row in one.toLocalIterator():
+        if block and (len(block) == BLOCK_QUERIES or len(met | row["weights"].keys()) > BLOCK_WORDS):
+            part = _block(index, block, k, schema)
+            found, block, met = part if found is None else found.unionByName(part), [], set()
+        block.append((row["query_id"], row["weights"]))
+        met |= row["weights"].keys()
+    if block or found is None:
+        part = _block(index, block, k, schema)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def _block(index: Index, rows: pd.DataFrame, ids: list, k: int, schema: str) -> DataFrame:
-    own = rows[rows["query_id"].isin(ids) & rows["known"]]
-    terms = {t: i for i, t in enumerate(sorted(own["term"].unique()))}
-    place = {q: i for i, q in enumerate(ids)}
-    weights = np.zeros((len(terms), len(ids)))
-    weights[own["term"].map(terms).to_numpy(dtype=int), own["query_id"].map(place).to_numpy(dtype=int)] = own["w"].to_numpy()
-    avgdl, names = index.avgdl or 1.0, np.array(ids, dtype=object)
+def _block(index: Index, block: list[tuple], k: int, schema: str) -> DataFrame:
+    terms = {t: i for i, t in enumerate(sorted({t for _, w in block for t in w}))}
+    names = np.array([q for q, _ in block], dtype=object)
+    at = np.array([(terms[t], j) for j, (_, w) in enumerate(block) for t in w], dtype=np.int64).reshape(-1, 2)
+    values = np.array([x for _, w in block for x in w.values()])
+    avgdl = index.avgdl or 1.0
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not len(names):
+            return
+        weights = np.zeros((len(terms), len(names)))
+        weights[at[:, 0], at[:, 1]] = values
+        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for whole in batches:
-            for at in range(0, len(whole), _ROWS):
-                pdf = whole.iloc[at : at + _ROWS].sort_values("ord", kind="stable")
-                counts = np.zeros((len(pdf), len(terms)))
+            for first in range(0, len(whole), _ROWS):
+                pdf = whole.iloc[first : first + _ROWS]
+                rows, columns, counts = [], [], []
                 for i, w in enumerate(pdf["words"]):
                     for t, n in Counter(w).items():
                         j = terms.get(t)
                         if j is not None:
-                            counts[i, j] = n
+                            rows.append(i)
+                            columns.append(j)
+                            counts.append(n)
+                used, column = np.unique(columns, return_inverse=True)  # the batch's own words alone are multiplied
                 length = K1 * (1 - B + B * pdf["dl"].to_numpy(dtype=float) / avgdl)
-                score = np.round((counts * (K1 + 1) / (counts + length[:, None] + (counts == 0))) @ weights, 9)
-                order = np.argsort(-score, axis=0, kind="stable")[:k]
-                n = order.shape[0]
-                flat = order.T.ravel()
-                yield pd.DataFrame({"query_id": np.repeat(names, n), "id": pdf["id"].to_numpy()[flat], "ord": pdf["ord"].to_numpy()[flat], "score": np.take_along_axis(score, order, 0).T.ravel()})
+                tf = np.zeros((len(pdf), len(used)))
+                if len(used):
+                    n = np.array(counts, dtype=float)
+                    tf[rows, column] = n * (K1 + 1) / (n + length[rows])
+                score = np.round(tf @ weights[used.astype(int)], 9).T
+                ids, order = (np.broadcast_to(pdf[c].to_numpy(), score.shape) for c in ("id", "ord"))
+                if kept is not None:
+                    score, ids, order = (np.concatenate([a, b], axis=1) for a, b in zip(kept, (score, ids, order)))
+                if score.shape[1] > k:  # the k best and all that tie with the last of them, then these by stored order
+                    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    chosen = np.empty((len(score), k), dtype=np.int64)
+                    for q in range(len(score)):
+                        near = np.flatnonzero(score[q] >= least[q])
+                        chosen[q] = near[sorted(range(len(near)), key=lambda x: (-score[q, near[x]], order[q, near[x]]))[:k]]
+                    score, ids, order = (np.take_along_axis(np.asarray(x), chosen, 1) for x in (score, ids, order))
+                kept = score, ids, order
+        if kept is not None:
+            score, ids, order = kept
+            yield pd.DataFrame({"query_id": np.repeat(names, score.shape[1]), "id": np.asarray(ids).ravel(), "ord": np.asarray(order).ravel(), "score": score.ravel()})
 
     return index.docs.select("id", "ord", "words", "dl").mapInPandas(best, schema)

@@ -90,3 +90,13 @@ def transcripts_for_handover(messages: DataFrame, turns: int = 6, chars: int = 3
     line = F.concat(who, F.lit(": "), F.substring(F.coalesce("content", F.lit("")), 1, chars))
     one = rows.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
     return one.select("conversation_id", F.array_join(F.transform("x", lambda y: y["line"]), "\n").alias("history"))
+
+
+def handover_payloads(messages: DataFrame, now: Column) -> DataFrame:
+    """conversation_id, ticket, short_description (the last question), description (the last turns): what a hand-over to people sends."""
+    role = F.lower(F.trim("role"))
+    asked = messages.where(role == "user").groupBy("conversation_id").agg(F.max_by(F.coalesce("content", F.lit("")), "id").alias("question"))
+    rows = transcripts_for_handover(messages).join(asked, "conversation_id", "left")
+    short = F.substring(F.coalesce("question", F.lit("")), 1, 100)
+    text = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\nLast turns:\n"), F.col("history"))
+    return rows.select("conversation_id", F.concat(F.lit("REQ"), F.date_format(now, "yyyyMMddHHmmss")).alias("ticket"), short.alias("short_description"), text.alias("description"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +23,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     """
     rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).orderBy(query_id)
     size = rows.select(F.max(F.size(query_vector))).first()[0]
+    schema = f"query_id {dict(rows.dtypes)[query_id]}, id {dict(vectors.dtypes)[vec_id]}, distance double"
     found = None
     if size:
         step = max(1, BLOCK_NUMBERS // int(size))
-        own = rows.toPandas()
-        for a in range(0, len(own), step):
-            block = own.iloc[a : a + step]
-            part = _block(vectors, block[query_id].to_numpy(), np.stack(block[query_vector].to_numpy()).astype(np.float64), k, vec_id, vector)
+        every = rows.toLocalIterator()
+        while block := list(itertools.islice(every, step)):
+            part = _block(vectors, np.array([r[0] for r in block], dtype=object), np.array([r[1] for r in block], dtype=np.float64), k, vec_id, vector, schema)
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+        found = vectors.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, vec_id: str, vector: str) -> DataFrame:
+def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, vec_id: str, vector: str, schema: str) -> DataFrame:
     unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,10 +52,10 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, vec_id: s
             i = np.broadcast_to(pdf["id"].to_numpy(), d.shape)
             if kept_d is not None:
                 d, i = np.concatenate([kept_d, d], axis=1), np.concatenate([kept_i, i], axis=1)
-            order = np.lexsort((i, d), axis=1)[:, :k]
+            order = np.lexsort((np.asarray(i, dtype=str) if i.dtype == object else i, d), axis=1)[:, :k]
             kept_d, kept_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         if kept_d is not None:
             n = kept_d.shape[1]
             yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": kept_i.ravel(), "distance": kept_d.ravel()})
 
-    return vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).mapInPandas(best, "query_id long, id long, distance double")
+    return vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).mapInPandas(best, schema)

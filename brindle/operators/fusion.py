@@ -47,20 +47,22 @@ def pin(ranked: DataFrame, exact: DataFrame, config: Config = DEFAULT) -> DataFr
     return head.unionByName(rest.select(*head.columns)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.final_k)
 
 
-def promote(ranked: DataFrame, candidates: DataFrame, wanted: Column, intent: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """For queries in `intent` (query_id) whose list has no passage that is `wanted`: the best wanted candidate takes the last place.
+def promote(ranked: DataFrame, candidates: DataFrame, kind: Column, intent: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """For queries in `intent` (query_id) whose list has no passage of the kind: the candidate with the best score takes the last place.
 
-    The first final_k - 1 stay; then the list is ordered by score again, pinned ones in front.
+    candidates: query_id, text, meta, rerank_score, place (their order, which
+    breaks ties), found by a search of their own among passages of the kind. The
+    first final_k - 1 of the list stay; then it is ordered by score again, pinned
+    ones in front, equal scores as they were.
     """
-    want = F.coalesce(wanted, F.lit(False))
-    lacking = intent.select("query_id").distinct().join(ranked.where(want).select("query_id").distinct(), "query_id", "left_anti")
+    lacking = intent.select("query_id").distinct().join(ranked.where(F.coalesce(kind, F.lit(False))).select("query_id").distinct(), "query_id", "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "place")
-    best = candidates.where(want).join(lacking, "query_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
-    best = best.select("query_id", "text", "meta", "rrf", "place", "rerank_score", F.lit(config.final_k).alias("rank"), F.lit(False).alias("pinned"))
+    best = candidates.join(lacking, "query_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    best = best.select("query_id", "text", "meta", F.lit(0.0).alias("rrf"), "place", "rerank_score", F.lit(config.final_k).alias("rank"), F.lit(False).alias("pinned"))
     touched = best.select("query_id")
     kept = ranked.join(touched, "query_id", "left_semi").where(F.col("rank") < config.final_k)
     both = kept.select(*best.columns).unionByName(best)
-    again = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("rerank_score"), "place")
+    again = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("rerank_score"), "rank")
     return ranked.join(touched, "query_id", "left_anti").select(*best.columns).unionByName(both.withColumn("rank", F.row_number().over(again)))
 
 
@@ -76,9 +78,9 @@ def with_confidence(ranked: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return out.withColumn("band", F.when(F.col("confidence") >= config.high, "high").when(F.col("confidence") >= config.low, "medium").otherwise("low"))
 
 
-def known_sources(ranked: DataFrame, source_file: Column) -> DataFrame:
-    """Drop passages of unknown files, unless a query then has none."""
-    known = source_file.isNotNull() & ~source_file.isin("", "unknown", "?")
+def known_sources(ranked: DataFrame, source_type: Column) -> DataFrame:
+    """Drop passages of an unknown source type, unless a query then has none."""
+    known = source_type.isNotNull() & ~source_type.isin("", "unknown")
     any_known = F.max(known.cast("int")).over(Window.partitionBy("query_id"))
     return ranked.withColumn("__known", known).withColumn("__any", any_known).where("__known or __any = 0").drop("__known", "__any")
 
@@ -93,19 +95,22 @@ def assessment(queries: DataFrame, ranked: DataFrame, query_id: str, query_text:
     return rows.select("query_id", top.alias("top_confidence"), F.when(short, "medium").otherwise(band).alias("band"), (~short & (band == "low")).alias("escalate"))
 
 
+META = ("chunk_id", "source_type", "source_file", "chunk_type")
+
+
 def enrich(hits: DataFrame, passages: DataFrame, collection_source: dict[str, str]) -> DataFrame:
     """Meta of keyword hits (query_id, collection, id, text): by id, else by text (the last row of equal ones), else the collection's source type."""
-    by_id = passages.select(F.col("chunk_id").alias("id"), F.struct("source_type", "source_file", "chunk_type").alias("m1"))
-    by_text = passages.groupBy(F.col("text")).agg(F.max_by(F.struct("source_type", "source_file", "chunk_type"), "ord").alias("m2"))
+    by_id = passages.select(F.col("chunk_id").alias("id"), F.struct(*META).alias("m1"))
+    by_text = passages.join(hits.select("text").distinct(), "text", "left_semi").groupBy(F.col("text")).agg(F.max_by(F.struct(*META), "ord").alias("m2"))
     guess = F.create_map(*[F.lit(x) for kv in collection_source.items() for x in kv])
-    inferred = F.struct(guess[F.col("collection")].alias("source_type"), F.lit("unknown").alias("source_file"), F.lit("").alias("chunk_type"))
+    inferred = F.struct(F.col("id").cast("string").alias("chunk_id"), guess[F.col("collection")].alias("source_type"), F.lit("unknown").alias("source_file"), F.lit("").alias("chunk_type"))
     return hits.join(by_id, "id", "left").join(by_text, "text", "left").select(*hits.columns, F.coalesce("m1", "m2", inferred).alias("meta"))
 
 
-def exact_rows(queries: DataFrame, sheets: DataFrame, query_id: str, identifier: Column, collections: tuple[str, ...]) -> DataFrame:
-    """First row whose row_key is the query's identifier, collections in their order: query_id, text, meta."""
+def exact_rows(queries: DataFrame, sheets: DataFrame, query_id: str, identifier: Column, collections: tuple[str, ...], near: Column | None = None) -> DataFrame:
+    """The row whose row_key is the query's identifier, of the first collection that has one, the nearest first where a distance of query and row is given: query_id, text, meta."""
     order = F.create_map(*[F.lit(x) for i, c in enumerate(collections) for x in (c, i)])
-    keyed = queries.select(F.col(query_id).alias("query_id"), identifier.alias("row_key")).where("row_key is not null")
+    keyed = queries.withColumn("row_key", identifier).where("row_key is not null").withColumnRenamed(query_id, "query_id")
     hit = keyed.join(sheets.where(F.col("collection").isin(list(collections))), "row_key")
-    first = Window.partitionBy("query_id").orderBy(order[F.col("collection")], "ord")
+    first = Window.partitionBy("query_id").orderBy(order[F.col("collection")], *([near] if near is not None else []), "ord")
     return hit.withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "text", "meta")

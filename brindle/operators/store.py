@@ -6,7 +6,7 @@ snapshot, or as MERGE and DELETE where its table format has them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.config import COLLECTIONS
@@ -66,6 +66,47 @@ def marked_failed(registry: DataFrame, doc_id: Column, reason: str) -> DataFrame
     return with_status(registry, doc_id, "failed", notes=reason)
 
 
+def with_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """Status, chunk_count and notes of many documents at once: changes has doc_id and any of the three, null where a value stays."""
+    own = [c for c in ("status", "chunk_count", "notes") if c in changes.columns]
+    new = changes.select("doc_id", *[F.col(c).alias(f"__{c}") for c in own])
+    out = registry.join(new, "doc_id", "left")
+    return out.select(*[F.coalesce(f"__{c}", c).alias(c) if c in own else F.col(c) for c in registry.columns])
+
+
+def documents_of(registry: DataFrame, source_type: str | None = None) -> DataFrame:
+    """The registry, of one source type where it is given, newest first."""
+    rows = registry if source_type is None else registry.where(F.col("source_type") == source_type)
+    return rows.orderBy(F.desc("ingested_at"), "doc_id")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is not among `gone`, and key and n of those taken out; a key without rows counts 0."""
+    keys = gone.select(key).distinct()
+    marked = rows.join(keys.withColumn("__gone", F.lit(True)), key, "left")
+    counts = keys.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")), key, "left").select(key, F.coalesce("c", F.lit(0)).alias("n"))
+    return delete_where(marked, F.col("__gone")).drop("__gone").select(*rows.columns), counts
+
+
+def split_by_sensitivity(passages: DataFrame, level: str = "sensitivity_level") -> tuple[DataFrame, DataFrame]:
+    """Passages that may be stored, and those of high sensitivity, which are blocked."""
+    high = F.coalesce(F.col(level) == "high", F.lit(False))
+    return passages.where(~high), passages.where(high)
+
+
+def ingestion_summary(safe: DataFrame, blocked: DataFrame) -> DataFrame:
+    """doc_id, chunk_type, n_stored, n_blocked."""
+    both = safe.select("doc_id", "chunk_type", F.lit(1).alias("s"), F.lit(0).alias("b")).unionByName(blocked.select("doc_id", "chunk_type", F.lit(0).alias("s"), F.lit(1).alias("b")))
+    return both.groupBy("doc_id", "chunk_type").agg(F.sum("s").alias("n_stored"), F.sum("b").alias("n_blocked"))
+
+
+def reset(spark: SparkSession, paths: list[str]) -> None:
+    """Remove the folders of tables; conversations and figures stay where they are not named."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def new_files(files: DataFrame, registry: DataFrame, name: str = "filename") -> DataFrame:
     """Files whose name no ready document has."""
     return files.join(registry.where("status = 'ready'").select(F.col("filename").alias(name)), name, "left_anti")
@@ -103,6 +144,19 @@ def renamed(conversations: DataFrame, conversation_id: Column, title: Column, no
     return conversations.withColumn("title", F.when(hit, rename_title(title)).otherwise(F.col("title"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")))
 
 
+def retitled(conversations: DataFrame, titles: DataFrame, now: Column) -> DataFrame:
+    """New titles (conversation_id, title) of many conversations at once, as renamed gives them."""
+    new = titles.select("conversation_id", rename_title("title").alias("__title"))
+    out = conversations.join(new, "conversation_id", "left")
+    moved = F.when(F.col("__title").isNotNull(), now).otherwise(F.col("updated_at"))
+    return out.withColumn("title", F.coalesce("__title", "title")).withColumn("updated_at", moved).select(*conversations.columns)
+
+
+def listed(conversations: DataFrame) -> DataFrame:
+    """The last changed first."""
+    return conversations.orderBy(F.desc("updated_at"), "conversation_id")
+
+
 def deleted(conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the conversations in `gone`."""
     return tuple(t.join(gone.select("conversation_id"), "conversation_id", "left_anti") for t in (conversations, messages))  # type: ignore[return-value]

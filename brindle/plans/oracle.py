@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from brindle.functions import guard
 
-_ASKED = "SELECT id AS query_id, content AS query FROM messages WHERE id % 50 = 0 AND lower(trim(role)) = 'user' AND trim(content) <> ''"
+from . import stores
+
+_ASKED = "SELECT id AS query_id, content AS query FROM messages WHERE id % 50 = 0 AND trim(content) <> ''"
 
 
 def _bm25(passages: str, k: int, name: str = "") -> str:
@@ -36,6 +38,53 @@ _CLEAN = r"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_re
 _ROLE = "lower(trim(role))"
 
 
+def _letters(column: str) -> str:
+    """How often each letter and digit stands in a text, without case."""
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), lambda s: (length(lower({column})) - length(replace(lower({column}), s, '')))::DOUBLE)"
+
+
+def _hybrid() -> str:
+    names = ("pdf", "incident", "defect", "video")
+    words = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[\\s\\p{{Z}}]+'), lambda x: x <> ''))"
+    score = f"round(len(list_intersect({words('query')}, {words('text')})) / greatest(1, len({words('query')}))::DOUBLE - 1e-6::DOUBLE * least(length(text), 10000), 9)"
+    distance = "round(1 - coalesce(nullif(list_cosine_similarity(a.v, p.v), 'nan'::DOUBLE), 0), 9)"
+    bm = ", ".join(_bm25(f"SELECT chunk_id AS id, chunk_id AS ord, text FROM passages WHERE source_type = '{n}'", 20, f"_{n}") for n in names)
+    keyword = " UNION ALL ".join(f"SELECT query_id, {2 * i + 1} AS list_no, rank, id AS chunk_id FROM bm_{n}" for i, n in enumerate(names))
+    kinds = (("figure", guard.FIGURE_INTENT, 3, "true", "image_may_contain_pii = 'True'"), ("sheet_summary", guard.AGGREGATE_INTENT, 2, "source_type IN ('incident', 'defect')", "true"), ("transcript_summary", guard.TRANSCRIPT_INTENT, 3, "source_type = 'video'", "true"))
+    steps, last = "", "pinned"
+    for n, (kind, pattern, k, among, then) in enumerate(kinds):
+        steps += f""",
+    want{n} AS (SELECT query_id, query FROM asked WHERE regexp_matches(query, {_quoted(pattern)}, 'i') AND query_id NOT IN (SELECT query_id FROM {last} JOIN passages USING (chunk_id) WHERE chunk_type = '{kind}')),
+    cand{n} AS (SELECT * FROM (SELECT query_id, query, chunk_id, text, c, row_number() OVER (PARTITION BY query_id, source_type ORDER BY distance, chunk_id) AS r, image_may_contain_pii FROM dist JOIN want{n} USING (query_id) WHERE chunk_type = '{kind}' AND {among}) WHERE r <= {k} AND {then}),
+    best{n} AS (SELECT query_id, chunk_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, 2000 * c + r) AS n FROM (SELECT *, {score} AS s FROM cand{n})) WHERE n = 1),
+    step{n} AS (
+        SELECT * FROM {last} WHERE query_id NOT IN (SELECT query_id FROM best{n}) UNION ALL
+        SELECT query_id, chunk_id, s, pin, row_number() OVER (PARTITION BY query_id ORDER BY pin DESC, s DESC, rank) AS rank FROM (
+            SELECT * FROM {last} WHERE rank < 5 AND query_id IN (SELECT query_id FROM best{n}) UNION ALL SELECT query_id, chunk_id, s, false, 5 FROM best{n}))"""
+        last = f"step{n}"
+    return f"""WITH passages AS MATERIALIZED (SELECT DISTINCT * FROM chunks WHERE text IS NOT NULL), asked AS MATERIALIZED ({_ASKED}), {bm},
+    av AS MATERIALIZED (SELECT *, {_letters("query")} AS v FROM asked), pv AS MATERIALIZED (SELECT *, {_letters("text")} AS v, list_position(['pdf', 'incident', 'defect', 'video'], source_type) - 1 AS c FROM passages),
+    dist AS MATERIALIZED (SELECT a.query_id, p.* EXCLUDE (v), {distance} AS distance FROM av a, pv p),
+    lists AS MATERIALIZED (
+        SELECT query_id, list_no, rank, chunk_id, p.text FROM (
+            SELECT query_id, 2 * c AS list_no, rank, chunk_id FROM (SELECT query_id, c, chunk_id, row_number() OVER (PARTITION BY query_id, c ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 20
+            UNION ALL {keyword}) JOIN passages p USING (chunk_id)),
+    one AS (SELECT query_id, text, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, min(list_no * 1000 + rank) AS first, arg_min(chunk_id, list_no * 1000 + rank) AS chunk_id FROM lists GROUP BY ALL),
+    fused AS (SELECT * FROM (SELECT query_id, text, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first) AS place FROM one) WHERE place <= 10),
+    heads AS (SELECT query_id, text, arg_min(chunk_id, list_no) AS chunk_id, 1000 + min(list_no) AS place FROM lists WHERE rank = 1 GROUP BY ALL),
+    every AS (SELECT * FROM fused UNION ALL SELECT h.* FROM heads h ANTI JOIN fused f ON f.query_id = h.query_id AND f.text = h.text),
+    scored AS (SELECT query_id, chunk_id, text, place, {score} AS s FROM every JOIN asked USING (query_id)),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS rank FROM scored) WHERE rank <= 5),
+    ids AS (SELECT query_id, nullif(regexp_extract(query, '(?:^|[^A-Za-z0-9_])([A-Za-z]{{0,6}}\d{{3,}}[A-Za-z0-9]*)(?:$|[^A-Za-z0-9_])', 1), '') AS k FROM asked),
+    exact AS (SELECT * FROM (SELECT d.query_id, d.chunk_id, d.text, row_number() OVER (PARTITION BY d.query_id ORDER BY d.c, d.distance, d.chunk_id) AS n FROM dist d JOIN ids ON ids.query_id = d.query_id AND ids.k = d.row_key WHERE d.source_type IN ('incident', 'defect')) WHERE n = 1),
+    pinned AS (SELECT * FROM (SELECT query_id, chunk_id, s, pin, row_number() OVER (PARTITION BY query_id ORDER BY pin DESC, rank) AS rank FROM (
+        SELECT query_id, chunk_id, NULL::DOUBLE AS s, true AS pin, 0 AS rank FROM exact UNION ALL
+        SELECT t.query_id, t.chunk_id, t.s, false, t.rank FROM top t ANTI JOIN exact e ON e.query_id = t.query_id AND e.text = t.text)) WHERE rank <= 5){steps},
+    bounds AS (SELECT *, min(s) OVER (PARTITION BY query_id) AS lo, max(s) OVER (PARTITION BY query_id) AS hi FROM {last}),
+    conf AS (SELECT query_id, rank::INT AS rank, chunk_id, CASE WHEN pin THEN 1.0::DOUBLE ELSE round(CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE (s - lo) / (hi - lo) END * CASE WHEN hi < -10.5 THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END, 4) END AS confidence FROM bounds)
+    SELECT query_id, rank, chunk_id, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.40 THEN 'medium' ELSE 'low' END AS band FROM conf"""
+
+
 def _any(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
@@ -73,6 +122,83 @@ _TERM_LIST = ["batch certificate", "number range", "approval", "worklist"]
 _ERR = r"list_distinct(regexp_extract_all(content, '(?i)\berror\s*#?\s*(\d{3,6})\b', 1))"
 _HINTS = "list_slice(list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(before, ''), '\\s+'), lambda w: length(w) > 3), lambda w: lower(w)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in guard.HINT_STOP_WORDS) + "], w)), 1, 3)"
 
+_TAGS = "CASE WHEN contains(text, '<') THEN replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') ELSE text END"
+#: Windows of speech: a segment joins the open window until that has 700 characters or spans 60 seconds.
+_WINDOWS = """
+    seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_sec, seg_no) AS i, start_sec AS a, coalesce(end_sec, start_sec) AS z, trim(text) AS t FROM (SELECT DISTINCT * FROM segments WHERE start_sec IS NOT NULL) WHERE trim(coalesce(text, '')) <> ''),
+    fold AS (
+        SELECT doc_id, i, 1::BIGINT AS w, a AS start, z, length(t)::BIGINT AS size FROM seg WHERE i = 1
+        UNION ALL
+        SELECT s.doc_id, s.i, CASE WHEN f.size >= 700 OR f.z - f.start >= 60 THEN f.w + 1 ELSE f.w END, CASE WHEN f.size >= 700 OR f.z - f.start >= 60 THEN s.a ELSE f.start END, s.z, CASE WHEN f.size >= 700 OR f.z - f.start >= 60 THEN length(s.t) ELSE f.size + 1 + length(s.t) END
+        FROM fold f JOIN seg s ON s.doc_id = f.doc_id AND s.i = f.i + 1
+    ),
+    win AS MATERIALIZED (SELECT f.doc_id, f.w AS window_no, min(f.start) AS start, arg_max(f.z, f.i) AS "end", count(*) AS n_segments, string_agg(s.t, ' ' ORDER BY f.i) AS text FROM fold f JOIN seg s ON s.doc_id = f.doc_id AND s.i = f.i GROUP BY 1, 2)"""
+
+
+def _screen_lines(texts: str) -> str:
+    lines = f"list_filter(list_transform(flatten(list_transform({texts}, lambda t: regexp_split_to_array(t, '\\r?\\n'))), lambda x: trim(x)), lambda x: x <> '')"
+    kept = f"list_reduce(list_transform({lines}, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda s: contains(lower(s), lower(x[1])))) > 0 THEN a ELSE list_concat(a, x) END, []::VARCHAR[])"
+    return f"array_to_string({kept}, ' | ')"
+
+
+def _cut_lines(whole: str) -> str:
+    parts = f"string_split(substr({whole}, 1, 1400), ' | ')"
+    return f"CASE WHEN length({whole}) > 1400 THEN CASE WHEN len({parts}) > 1 THEN array_to_string({parts}[1:-2], ' | ') ELSE substr({whole}, 1, 1400) END || ' | …' ELSE {whole} END"
+
+
+_COMPOSED = f"""WITH RECURSIVE {_WINDOWS},
+    scr AS (SELECT DISTINCT doc_id, start_sec, text FROM screen_entries WHERE start_sec IS NOT NULL AND text IS NOT NULL),
+    homes AS MATERIALIZED (SELECT v.doc_id, v.start_sec, v.text, min(w.window_no) AS window_no FROM scr v LEFT JOIN win w ON w.doc_id = v.doc_id AND w.start - 2 <= v.start_sec AND v.start_sec <= w."end" + 2 GROUP BY ALL),
+    own AS (SELECT doc_id, window_no, list(text ORDER BY start_sec, text) AS screens, false AS inherited FROM homes WHERE window_no IS NOT NULL GROUP BY 1, 2),
+    bare AS (SELECT * FROM win w WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = w.doc_id AND o.window_no = w.window_no)),
+    carried AS (SELECT b.doc_id, b.window_no, [arg_max(h.text, {{'t': h.start_sec, 'x': h.text}})] AS screens, true AS inherited FROM bare b JOIN homes h ON h.doc_id = b.doc_id AND h.start_sec <= b.start + 2 GROUP BY b.doc_id, b.window_no, b.start HAVING b.start - max(h.start_sec) <= 120),
+    shown AS (SELECT w.doc_id, w.start, w."end", 'transcript_segment' AS kind, coalesce(o.inherited, false) AS inherited, w.text AS narration, coalesce(o.screens, []::VARCHAR[]) AS screens FROM win w LEFT JOIN (SELECT * FROM own UNION ALL SELECT * FROM carried) o USING (doc_id, window_no)),
+    lone AS (SELECT doc_id, start_sec AS t, text, row_number() OVER (PARTITION BY doc_id ORDER BY start_sec, text) AS i FROM homes WHERE window_no IS NULL),
+    ses AS (
+        SELECT doc_id, i, t, text, 1 AS n, length(text)::BIGINT AS size FROM lone WHERE i = 1
+        UNION ALL
+        SELECT l.doc_id, l.i, l.t, l.text, CASE WHEN l.t - s.t > 60 OR s.size >= 700 THEN s.n + 1 ELSE s.n END, CASE WHEN l.t - s.t > 60 OR s.size >= 700 THEN length(l.text) ELSE s.size + 1 + length(l.text) END
+        FROM ses s JOIN lone l ON l.doc_id = s.doc_id AND l.i = s.i + 1
+    ),
+    alone AS (SELECT doc_id, min(t) AS start, max(t) AS "end", 'screen_capture' AS kind, false AS inherited, '' AS narration, list(text ORDER BY i) AS screens FROM ses GROUP BY doc_id, n),
+    lines AS (SELECT * EXCLUDE (screens), {_screen_lines("screens")} AS whole FROM (SELECT * FROM shown UNION ALL SELECT * FROM alone)),
+    cut AS (SELECT *, {_cut_lines("whole")} AS s, CASE WHEN inherited THEN 'Still on screen' ELSE 'On screen' END AS label FROM lines)
+    SELECT doc_id, start, "end", kind, inherited, md5(CASE WHEN narration <> '' AND s <> '' THEN 'Narration: ' || narration || chr(10) || label || ': ' || s WHEN narration <> '' THEN narration ELSE label || ': ' || s END) AS body_md5 FROM cut"""
+
+
+def _citation() -> str:
+    label = lambda x: f"coalesce({_LABEL(x)}, '?')"
+    seconds = lambda x: f"CASE WHEN {x} IS NOT NULL THEN greatest(0, round_even({x}, 0)::BIGINT) END AS {x}_s"
+    file, sure = "coalesce(source_file, 'unknown')", "'Confidence: 62%'"
+    span = f"{label('start_sec')} || '–' || {label('end_sec')}"
+    key = "coalesce(nullif(row_key, ''), 'row ' || coalesce(page::VARCHAR, '?'))"
+    return f"""
+        SELECT chunk_id, CASE
+            WHEN source_type = 'pdf' THEN concat_ws(' | ', '📄 Source: ' || {file}, 'Page ' || coalesce(page::VARCHAR, '?'), 'Section: ' || coalesce(section, '?'), {sure})
+            WHEN source_type = 'video' AND chunk_type = 'transcript_summary' THEN concat_ws(' | ', '🎬 Source: ' || {file} || ' (transcript overview)', {sure})
+            WHEN source_type = 'video' AND chunk_type = 'figure' THEN concat_ws(' | ', '🎬 Source: ' || {file} || ' (screenshot at ' || {label("start_sec")} || ')', {sure})
+            WHEN source_type = 'video' AND chunk_type = 'screen_capture' THEN concat_ws(' | ', '🎬 Source: ' || {file} || ' (on-screen text)', {span}, {sure})
+            WHEN source_type = 'video' THEN concat_ws(' | ', '🎬 Source: ' || {file}, {span}, {sure})
+            WHEN source_type IN ('incident', 'defect') AND chunk_type = 'sheet_summary' THEN concat_ws(' | ', '📊 Source: ' || {file} || ' (sheet overview)', {sure})
+            WHEN source_type IN ('incident', 'defect') THEN concat_ws(' | ', '📊 Source: ' || {file}, {key}, {sure})
+            ELSE concat_ws(' | ', '📁 Source: ' || {file}, {sure}) END AS citation
+        FROM (SELECT *, {seconds("start_sec")}, {seconds("end_sec")} FROM (SELECT DISTINCT * FROM chunks))
+    """
+
+
+def _answer_checks() -> str:
+    plain, leaked = _terms(guard.INTERNAL_TERMS)
+    words = _WORDS_450.replace("text", "plain")
+    errors = lambda x: _ERR.replace("content", x)
+    return f"""
+        WITH m AS (SELECT id, role, content, coalesce(lag(content) OVER (PARTITION BY conversation_id ORDER BY id), '') AS context FROM messages),
+        r AS (SELECT id, context, {_redacted()} AS text FROM m WHERE content IS NOT NULL AND {_ROLE} = 'assistant'),
+        p AS (SELECT id, context, {plain} AS plain, {leaked} AS leaked FROM r),
+        w AS (SELECT id, plain, leaked, {words} AS words, len(list_filter({errors("plain")}, lambda x: NOT list_contains({errors("context")}, x)))::INT AS n FROM p)
+        SELECT id, md5(CASE WHEN len(words) > 450 THEN array_to_string(list_slice(words, 1, 450), ' ') || '...' ELSE plain END) AS text_md5, len(words) > 450 AS truncated, leaked = '' AND n = 0 AS safe, n AS n_invented FROM w
+    """
+
+
 SQL = {
     "bm25_topk": f"WITH asked AS ({_ASKED}), {_bm25(_DOCS, 20)} SELECT query_id, id AS doc_id, rank FROM bm",
     "bm25_term_stats": f"WITH asked AS ({_ASKED}), {_bm25(_DOCS, 20)} SELECT term, df, round(idf, 6) AS idf FROM idf",
@@ -96,8 +222,16 @@ SQL = {
         c AS (SELECT query_id, id AS doc_id, round(CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE (score - lo) / (hi - lo) END * CASE WHEN hi < -10.5 THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END, 4) AS c FROM s)
         SELECT query_id, doc_id, round(c, 3) AS confidence, CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.40 THEN 'medium' ELSE 'low' END AS band FROM c
     """,
+    "hybrid_search": _hybrid(),
+    "answer_assessment": f"""WITH asked AS ({_ASKED}), {_bm25(_DOCS, 5)},
+        s AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm),
+        c AS (SELECT query_id, CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE round((score - lo) / (hi - lo), 4) END AS c FROM s WHERE rank = 1),
+        shorts AS (SELECT a.query_id, coalesce(c.c, 0) AS c, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')) <= 8 AS short FROM asked a LEFT JOIN c USING (query_id))
+        SELECT query_id, c AS top_confidence, CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.40 OR short THEN 'medium' ELSE 'low' END AS band, c < 0.40 AND NOT short AS escalate FROM shorts
+    """,
     "exact_id_pin": r"""
-        WITH q AS (SELECT id AS query_id, nullif(regexp_extract(content, '(?:^|[^A-Za-z0-9_])([A-Za-z]{0,6}\d{3,}[A-Za-z0-9]*)(?:$|[^A-Za-z0-9_])', 1), '') AS k FROM messages WHERE content IS NOT NULL),
+        WITH a AS (SELECT 'm' || id AS query_id, content AS query FROM messages WHERE content IS NOT NULL UNION ALL SELECT DISTINCT 'c' || chunk_id, 'what about ' || row_key || '?' FROM chunks WHERE row_key IS NOT NULL),
+        q AS (SELECT query_id, nullif(regexp_extract(query, '(?:^|[^A-Za-z0-9_])([A-Za-z]{0,6}\d{3,}[A-Za-z0-9]*)(?:$|[^A-Za-z0-9_])', 1), '') AS k FROM a),
         r AS (SELECT DISTINCT * FROM chunks WHERE row_key IS NOT NULL AND source_type IN ('incident', 'defect'))
         SELECT query_id, chunk_id FROM (
             SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE source_type WHEN 'incident' THEN 0 ELSE 1 END, doc_id, ord) AS n FROM q JOIN r ON r.row_key = q.k
@@ -105,6 +239,30 @@ SQL = {
     """,
     "tokenize_counts": r"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_words FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL)",
     "clean_blocks": f"SELECT doc_id, md5({_CLEAN}) AS text_md5, length({_CLEAN}) >= 30 AS kept FROM documents WHERE text IS NOT NULL",
+    "clean_cells": f"SELECT doc_id, md5(CASE WHEN lower(trim(text)) IN ('nan', 'nat', 'none') THEN '' ELSE trim(regexp_replace({_TAGS}, '[\\s\\p{{Z}}]+', ' ', 'g')) END) AS cell_md5 FROM documents WHERE text IS NOT NULL",
+    "answer_checks": _answer_checks(),
+    "citations": _citation(),
+    "screen_noise": r"""
+        SELECT doc_id, entry_no, md5(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+            lambda x: regexp_matches(x, '[A-Za-z]{3,}') AND length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) >= length(x) * 0.5), chr(10))) AS text_md5 FROM (SELECT DISTINCT * FROM screen_entries) WHERE text IS NOT NULL
+    """,
+    "context_blocks": f"""WITH asked AS ({_ASKED}), {_bm25(_DOCS, 5)}
+        SELECT query_id, md5(string_agg('[Source ' || rank || ' — ' || coalesce(source_file, 'the uploaded document') || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM bm JOIN documents ON doc_id = id GROUP BY query_id
+    """,
+    "handover_history": f"WITH {stores.HISTORY} SELECT conversation_id, md5(history) AS history_md5 FROM h",
+    "sheet_overview": """
+        WITH r AS (SELECT count(*) AS n FROM staff WHERE coalesce(given_name, '') <> '' OR coalesce(team, '') <> ''),
+        v AS (SELECT k, c, count(*) AS n, string_agg(x, ', ' ORDER BY x) AS l FROM (SELECT DISTINCT 0 AS k, 'given_name' AS c, given_name AS x FROM staff UNION SELECT DISTINCT 1, 'team', team FROM staff) WHERE x <> '' GROUP BY 1, 2 HAVING count(*) <= 12)
+        SELECT n AS n_rows, '[staff.xlsx · Sheet1 · overview]' || chr(10) || 'The file ''staff.xlsx'' (sheet ''Sheet1'') contains ' || n || ' incident records in total.' || chr(10) || 'Columns: given_name, team.'
+            || coalesce((SELECT string_agg(chr(10) || c || ' values (' || v.n || '): ' || l || '.', '' ORDER BY k) FROM v), '') AS text FROM r
+    """,
+    "speech_windows": f'WITH RECURSIVE {_WINDOWS} SELECT doc_id, window_no, start, "end", n_segments, length(text)::INT AS n_chars FROM win',
+    "transcript_overviews": f"""WITH RECURSIVE {_WINDOWS},
+        f AS (SELECT doc_id, count(*) AS n_windows, max("end") AS duration, string_agg(text, ' ' ORDER BY window_no) AS full_text FROM win GROUP BY 1),
+        l AS (SELECT *, {_SECONDS("duration")} FROM f)
+        SELECT doc_id, n_windows, duration, {_LABEL("duration")} AS length, CASE WHEN length(full_text) > 1500 THEN regexp_replace(substr(full_text, 1, 1500), ' [^ ]*$', '') || ' …' ELSE full_text END AS overview FROM l
+    """,
+    "composed_timeline": _COMPOSED,
     "id_tokens": r"""SELECT id, nullif(regexp_extract(content, '(?:^|[^A-Za-z0-9_])([A-Za-z]{0,6}\d{3,}[A-Za-z0-9]*)(?:$|[^A-Za-z0-9_])', 1), '') AS identifier,
         nullif(regexp_extract(content, '(?:^|[^A-Za-z0-9_])(\d{3,6})(?:$|[^A-Za-z0-9_])', 1), '') AS number FROM messages WHERE content IS NOT NULL""",
     "error_numbers_not_in_question": f"""
@@ -166,15 +324,16 @@ SQL = {
             WHEN len(hints) > 0 THEN content || ' ' || array_to_string(hints, ' ') ELSE content END AS query FROM x
     """,
     "upsert_chunks": """
-        WITH c AS (SELECT DISTINCT * FROM chunks)
-        SELECT chunk_id, md5(upper(text)) AS text_md5 FROM c WHERE ord % 3 = 0 UNION ALL SELECT chunk_id, md5(text) FROM c WHERE ord % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM c WHERE ord % 3 = 0)
+        WITH c AS (SELECT DISTINCT * FROM chunks), l AS (SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY version DESC, doc_id DESC) AS n FROM document_registry) WHERE n = 1)
+        SELECT chunk_id, md5(CASE WHEN doc_id IN (SELECT doc_id FROM l) THEN upper(text) ELSE text END) AS text_md5 FROM c
     """,
     "delete_by_document": "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT * FROM chunks) WHERE doc_id NOT IN (SELECT doc_id FROM document_registry WHERE status = 'failed') GROUP BY 1",
     "deleted_conversations": "SELECT conversation_id, count(*) AS n FROM messages WHERE conversation_id NOT IN (SELECT conversation_id FROM conversations WHERE title = 'New chat') GROUP BY 1",
     "seen_ledger": "SELECT DISTINCT conversation_id FROM messages WHERE conversation_id NOT IN (SELECT conversation_id FROM conversations)",
     "message_sources": "SELECT id, coalesce(json_array_length(sources), 0)::INT AS n_sources, coalesce(json_array_length(images), 0)::INT AS n_images FROM messages",
     "row_passages": r"""
-        SELECT 'd1_row_' || (staff_id + 1) AS chunk_id, given_name AS row_key, concat_ws(chr(10), '[staff.xlsx · Sheet1 · row ' || (staff_id + 1) || ']', 'given_name: ' || nullif(given_name, ''), 'family_name: ' || nullif(family_name, ''), 'team: ' || nullif(team, ''), 'site: ' || nullif(site, '')) AS text FROM staff
+        SELECT 'd1_row_' || (staff_id + 1) AS chunk_id, given_name AS row_key, concat_ws(chr(10), '[staff.xlsx · Sheet1 · row ' || (staff_id + 1) || ']', 'given_name: ' || nullif(given_name, ''), 'family_name: ' || nullif(family_name, ''), 'team: ' || nullif(team, ''), 'site: ' || nullif(site, '')) AS text,
+            concat_ws(';', 'col_given_name=' || nullif(left(given_name, 200), ''), 'col_family_name=' || nullif(left(family_name, 200), ''), 'col_team=' || nullif(left(team, 200), ''), 'col_site=' || nullif(left(site, 200), '')) AS attributes FROM staff
     """,
     "sheet_values": """
         WITH c AS (SELECT 'given_name' AS column_name, given_name AS v FROM staff UNION SELECT 'team', team FROM staff UNION SELECT 'site', site FROM staff)
@@ -205,3 +364,4 @@ SQL = {
     "stream_ingest_parity": "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents GROUP BY 1",
     "session_state": "SELECT conversation_id, count(*) AS n_seen, least(10, count(*))::INT AS n_kept FROM messages GROUP BY 1",
 }
+SQL |= stores.sql(_CLEAN, _any)

@@ -9,14 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.config import DEFAULT
+from brindle.config import COLLECTIONS, DEFAULT, SHEET_COLLECTIONS
 from brindle.functions import guard, text
+from brindle.functions.vectors import cosine_distance
 from brindle.operators import bm25, chat, dense, fusion, pages, sheets, store, timeline
-from brindle.plugins import HashEmbedder, embedding, pair_score
+from brindle.plugins import LetterEmbedder, embedding, pair_score
 from brindle.session import cut_lineage, ensure_checkpoint_dir, table, widened
 from brindle.streaming import arrivals, sessions
 
-from . import oracle
+from . import oracle, stores
 
 # Fixed values of the queries' own.
 TERMS = ["batch certificate", "number range", "approval", "worklist"]
@@ -27,9 +28,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth message of a user: the stated query set of the searches."""
+    """Every message whose id is divisible by 50: the stated query set of the searches."""
     m = table(spark, d, "messages")
-    return m.where((F.col("id") % 50 == 0) & (F.lower(F.trim("role")) == "user") & (F.trim("content") != "")).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    return m.where((F.col("id") % 50 == 0) & (F.trim("content") != "")).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
 
 
 # retrieval
@@ -83,34 +84,81 @@ def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
     return fusion.with_confidence(rows).select("query_id", "doc_id", F.round("confidence", 3).alias("confidence"), "band")
 
 
+def _collections(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of all collections with vector and meta, each once; worked out once."""
+    rows = table(spark, d, "chunks").where("text is not null").distinct().withColumn("collection", F.col("source_type"))
+    return cut_lineage(rows.select("chunk_id", "doc_id", "ord", "collection", "source_type", "source_file", "chunk_type", "row_key", "image_may_contain_pii", "text", embedding("text", LetterEmbedder).alias("embedding"), F.struct(*fusion.META).alias("meta")))
+
+
+def _near(passages: DataFrame, asked: DataFrame, k: int, names: tuple[str, ...]) -> DataFrame:
+    """query_id, list_no, rank, text, meta: a ranked list of vectors for each collection."""
+    out = None
+    for n, name in enumerate(COLLECTIONS):
+        if name not in names:
+            continue
+        own = passages.where(F.col("collection") == name)
+        hits = dense.search(own, asked, k, "chunk_id", query_vector="vector").join(own.select(F.col("chunk_id").alias("id"), "text", "meta"), "id")
+        one = hits.select("query_id", F.lit(2 * n).alias("list_no"), "rank", "text", "meta")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _promoted(spark: SparkSession, passages: DataFrame, asked: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Figures, sheet overviews and transcript overviews for the queries that ask for them, found among their own kind."""
+    for intent, kind, k, names in (
+        (guard.figure_intent("query"), "figure", DEFAULT.figure_candidates, COLLECTIONS),
+        (guard.aggregate_intent("query"), "sheet_summary", DEFAULT.overview_candidates, SHEET_COLLECTIONS),
+        (guard.transcript_intent("query"), "transcript_summary", DEFAULT.figure_candidates, ("video",)),
+    ):
+        wanted = asked.where(intent)
+        own = passages.where(F.col("chunk_type") == kind)
+        found = _near(own, wanted, k, names)
+        if kind == "figure":  # those with an image
+            found = found.join(own.where("image_may_contain_pii = 'True'").select("meta").distinct(), "meta", "left_semi")
+        scored = found.join(asked.select("query_id", "query"), "query_id").withColumn("rerank_score", F.round(pair_score("query", "text"), 9))
+        candidates = scored.select("query_id", "text", "meta", "rerank_score", (F.col("list_no") * 1000 + F.col("rank")).alias("place"))
+        ranked = cut_lineage(fusion.promote(ranked, candidates, F.col("meta.chunk_type") == kind, wanted))
+    return ranked
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword and vector lists of all chunks, fused, reranked, exact rows pinned, kinds promoted, banded."""
-    asked = _asked(spark, d)
-    rows = table(spark, d, "chunks").where("text is not null").distinct().withColumn("collection", F.col("source_type")).withColumn("meta", F.struct("chunk_id", "source_type", "chunk_type", "source_file"))
-    hits = bm25.search(bm25.build(rows, "chunk_id", "text", "ord"), asked, "query_id", "query", DEFAULT.bm25_k)
-    one = hits.join(rows.select(F.col("chunk_id").alias("id"), "text", "meta"), "id").select("query_id", F.lit(1).alias("list_no"), "rank", "text", "meta")
-    numbered = rows.select(F.xxhash64("chunk_id").alias("vec_id"), embedding("text", HashEmbedder).alias("embedding"), "text", "meta")
-    near = dense.search(numbered, asked.select("query_id", embedding("query", HashEmbedder).alias("embedding")), DEFAULT.dense_k)
-    two = near.join(numbered.select(F.col("vec_id").alias("id"), "text", "meta"), "id").select("query_id", F.lit(0).alias("list_no"), "rank", "text", "meta")
+    """A vector list and a keyword list for each collection, fused by rank; each list's best reaches the reranker; an exact row is pinned, kinds asked for are promoted, and the rest is banded."""
+    asked = cut_lineage(_asked(spark, d).withColumn("vector", embedding("query", LetterEmbedder)))
+    passages = _collections(spark, d)
+    words = None
+    for n, name in enumerate(COLLECTIONS):
+        own = passages.where(F.col("collection") == name)
+        hits = bm25.search(bm25.build(own, "chunk_id", "text"), asked, "query_id", "query", DEFAULT.bm25_k)
+        hits = hits.join(own.select(F.col("chunk_id").alias("id"), "text"), "id").withColumn("collection", F.lit(name)).withColumn("list_no", F.lit(2 * n + 1))
+        words = hits if words is None else words.unionByName(hits)
+    keyword = fusion.enrich(words, passages, dict(zip(COLLECTIONS, COLLECTIONS))).select("query_id", "list_no", "rank", "text", "meta")
     # the lists and what is made of them are a few rows a query; each is worked out once
-    lists = cut_lineage(two.unionByName(one))
-    candidates = fusion.with_list_heads(fusion.fuse(lists), lists).join(asked, "query_id")
-    scored = cut_lineage(candidates.withColumn("rerank_score", pair_score("query", "text")).drop("query"))
+    lists = cut_lineage(_near(passages, asked, DEFAULT.dense_k, COLLECTIONS).unionByName(keyword))
+    candidates = fusion.with_list_heads(fusion.fuse(lists), lists).join(asked.select("query_id", "query"), "query_id")
+    scored = cut_lineage(candidates.withColumn("rerank_score", F.round(pair_score("query", "text"), 9)).drop("query"))
     top = fusion.rerank(scored, F.col("rerank_score"))
-    exact = fusion.exact_rows(asked, rows, "query_id", text.identifier("query"), ("incident", "defect"))
-    pinned = cut_lineage(fusion.pin(top, exact))
-    for intent, kind in ((guard.figure_intent("query"), "figure"), (guard.aggregate_intent("query"), "sheet_summary"), (guard.transcript_intent("query"), "transcript_summary")):
-        pinned = cut_lineage(fusion.promote(pinned, scored, F.col("meta.chunk_type") == kind, asked.where(intent)))
-    sure = fusion.known_sources(fusion.with_confidence(pinned), F.col("meta.source_file"))
+    rows = passages.where("row_key is not null").withColumn("ord", F.col("chunk_id"))
+    near = F.round(cosine_distance("vector", "embedding"), 9)
+    exact = fusion.exact_rows(asked, rows, "query_id", text.identifier("query"), SHEET_COLLECTIONS, near)
+    ranked = _promoted(spark, passages, asked, cut_lineage(fusion.pin(top, exact)))
+    sure = fusion.known_sources(fusion.with_confidence(ranked), F.col("meta.source_type"))
     return sure.select("query_id", "rank", F.col("meta.chunk_id").alias("chunk_id"), "confidence", "band")
 
 
+def answer_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """What the best passage says of an answer: its confidence and band, and whether to hand over."""
+    asked = _asked(spark, d)
+    hits = bm25.search(bm25.build(_docs(spark, d), "doc_id", "text"), asked, "query_id", "query", DEFAULT.final_k)
+    rows = fusion.with_confidence(hits.select("query_id", F.col("id").alias("doc_id"), "rank", F.col("score").alias("rerank_score"), F.lit(False).alias("pinned")))
+    return fusion.assessment(asked, rows, "query_id", "query").select("query_id", F.round("top_confidence", 4).alias("top_confidence"), "band", "escalate")
+
 
 def exact_id_pin(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "messages").where("content is not null").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    """Messages and the record numbers in the titles of passages as queries, against the rows of the sheets."""
+    said = table(spark, d, "messages").where("content is not null").select(F.concat(F.lit("m"), "id").alias("query_id"), F.col("content").alias("query"))
+    keyed = table(spark, d, "chunks").where("row_key is not null").select(F.concat(F.lit("c"), "chunk_id").alias("query_id"), F.concat(F.lit("what about "), "row_key", F.lit("?")).alias("query")).distinct()
     rows = table(spark, d, "chunks").where("row_key is not null").distinct().withColumn("collection", F.col("source_type")).withColumn("meta", F.struct("chunk_id"))
-    ids = asked.withColumn("__id", text.identifier("query"))
-    hit = fusion.exact_rows(ids, rows.withColumn("ord", F.struct("doc_id", "ord")), "query_id", F.col("__id"), ("incident", "defect"))
+    hit = fusion.exact_rows(said.unionByName(keyed), rows.withColumn("ord", F.struct("doc_id", "ord")), "query_id", text.identifier("query"), SHEET_COLLECTIONS)
     return hit.select("query_id", F.col("meta.chunk_id").alias("chunk_id"))
 
 
@@ -161,8 +209,11 @@ def internal_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "messages").where("content is not null and lower(trim(role)) = 'assistant'")
-    return rows.select("id", guard.answer_check("content", F.lit("")).alias("c")).select("id", F.md5("c.text").alias("text_md5"), "c.truncated", "c.safe", F.size("c.invented").alias("n_invented"))
+    """Each answer against the message before it as its context."""
+    m = table(spark, d, "messages")
+    before = F.lag("content").over(Window.partitionBy("conversation_id").orderBy("id"))
+    rows = m.select("id", "role", "content", F.coalesce(before, F.lit("")).alias("context")).where("content is not null and lower(trim(role)) = 'assistant'")
+    return rows.select("id", guard.answer_check("content", F.col("context")).alias("c")).select("id", F.md5("c.text").alias("text_md5"), "c.truncated", "c.safe", F.size("c.invented").alias("n_invented"))
 
 
 def truncated_words(spark: SparkSession, d: str) -> DataFrame:
@@ -235,14 +286,15 @@ def followup_rewrites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All passages, those of each file's newest version replaced."""
     rows = table(spark, d, "chunks").distinct().select("chunk_id", "doc_id", "ord", "text")
-    old, new = rows.where("ord % 2 = 0"), rows.where("ord % 3 = 0").withColumn("text", F.upper("text"))
-    return store.upsert(old, new).select("chunk_id", F.md5("text").alias("text_md5"))
+    newest = store.latest_versions(table(spark, d, "document_registry")).select("doc_id")
+    return store.upsert(rows, rows.join(newest, "doc_id", "left_semi").withColumn("text", F.upper("text"))).select("chunk_id", F.md5("text").alias("text_md5"))
 
 
 def delete_by_document(spark: SparkSession, d: str) -> DataFrame:
-    failed = table(spark, d, "document_registry").where("status = 'failed'").select("doc_id")
-    return table(spark, d, "chunks").distinct().join(failed, "doc_id", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept, _ = store.without(table(spark, d, "chunks").distinct(), table(spark, d, "document_registry").where("status = 'failed'"), "doc_id")
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def deleted_conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +334,7 @@ def handover_history(spark: SparkSession, d: str) -> DataFrame:
 
 def row_passages(spark: SparkSession, d: str) -> DataFrame:
     staff = table(spark, d, "staff").withColumn(sheets.ROW, F.col("staff_id") + 1)
-    return sheets.passages(staff.select(sheets.ROW, "given_name", "family_name", "team", "site"), "staff.xlsx", "Sheet1", "d1", "incident").select("chunk_id", "row_key", "text")
+    return sheets.passages(staff.select(sheets.ROW, "given_name", "family_name", "team", "site"), "staff.xlsx", "Sheet1", "d1", "incident").select("chunk_id", "row_key", "text", F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"))
 
 
 def sheet_values(spark: SparkSession, d: str) -> DataFrame:
@@ -380,7 +432,7 @@ def session_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLANS: list[Callable[[SparkSession, str], DataFrame]] = [
-    bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, rrf_fusion, rrf_best_of_list, confidence_bands, hybrid_search, exact_id_pin, tokenize_counts, clean_blocks, clean_cells, id_tokens, error_numbers_not_in_question, intents, input_guard,
+    bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, rrf_fusion, rrf_best_of_list, confidence_bands, hybrid_search, answer_assessment, exact_id_pin, tokenize_counts, clean_blocks, clean_cells, id_tokens, error_numbers_not_in_question, intents, input_guard,
     output_redaction, internal_terms, answer_checks, truncated_words, sensitivity_levels, header_split, timestamp_labels, auto_titles, screen_noise, collection_stats, latest_versions, register_versions, duplicate_files, conversation_list, recent_turns,
     last_turns, followup_rewrites, upsert_chunks, delete_by_document, deleted_conversations, seen_ledger, message_sources, citations, context_blocks, handover_history, row_passages, sheet_values, sheet_overview, section_asof, logo_images,
     screen_interval_join, carried_screens, gap_sessions, speech_windows, composed_timeline, transcript_overviews, distinct_figures, stream_ingest_parity, session_state,
@@ -388,7 +440,7 @@ _PLANS: list[Callable[[SparkSession, str], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _PLANS}
+    return {f.__name__: f for f in _PLANS + stores.PLANS}
 
 
 def oracle_sql() -> dict[str, str]:

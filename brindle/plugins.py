@@ -41,6 +41,16 @@ class HashEmbedder:
         return out / np.where(n > 0, n, 1)
 
 
+class LetterEmbedder:
+    """How often each letter and digit stands in a text, without case."""
+
+    SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        signs = np.frombuffer(self.SIGNS.encode(), dtype=np.uint8)
+        return np.stack([np.bincount(np.frombuffer(t.lower().encode(), dtype=np.uint8), minlength=256)[signs] for t in texts]).astype(np.float32)
+
+
 class OverlapScorer:
     """Share of the query's words that the text has, less a small cost for length."""
 
