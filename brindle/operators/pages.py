@@ -59,7 +59,7 @@ def text_passages(blocks: DataFrame, toc: DataFrame, config: Config = DEFAULT) -
     """Cleaned blocks of the content: no bands, no repeating texts, long enough, with their section."""
     rows = blocks.where(~in_band(F.col("y0"), F.col("y1"), F.col("height"), config)).withColumn("text", F.trim("text"))
     rows = rows.join(repeating_texts(blocks, config), ["doc_id", "text"], "left_anti")
-    rows = rows.join(content_start(toc), "doc_id", "left").where(F.col("page") >= F.coalesce("first_page", F.lit(1))).drop("first_page")
+    rows = of_content(rows, toc)
     rows = rows.withColumn("text", clean_block("text")).where(F.length("text") >= config.min_block)
     return with_section(rows, toc)
 
@@ -79,13 +79,19 @@ def table_markdown(cells: Column) -> Column:
     return F.when(valid, F.concat_ws("\n", F.concat(F.array(line(head), rule), F.transform(data, line))))
 
 
+def of_content(rows: DataFrame, toc: DataFrame) -> DataFrame:
+    """Rows of pages from the start of the content on."""
+    return rows.join(content_start(toc), "doc_id", "left").where(F.col("page") >= F.coalesce("first_page", F.lit(1))).drop("first_page")
+
+
 def logo_xrefs(images: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, xref of images that are placed on many pages."""
     return images.groupBy("doc_id", "xref").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= config.repeat_pages).select("doc_id", "xref")
 
 
-def figure_images(images: DataFrame, page_text: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Images that are figures: no logo, icon, band or background, and only one at a place. page_text: doc_id, page, text."""
+def figure_images(images: DataFrame, page_text: DataFrame, toc: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Images that are figures: no logo, icon, band or background, and only one at a place. page_text: doc_id, page, text. With a table of contents pages before the content are left out, of the logos' pages too."""
+    images = images if toc is None else of_content(images, toc)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     rows = images.join(logo_xrefs(images, config), ["doc_id", "xref"], "left_anti").where(F.least("px_w", "px_h") >= config.min_image_px).where((w > 1) & (h > 1))
     rows = rows.where(~in_band(F.col("y0"), F.col("y1"), F.col("height"), config)).withColumn("ratio", F.when(F.col("width") * F.col("height") > 0, w * h / (F.col("width") * F.col("height"))).otherwise(0.0))

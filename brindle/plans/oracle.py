@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from brindle.functions import guard
 
-from . import stores
+from . import layout, stores
 
 _ASKED = "SELECT id AS query_id, content AS query FROM messages WHERE id % 50 = 0 AND trim(content) <> ''"
 
@@ -364,4 +364,4 @@ SQL = {
     "stream_ingest_parity": "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents GROUP BY 1",
     "session_state": "SELECT conversation_id, count(*) AS n_seen, least(10, count(*))::INT AS n_kept FROM messages GROUP BY 1",
 }
-SQL |= stores.sql(_CLEAN, _any)
+SQL |= stores.sql(_CLEAN, _any) | layout.sql(_CLEAN)

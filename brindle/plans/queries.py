@@ -17,7 +17,7 @@ from brindle.plugins import LetterEmbedder, embedding, pair_score
 from brindle.session import cut_lineage, ensure_checkpoint_dir, table, widened
 from brindle.streaming import arrivals, sessions
 
-from . import oracle, stores
+from . import layout, oracle, stores
 
 # Fixed values of the queries' own.
 TERMS = ["batch certificate", "number range", "approval", "worklist"]
@@ -440,7 +440,7 @@ _PLANS: list[Callable[[SparkSession, str], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _PLANS + stores.PLANS}
+    return {f.__name__: f for f in _PLANS + stores.PLANS + layout.PLANS}
 
 
 def oracle_sql() -> dict[str, str]:
