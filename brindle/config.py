@@ -21,6 +21,7 @@ class Config:
     list_cap: int = 25
     figure_candidates: int = 3
     overview_candidates: int = 2
+    acronym_k: int = 10
     high: float = 0.75
     low: float = 0.40
     rerank_floor: float = -10.5
@@ -62,6 +63,7 @@ class Config:
     context_gap: float = 180
     context_chars: int = 700
     rect_tolerance: float = 3.0
+    min_drawings: int = 20
     # uploads
     upload_bytes: int = 500 * 1024 * 1024
     # sensitivity

@@ -30,7 +30,7 @@ def clean_block(text: Column | str) -> Column:
 def strip_tags(text: Column | str) -> Column:
     """Tags to blanks, common entities decoded, only where there is a tag."""
     t = _c(text)
-    bare = F.regexp_replace(t, r"<[^>]+>", " ")
+    bare = F.regexp_replace(t, r"<!--[^>]*-->|</?[A-Za-z!][^>]*>", " ")  # as a parser has it: what follows the sign must be a letter
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(sign))
     return F.when(F.instr(t, "<") > 0, bare).otherwise(t)

@@ -121,6 +121,30 @@ def one_at_a_place(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "image_no").mapInPandas(keep, rows.schema)
 
 
+def vector_figures(page_text: DataFrame, drawings: DataFrame, kept: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, page, caption, context of pages without a kept image that name a figure and hold many drawings (doc_id, page, n_drawings): such a page is taken whole."""
+    rows = page_text.join(drawings.where(F.col("n_drawings") >= config.min_drawings).select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    rows = rows.join(kept.select("doc_id", "page"), ["doc_id", "page"], "left_anti").withColumn("found", F.regexp_extract("text", CAPTION_ANYWHERE, 1)).where("found <> ''")
+    return rows.select("doc_id", "page", F.substring(collapse("found"), 1, 160).alias("caption"), F.substring("text", 1, config.context_chars).alias("context"))
+
+
+def document_passages(text: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """The three branches of a document's pages (doc_id, page, section, text) in one frame with chunk_type and branch; branch, page and place give the order."""
+    out = None
+    for n, (kind, rows) in enumerate((("text", text), ("table", tables), ("figure", figures))):
+        one = rows.select("doc_id", "page", "section", "place", "text", F.lit(kind).alias("chunk_type"), F.lit(n).alias("branch"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def passage_metadata(passages: DataFrame, filename: Column, image_path: Column, image_text: Column) -> DataFrame:
+    """Passages with what a store keeps of them: source_type, source_file, page, section, chunk_type, sensitivity_level, image_path, has_image_text."""
+    return passages.select(
+        "doc_id", F.lit("pdf").alias("source_type"), filename.alias("source_file"), F.col("page").cast("int").alias("page"), F.coalesce("section", F.lit("Unknown Section")).alias("section"), "chunk_type", F.lit("low").alias("sensitivity_level"),
+        F.coalesce(image_path, F.lit("")).alias("image_path"), (F.coalesce(image_text, F.lit("")) != "").alias("has_image_text"), "branch", "place", "text",
+    )
+
+
 def captions(images: DataFrame, blocks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, page, image_no, caption: the nearest short block below, else above, that overlaps the image sideways."""
     b = blocks.select("doc_id", "page", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"), collapse("text").alias("line"))

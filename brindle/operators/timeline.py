@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT, Config
-from brindle.functions.text import collapse, timestamp_label
+from brindle.functions.text import timestamp_label
 from brindle.operators.ordered import blockwise_fill, with_block
 
 
@@ -109,15 +109,17 @@ def composed_body(narration: Column, screen: Column, inherited: Column) -> Colum
 
 
 def composed_timeline(segments: DataFrame, screens: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """doc_id, start, end, kind, inherited, body: windows of speech with their screens and windows of screens alone, by start."""
+    """doc_id, start, end, kind, inherited, has_screen_text, body: windows of speech with their screens and windows of screens alone."""
     windows = speech_windows(segments, config)
     homes = screen_homes(windows, screens.where("start_sec is not null and text is not null").select("doc_id", "start_sec", "text").distinct(), config)
     own = homes.where("window_no is not null").groupBy("doc_id", "window_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "text"))), lambda x: x["text"]).alias("screens"), F.lit(False).alias("inherited"))
     carried = carried_screens(windows, homes, config).select("doc_id", "window_no", F.array("text").alias("screens"), F.lit(True).alias("inherited"))
     shown = windows.join(own.unionByName(carried), ["doc_id", "window_no"], "left")
-    speech = shown.select("doc_id", "start", "end", F.lit("transcript_segment").alias("kind"), F.coalesce("inherited", F.lit(False)).alias("inherited"), composed_body(F.col("text"), joined_lines(F.coalesce("screens", F.array().cast("array<string>")), config), F.coalesce("inherited", F.lit(False))).alias("body"))
+    shown = shown.withColumn("inherited", F.coalesce("inherited", F.lit(False))).withColumn("line", joined_lines(F.coalesce("screens", F.array().cast("array<string>")), config))
+    speech = shown.select("doc_id", "start", "end", F.lit("transcript_segment").alias("kind"), "inherited", (F.col("line") != "").alias("has_screen_text"), composed_body(F.col("text"), F.col("line"), F.col("inherited")).alias("body"))
     alone = orphan_windows(homes.where("window_no is null"), config)
-    screens_only = alone.select("doc_id", "start", "end", F.lit("screen_capture").alias("kind"), F.lit(False).alias("inherited"), composed_body(F.lit(""), joined_lines(F.col("texts"), config), F.lit(False)).alias("body"))
+    alone = alone.withColumn("line", joined_lines(F.col("texts"), config))
+    screens_only = alone.select("doc_id", "start", "end", F.lit("screen_capture").alias("kind"), F.lit(False).alias("inherited"), (F.col("line") != "").alias("has_screen_text"), composed_body(F.lit(""), F.col("line"), F.lit(False)).alias("body"))
     return speech.unionByName(screens_only)
 
 
@@ -230,7 +232,8 @@ def sampled_frames(frames: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def timeline_markdown(timeline: DataFrame) -> DataFrame:
     """doc_id, n_speech, n_screen, markdown of a composed timeline."""
     line = F.concat(F.lit("### "), timestamp_label("start"), F.lit("–"), timestamp_label("end"), F.lit("\n\n"), F.col("body"))
-    one = timeline.groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == "transcript_segment", 1).otherwise(0)).alias("n_speech"), F.sum(F.when(F.col("body").contains("n screen: "), 1).otherwise(0)).alias("n_screen"), F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("rows"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one = timeline.groupBy("doc_id").agg(count(F.col("kind") == "transcript_segment").alias("n_speech"), count(F.col("has_screen_text")).alias("n_screen"), F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("rows"))
     return one.select("doc_id", "n_speech", "n_screen", F.array_join(F.transform("rows", lambda x: x["line"]), "\n\n").alias("markdown"))
 
 
@@ -238,5 +241,17 @@ def passage_header(source_file: Column, start: Column, end: Column) -> Column:
     return F.concat(F.lit("["), source_file, F.lit(" · "), timestamp_label(start), F.lit("–"), timestamp_label(end), F.lit("]\n"))
 
 
-def plain_line(text: Column | str) -> Column:
-    return F.lower(collapse(text))
+def segment_passages(timeline: DataFrame, source_file: Column) -> DataFrame:
+    """Passages of a composed timeline with their metadata: doc_id, source_type, source_file, chunk_type, segment_index, page, start_sec, end_sec, start_time, end_time, row_key, has_screen_text, inherited, text. Numbered by start within a recording."""
+    order = Window.partitionBy("doc_id").orderBy("start", "kind", "body")
+    rows = timeline.withColumn("segment_index", F.row_number().over(order) - 1)
+    label = timestamp_label("start")
+    return rows.select("doc_id", F.lit("video").alias("source_type"), source_file.alias("source_file"), F.col("kind").alias("chunk_type"), "segment_index", F.col("segment_index").alias("page"), F.round("start", 2).alias("start_sec"), F.round("end", 2).alias("end_sec"), label.alias("start_time"), timestamp_label("end").alias("end_time"), label.alias("row_key"), "has_screen_text", "inherited", F.concat(passage_header(source_file, F.col("start"), F.col("end")), F.col("body")).alias("text"))
+
+
+def figure_passages(figures: DataFrame, source_file: Column, image_path: Column) -> DataFrame:
+    """Passages of screenshots (doc_id, start_sec, text) with their metadata, numbered by time within a recording."""
+    label = timestamp_label("start_sec")
+    text = F.concat(F.lit("["), source_file, F.lit(" · screen at "), label, F.lit("]\nScreenshot of the recording '"), source_file, F.lit("' at "), label, F.lit(".\nText on screen: "), F.col("text"))
+    order = Window.partitionBy("doc_id").orderBy("start_sec", "text")
+    return figures.select("doc_id", F.lit("video").alias("source_type"), source_file.alias("source_file"), F.lit("figure").alias("chunk_type"), (F.row_number().over(order) - 1).alias("segment_index"), F.round("start_sec", 2).alias("start_sec"), label.alias("start_time"), F.lit(True).alias("has_screen_text"), image_path.alias("image_path"), text.alias("text"))

@@ -68,13 +68,29 @@ def figure_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "page", "image_no", F.md5("context").alias("context_md5"), F.md5(pages.figure_text(F.col("caption"), F.col("page"), F.col("context"), F.lit(""))).alias("text_md5"))
 
 
+def vector_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose passages name a figure, with a made-up number of drawings, and no kept image."""
+    text = _page_text(spark, d)
+    drawings = text.select("doc_id", "page", (F.length("text") % 60).alias("n_drawings"))
+    kept = pages.figure_images(images(spark, d), text, contents(spark, d))
+    return pages.vector_figures(text, drawings, kept).select("doc_id", "page", "caption", F.md5("context").alias("context_md5"))
+
+
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Text, tables and figures of all pages in one frame with what a store keeps of them."""
+    c = _chunks(spark, d)
+    parts = [c.where(F.col("chunk_type") == kind).select("doc_id", "page", "section", F.col("ord").alias("place"), "text") for kind in ("text", "table", "figure")]
+    rows = pages.passage_metadata(pages.document_passages(*parts), F.concat("doc_id", F.lit(".pdf")), F.when(F.col("chunk_type") == "figure", F.concat("doc_id", F.lit("/"), "place", F.lit(".png"))), F.when(F.col("chunk_type") == "figure", F.col("text")))
+    return rows.select("doc_id", "source_file", "page", "section", "chunk_type", "branch", "place", "image_path", "has_image_text", F.md5("text").alias("text_md5"))
+
+
 def page_tables(spark: SparkSession, d: str) -> DataFrame:
     """Markdown of tables whose cells are the lines and columns of the passages of tables."""
     cells = F.transform(F.split("text", "\n"), lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x)))
     return _chunks(spark, d).where("chunk_type = 'table'").select("chunk_id", F.md5(pages.table_markdown(cells)).alias("markdown_md5"))
 
 
-PLANS = [page_passages, repeating_texts, figure_images, figure_captions, figure_texts, page_tables]
+PLANS = [page_passages, repeating_texts, figure_images, figure_captions, figure_texts, vector_figures, page_documents, page_tables]
 
 _C = "c AS MATERIALIZED (SELECT DISTINCT * FROM chunks WHERE source_type = 'pdf' AND page IS NOT NULL AND text IS NOT NULL)"
 _B = """b AS MATERIALIZED (SELECT *, x0 + 250 AS x1, y0 + 30 AS y1 FROM (
@@ -84,6 +100,12 @@ _I = """i AS MATERIALIZED (SELECT doc_id, page, image_no, xref, px_w, px_h, x0,
 _T = "t AS (SELECT doc_id, section AS title, min(ord) AS pos, min(page) AS page FROM c WHERE section IS NOT NULL GROUP BY 1, 2), f AS (SELECT doc_id, min(page) AS first_page FROM t GROUP BY 1)"
 _R = """z AS (SELECT DISTINCT doc_id, page, trim(text) AS text FROM b WHERE page <= 5 AND (y1 <= 80 OR y0 >= 720) AND trim(text) <> ''),
     r AS (SELECT z.doc_id, z.text FROM z JOIN (SELECT doc_id, count(DISTINCT page) AS n FROM b WHERE page <= 5 GROUP BY 1) s USING (doc_id) GROUP BY ALL HAVING count(*) = any_value(s.n))"""
+_KEPT = """
+            s AS (SELECT i.* FROM i LEFT JOIN f USING (doc_id) WHERE i.page >= coalesce(first_page, 1)), l AS (SELECT doc_id, xref FROM s GROUP BY 1, 2 HAVING count(DISTINCT page) >= 4),
+            k AS (SELECT s.* FROM s LEFT JOIN p USING (doc_id, page) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = s.doc_id AND l.xref = s.xref) AND least(px_w, px_h) >= 90 AND NOT (y1 <= 80 OR y0 >= 720)
+                AND (w * h / 480000 >= 0.05 OR w >= 170 AND h >= 120) AND NOT (w * h / 480000 >= 0.9 AND length(coalesce(p.text, '')) >= 450)),
+            g AS (SELECT doc_id, page, list_reduce(list([{'n': image_no, 'a': x0, 'b': y0, 'c': x1, 'd': y1}] ORDER BY image_no), lambda q, x: CASE WHEN len(list_filter(q, lambda y: abs(y.a - x[1].a) < 3 AND abs(y.b - x[1].b) < 3 AND abs(y.c - x[1].c) < 3 AND abs(y.d - x[1].d) < 3)) > 0 THEN q ELSE list_concat(q, x) END) AS kept FROM k GROUP BY 1, 2),
+            kept AS (SELECT doc_id, page, unnest(list_transform(kept, lambda y: y.n)) AS image_no FROM g)"""
 _P = "p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord, text) AS text FROM c GROUP BY 1, 2)"
 
 
@@ -103,13 +125,15 @@ def sql(clean: str) -> dict[str, str]:
             SELECT e.doc_id, e.page, e.pos, coalesce(s.title, 'Unknown Section') AS section, md5(e.text) AS text_md5 FROM e LEFT JOIN s USING (doc_id, page) WHERE length(e.text) >= 30
         """,
         "repeating_texts": f"WITH {_C}, {_B}, {_R} SELECT doc_id, text FROM r",
-        "figure_images": f"""WITH {_C}, {_I}, {_T}, {_P},
-            s AS (SELECT i.* FROM i LEFT JOIN f USING (doc_id) WHERE i.page >= coalesce(first_page, 1)), l AS (SELECT doc_id, xref FROM s GROUP BY 1, 2 HAVING count(DISTINCT page) >= 4),
-            k AS (SELECT s.* FROM s LEFT JOIN p USING (doc_id, page) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = s.doc_id AND l.xref = s.xref) AND least(px_w, px_h) >= 90 AND NOT (y1 <= 80 OR y0 >= 720)
-                AND (w * h / 480000 >= 0.05 OR w >= 170 AND h >= 120) AND NOT (w * h / 480000 >= 0.9 AND length(coalesce(p.text, '')) >= 450)),
-            g AS (SELECT doc_id, page, list_reduce(list([{{'n': image_no, 'a': x0, 'b': y0, 'c': x1, 'd': y1}}] ORDER BY image_no), lambda q, x: CASE WHEN len(list_filter(q, lambda y: abs(y.a - x[1].a) < 3 AND abs(y.b - x[1].b) < 3 AND abs(y.c - x[1].c) < 3 AND abs(y.d - x[1].d) < 3)) > 0 THEN q ELSE list_concat(q, x) END) AS kept FROM k GROUP BY 1, 2)
-            SELECT doc_id, page, unnest(list_transform(kept, lambda y: y.n)) AS image_no FROM g
+        "vector_figures": rf"""WITH {_C}, {_I}, {_T}, {_P}, {_KEPT}
+            SELECT doc_id, page, substr(trim(regexp_replace(found, '[\s\p{{Z}}]+', ' ', 'g')), 1, 160) AS caption, md5(substr(text, 1, 700)) AS context_md5
+            FROM (SELECT *, regexp_extract(text, '(fig(?:ure)?\.?\s*\d+[.\d]*\s*[:.\-–]?\s*[^\n]{{0,120}})', 1, 'i') AS found FROM p) WHERE found <> '' AND length(text) % 60 >= 20 AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.doc_id = p.doc_id AND kept.page = p.page)
+        """.replace("FROM p) WHERE found", "FROM p) p WHERE found"),
+        "page_documents": f"""WITH {_C}
+            SELECT doc_id, doc_id || '.pdf' AS source_file, page, coalesce(section, 'Unknown Section') AS section, chunk_type, (list_position(['text', 'table', 'figure'], chunk_type) - 1)::INT AS branch, ord AS place,
+                CASE WHEN chunk_type = 'figure' THEN doc_id || '/' || ord || '.png' ELSE '' END AS image_path, chunk_type = 'figure' AND text <> '' AS has_image_text, md5(text) AS text_md5 FROM c
         """,
+        "figure_images": f"WITH {_C}, {_I}, {_T}, {_P}, {_KEPT} SELECT * FROM kept",
         "figure_captions": f"WITH {_C}, {_B}, {_I}, {caption} SELECT doc_id, page, image_no, md5(caption) AS caption_md5 FROM cap",
         "figure_texts": f"""WITH {_C}, {_B}, {_I}, {_P}, {caption},
             m AS (SELECT i.doc_id, i.page, i.image_no, string_agg(trim(b.text), ' ' ORDER BY b.y0, trim(b.text)) FILTER (greatest(b.y0 - i.y1, i.y0 - b.y1, 0) <= 180 AND trim(b.text) <> '') AS text FROM i LEFT JOIN b USING (doc_id, page) GROUP BY 1, 2, 3),

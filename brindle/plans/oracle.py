@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.functions import guard
+from brindle.functions import guard, scrub
 
 from . import layout, stores
 
@@ -122,7 +122,7 @@ _TERM_LIST = ["batch certificate", "number range", "approval", "worklist"]
 _ERR = r"list_distinct(regexp_extract_all(content, '(?i)\berror\s*#?\s*(\d{3,6})\b', 1))"
 _HINTS = "list_slice(list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(before, ''), '\\s+'), lambda w: length(w) > 3), lambda w: lower(w)), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in guard.HINT_STOP_WORDS) + "], w)), 1, 3)"
 
-_TAGS = "CASE WHEN contains(text, '<') THEN replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') ELSE text END"
+_TAGS = "CASE WHEN contains(text, '<') THEN replace(replace(replace(replace(replace(replace(regexp_replace(text, '<!--[^>]*-->|</?[A-Za-z!][^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') ELSE text END"
 #: Windows of speech: a segment joins the open window until that has 700 characters or spans 60 seconds.
 _WINDOWS = """
     seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_sec, seg_no) AS i, start_sec AS a, coalesce(end_sec, start_sec) AS z, trim(text) AS t FROM (SELECT DISTINCT * FROM segments WHERE start_sec IS NOT NULL) WHERE trim(coalesce(text, '')) <> ''),
@@ -146,7 +146,7 @@ def _cut_lines(whole: str) -> str:
     return f"CASE WHEN length({whole}) > 1400 THEN CASE WHEN len({parts}) > 1 THEN array_to_string({parts}[1:-2], ' | ') ELSE substr({whole}, 1, 1400) END || ' | …' ELSE {whole} END"
 
 
-_COMPOSED = f"""WITH RECURSIVE {_WINDOWS},
+_COMPOSED_BODY = f"""WITH RECURSIVE {_WINDOWS},
     scr AS (SELECT DISTINCT doc_id, start_sec, text FROM screen_entries WHERE start_sec IS NOT NULL AND text IS NOT NULL),
     homes AS MATERIALIZED (SELECT v.doc_id, v.start_sec, v.text, min(w.window_no) AS window_no FROM scr v LEFT JOIN win w ON w.doc_id = v.doc_id AND w.start - 2 <= v.start_sec AND v.start_sec <= w."end" + 2 GROUP BY ALL),
     own AS (SELECT doc_id, window_no, list(text ORDER BY start_sec, text) AS screens, false AS inherited FROM homes WHERE window_no IS NOT NULL GROUP BY 1, 2),
@@ -162,8 +162,21 @@ _COMPOSED = f"""WITH RECURSIVE {_WINDOWS},
     ),
     alone AS (SELECT doc_id, min(t) AS start, max(t) AS "end", 'screen_capture' AS kind, false AS inherited, '' AS narration, list(text ORDER BY i) AS screens FROM ses GROUP BY doc_id, n),
     lines AS (SELECT * EXCLUDE (screens), {_screen_lines("screens")} AS whole FROM (SELECT * FROM shown UNION ALL SELECT * FROM alone)),
-    cut AS (SELECT *, {_cut_lines("whole")} AS s, CASE WHEN inherited THEN 'Still on screen' ELSE 'On screen' END AS label FROM lines)
-    SELECT doc_id, start, "end", kind, inherited, md5(CASE WHEN narration <> '' AND s <> '' THEN 'Narration: ' || narration || chr(10) || label || ': ' || s WHEN narration <> '' THEN narration ELSE label || ': ' || s END) AS body_md5 FROM cut"""
+    cut AS (SELECT *, {_cut_lines("whole")} AS s, CASE WHEN inherited THEN 'Still on screen' ELSE 'On screen' END AS label FROM lines),
+    made AS (SELECT doc_id, start, "end", kind, inherited, s <> '' AS has_screen_text, CASE WHEN narration <> '' AND s <> '' THEN 'Narration: ' || narration || chr(10) || label || ': ' || s WHEN narration <> '' THEN narration ELSE label || ': ' || s END AS body FROM cut)"""
+_COMPOSED = f'{_COMPOSED_BODY} SELECT doc_id, start, "end", kind, inherited, md5(body) AS body_md5 FROM made'
+
+
+def _scrub() -> str:
+    t, flags = r"regexp_replace(text, '\A\[[^\]\n]*\]\n', '')", []
+    for kind, sign, pattern in scrub.PATTERNS:
+        flags.append((kind, f"CASE WHEN regexp_matches({t}, {_quoted(pattern)}) THEN '{kind}' END"))
+        t = f"regexp_replace({t}, {_quoted(pattern)}, '{sign}', 'g')"
+    types = f"concat_ws(', ', {', '.join(f for _, f in sorted(flags))})"
+    return rf"""
+        SELECT chunk_id, md5(regexp_extract(text, '\A(\[[^\]\n]*\]\n)', 1) || {t}) AS text_md5, {types} <> '' AS pii_detected, {types} AS pii_types_found, coalesce(chunk_type = 'figure', false) AS image_may_contain_pii
+        FROM (SELECT DISTINCT * FROM chunks) WHERE text IS NOT NULL
+    """
 
 
 def _citation() -> str:
@@ -223,6 +236,13 @@ SQL = {
         SELECT query_id, doc_id, round(c, 3) AS confidence, CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.40 THEN 'medium' ELSE 'low' END AS band FROM c
     """,
     "hybrid_search": _hybrid(),
+    "acronym_expansions": f"""
+        WITH t AS (SELECT staff_id, given_name || ' works, in ' || site || ', with ' || team || ' (' || upper(left(team, 3)) || ') since spring' AS text FROM staff WHERE length(team) > 4),
+        asked AS (SELECT DISTINCT upper(left(team, 3)) AS query_id, upper(left(team, 3)) || ' full form of (' || upper(left(team, 3)) || ')' AS query FROM staff WHERE length(team) > 4), {_bm25("SELECT staff_id AS id, staff_id AS ord, text FROM t WHERE text IS NOT NULL", 10)},
+        x AS (SELECT query_id, rank, coalesce(nullif(trim(regexp_extract(t.text, '(?i)([A-Za-z\\s]{{5,60}})\\s*\\(' || query_id || '\\)', 1)), ''), nullif(trim(regexp_extract(t.text, '(?i)' || query_id || '\\s*\\(([A-Za-z\\s]{{5,60}})\\)', 1)), '')) AS e
+            FROM bm JOIN t ON t.staff_id = bm.id)
+        SELECT query_id, arg_min(e, rank) AS expansion FROM x WHERE e IS NOT NULL GROUP BY 1
+    """,
     "answer_assessment": f"""WITH asked AS ({_ASKED}), {_bm25(_DOCS, 5)},
         s AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm),
         c AS (SELECT query_id, CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE round((score - lo) / (hi - lo), 4) END AS c FROM s WHERE rank = 1),
@@ -362,6 +382,19 @@ SQL = {
         SELECT doc_id, session_no::BIGINT AS session_no, min(start_sec) AS start, max(start_sec) AS "end", count(*) AS n FROM s GROUP BY ALL
     """,
     "stream_ingest_parity": "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents GROUP BY 1",
-    "session_state": "SELECT conversation_id, count(*) AS n_seen, least(10, count(*))::INT AS n_kept FROM messages GROUP BY 1",
+    "session_state": f"""
+        SELECT conversation_id, count(*) AS n_seen, least(10, count(*))::INT AS n_kept, arg_max(coalesce(role, ''), id) AS last_role,
+            arg_max(coalesce({_ROLE}, '') <> 'user' AND coalesce(status = 'escalate', false), id) AS pending FROM messages WHERE conversation_id IS NOT NULL GROUP BY 1
+    """,
+    "streamed_sheets": "SELECT coalesce(team, '') AS team, count(*) AS n, count(DISTINCT coalesce(given_name, '')) AS n_given FROM staff GROUP BY 1",
+    "segment_passages": f"""{_COMPOSED_BODY}
+        SELECT doc_id, segment_index::INT AS segment_index, round(start, 2) AS start_sec, {_LABEL("start")} AS start_time, has_screen_text, inherited, md5('[' || doc_id || ' · ' || {_LABEL("start")} || '–' || {_LABEL("end")} || ']' || chr(10) || body) AS text_md5
+        FROM (SELECT *, {_SECONDS("start")}, greatest(0, round_even("end", 0)::BIGINT) AS end_s, row_number() OVER (PARTITION BY doc_id ORDER BY start, kind, body) - 1 AS segment_index FROM made)
+    """,
+    "timeline_markdown": f"""{_COMPOSED_BODY}
+        SELECT doc_id, count(*) FILTER (kind = 'transcript_segment') AS n_speech, count(*) FILTER (has_screen_text) AS n_screen, md5(string_agg(line, chr(10) || chr(10) ORDER BY start, "end", line)) AS markdown_md5
+        FROM (SELECT *, '### ' || {_LABEL("start")} || '–' || {_LABEL("end")} || chr(10) || chr(10) || body AS line FROM (SELECT *, {_SECONDS("start")}, greatest(0, round_even("end", 0)::BIGINT) AS end_s FROM made)) GROUP BY 1
+    """,
+    "ingest_scrub": _scrub(),
 }
 SQL |= stores.sql(_CLEAN, _any) | layout.sql(_CLEAN)

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.config import COLLECTIONS, DEFAULT, SHEET_COLLECTIONS
-from brindle.functions import guard, text
+from brindle.functions import guard, scrub, text
 from brindle.functions.vectors import cosine_distance
 from brindle.operators import bm25, chat, dense, fusion, pages, sheets, store, timeline
 from brindle.plugins import LetterEmbedder, embedding, pair_score
 from brindle.session import cut_lineage, ensure_checkpoint_dir, table, widened
+from brindle.sources import sheet
 from brindle.streaming import arrivals, sessions
 
 from . import layout, oracle, stores
@@ -153,6 +154,17 @@ def answer_assessment(spark: SparkSession, d: str) -> DataFrame:
     return fusion.assessment(asked, rows, "query_id", "query").select("query_id", F.round("top_confidence", 4).alias("top_confidence"), "band", "escalate")
 
 
+def acronym_expansions(spark: SparkSession, d: str) -> DataFrame:
+    """What the short forms of teams stand for, by the best passages for "<short form> full form"; the passages tell of a person each."""
+    short = F.upper(F.substring("team", 1, 3))
+    staff = table(spark, d, "staff").where("length(team) > 4")
+    passages = staff.select("staff_id", F.concat("given_name", F.lit(" works, in "), F.col("site"), F.lit(", with "), F.col("team"), F.lit(" ("), short, F.lit(") since spring")).alias("text")).where("text is not null")
+    queries = staff.select(short.alias("query_id"), short.alias("acronym"), F.concat(short, F.lit(" full form of ("), short, F.lit(")")).alias("query")).distinct()
+    hits = bm25.search(bm25.build(passages, "staff_id", "text"), queries, "query_id", "query", DEFAULT.acronym_k)
+    rows = hits.join(passages.select(F.col("staff_id").alias("id"), "text"), "id").join(queries.select("query_id", "acronym"), "query_id")
+    return chat.first_expansions(rows)
+
+
 def exact_id_pin(spark: SparkSession, d: str) -> DataFrame:
     """Messages and the record numbers in the titles of passages as queries, against the rows of the sheets."""
     said = table(spark, d, "messages").where("content is not null").select(F.concat(F.lit("m"), "id").alias("query_id"), F.col("content").alias("query"))
@@ -418,24 +430,65 @@ def stream_ingest_parity(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def streamed_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """The directory as sheets that arrive in a folder, taken in file by file; the counts are refreshed after each batch."""
+    folder = _folder(spark)
+    staff = table(spark, d, "staff")
+    staff.repartition(3).write.option("header", True).csv(f"{folder}/in")
+
+    def take(rows: DataFrame, number: int) -> None:
+        sheet.sheets(rows).where("error is null").select(F.col("headers").alias("h"), F.col("cells").alias("c")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    def refresh(number: int) -> None:
+        cell = lambda name: F.col("c")[F.array_position("h", F.lit(name)).cast("int") - 1]
+        rows = spark.read.parquet(f"{folder}/out").select(cell("team").alias("team"), cell("given_name").alias("given_name"))
+        rows.groupBy("team").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("given_name").alias("n_given")).write.mode("overwrite").parquet(f"{folder}/index")
+
+    arrivals.ingest(arrivals.arriving_files(spark, f"{folder}/in", "*.csv", 1), take, f"{folder}/log", refresh=refresh).awaitTermination()
+    return spark.read.parquet(f"{folder}/index")
+
+
 def session_state(spark: SparkSession, d: str) -> DataFrame:
-    """What each session remembers after a stream of all messages: the last output of its state."""
+    """What each session remembers after a stream of all messages in several batches: the last output of its state."""
     folder = _folder(spark)
-    stream = arrivals.table_stream(spark, d, "messages").select("conversation_id", "id", "role", "content", "status")
+    rows = table(spark, d, "messages").where("conversation_id is not null").select("conversation_id", "id", "role", "content", "status")
+    bounds = rows.agg(F.percentile_approx("id", [0.34, 0.67])).first()[0] or [0, 0]
+    for n, part in enumerate((F.col("id") <= bounds[0], (F.col("id") > bounds[0]) & (F.col("id") <= bounds[1]), F.col("id") > bounds[1])):
+        rows.where(part).coalesce(8).write.parquet(f"{folder}/in/part={n}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in/part=*")
 
     def take(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     sessions.session_memory(stream).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return store.last_of(rows.select("conversation_id", "n_seen", "n_kept", "batch"), "conversation_id", F.col("batch")).select("conversation_id", "n_seen", "n_kept")
+    last = store.last_of(spark.read.parquet(f"{folder}/out"), "conversation_id", F.col("batch"))
+    return last.select("conversation_id", "n_seen", "n_kept", "last_role", "pending")
+
+
+def ingest_scrub(spark: SparkSession, d: str) -> DataFrame:
+    """Passages on their way into a store, with placeholders for personal data."""
+    rows = table(spark, d, "chunks").where("text is not null").distinct()
+    return rows.select("chunk_id", *scrub.scrubbed_passage("text", "chunk_type")).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+def _timeline(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.composed_timeline(table(spark, d, "segments").where("start_sec is not null").distinct(), table(spark, d, "screen_entries"))
+
+
+def segment_passages(spark: SparkSession, d: str) -> DataFrame:
+    rows = timeline.segment_passages(_timeline(spark, d), F.col("doc_id"))
+    return rows.select("doc_id", "segment_index", "start_sec", "start_time", "has_screen_text", "inherited", F.md5("text").alias("text_md5"))
+
+
+def timeline_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.timeline_markdown(_timeline(spark, d)).select("doc_id", "n_speech", "n_screen", F.md5("markdown").alias("markdown_md5"))
 
 
 _PLANS: list[Callable[[SparkSession, str], DataFrame]] = [
-    bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, rrf_fusion, rrf_best_of_list, confidence_bands, hybrid_search, answer_assessment, exact_id_pin, tokenize_counts, clean_blocks, clean_cells, id_tokens, error_numbers_not_in_question, intents, input_guard,
+    bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, rrf_fusion, rrf_best_of_list, confidence_bands, hybrid_search, answer_assessment, acronym_expansions, exact_id_pin, tokenize_counts, clean_blocks, clean_cells, id_tokens, error_numbers_not_in_question, intents, input_guard,
     output_redaction, internal_terms, answer_checks, truncated_words, sensitivity_levels, header_split, timestamp_labels, auto_titles, screen_noise, collection_stats, latest_versions, register_versions, duplicate_files, conversation_list, recent_turns,
     last_turns, followup_rewrites, upsert_chunks, delete_by_document, deleted_conversations, seen_ledger, message_sources, citations, context_blocks, handover_history, row_passages, sheet_values, sheet_overview, section_asof, logo_images,
-    screen_interval_join, carried_screens, gap_sessions, speech_windows, composed_timeline, transcript_overviews, distinct_figures, stream_ingest_parity, session_state,
+    screen_interval_join, carried_screens, gap_sessions, speech_windows, composed_timeline, transcript_overviews, distinct_figures, stream_ingest_parity, session_state, streamed_sheets, ingest_scrub, segment_passages, timeline_markdown,
 ]
 
 

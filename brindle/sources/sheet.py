@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -81,31 +82,46 @@ def one_sheet(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row_number").alias("_row_number"), *[F.col("cells")[i].alias(h) for i, h in enumerate(headers)])
 
 
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a URI of any store that Arrow knows, or of a local path."""
+    if "://" in path or path.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), path
+
+
 class SheetSource(DataSource):
-    """spark.read.format("sheet").load(path): the first sheet of a workbook or CSV file, all columns text."""
+    """spark.read.format("sheet").load(path): the first sheet of a workbook or CSV file, or of all in a folder, all columns text. A task reads a file; the headers are those of the first one."""
 
     @classmethod
     def name(cls) -> str:
         return "sheet"
 
-    def _content(self) -> bytes:
-        with open(self.options["path"], "rb") as f:
+    def _files(self) -> list[str]:
+        files, path = _store(self.options["path"])
+        if files.get_file_info(path).type != pyarrow.fs.FileType.Directory:
+            return [path]
+        inside = files.get_file_info(pyarrow.fs.FileSelector(path))
+        return sorted(x.path for x in inside if x.is_file and not x.base_name.startswith(("_", ".")) and x.size)
+
+    def _content(self, path: str) -> bytes:
+        with _store(self.options["path"])[0].open_input_stream(path) as f:
             return f.read()
 
     def schema(self) -> str:
-        first = next(sheet_rows(self.options["path"], self._content()))
-        return "_row_number int, " + ", ".join(f"`{h.replace('`', '``')}` string" for h in first["headers"])
+        first = self._files()[0]
+        row = next(sheet_rows(first, self._content(first)))
+        return "_row_number int, " + ", ".join(f"`{h.replace('`', '``')}` string" for h in row["headers"])
 
     def reader(self, schema) -> DataSourceReader:
-        source = self
+        source, width = self, len(schema.fields) - 1
 
         class Reader(DataSourceReader):
             def partitions(self) -> list[InputPartition]:
-                return [InputPartition(0)]
+                return [InputPartition(path) for path in source._files()]
 
             def read(self, partition: InputPartition) -> Iterator[tuple]:
-                for r in sheet_rows(source.options["path"], source._content()):
-                    yield (r["row_number"], *r["cells"])
+                for r in sheet_rows(partition.value, source._content(partition.value)):
+                    yield (r["row_number"], *(r["cells"] + [""] * width)[:width])
 
         return Reader()
 

@@ -112,3 +112,30 @@ def test_acronym(spark):
 def test_cosine(spark):
     assert abs(one(spark, cosine_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0)))) - 1) < 1e-12
     assert one(spark, cosine_distance(F.array(F.lit(0.0)), F.array(F.lit(2.0)))) == 1.0
+
+
+def test_scrubbing(spark):
+    from brindle.functions import scrub
+
+    cases = [
+        ("mail a.b@example.org or see https://x.example/y?z", "mail [EMAIL] or see [URL]", ["EMAIL_ADDRESS", "URL"]), ("card 4111 1111 1111 1111, SSN 123-45-6789", "card [CREDIT_CARD], SSN [SSN]", ["CREDIT_CARD", "US_SSN"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 from 10.0.0.1", "IBAN [IBAN] from [IP_ADDRESS]", ["IBAN_CODE", "IP_ADDRESS"]), ("call +44 20 7946 0138 or (555) 123-4567", "call [PHONE] or [PHONE]", ["PHONE_NUMBER"]), ("nothing 12345", "nothing 12345", []), (None, None, []), ("", "", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = df.select("i", scrub.scrubbed("t").alias("s")).orderBy("i").collect()
+    assert [(r["s"]["text"], list(r["s"]["types"])) for r in got] == [(b, c) for _, b, c in cases]
+    row = spark.createDataFrame([("[f · a@b.example]\nto a@b.example", "figure")], "t string, k string").select(*scrub.scrubbed_passage("t", "k")).first()
+    assert tuple(row) == ("[f · a@b.example]\nto [EMAIL]", True, "EMAIL_ADDRESS", True)
+
+    def model():
+        return lambda texts: [(t.replace("Anna Meyer", "[PERSON]"), ["PERSON"] if "Anna Meyer" in t else []) for t in texts]
+
+    one = spark.createDataFrame([("ask Anna Meyer",), (None,)], "t string").select(scrub.named("t", model).alias("s")).collect()
+    assert [r["s"]["text"] for r in one] == ["ask [PERSON]", None] and one[0]["s"]["types"] == ["PERSON"]
+
+
+def test_tags_are_tags(spark):
+    from brindle.functions import text
+
+    df = spark.createDataFrame([("a < b and c > d",), ("<b>x</b><br/>y<!-- no -->",), ("<3 it",)], "t string")
+    assert [r[0] for r in df.select(text.clean_cell("t")).collect()] == ["a < b and c > d", "x y", "<3 it"]

@@ -213,3 +213,84 @@ def test_prompt_and_context(spark):
     h = spark.createDataFrame([(1, 2, "assistant", "y"), (1, 1, "user", "x")], "query_id int, place int, role string, content string")
     p = {x["query_id"]: [(m["role"], m["content"]) for m in x["prompt"]] for x in chat.prompts(q, ctx, h, F.lit("S")).collect()}
     assert [m[0] for m in p[1]] == ["system", "user", "assistant", "user"] and p[1][1][1] == "x" and "No relevant context" in p[2][0][1]
+
+
+def test_promotion_keeps_the_order_of_equal_scores(spark):
+    ranked = _ranked(spark).withColumn("rerank_score", F.lit(1.0))
+    new = spark.createDataFrame([(1, "fig", "figure", 2, 1.0), (1, "other", "figure", 1, 0.5)], "query_id int, text string, kind string, place int, rerank_score double").withColumn("meta", F.struct("kind")).drop("kind")
+    out = fusion.promote(ranked, new, F.col("meta.kind") == "figure", spark.createDataFrame([(1,), (2,)], "query_id int"))
+    assert [r["text"] for r in out.orderBy("rank").collect()] == ["t1", "t2", "t3", "t4", "fig"]
+    assert fusion.promote(ranked, new.limit(0), F.col("meta.kind") == "figure", spark.createDataFrame([(1,)], "query_id int")).count() == 5
+
+
+def test_bm25_blocks_of_queries_and_rows_do_not_change_results(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    word = lambda: r.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split())
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(r.randint(0, 12)))) for i in range(300)], "id int, text string")
+    asked = spark.createDataFrame([(i, " ".join(word() for _ in range(3))) for i in range(20)] + [(99, "nothing known"), (98, "")], "q int, t string")
+    index = bm25.build(docs, "id", "text")
+    whole = sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect()))
+    assert len(whole) == 22 * 7
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 3)
+    assert sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect())) == whole
+    monkeypatch.setattr(bm25, "BLOCK_WORDS", 2)
+    assert sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect())) == whole
+    assert bm25.search(index, asked.limit(0), "q", "t", 7).count() == 0
+
+
+def test_dense_with_text_ids_breaks_ties_by_them(spark):
+    v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    q = spark.createDataFrame([("x", [1.0, 0.0])], "query_id string, embedding array<float>")
+    assert rows(dense.search(v, q, 2), "query_id", "rank", "id") == [("x", 1, "a"), ("x", 2, "b")]
+
+
+def test_changes_of_many_documents(spark):
+    reg = spark.createDataFrame([("d1", "new", 3, None), ("d2", "ready", 0, "n")], "doc_id string, status string, chunk_count int, notes string")
+    out = store.with_changes(reg, spark.createDataFrame([("d1", "failed", None, "why"), ("zz", "ready", 1, None)], "doc_id string, status string, chunk_count int, notes string"))
+    assert rows(out, "doc_id", "status", "chunk_count", "notes") == [("d1", "failed", 3, "why"), ("d2", "ready", 0, "n")]
+    kept, counts = store.without(reg, spark.createDataFrame([("d1",), ("none",)], "doc_id string"), "doc_id")
+    assert rows(kept, "doc_id") == [("d2",)] and rows(counts, "doc_id", "n") == [("d1", 1), ("none", 0)]
+    safe, blocked = store.split_by_sensitivity(spark.createDataFrame([("a", "text", "high"), ("a", "text", None), ("a", "table", "low")], "doc_id string, chunk_type string, sensitivity_level string"))
+    assert rows(store.ingestion_summary(safe, blocked), "doc_id", "chunk_type", "n_stored", "n_blocked") == [("a", "table", 1, 0), ("a", "text", 1, 1)]
+
+
+def test_reset_removes_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    store.reset(spark, [f"{tmp_path}/a", f"{tmp_path}/never"])
+    assert not (tmp_path / "a").exists()
+
+
+def test_documents_of_the_branches(spark):
+    t = spark.createDataFrame([("d", 1, None, 1, "x")], "doc_id string, page int, section string, place int, text string")
+    got = pages.passage_metadata(pages.document_passages(t, t.limit(0), t), F.lit("f.pdf"), F.lit(None).cast("string"), F.lit("")).orderBy("branch").collect()
+    assert [(r["chunk_type"], r["branch"], r["section"], r["image_path"], r["has_image_text"]) for r in got] == [("text", 0, "Unknown Section", "", False), ("figure", 2, "Unknown Section", "", False)]
+
+
+def test_greedy_figures_equal_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    data = [(f"d{i % 3}", float(i), " ".join(r.choice(["order", "plant", "stock", "lock"]) for _ in range(r.randint(1, 6)))) for i in range(90)]
+    want = set()
+    for d in ("d0", "d1", "d2"):
+        chosen = []
+        for t, x in sorted(((t, x) for e, t, x in data if e == d), key=lambda y: (-len(y[1]), y[0], y[1])):
+            if len(chosen) < 6 and all(timeline.similarity(x, c) < 0.9 for _, c in chosen):
+                chosen.append((t, x))
+        want |= {(d, t) for t, _ in chosen}
+    got = timeline.distinct_figures(spark.createDataFrame(data, "doc_id string, start_sec double, text string")).collect()
+    assert {(x["doc_id"], x["start_sec"]) for x in got} == want
+
+
+def test_screenshots_as_passages(spark):
+    f = spark.createDataFrame([("d", 65.0, "b"), ("d", 5.0, "a")], "doc_id string, start_sec double, text string")
+    got = timeline.figure_passages(f, F.lit("r.mp4"), F.lit("d/1.png")).orderBy("segment_index").collect()
+    assert [(r["segment_index"], r["start_time"]) for r in got] == [(0, "0:05"), (1, "1:05")] and got[0]["text"].startswith("[r.mp4 · screen at 0:05]\n")
+
+
+def test_handover_payload(spark):
+    m = spark.createDataFrame([(1, "c", "user", "q" * 200), (2, "c", "assistant", None)], "id int, conversation_id string, role string, content string")
+    got = chat.handover_payloads(m, F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")).first()
+    assert got["ticket"] == "REQ20240102030405" and got["short_description"] == "q" * 100 and got["description"].endswith("User: " + "q" * 200 + "\nAssistant: ")

@@ -67,3 +67,35 @@ def test_arrivals_are_taken_once(spark, tmp_path):
     (folder / "c.csv").write_text("y")
     arrivals.ingest(arrivals.arriving_files(spark, str(folder)), taken, log).awaitTermination()
     assert sorted(r["filename"] for r in spark.read.parquet(out).collect()) == ["a.csv", "c.csv"]
+
+
+def test_a_folder_of_sheets_and_uris(spark, tmp_path):
+    sheet.register(spark)
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text(f"a,b\n{n},x\n{n},\n")
+    (tmp_path / "_done").write_text("")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        df = spark.read.format("sheet").load(path)
+        assert df.rdd.getNumPartitions() == 3 and df.columns == ["_row_number", "a", "b"]
+        assert sorted(map(tuple, df.select("a", "b").collect())) == sorted((str(n), b) for n in range(3) for b in ("x", ""))
+
+
+def test_a_failing_batch_does_not_end_the_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.csv").write_text("a\n1\n")
+    (folder / "x.bin").write_text("?")
+    taken, refused, refreshed = [], [], []
+
+    def take(rows, number):
+        names = [r["filename"] for r in rows.collect()]
+        if "1.csv" in names:
+            raise ValueError("no")
+        taken.extend(names)
+
+    files = arrivals.arriving_files(spark, str(folder), most_a_batch=1)
+    arrivals.ingest(files, take, str(tmp_path / "log"), lambda rows, n: refused.extend((r["filename"], r["problem"]) for r in rows.collect()), refreshed.append, 0.2).awaitTermination()
+    assert sorted(taken) == ["0.csv", "2.csv"] and sorted(refused) == [("1.csv", "failed: no"), ("x.bin", "unknown_type")] and len(refreshed) == 2
+    arrivals.ingest(files, take, str(tmp_path / "log")).awaitTermination()
+    assert len(taken) == 2  # a file is taken once
