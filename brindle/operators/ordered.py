@@ -10,11 +10,16 @@ row of a higher one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage
+
 BLOCK = "__block"
 _FIRST = "__first"
 
@@ -70,3 +75,78 @@ def blockwise_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = rows.join(edges, on, "left")
     return joined.select(*[F.col(c) for c in df.columns], F.coalesce("__own", "__edge").alias(target))
+
+
+class Fold:
+    """A sequential pass over the rows of a key: `step` takes the state (JSON values, None at first) and a row and gives the state after it and finished rows; `flush` gives the rows that are left at a key's end."""
+
+    def step(self, state: Any, row: tuple) -> tuple[Any, list[tuple]]:
+        raise NotImplementedError
+
+    def flush(self, state: Any) -> list[tuple]:
+        return []
+
+
+def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], fold: Fold, schema: str) -> DataFrame:
+    """The fold over each key's rows in order, block by block of __block (not null): key, __block, place within the block, and the columns of `schema`.
+
+    All blocks are folded at once, each from the state that the block before it
+    is taken to leave behind: at first none, then what it left in the round
+    before. Blocks whose state at the beginning has changed are folded again
+    until none has. Where states meet soon after a block's beginning, as windows
+    do, two or three rounds are enough; the result is that of the sequential pass
+    in any case. A task holds one state and the rows it finishes.
+    """
+    kind = dict(df.dtypes)[key]
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+    rows = cut_lineage(df.select(key, BLOCK, *dict.fromkeys([*order, *columns])))
+    of_key = Window.partitionBy(key).orderBy(BLOCK)
+    blocks = cut_lineage(rows.select(key, BLOCK).distinct().select(key, BLOCK, F.lead(BLOCK).over(of_key).alias("__next")))
+    todo = blocks.select(key, BLOCK, F.col("__next").isNull().alias("__last"), F.lit("null").alias("__from"))
+
+    def ended(at: tuple, state: Any, last: bool, place: int) -> list[tuple]:
+        flushed = fold.flush(state) if last else []
+        return [*((*at, place + i, None, *x) for i, x in enumerate(flushed)), (*at, -1, json.dumps(state), *(None,) * len(names))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, last, place = None, None, False, 0
+        for pdf in batches:
+            out: list[tuple] = []
+            for k, b, start, is_last, *row in pdf[[key, BLOCK, "__from", "__last", *columns]].itertuples(index=False, name=None):
+                if (k, b) != at:
+                    if at is not None:
+                        out += ended(at, state, last, place)
+                    at, state, last, place = (k, b), json.loads(start), is_last, 0
+                state, done = fold.step(state, tuple(row))
+                for x in done:
+                    out.append((*at, place, None, *x))
+                    place += 1
+            yield pd.DataFrame(out, columns=[key, BLOCK, "place", "__left", *names])
+        if at is not None:
+            yield pd.DataFrame(ended(at, state, last, place), columns=[key, BLOCK, "place", "__left", *names])
+
+    done: DataFrame | None = None
+    while True:
+        both = rows.join(todo, [key, BLOCK]).repartition(key, BLOCK).sortWithinPartitions(key, BLOCK, *order)
+        new = cut_lineage(both.mapInPandas(run, f"`{key}` {kind}, {BLOCK} {dict(df.dtypes)[BLOCK]}, place int, __left string, {schema}"))
+        before = done
+        done = new if done is None else cut_lineage(done.join(todo.select(key, BLOCK), [key, BLOCK], "left_anti").unionByName(new))
+        left = new.where("place = -1").select(key, BLOCK, F.col("__left"))
+        if before is not None:
+            was = before.where("place = -1").select(key, BLOCK, F.col("__left").alias("__was"))
+            left = left.join(was, [key, BLOCK]).where("__left <> __was").drop("__was")
+        else:
+            left = left.where("__left <> 'null'")
+        following = left.join(blocks, [key, BLOCK]).where("__next is not null").select(key, F.col("__next").alias(BLOCK), F.col("__left").alias("__from"))
+        lasts = blocks.select(key, BLOCK, F.col("__next").isNull().alias("__last"))
+        todo = cut_lineage(following.join(lasts, [key, BLOCK]).select(key, BLOCK, "__last", "__from"))
+        if not todo.limit(1).count():
+            return done.where("place >= 0").drop("__left")
+
+
+def numbered(df: DataFrame, key: str, place: str, target: str) -> DataFrame:
+    """Add the number from 1 of each row within its key, by __block and place (which counts from 0 in each block)."""
+    sizes = df.groupBy(key, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(key, BLOCK, F.coalesce(before, F.lit(0)).alias("__before"))
+    return df.join(offsets, [key, BLOCK]).withColumn(target, F.col("__before") + F.col(place) + 1).drop("__before")

@@ -1,8 +1,8 @@
 """Time-series operators over recordings: windows of speech, screen text, carried screens.
 
 Transcripts have rows (doc_id, seg_no, start_sec, end_sec, text), screens rows
-(doc_id, start_sec, text). One recording's rows may be folded in one task: they
-are bounded by its length. Recordings of any number are spread over tasks.
+(doc_id, start_sec, text). Recordings are cut into blocks of time, so a long one
+is spread over tasks as well.
 """
 
 from __future__ import annotations
@@ -16,52 +16,40 @@ from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT, Config
 from brindle.functions.text import timestamp_label
-from brindle.operators.ordered import blockwise_fill, with_block
+from brindle.operators.ordered import BLOCK, Fold, blockwise_fill, blockwise_fold, numbered, with_block
 
+BLOCK_SECONDS = 1800
 
 
-def speech_windows(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Greedy windows: doc_id, window_no, start, end, n_segments, text.
+class _Speech(Fold):
+    """state: start, end, size, texts of the open window."""
 
-    Segments in order of start join a window until its text has window_chars
-    characters or it spans window_seconds; blank segments are left out. Rows are
-    folded as they stream by in order; a task holds one open window.
-    """
-    rows = segments.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", "seg_no", "start_sec", F.coalesce("end_sec", "start_sec").alias("end_sec"), F.trim("text").alias("text"))
-    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "start_sec", "seg_no")
+    def __init__(self, config: Config):
+        self.chars, self.seconds = config.window_chars, config.window_seconds
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, number, texts, size, start, end = None, 0, [], 0, 0.0, 0.0
-        out: list[tuple] = []
+    def step(self, state: list | None, row: tuple) -> tuple[list | None, list[tuple]]:
+        a, z, text = row
+        start, _, size, texts = state or (a, z, -1, [])
+        size, texts = size + len(text) + 1, [*texts, text]
+        if size >= self.chars or z - start >= self.seconds:
+            return None, [(start, z, len(texts), " ".join(texts))]
+        return [start, z, size, texts], []
 
-        def close() -> None:
-            nonlocal number, texts, size
-            if texts:
-                number += 1
-                out.append((doc, number, start, end, len(texts), " ".join(texts)))
-                texts, size = [], 0
+    def flush(self, state: list | None) -> list[tuple]:
+        return [(state[0], state[1], len(state[3]), " ".join(state[3]))] if state else []
 
-        for pdf in batches:
-            for d, a, z, text in zip(pdf["doc_id"], pdf["start_sec"], pdf["end_sec"], pdf["text"]):
-                if d != doc:
-                    close()
-                    doc, number = d, 0
-                if not texts:
-                    start = a
-                size += len(text) + (1 if texts else 0)
-                texts.append(text)
-                end = z
-                if size >= config.window_chars or end - start >= config.window_seconds:
-                    close()
-            yield pd.DataFrame(out, columns=_WINDOW)
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=_WINDOW)
-
-    return ordered.mapInPandas(fold, "doc_id string, window_no long, start double, end double, n_segments long, text string")
 
+def speech_windows(segments: DataFrame, config: Config = DEFAULT, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Greedy windows: doc_id, window_no, start, end, n_segments, text.
 
-_WINDOW = ["doc_id", "window_no", "start", "end", "n_segments", "text"]
+    Segments in order of start join a window until its text has window_chars
+    characters or it spans window_seconds; blank segments are left out. Blocks of
+    time of a recording are folded at once, so a long one is spread over tasks.
+    """
+    rows = segments.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", "seg_no", "start_sec", F.coalesce("end_sec", "start_sec").alias("end_sec"), F.trim("text").alias("text"))
+    rows = with_block(rows, F.coalesce(F.floor(F.col("start_sec") / block_seconds), F.lit(-(2**40))))
+    found = blockwise_fold(rows, "doc_id", ["start_sec", "seg_no"], ["start_sec", "end_sec", "text"], _Speech(config), "start double, end double, n_segments long, text string")
+    return numbered(found, "doc_id", "place", "window_no").select("doc_id", "window_no", "start", "end", "n_segments", "text")
 
 
 def screen_homes(windows: DataFrame, screens: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -123,49 +111,43 @@ def composed_timeline(segments: DataFrame, screens: DataFrame, config: Config =
     return speech.unionByName(screens_only)
 
 
-def orphan_windows(orphans: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Screens outside of all windows in sessions: doc_id, session_no, start, end, n_screens, texts; a new one after a gap of over window_seconds or once window_chars are reached."""
-    ordered = orphans.select("doc_id", "start_sec", "text").repartition("doc_id").sortWithinPartitions("doc_id", "start_sec", "text")
-    names = ["doc_id", "session_no", "start", "end", "n_screens", "texts"]
+class _Orphans(Fold):
+    """state: start, end, size, texts of the open session."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, number, texts, size, start, end = None, 0, [], 0, 0.0, 0.0
-        out: list[tuple] = []
+    def __init__(self, config: Config):
+        self.chars, self.seconds = config.window_chars, config.window_seconds
 
-        def close() -> None:
-            nonlocal number, texts
-            if texts:
-                number += 1
-                out.append((doc, number, start, end, len(texts), texts))
-                texts = []
+    def step(self, state: list | None, row: tuple) -> tuple[list, list[tuple]]:
+        t, text = row
+        if state and (t - state[1] > self.seconds or state[2] >= self.chars):
+            return [t, t, len(text), [text]], self.flush(state)
+        start, _, size, texts = state or (t, t, -1, [])
+        return [start, t, size + len(text) + 1, [*texts, text]], []
 
-        for pdf in batches:
-            for d, t, text in zip(pdf["doc_id"], pdf["start_sec"], pdf["text"]):
-                if d != doc:
-                    close()
-                    doc, number = d, 0
-                if texts and (t - end > config.window_seconds or size >= config.window_chars):
-                    close()
-                if not texts:
-                    start, size = t, -1
-                texts.append(text)
-                size += len(text) + 1
-                end = t
-            yield pd.DataFrame(out, columns=names)
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=names)
-
-    return ordered.mapInPandas(fold, "doc_id string, session_no long, start double, end double, n_screens long, texts array<string>")
-
-
-def gap_sessions(events: DataFrame, entity: str, time: str, gap_seconds: float) -> DataFrame:
-    """Sessions by gaps alone: entity, session_no, start, end, n. A gap of exactly gap_seconds does not split."""
+    def flush(self, state: list | None) -> list[tuple]:
+        return [(state[0], state[1], len(state[3]), state[3])] if state else []
+
+
+def orphan_windows(orphans: DataFrame, config: Config = DEFAULT, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Screens outside of all windows in sessions: doc_id, session_no, start, end, n_screens, texts; a new one after a gap of over window_seconds or once window_chars are reached."""
+    rows = with_block(orphans.select("doc_id", "start_sec", "text"), F.coalesce(F.floor(F.col("start_sec") / block_seconds), F.lit(-(2**40))))
+    found = blockwise_fold(rows, "doc_id", ["start_sec", "text"], ["start_sec", "text"], _Orphans(config), "start double, end double, n_screens long, texts array<string>")
+    return numbered(found, "doc_id", "place", "session_no").select("doc_id", "session_no", "start", "end", "n_screens", "texts")
+
+
+def gap_sessions(events: DataFrame, entity: str, time: str, gap_seconds: float, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Sessions by gaps alone: entity, session_no, start, end, n. A gap of exactly gap_seconds does not split. Sessions are summed per block of time before they are put together."""
     t = F.col(time)
-    own = Window.partitionBy(entity).orderBy(t)
-    new = F.coalesce((t - F.lag(t).over(own) > gap_seconds).cast("int"), F.lit(0))
-    numbered = events.withColumn("__new", new).withColumn("session_no", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1)
-    return numbered.groupBy(entity, "session_no").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"))
+    rows = with_block(events.select(entity, time), F.coalesce(F.floor(t.cast("double") / block_seconds), F.lit(-(2**40))))
+    per = Window.partitionBy(entity, BLOCK).orderBy(time)
+    new = F.coalesce((t - F.lag(t).over(per) > gap_seconds).cast("int"), F.lit(0))
+    parts = rows.withColumn("__new", new).withColumn("__part", F.sum("__new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.groupBy(entity, BLOCK, "__part").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"))
+    # of a block's parts the first and the last may go on in its neighbours; the window is over parts, not over events
+    own = Window.partitionBy(entity).orderBy(BLOCK, "__part")
+    opens = F.coalesce((F.col("start") - F.lag("end").over(own) > gap_seconds).cast("int"), F.lit(0))
+    numbered_ = parts.withColumn("__new", opens).withColumn("session_no", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    return numbered_.groupBy(entity, "session_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
 def transcript_overview(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:

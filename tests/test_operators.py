@@ -294,3 +294,34 @@ def test_handover_payload(spark):
     m = spark.createDataFrame([(1, "c", "user", "q" * 200), (2, "c", "assistant", None)], "id int, conversation_id string, role string, content string")
     got = chat.handover_payloads(m, F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")).first()
     assert got["ticket"] == "REQ20240102030405" and got["short_description"] == "q" * 100 and got["description"].endswith("User: " + "q" * 200 + "\nAssistant: ")
+
+
+@pytest.mark.parametrize("seconds", [20, 100, 1800, 10**6])
+def test_windows_do_not_depend_on_blocks(spark, seconds):
+    r = random.Random(3)
+    data = [(f"d{i % 2}", i, float(t), float(t + r.choice([2, 9, 70])) if r.random() < 0.9 else None, "x" * r.choice([3, 40, 200, 720])) for i, t in enumerate(sorted(r.randint(0, 4000) for _ in range(300)))]
+    want = []
+    for d in ("d0", "d1"):
+        texts, start = [], 0.0
+        for _, _, a, z, text in sorted(x for x in data if x[0] == d):
+            start = start if texts else a
+            texts.append(text)
+            end = a if z is None else z
+            if len(" ".join(texts)) >= 700 or end - start >= 60:
+                want.append((d, start, end, len(texts)))
+                texts = []
+        if texts:
+            want.append((d, start, end, len(texts)))
+    got = timeline.speech_windows(spark.createDataFrame(data, "doc_id string, seg_no int, start_sec double, end_sec double, text string"), block_seconds=seconds)
+    assert rows(got, "doc_id", "start", "end", "n_segments") == sorted(want)
+    assert [x[1] for x in rows(got, "doc_id", "window_no") if x[0] == "d0"] == list(range(1, 1 + sum(x[0] == "d0" for x in want)))
+    screens = spark.createDataFrame([(d, a, t) for d, _, a, _, t in data], "doc_id string, start_sec double, text string")
+    sessions = rows(timeline.orphan_windows(screens, block_seconds=seconds), "doc_id", "session_no", "start", "end", "n_screens")
+    assert sessions == rows(timeline.orphan_windows(screens, block_seconds=10**7), "doc_id", "session_no", "start", "end", "n_screens") and sum(x[4] for x in sessions) == 300
+    gaps = rows(timeline.gap_sessions(screens, "doc_id", "start_sec", 30.0, seconds), "doc_id", "session_no", "start", "end", "n")
+    assert gaps == rows(timeline.gap_sessions(screens, "doc_id", "start_sec", 30.0, 10**7), "doc_id", "session_no", "start", "end", "n")
+
+
+def test_folds_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id string, seg_no int, start_sec double, end_sec double, text string")
+    assert timeline.speech_windows(empty).count() == timeline.orphan_windows(empty).count() == 0
