@@ -44,14 +44,16 @@ def content_start(toc: DataFrame) -> DataFrame:
 def with_section(rows: DataFrame, toc: DataFrame) -> DataFrame:
     """Add the section of each row's page: the last entry before the first one, in the order of the contents, that lies on a later page.
 
-    Worked out once per document and page, not per row: contents are sorted by
-    position, and the entries' running maximum of pages tells the first later one.
+    The running maximum of the entries' pages tells from which page on an entry
+    holds; it never falls, so the title of a page is the last one carried forward
+    to it. One pass over the pages and entries of a document.
     """
-    pages = rows.select("doc_id", "page").distinct()
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    reach = toc.select("doc_id", "pos", "title", F.max("page").over(upto).alias("reach"))
-    hit = pages.join(reach, "doc_id").where(F.col("reach") <= F.col("page"))
-    title = hit.groupBy("doc_id", "page").agg(F.max_by("title", "pos").alias("__section"))
+    reach = toc.select("doc_id", "pos", "title", F.max("page").over(upto).alias("page"))
+    marks = reach.groupBy("doc_id", "page").agg(F.max(F.struct("pos", "title")).alias("mark")).withColumn("kind", F.lit(0))
+    pages = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(1).alias("kind"))
+    carried = F.last("mark", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "kind"))
+    title = marks.unionByName(pages).withColumn("__mark", carried).where("kind = 1").select("doc_id", "page", F.col("__mark.title").alias("__section"))
     return rows.join(title, ["doc_id", "page"], "left").withColumn("section", F.coalesce("__section", F.lit("Unknown Section"))).drop("__section")
 
 

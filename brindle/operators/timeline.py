@@ -178,15 +178,17 @@ def distinct_figures(screens: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, chosen = None, []
+        by_time = lambda: [(doc, *x) for x in sorted(chosen)]
         for pdf in batches:
             out = []
             for d, t, text in zip(pdf["doc_id"], pdf["start_sec"], pdf["text"]):
                 if d != doc:
+                    out += by_time()
                     doc, chosen = d, []
-                if len(chosen) < config.figures_most and all(similarity(text, c) < config.figure_similarity for c in chosen):
-                    chosen.append(text)
-                    out.append((d, t, text))
+                if len(chosen) < config.figures_most and all(similarity(text, c) < config.figure_similarity for _, c in chosen):
+                    chosen.append((t, text))
             yield pd.DataFrame(out, columns=["doc_id", "start_sec", "text"])
+        yield pd.DataFrame(by_time(), columns=["doc_id", "start_sec", "text"])
 
     return ordered.mapInPandas(pick, "doc_id string, start_sec double, text string")
 

@@ -298,8 +298,9 @@ SQL = {
     """,
     "input_guard": rf"""
         WITH q AS (SELECT id, regexp_replace(coalesce(content, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS q FROM messages)
-        SELECT id, CASE WHEN trim(q) = '' THEN 'empty_query' WHEN length(q) > 500 THEN 'query_too_long' WHEN regexp_matches(lower(q), {_quoted("|".join(f"(?:{p})" for p in guard.INJECTION))}) THEN 'prompt_injection'
-            WHEN {_any("lower(q)", guard.ABUSE)} THEN 'abusive_language' END AS reason FROM q
+        SELECT *, CASE reason WHEN 'empty_query' THEN 'Please enter a question.' WHEN 'query_too_long' THEN 'The question is too long; 500 characters are the limit.'
+            WHEN 'prompt_injection' THEN 'This request can''t be processed. Please ask a question about the documents.' WHEN 'abusive_language' THEN 'Please keep the conversation respectful.' END AS message FROM (SELECT id, CASE WHEN trim(q) = '' THEN 'empty_query' WHEN length(q) > 500 THEN 'query_too_long' WHEN regexp_matches(lower(q), {_quoted("|".join(f"(?:{p})" for p in guard.INJECTION))}) THEN 'prompt_injection'
+            WHEN {_any("lower(q)", guard.ABUSE)} THEN 'abusive_language' END AS reason FROM q)
     """,
     "output_redaction": f"SELECT id, md5({_redacted()}) AS text_md5, {_flags()} AS found FROM messages WHERE content IS NOT NULL",
     "internal_terms": f"SELECT doc_id, md5({_terms(_TERM_LIST)[0]}) AS text_md5, {_terms(_TERM_LIST)[1]} AS found FROM documents WHERE text IS NOT NULL",

@@ -207,7 +207,7 @@ def intents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def input_guard(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").select("id", guard.rejection("content").alias("reason"))
+    return table(spark, d, "messages").select("id", guard.rejection("content").alias("reason")).withColumn("message", guard.rejection_message("reason"))
 
 
 def output_redaction(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import guard, text
-from brindle.operators import chat, store
+from brindle.operators import chat, sheets, store
 from brindle.session import table
+from brindle.sources import files
 
 #: The time that queries take for now, so that results repeat.
 NOW = "2024-06-01 12:30:45"
@@ -100,7 +101,13 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return made.select("query_id", F.size("prompt").alias("n_parts"), F.md5(F.array_join(F.transform("prompt", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")).alias("prompt_md5"))
 
 
-PLANS = [registry_changes, failed_documents, registry_listed, deleted_files, created_conversations, renamed_conversation, appended_messages, ingestion_summary, handover_payloads, ocr_lines, prompts]
+def file_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The registry's files as they would be listed in a folder, with their kind, what is wrong with them and where sheets go."""
+    rows = table(spark, d, "document_registry").select(F.concat(F.lit("/in/"), "filename").alias("path"), (F.col("chunk_count").cast("long") * 40_000_000).alias("length"), "doc_id")
+    return files.with_checks(rows).select("doc_id", "filename", "kind", "problem", sheets.target_collection("path").alias("collection"))
+
+
+PLANS = [file_checks, registry_changes, failed_documents, registry_listed, deleted_files, created_conversations, renamed_conversation, appended_messages, ingestion_summary, handover_payloads, ocr_lines, prompts]
 
 HISTORY = """
     l AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) AS n FROM messages),
@@ -109,7 +116,13 @@ HISTORY = """
 
 def sql(clean: str, any_of) -> dict[str, str]:
     """clean: SQL of a cleaned block of `text`; any_of(column, words): SQL of a text that has one of the words."""
+    kinds = ", ".join(f"'{x}': '{k}'" for x, k in files.KINDS.items())
     return {
+        "file_checks": f"""
+            WITH f AS (SELECT doc_id, filename, chunk_count::BIGINT * 40000000 AS length, MAP {{{kinds}}}[lower(regexp_extract(filename, '(\\.[^.]+)$', 1))] AS kind, lower(filename) AS low FROM document_registry)
+            SELECT doc_id, filename, kind, CASE WHEN kind IS NULL THEN 'unknown_type' WHEN length = 0 THEN 'empty_file' WHEN length > 524288000 THEN 'too_large' END AS problem,
+                CASE WHEN contains(low, 'incident') THEN 'incident' WHEN contains(low, 'defect') OR contains(low, 'bug') THEN 'defect' END AS collection FROM f
+        """,
         "registry_changes": """
             WITH n AS (SELECT doc_id, count(*)::INT AS n FROM (SELECT DISTINCT * FROM chunks) GROUP BY 1)
             SELECT r.doc_id, CASE WHEN r.status IN ('ready', 'failed') THEN r.status WHEN n.n > 0 THEN 'ready' ELSE 'failed' END AS status,

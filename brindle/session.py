@@ -10,6 +10,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     return (
@@ -20,6 +23,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BRINDLE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -58,9 +62,17 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Remove the tables that `written` has made so far, once no plan reads them any more."""
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
@@ -77,8 +89,9 @@ def fanout(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Shuffle rows evenly before CPU-heavy work when the scan gives too few splits."""
-    return df.repartition(cores(df.sparkSession) * per_core)
+    """Shuffle rows evenly before CPU-heavy work; spark.sql.shuffle.partitions is the least, as for any shuffle of this size."""
+    spark = df.sparkSession
+    return df.repartition(max(cores(spark) * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def ship(spark: SparkSession) -> None:

@@ -24,9 +24,11 @@ def session_memory(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, roles, contents, pending = state.get if state.exists else (0, [], [], False)
         roles, contents = list(roles), list(contents)
-        rows = pd.concat(list(batches))
+        rows: pd.DataFrame | None = None  # the last turns of the trigger; the rest is only counted
+        for pdf in batches:
+            seen += len(pdf)
+            rows = (pdf if rows is None else pd.concat([rows, pdf])).nlargest(most, "id")
         for role, content, status in rows.sort_values("id")[["role", "content", "status"]].itertuples(index=False):
-            seen += 1
             roles = [*roles, role or ""][-most:]
             contents = [*contents, content or ""][-most:]
             kind = (role or "").strip().lower()
