@@ -110,11 +110,8 @@ class Crf:
         w = np.zeros((nf, wide), dtype=np.float32)
         move = np.zeros((kinds, kinds), dtype=np.float32)
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
-        order = np.argsort(flat[:, 0], kind="stable")
-        by_token = flat[order]
-        token_at = np.searchsorted(by_token[:, 0], np.arange(len(vocabulary)))
-        by_feature = flat[np.argsort(flat[:, 1], kind="stable")]
-        feature_at = np.searchsorted(by_feature[:, 1], np.arange(nf))
+        by_token = flat[np.argsort(flat[:, 0], kind="stable")]
+        token_at = np.searchsorted(by_token[:, 0], np.arange(len(vocabulary) + 1))
         rng, step = np.random.default_rng(seed), 0
         coded.sort(key=lambda x: len(x[0]))
         groups = [coded[i : i + batch] for i in range(0, len(coded), batch)]
@@ -129,15 +126,22 @@ class Crf:
                     ids[i, REACH : REACH + len(toks)] = toks
                     gold[i, : len(labs)] = labs
                     live[i, : len(toks)] = True
-                table = np.add.reduceat(w[by_token[:, 1]], token_at, axis=0).reshape(-1, 2 * REACH + 1, kinds)
+                # the batch's own tokens alone, with their features one after the other
+                own, ids = np.unique(ids, return_inverse=True)
+                ids = ids.reshape(n, long + 2 * REACH)
+                many = token_at[own + 1] - token_at[own]
+                first = np.cumsum(many) - many
+                pairs = by_token[np.repeat(token_at[own] - first, many) + np.arange(many.sum()), 1]
+                table = np.add.reduceat(w[pairs], first, axis=0).reshape(-1, 2 * REACH + 1, kinds)
                 score = sum(table[ids[:, k : k + long], k] for k in range(2 * REACH + 1))
                 grad_e, grad_m = self._gradient(score, move, gold, live)
                 grad_t = np.zeros_like(table)
                 for k in range(2 * REACH + 1):
                     where = ids[:, k : k + long][live]
                     for c in range(kinds):
-                        grad_t[:, k, c] = np.bincount(where, grad_e[..., c][live], minlength=len(vocabulary))
-                grad_w = np.add.reduceat(grad_t.reshape(len(vocabulary), wide)[by_feature[:, 0]], feature_at, axis=0) / n - decay * n * w / batch
+                        grad_t[:, k, c] = np.bincount(where, grad_e[..., c][live], minlength=len(own))
+                grad_w = -decay * n * w / batch
+                np.add.at(grad_w, pairs, np.repeat(grad_t.reshape(len(own), wide) / n, many, axis=0))
                 step += 1
                 pace = rate * (0.5 ** (epoch / (epochs / 2)))
                 for x, gr, a, b in ((w, grad_w, state[0], state[1]), (move, grad_m / n, state[2], state[3])):

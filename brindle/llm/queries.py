@@ -7,29 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import table
+from brindle.session import table, widened
 
 from . import conversations, mixing, packing, pairs, pieces, pii, runs, spans, turns
 from .settings import setting
 
 
+def _wide(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of which every row is CPU-heavy work, over all cores even where it is one small file."""
+    return widened(table(spark, d, name))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     finder = pii.Finder(table(spark, d, "staff"))
-    messages = table(spark, d, "messages").select(F.lit("messages").alias("table_name"), F.col("id").cast("string").alias("record_id"), F.col("content").alias("text"))
-    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), pii.body("text").alias("text"))
+    messages = _wide(spark, d, "messages").select(F.lit("messages").alias("table_name"), F.col("id").cast("string").alias("record_id"), F.col("content").alias("text"))
+    chunks = _wide(spark, d, "chunks").select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), pii.body("text").alias("text"))
     return finder.types(messages.unionByName(chunks), ["table_name", "record_id"], F.col("text")).distinct()
 
 
 def p1_messages(spark: SparkSession, d: str) -> DataFrame:
     finder = pii.Finder(table(spark, d, "staff"))
-    rows = table(spark, d, "messages").select("id", "conversation_id", "role", "created_at", finder.redacted(F.col("content")).alias("r"))
+    rows = _wide(spark, d, "messages").select("id", "conversation_id", "role", "created_at", finder.redacted(F.col("content")).alias("r"))
     return rows.select("id", "conversation_id", "role", "created_at", F.col("r.text").alias("content"), F.array_join("r.types", ", ").alias("pii_types"))
 
 
 def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with placeholders below their first line and pii_types_found made right, in the project's names."""
     finder = pii.Finder(table(spark, d, "staff"))
-    rows = table(spark, d, "chunks").select("chunk_id", "doc_id", F.when(F.col("text").isNotNull(), pii.header("text")).alias("head"), finder.redacted(pii.body("text")).alias("r"))
+    rows = _wide(spark, d, "chunks").select("chunk_id", "doc_id", F.when(F.col("text").isNotNull(), pii.header("text")).alias("head"), finder.redacted(pii.body("text")).alias("r"))
     names = F.create_map(*[F.lit(x) for kv in pii.PROJECT_NAMES.items() for x in kv])
     types = F.array_join(F.array_sort(F.transform("r.types", lambda t: names[t])), ", ")
     return rows.select("chunk_id", "doc_id", F.concat("head", "r.text").alias("text"), types.alias("pii_types_found"), F.when(F.size("r.types") > 0, "True").otherwise("False").alias("pii_detected"))
@@ -48,11 +53,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return turns.turn_starts(table(spark, d, "segments"), table(spark, d, "staff"))
+    return turns.turn_starts(_wide(spark, d, "segments"), table(spark, d, "staff"))
 
 
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
-    return turns.turns(table(spark, d, "segments"), table(spark, d, "staff"))
+    return turns.turns(_wide(spark, d, "segments"), table(spark, d, "staff"))
 
 
 def _runs(spark: SparkSession, d: str, single: bool) -> DataFrame:
@@ -70,7 +75,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_oversized(table(spark, d, "segments"), ["doc_id", "seg_no"], "text", setting(spark, d, "piece_max_chars"), setting(spark, d, "piece_overlap_chars"), "start_sec", "end_sec")
+    return pieces.split_oversized(_wide(spark, d, "segments"), ["doc_id", "seg_no"], "text", setting(spark, d, "piece_max_chars"), setting(spark, d, "piece_overlap_chars"), "start_sec", "end_sec")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +88,7 @@ def targets(spark: SparkSession, d: str) -> dict[str, float]:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), targets(spark, d), setting(spark, d, "container_tokens"))
+    return packing.pack(_wide(spark, d, "documents"), targets(spark, d), setting(spark, d, "container_tokens"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +96,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
+    return mixing.shares(_wide(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,21 +104,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = mixing.mixture(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
+    rows, _ = mixing.mixture(_wide(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")))
     return rows.where("copies > 0").select("doc_id", F.col("key").alias("source"), "tokens", "rate", "copies")
 
 
 def p8_soft_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares with the documents of no target source taken in under their posteriors."""
-    return mixing.shares(table(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")), soft=True)
+    return mixing.shares(_wide(spark, d, "documents"), mixing.read_targets(table(spark, d, "mix_targets")), soft=True)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.sharing_pairs(table(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
+    return spans.sharing_pairs(_wide(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_parts(table(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
+    return spans.shared_parts(_wide(spark, d, "documents"), setting(spark, d, "shared_span_min_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
