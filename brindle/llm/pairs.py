@@ -54,39 +54,71 @@ LAST_LIKELIHOOD = 0.005
 AROUND = set("you asked question answer q a your is was the this that repeat again reply response user assistant me i re you're asking wrote said frage antwort sie fragten haben gefragt question réponse vous avez demandé pregunta respuesta usted preguntó ha preguntado".split())
 
 # The labelled table of refusals, written for it alone: every combination of a beginning, what can't be done, the act and an end.
-_LEAD = ["", "Sorry, ", "I am sorry, but ", "Unfortunately ", "I'm afraid ", "My apologies, ", "Regretfully, ", "Being a mere program, ", "As a virtual helper ", "Thank you for the question, but "]
+_LEAD = ["", "Sorry, ", "I am sorry, but ", "Unfortunately ", "I'm afraid ", "My apologies, ", "Regretfully, ", "Being a mere program, ", "As a virtual helper ",
+    "Thank you for the question, but "]
 _UNABLE = [
-    "I can't", "I cannot", "I could not", "I am unable to", "I'm not able to", "I won't", "I will not", "I am not allowed to", "I'm not permitted to", "I must refuse to", "I have to decline to", "I decline to", "I'm in no position to",
+    "I can't", "I cannot", "I could not", "I am unable to", "I'm not able to", "I won't", "I will not", "I am not allowed to", "I'm not permitted to",
+    "I must refuse to", "I have to decline to", "I decline to", "I'm in no position to",
     "it isn't possible for me to", "I'd prefer not to", "I have no means to", "I have no way to", "nothing allows me to", "my rules forbid me to",
 ]
 _ACT = [
-    "help you with this", "help with that", "assist with it", "answer this", "answer your question", "answer that question", "tell you that", "give advice on that", "discuss this matter", "comment on it", "share such details", "provide an answer", "provide that information",
+    "help you with this", "help with that", "assist with it", "answer this", "answer your question", "answer that question", "tell you that", "give advice on that",
+    "discuss this matter", "comment on it", "share such details", "provide an answer", "provide that information",
     "do what you ask", "respond to this", "assist you here", "find an answer", "talk about this subject",
 ]
 _END = [".", "!", ", since the policy forbids it.", " because I lack the data."]
 _WHOLE = [
-    "I don't know.", "I do not know the answer to this.", "I have no answer for you.", "No idea, sorry.", "That lies outside of my knowledge.", "There is no answer that I could give.", "This question is beyond me.", "No answer from me here.", "That is not something I may talk about.", "I'm not the right one to ask.",
-    "Answering this would be against my rules.", "This is a request that I have to turn down.", "I know too little about it to answer.", "Such information is not given out by me.", "I have to pass here.", "Let us not talk about that subject.",
+    "I don't know.", "I do not know the answer to this.", "I have no answer for you.", "No idea, sorry.", "That lies outside of my knowledge.",
+    "There is no answer that I could give.", "This question is beyond me.", "No answer from me here.", "That is not something I may talk about.",
+    "I'm not the right one to ask.",
+    "Answering this would be against my rules.", "This is a request that I have to turn down.", "I know too little about it to answer.",
+    "Such information is not given out by me.", "I have to pass here.", "Let us not talk about that subject.",
 ]
 _FOREIGN_PARTS = [
-    (["", "Leider ", "Entschuldigung, ", "Es tut mir sehr leid, "], ["kann ich das nicht beantworten", "kann ich Ihnen hier nicht helfen", "darf ich dazu nichts sagen", "ich darf diese Auskunft nicht geben", "ich kann dabei nicht weiterhelfen", "bin ich nicht befugt, darauf zu antworten", "ich weiß darauf keine Antwort", "ich bin nicht imstande, diese Frage zu beantworten", "ist mir eine Antwort nicht erlaubt", "muss ich diese Anfrage ablehnen"]),
-    (["", "Désolé, ", "Malheureusement, ", "Je regrette, mais ", "Toutes mes excuses, "], ["je ne peux pas répondre à cela", "je ne peux pas vous aider", "je ne suis pas en mesure de répondre", "il m'est interdit de répondre à cette question", "je n'ai pas le droit d'en parler", "je ne sais pas répondre à cette demande", "il m'est impossible de vous aider ici", "je ne suis pas autorisé à donner cette information", "je dois refuser cette demande", "cela dépasse ce que je peux dire"]),
-    (["", "Lo siento, ", "Lamentablemente, ", "Perdone, ", "Por desgracia, "], ["no puedo responder a eso", "no puedo ayudarle con esto", "no estoy en condiciones de contestar", "no me permiten contestar esta pregunta", "no tengo permiso para hablar de eso", "no sé la respuesta", "me resulta imposible ayudar aquí", "no estoy autorizado a dar esa respuesta", "debo rechazar esta solicitud", "no se me permite responder"]),
+    (["", "Leider ", "Entschuldigung, ", "Es tut mir sehr leid, "], ["kann ich das nicht beantworten", "kann ich Ihnen hier nicht helfen", "darf ich dazu nichts sagen",
+        "ich darf diese Auskunft nicht geben", "ich kann dabei nicht weiterhelfen", "bin ich nicht befugt, darauf zu antworten", "ich weiß darauf keine Antwort",
+        "ich bin nicht imstande, diese Frage zu beantworten", "ist mir eine Antwort nicht erlaubt", "muss ich diese Anfrage ablehnen"]),
+    (["", "Désolé, ", "Malheureusement, ", "Je regrette, mais ", "Toutes mes excuses, "], ["je ne peux pas répondre à cela", "je ne peux pas vous aider",
+        "je ne suis pas en mesure de répondre", "il m'est interdit de répondre à cette question", "je n'ai pas le droit d'en parler",
+        "je ne sais pas répondre à cette demande", "il m'est impossible de vous aider ici", "je ne suis pas autorisé à donner cette information",
+        "je dois refuser cette demande", "cela dépasse ce que je peux dire"]),
+    (["", "Lo siento, ", "Lamentablemente, ", "Perdone, ", "Por desgracia, "], ["no puedo responder a eso", "no puedo ayudarle con esto",
+        "no estoy en condiciones de contestar", "no me permiten contestar esta pregunta", "no tengo permiso para hablar de eso", "no sé la respuesta",
+        "me resulta imposible ayudar aquí", "no estoy autorizado a dar esa respuesta", "debo rechazar esta solicitud", "no se me permite responder"]),
 ]
 _NOT_REFUSED = [
-    "The door cannot be opened from inside.", "You can't use the lift during a fire.", "Sorry for the delay, the parcel is here.", "Sorry, it took a while.", "It is not possible to park here on Sundays.", "I answered the letter yesterday.", "The question in row three is easy.", "You are not allowed to feed the ducks.", "No, they may not.", "Yes, you can.", "No, that is wrong.", "I will help you to carry it.", "Unfortunately the train was late.",
-    "The form asks for information about the tent.", "I could find the key in the drawer.", "Thank you for the question, here is the way.", "We had to decline the first offer.", "The guard refused the parcel.", "Tell me if it helps.", "Do you know the answer now?", "The manual does not say it, the label does.", "I am not sure, but the left one should fit.", "Ask the conductor if you may.", "This information is on page two.", "Shall I help?", "I do not like the colour, the rest is fine.",
-    "Die Tür lässt sich nicht öffnen, weil der Schlüssel fehlt.", "Leider kam der Zug zu spät.", "Sie können hier nicht parken, wenn Markt ist.", "Die Antwort steht auf Seite zwei.", "Das Formular kann nicht gelesen werden.", "Ja, das geht, sobald der Motor kalt ist.", "Dazu den Deckel öffnen.", "Man darf die Enten nicht füttern.",
-    "La porte ne peut pas être ouverte, parce que la clé manque.", "Malheureusement le train était en retard.", "Vous ne pouvez pas stationner ici le dimanche.", "La réponse est à la page deux.", "Oui, c'est possible dès que le moteur est froid.", "Il est interdit de nourrir les canards.",
-    "La puerta no se puede abrir, porque falta la llave.", "Por desgracia el tren llegó tarde.", "No puede aparcar aquí los domingos.", "La respuesta está en la página dos.", "Sí, se puede en cuanto el motor esté frío.", "No se permite dar de comer a los patos.",
+    "The door cannot be opened from inside.", "You can't use the lift during a fire.", "Sorry for the delay, the parcel is here.", "Sorry, it took a while.",
+    "It is not possible to park here on Sundays.", "I answered the letter yesterday.", "The question in row three is easy.", "You are not allowed to feed the ducks.",
+    "No, they may not.", "Yes, you can.", "No, that is wrong.", "I will help you to carry it.", "Unfortunately the train was late.",
+    "The form asks for information about the tent.", "I could find the key in the drawer.", "Thank you for the question, here is the way.",
+    "We had to decline the first offer.", "The guard refused the parcel.", "Tell me if it helps.", "Do you know the answer now?",
+    "The manual does not say it, the label does.", "I am not sure, but the left one should fit.", "Ask the conductor if you may.", "This information is on page two.",
+    "Shall I help?", "I do not like the colour, the rest is fine.",
+    "Die Tür lässt sich nicht öffnen, weil der Schlüssel fehlt.", "Leider kam der Zug zu spät.", "Sie können hier nicht parken, wenn Markt ist.",
+    "Die Antwort steht auf Seite zwei.", "Das Formular kann nicht gelesen werden.", "Ja, das geht, sobald der Motor kalt ist.", "Dazu den Deckel öffnen.",
+    "Man darf die Enten nicht füttern.",
+    "La porte ne peut pas être ouverte, parce que la clé manque.", "Malheureusement le train était en retard.", "Vous ne pouvez pas stationner ici le dimanche.",
+    "La réponse est à la page deux.", "Oui, c'est possible dès que le moteur est froid.", "Il est interdit de nourrir les canards.",
+    "La puerta no se puede abrir, porque falta la llave.", "Por desgracia el tren llegó tarde.", "No puede aparcar aquí los domingos.",
+    "La respuesta está en la página dos.", "Sí, se puede en cuanto el motor esté frío.", "No se permite dar de comer a los patos.",
 ]
 
 #: Prose with the words that refusals are made of, about things; filled as in pii_table.
 _PROSE = [
-    "We could not {v} the {n} because it was {a}.", "The {n} with another {n} on it reads {n}.", "Since the {n} is {a}, no {n} was left, so set it to {n4}.", "the request for the {n} came from {P} at {clock}", "This means that the {n} has no {n} and that it could not {v}.", "My {n} is {a}, I moved it to {P}.", "Nothing in the {n} allows for a {n} of {qty}.", "I have no {n} on me, it is in the {n}.",
-    "{N}s are out of the {n} since {clock}, because of the {n}.", "You have to {v} it, for the {n} is {a}.", "the same {n} in another language with {qty} {n}s", "there is no {n} for this {n}", "I was able to {v} the {n} in the end, it is {a}.", "it would be {a} to {v} that", "the rule of the {n} forbids {n}s on a {a} {n}", "The data of the {n} lacks a {n}.", "I put it in the bin and set the {n} to {n2}.", "As the {n} was {a}, it had to be {a} too.",
-    "No {n} here, but the {n} of {P} has one.", "The {n} will not {v} if a {n} is {a}.", "It does not {v} on {date}, it does on {date}.", "That is the {n} about which the {role} asked.", "I do not {v} the {n}, the {role} does.", "Please give the {n} to the {role} and provide a {n}.", "I will {v} it for you on {date}.", "You may share the {n} with the {role}.", "Is it allowed to {v} the {n}?", "to {v} a {n}, find the {n} and {v} it with the {n}", "with the {n} from {P} to {P}, out of the {n} and into the {n}",
-    "La demande {ref} a été {w} parce que la {w} de {w} est {w}.", "Je dois {w} le {w} avant {clock}.", "Je peux {w} la {w}, mais pas le {w}.", "Il est possible de {w} les {w} de {P}.", "Vous devez {w} cela.", "Kann ich die {W} in {P} {w}?", "Ich kann den {W} {w}, wenn die {W} {w} ist.", "Sie müssen das {W} nicht {w}.", "Das {W} darf erst um {clock} {w} werden.", "No se puede {w} el {w} si la {w} está {w}.", "Puedo {w} la {w} de {P}.", "No tengo el {w} de la {w}, está en {P}.", "Le permiten {w} los {w} a las {clock}.",
+    "We could not {v} the {n} because it was {a}.", "The {n} with another {n} on it reads {n}.", "Since the {n} is {a}, no {n} was left, so set it to {n4}.",
+    "the request for the {n} came from {P} at {clock}", "This means that the {n} has no {n} and that it could not {v}.", "My {n} is {a}, I moved it to {P}.",
+    "Nothing in the {n} allows for a {n} of {qty}.", "I have no {n} on me, it is in the {n}.",
+    "{N}s are out of the {n} since {clock}, because of the {n}.", "You have to {v} it, for the {n} is {a}.", "the same {n} in another language with {qty} {n}s",
+    "there is no {n} for this {n}", "I was able to {v} the {n} in the end, it is {a}.", "it would be {a} to {v} that", "the rule of the {n} forbids {n}s on a {a} {n}",
+    "The data of the {n} lacks a {n}.", "I put it in the bin and set the {n} to {n2}.", "As the {n} was {a}, it had to be {a} too.",
+    "No {n} here, but the {n} of {P} has one.", "The {n} will not {v} if a {n} is {a}.", "It does not {v} on {date}, it does on {date}.",
+    "That is the {n} about which the {role} asked.", "I do not {v} the {n}, the {role} does.", "Please give the {n} to the {role} and provide a {n}.",
+    "I will {v} it for you on {date}.", "You may share the {n} with the {role}.", "Is it allowed to {v} the {n}?", "to {v} a {n}, find the {n} and {v} it with the {n}",
+    "with the {n} from {P} to {P}, out of the {n} and into the {n}",
+    "La demande {ref} a été {w} parce que la {w} de {w} est {w}.", "Je dois {w} le {w} avant {clock}.", "Je peux {w} la {w}, mais pas le {w}.",
+    "Il est possible de {w} les {w} de {P}.", "Vous devez {w} cela.", "Kann ich die {W} in {P} {w}?", "Ich kann den {W} {w}, wenn die {W} {w} ist.",
+    "Sie müssen das {W} nicht {w}.", "Das {W} darf erst um {clock} {w} werden.", "No se puede {w} el {w} si la {w} está {w}.", "Puedo {w} la {w} de {P}.",
+    "No tengo el {w} de la {w}, está en {P}.", "Le permiten {w} los {w} a las {clock}.",
 ]
 
 
@@ -96,7 +128,8 @@ def refusal_classifier() -> Words:
     yes = r.sample(yes, 3000) + _WHOLE * 40 + [lead + x + "." for leads, xs in _FOREIGN_PARTS for lead in leads for x in xs] * 4
     no = [pii_table._fill(r, r.choice(pii_table.BACKGROUND)) for _ in range(3000)] + _NOT_REFUSED * 25
     no += [pii_table._fill(r, x) for x in _PROSE for _ in range(60)]
-    no += [w.replace("{X}", f"{r.choice(pii_table.GIVEN)} {r.choice(pii_table.FAMILY)}") for w in (pii_table._fill(r, x.replace("{X}", "\0")).replace("\0", "{X}") for x in pii_table.WRAP["PERSON"] * 4)]
+    no += [w.replace("{X}", f"{r.choice(pii_table.GIVEN)} {r.choice(pii_table.FAMILY)}") for w in (pii_table._fill(r, x.replace("{X}", "\0")).replace("\0",
+        "{X}") for x in pii_table.WRAP["PERSON"] * 4)]
     return Words(yes, no)
 
 
@@ -271,7 +304,8 @@ def defects(messages: DataFrame, labelled: DataFrame) -> DataFrame:
                     out.append((i, kind, None, *[None] * LONGEST))
             yield pd.DataFrame(out, columns=["id", "defect", "answer", *grams])
 
-    judged = cut_lineage(pairs.select("id", empty.alias("none"), "question", "answer").mapInPandas(judge, "id long, defect string, answer string, " + ", ".join(f"{g} string" for g in grams)))
+    judged = cut_lineage(pairs.select("id", empty.alias("none"), "question", "answer").mapInPandas(judge,
+        "id long, defect string, answer string, " + ", ".join(f"{g} string" for g in grams)))
     open_ = judged.where("defect is null").drop("defect")
     wanted = open_.select(F.explode(F.array(*grams)).alias("gram")).where("gram is not null").distinct()
     counts, begins, base = end_counts(messages, wanted)

@@ -22,42 +22,99 @@ ADJECTIVES = "green quiet broken late heavy northern spare wooden shiny narrow e
 VERBS = "repair open close paint count weigh copy water print move test clean borrow return lock publish sort label charge cancel refresh replace update print review merge delete approve block archive".split()
 ROLES = "gardener librarian conductor caretaker lifeguard baker plumber referee translator surveyor archivist janitor cashier tutor usher steward foreman clerk planner operator supervisor controller crew".split()
 BACKGROUND = [
-    "The {a} {n} beneath the {n} has been {a} since Tuesday.", "Please {v} the {n} and {v} the {n} twice.", "{Qty} visitors came to the {n} {n}, {qty} of them with a {n}.", "Why is the {n} {a} when nobody wants to {v} it?",
-    "1. {V} the {n}.\n2. {V} the {n}.\n3. {V} the {n} in {Prod}.", "- {n} {n}\n- {a} {n}\n- {Prod}", "| {n} | {n} | {n} |\n| --- | --- | --- |\n| {n4} | {a} | {qty} |", "{N} {n}: {a}", "{N}: {ref}", "{N} {n}: {ref}\n{N}: {a}", "{Prod} > {N} > {n}", "{Prod} | {n} {n} | {ref}", "# {Prod}\n\nThe {n} is {a}.",
-    "The {role} told us that the {n} cannot be opened before {clock}.", "Ask the {role} for a {n}.", "Thanks to the {role} of the {n}.", "the {role} has to {v} {qty} {n}s by {clock}", "A {n} with {qty} {n}s was {a}, and the {role} needed to {v} it.", "Every {n} needs a {n}; the {a} one stays {a}.",
-    "In {Prod} you can {v} a {n}, {v} a {n} or {v} both.", "Open {Prod}, choose {N} and {v} the {a} {n}.", "How can I {v} a {n} in {Prod}?", "{Prod} shows a {n} where {Prod} shows none.", "The new version of {Prod} cannot {v} {n}s.", "{Prod} and {Prod} were both {a} at {clock}.", "Does {Prod} {v} the {n} by itself?", "I would like to {v} the {n} of {Prod}, what is missing?",
-    "Problem {n5}: the {n} did not {v}.", "Code {n4} stands for a {a} {n}, code {n5} for none.", "Case {ref} has been open since the {a} {n}.", "{ref} is a {n} for {qty} {n}s.", "We measured {qty} at {clock} and {qty} at {clock}.", "Between {clock} and {clock} the {n} of {P} was closed.", "On {date} the {n} went to {P} and came back on {date}.", "{P} has a {n}, {P} has two.",
-    "um now we {v} the {n} and then uh we {v} the {n}, right", "okay so here you see the {n}, and now I {v} it", "[00:{n2}] and this {n} is {a}", "well it was {a} in {P}, everybody saw the {n}", "you simply {v} it. then the {n} is {a}.",
-    "NOTICE: THE {NN} OF THE {NN} IS CLOSED", "WHO WILL {VV} THE {NN}", "{Prod} Guide, Chapter {n1}", "{N} {N} {n1}", "Chapter {n2}: {N} and {N}", "Table {n1}-{n1}: {N} by {n}", "<b>{N}</b> {a} &amp; {a}", "SELECT {n}, {n} FROM {n} WHERE {n} > {n3}", "`{n}_{n}` = {n4}", "```\n{v} {n} --{n} {n2}\n```", "https://{w}.example/{n}/{n}?id={n5}",
-    "Der {W} ist seit gestern {w}, deshalb wird das {W} morgen {w}.", "Bitte den {W} {w} und die {W} nochmals {w}.", "Warum lässt sich {Prod} nicht {w}, obwohl {ref} {w} ist?", "In {P} wurden um {clock} Uhr {qty} {W} {w}.", "Die {W} von {P} hat {qty} {W}, das {W} keine.", "Unter {N} steht {ref}, danach folgt die {W}.", "Wer kann mir die {W} erklären?", "Nein, das {W} gehört in {Prod}.",
-    "Le {w} est {w} depuis hier et la {w} reste fermée.", "Veuillez {w} le {w} avant {clock}, puis {w} la {w}.", "Comment se fait-il que {Prod} ne puisse pas {w} les {w} ?", "À {P}, {qty} {w} attendaient devant le {w}.", "Le dossier {ref} contient {qty} {w}.", "Dans {Prod}, on choisit le {w} puis la {w}.", "Qui doit {w} cette {w} ?",
-    "El {w} está {w} desde ayer y la {w} sigue cerrada.", "Hay que {w} el {w} antes de las {clock} y luego {w} la {w}.", "¿Por qué no puede {Prod} {w} los {w}?", "En {P} esperaban {qty} {w} delante del {w}.", "El expediente {ref} contiene {qty} {w}.", "En {Prod} se elige el {w} y después la {w}.", "¿Quién debe {w} esta {w}?",
-    "yes", "No.", "ok, done", "Any other ideas?", "See above.", "n/a", "{n} {n} {n}", "{a} {n}", "{N}", "{N} {n}", "{Prod}", "{Prod}.", "{W} {w} {w} {W}.", "{w} {w} {w} {w} {w}", "{w}, {w} and {w}", "{ref} {ref}", "{qty} {n}s", "{N} {qty}", "The {W} {w} {w} {w} the {w}.", "{W} {w} {w} in {W}, {w} {w} {clock}.",
+    "The {a} {n} beneath the {n} has been {a} since Tuesday.", "Please {v} the {n} and {v} the {n} twice.",
+    "{Qty} visitors came to the {n} {n}, {qty} of them with a {n}.", "Why is the {n} {a} when nobody wants to {v} it?",
+    "1. {V} the {n}.\n2. {V} the {n}.\n3. {V} the {n} in {Prod}.", "- {n} {n}\n- {a} {n}\n- {Prod}", "| {n} | {n} | {n} |\n| --- | --- | --- |\n| {n4} | {a} | {qty} |",
+    "{N} {n}: {a}", "{N}: {ref}", "{N} {n}: {ref}\n{N}: {a}", "{Prod} > {N} > {n}", "{Prod} | {n} {n} | {ref}", "# {Prod}\n\nThe {n} is {a}.",
+    "The {role} told us that the {n} cannot be opened before {clock}.", "Ask the {role} for a {n}.", "Thanks to the {role} of the {n}.",
+    "the {role} has to {v} {qty} {n}s by {clock}", "A {n} with {qty} {n}s was {a}, and the {role} needed to {v} it.", "Every {n} needs a {n}; the {a} one stays {a}.",
+    "In {Prod} you can {v} a {n}, {v} a {n} or {v} both.", "Open {Prod}, choose {N} and {v} the {a} {n}.", "How can I {v} a {n} in {Prod}?",
+    "{Prod} shows a {n} where {Prod} shows none.", "The new version of {Prod} cannot {v} {n}s.", "{Prod} and {Prod} were both {a} at {clock}.",
+    "Does {Prod} {v} the {n} by itself?", "I would like to {v} the {n} of {Prod}, what is missing?",
+    "Problem {n5}: the {n} did not {v}.", "Code {n4} stands for a {a} {n}, code {n5} for none.", "Case {ref} has been open since the {a} {n}.",
+    "{ref} is a {n} for {qty} {n}s.", "We measured {qty} at {clock} and {qty} at {clock}.", "Between {clock} and {clock} the {n} of {P} was closed.",
+    "On {date} the {n} went to {P} and came back on {date}.", "{P} has a {n}, {P} has two.",
+    "um now we {v} the {n} and then uh we {v} the {n}, right", "okay so here you see the {n}, and now I {v} it", "[00:{n2}] and this {n} is {a}",
+    "well it was {a} in {P}, everybody saw the {n}", "you simply {v} it. then the {n} is {a}.",
+    "NOTICE: THE {NN} OF THE {NN} IS CLOSED", "WHO WILL {VV} THE {NN}", "{Prod} Guide, Chapter {n1}", "{N} {N} {n1}", "Chapter {n2}: {N} and {N}",
+    "Table {n1}-{n1}: {N} by {n}", "<b>{N}</b> {a} &amp; {a}", "SELECT {n}, {n} FROM {n} WHERE {n} > {n3}", "`{n}_{n}` = {n4}", "```\n{v} {n} --{n} {n2}\n```",
+    "https://{w}.example/{n}/{n}?id={n5}",
+    "Der {W} ist seit gestern {w}, deshalb wird das {W} morgen {w}.", "Bitte den {W} {w} und die {W} nochmals {w}.",
+    "Warum lässt sich {Prod} nicht {w}, obwohl {ref} {w} ist?", "In {P} wurden um {clock} Uhr {qty} {W} {w}.", "Die {W} von {P} hat {qty} {W}, das {W} keine.",
+    "Unter {N} steht {ref}, danach folgt die {W}.", "Wer kann mir die {W} erklären?", "Nein, das {W} gehört in {Prod}.",
+    "Le {w} est {w} depuis hier et la {w} reste fermée.", "Veuillez {w} le {w} avant {clock}, puis {w} la {w}.",
+    "Comment se fait-il que {Prod} ne puisse pas {w} les {w} ?", "À {P}, {qty} {w} attendaient devant le {w}.", "Le dossier {ref} contient {qty} {w}.",
+    "Dans {Prod}, on choisit le {w} puis la {w}.", "Qui doit {w} cette {w} ?",
+    "El {w} está {w} desde ayer y la {w} sigue cerrada.", "Hay que {w} el {w} antes de las {clock} y luego {w} la {w}.", "¿Por qué no puede {Prod} {w} los {w}?",
+    "En {P} esperaban {qty} {w} delante del {w}.", "El expediente {ref} contiene {qty} {w}.", "En {Prod} se elige el {w} y después la {w}.", "¿Quién debe {w} esta {w}?",
+    "yes", "No.", "ok, done", "Any other ideas?", "See above.", "n/a", "{n} {n} {n}", "{a} {n}", "{N}", "{N} {n}", "{Prod}", "{Prod}.", "{W} {w} {w} {W}.",
+    "{w} {w} {w} {w} {w}", "{w}, {w} and {w}", "{ref} {ref}", "{qty} {n}s", "{N} {qty}", "The {W} {w} {w} {w} the {w}.", "{W} {w} {w} in {W}, {w} {w} {clock}.",
 ]
 #: Things that look alike.
 DECOYS = [
-    "model {n3}-{n3}-{n4} of the {n}", "Model {n3}-{n2}-{n4} comes in {a}.", "catalogue no. {n3}-{n2}-{n4}", "Catalogue no. {n9} is out of print.", "receipt {n9} over {qty}", "receipt number {n10}", "Lot {n10}, {qty} kg", "bar code {n10}{n3}", "SKU {n3} {n2} {n4} in {a}", "Series {n4}-{n4}-{n4} ended.", "edition {n1}.{n1}.{n1} of {Prod}", "build {n5}, edition {n1}.{n2}", "server 10.{n2}.{n1}.{n2} answers", "host 192.168.{n1}.{n2}", "{date} {clock}", "{n4}-{n2}-{n2}T{clock}:00", "{n2}° {n2}' north",
-    "the {n} {code} is {a}", "The {a} {n} {code} {w} {w}.", "{N} {code} {w} {w}", "{w} {code} {w}", "{W} {w} {code} {w}", "({code})", "{code}", "{code}: {n}", "{n} {code}?", "{w} {w} ({n} {code}).", "for {code}, the {n} {w}", "{Prod} | {n} | {code}", "{N}: {code}", "El {w} {code} {w}", "Der {W} {code} {w}", "Le {w} {code} {w}", "{code} {w} in {Prod}", "{v} {code} and {v} {code}", "{code}, {code} and {code}", "{a} {n} {code}",
-    "{N} {n3}-{n3}-{n4} is {a}.", "the {n} {n3}-{n3}-{n4} {w}", "{n} no. {n3}-{n3}-{n4}", "{N} {n3} {n3} {n4} {w} {w}", "{n} {n3}-{n4} and {n} {n4}-{n4}", "{n10} {n}s", "{N} {n10} {w}.", "{n} {n7} {w} {w}", "{N} {n2} {n3} {n2} {w}",
-    "{v} it in {Prod}", "{Prod} is {a}", "{Prod} by {Prod}", "work with {Prod}.", "the {n} of {Prod}", "from {Prod} to {Prod}", "{w} {Prod} {w}", "{W} {Prod} {w} {w}.", "{v} {Prod}, then {Prod}", "ask {Prod} for it", "{N} by {Prod}: {n}", "{Prod} {w} {w} {w}", "for {Prod} only", "Then {Prod} {w}.", "{N}: {Prod}", "{N} of {Prod}: {ref}", "{n} in {Prod}.", "{Prod} has no {n}", "does {Prod} {w}",
-    "bus {n2} stops at gate {n1}", "line {n2} along the north road", "row {n2}, seat {n1}", "shelf {n2}, box {n2}", "aisle {n1}, level {n2}", "Hall {n1}, stand {n2}", "room {n3} of the south wing", "the street lamps of {P}", "street music until {clock}", "a road without pavement", "the square in front of the {n}", "gate {n1}, dock {n2}, {P}", "exit {n2} of the ring road", "Platform {n1} in {P}", "platform {n2}, track {n1}",
-    "tell @all and @here", "@{n} please look", "a mail without a sender", "already hidden: [EMAIL], [PHONE]", "[PERSON] wrote to [PERSON] from [ADDRESS] with [ID_NUMBER]", "phone the front desk", "ring the bell at {clock}", "text me later", "the hotline is busy", "call before {clock}", "a passport photo", "the identity of the {n}", "tax of {qty} on the {n}", "social events of {P}",
-    "the {fam} method", "The {fam} prize goes to {P}.", "the {W} {fam} project", "{W} {fam} is a {n}, not a person", "The {N} {fam} initiative ends in {P}.", "{fam} Ltd", "{fam} & {fam} Inc.", "{fam} Street is being paved.", "the {fam} building", "a {fam} report on {n}s", "{N} {fam} {n} guide", "In the {fam} Hall at {clock}", "The {N} {fam} plan was late.", "open {N} {fam} and {v} it",
-    "the {role} from {P}", "Dear {role},", "Regards, the {role}", "our {a} {role}s", "{N} by: {role}", "from: {role}\nto: {role}", "Thanks, everybody", "Hello team,", "cc: {role}s", "Written by the {role} of {P}.", "the {a} {role} on duty", "signed: the {role}",
+    "model {n3}-{n3}-{n4} of the {n}", "Model {n3}-{n2}-{n4} comes in {a}.", "catalogue no. {n3}-{n2}-{n4}", "Catalogue no. {n9} is out of print.",
+    "receipt {n9} over {qty}", "receipt number {n10}", "Lot {n10}, {qty} kg", "bar code {n10}{n3}", "SKU {n3} {n2} {n4} in {a}", "Series {n4}-{n4}-{n4} ended.",
+    "edition {n1}.{n1}.{n1} of {Prod}", "build {n5}, edition {n1}.{n2}", "server 10.{n2}.{n1}.{n2} answers", "host 192.168.{n1}.{n2}", "{date} {clock}",
+    "{n4}-{n2}-{n2}T{clock}:00", "{n2}° {n2}' north",
+    "the {n} {code} is {a}", "The {a} {n} {code} {w} {w}.", "{N} {code} {w} {w}", "{w} {code} {w}", "{W} {w} {code} {w}", "({code})", "{code}", "{code}: {n}",
+    "{n} {code}?", "{w} {w} ({n} {code}).", "for {code}, the {n} {w}", "{Prod} | {n} | {code}", "{N}: {code}", "El {w} {code} {w}", "Der {W} {code} {w}",
+    "Le {w} {code} {w}", "{code} {w} in {Prod}", "{v} {code} and {v} {code}", "{code}, {code} and {code}", "{a} {n} {code}",
+    "{N} {n3}-{n3}-{n4} is {a}.", "the {n} {n3}-{n3}-{n4} {w}", "{n} no. {n3}-{n3}-{n4}", "{N} {n3} {n3} {n4} {w} {w}", "{n} {n3}-{n4} and {n} {n4}-{n4}", "{n10} {n}s",
+    "{N} {n10} {w}.", "{n} {n7} {w} {w}", "{N} {n2} {n3} {n2} {w}",
+    "{v} it in {Prod}", "{Prod} is {a}", "{Prod} by {Prod}", "work with {Prod}.", "the {n} of {Prod}", "from {Prod} to {Prod}", "{w} {Prod} {w}", "{W} {Prod} {w} {w}.",
+    "{v} {Prod}, then {Prod}", "ask {Prod} for it", "{N} by {Prod}: {n}", "{Prod} {w} {w} {w}", "for {Prod} only", "Then {Prod} {w}.", "{N}: {Prod}",
+    "{N} of {Prod}: {ref}", "{n} in {Prod}.", "{Prod} has no {n}", "does {Prod} {w}",
+    "bus {n2} stops at gate {n1}", "line {n2} along the north road", "row {n2}, seat {n1}", "shelf {n2}, box {n2}", "aisle {n1}, level {n2}", "Hall {n1}, stand {n2}",
+    "room {n3} of the south wing", "the street lamps of {P}", "street music until {clock}", "a road without pavement", "the square in front of the {n}",
+    "gate {n1}, dock {n2}, {P}", "exit {n2} of the ring road", "Platform {n1} in {P}", "platform {n2}, track {n1}",
+    "tell @all and @here", "@{n} please look", "a mail without a sender", "already hidden: [EMAIL], [PHONE]",
+    "[PERSON] wrote to [PERSON] from [ADDRESS] with [ID_NUMBER]", "phone the front desk", "ring the bell at {clock}", "text me later", "the hotline is busy",
+    "call before {clock}", "a passport photo", "the identity of the {n}", "tax of {qty} on the {n}", "social events of {P}",
+    "the {fam} method", "The {fam} prize goes to {P}.", "the {W} {fam} project", "{W} {fam} is a {n}, not a person", "The {N} {fam} initiative ends in {P}.",
+    "{fam} Ltd", "{fam} & {fam} Inc.", "{fam} Street is being paved.", "the {fam} building", "a {fam} report on {n}s", "{N} {fam} {n} guide",
+    "In the {fam} Hall at {clock}", "The {N} {fam} plan was late.", "open {N} {fam} and {v} it",
+    "the {role} from {P}", "Dear {role},", "Regards, the {role}", "our {a} {role}s", "{N} by: {role}", "from: {role}\nto: {role}", "Thanks, everybody", "Hello team,",
+    "cc: {role}s", "Written by the {role} of {P}.", "the {a} {role} on duty", "signed: the {role}",
 ]
 #: Marks and lines around a marked part.
-_AROUND = [("", ""), ("", "."), ("(", ")"), ("[ ", " ]"), ("\"", "\""), ("/ ", " /"), ("| ", " |"), ("- ", ""), ("– ", ""), ("— ", ""), ("* ", ""), ("• ", ""), ("→ ", ""), ("=> ", "."), ("# ", ""), ("@ ", ""), ("☎ ", ""), ("✉ ", ""), (": ", ""), ("= ", ";"), ("<", ">"), ("; ", ";"), (", ", ",")]
+_AROUND = [("", ""), ("", "."), ("(", ")"), ("[ ", " ]"), ("\"", "\""), ("/ ", " /"), ("| ", " |"), ("- ", ""), ("– ", ""), ("— ", ""), ("* ", ""), ("• ", ""), ("→ ",
+    ""), ("=> ", "."), ("# ", ""), ("@ ", ""), ("☎ ", ""), ("✉ ", ""), (": ", ""), ("= ", ";"), ("<", ">"), ("; ", ";"), (", ", ",")]
 WRAP = {
     "PERSON": [
-        "Could {X} take a look?", "{X} wrote back this morning.", "I had {X} on the line.", "According to {X}, nothing is lost.", "Forwarded by {X}", "signed, {X}", "Yours sincerely,\n{X}", "Best,\n{X}", "Greetings from {X}", "Requested for {X}", "Attendees: {X}", "Hello {X},", "Dear {X},", "Hi {X}, any news?", "on the desk of {X}", "let {X} know", "handed to {X} at noon", "as {X} said,", "{X} and some others", "together with {X}", "We met {X} in the hall.", "made by {X} in spring", "Employee: {X}", "full name: {X}", "Approver - {X}", "{X} has no rights", "{X} reports a leak", "{X}: thanks a lot", "{X} is ill", "{X} moved to {P}.", "{X} from {P}", "for {X} only", "it belongs to {X}.", "{X}'s {n}", "Has {X} been told?", "did {X} answer", "{X} cannot come", "the manager is {X}.", "Meet {X}, our new {role}.", "{role} {X}", "{X} ({role})", "{X}, {role}", "{N}: {X}", "{N} by: {X}", "{N} {n}: {X}", "{v} it with {X}", "{w} {w} {X} {w} {w}.", "{w} {X}.", "{W} {X}", "{X} {w} {w}", "as seen by {X}, {w}", "Thank you {X}!", "sent to {X} on {date}", "{clock} {X}", "Viele Grüße\n{X}", "Hallo {X},", "Bitte an {X} wenden.", "{X} ist krank.", "laut {X}", "Bonjour {X},", "Merci, {X}", "selon {X},", "{X} est absent", "Hola {X},", "Gracias, {X}", "según {X}", "{X} no vino", "Un saludo\n{X}", "signed by {X}", "thanks to {X}", "ask {X} first", "with {X}", "by {X}, {date}", "from {X}", "to: {X}", "call {X}, please", "a letter by {X}", "regards,\n{X}", "thank you, {X}", "{X} told me so", "{X} said no", "{X} has left", "{X} is away", "{X} will be there", "ask for {X}", "a note from {X}", "the {n} of {X}", "I am {X}.", "this is {X} speaking", "Mit Gruß\n{X}", "von {X}", "de {X}", "por {X}", "chair: {X}", "author: {X}", "author {X}", "reviewed by {X}", "approved: {X}", "who is {X}?", "tell {X} the news", "sent by {X}", "{X} wants to {v} it",
+        "Could {X} take a look?", "{X} wrote back this morning.", "I had {X} on the line.", "According to {X}, nothing is lost.", "Forwarded by {X}", "signed, {X}",
+        "Yours sincerely,\n{X}", "Best,\n{X}", "Greetings from {X}", "Requested for {X}", "Attendees: {X}", "Hello {X},", "Dear {X},", "Hi {X}, any news?",
+        "on the desk of {X}", "let {X} know", "handed to {X} at noon", "as {X} said,", "{X} and some others", "together with {X}", "We met {X} in the hall.",
+        "made by {X} in spring", "Employee: {X}", "full name: {X}", "Approver - {X}", "{X} has no rights", "{X} reports a leak", "{X}: thanks a lot", "{X} is ill",
+        "{X} moved to {P}.", "{X} from {P}", "for {X} only", "it belongs to {X}.", "{X}'s {n}", "Has {X} been told?", "did {X} answer", "{X} cannot come",
+        "the manager is {X}.", "Meet {X}, our new {role}.", "{role} {X}", "{X} ({role})", "{X}, {role}", "{N}: {X}", "{N} by: {X}", "{N} {n}: {X}", "{v} it with {X}",
+        "{w} {w} {X} {w} {w}.", "{w} {X}.", "{W} {X}", "{X} {w} {w}", "as seen by {X}, {w}", "Thank you {X}!", "sent to {X} on {date}", "{clock} {X}",
+        "Viele Grüße\n{X}", "Hallo {X},", "Bitte an {X} wenden.", "{X} ist krank.", "laut {X}", "Bonjour {X},", "Merci, {X}", "selon {X},", "{X} est absent",
+        "Hola {X},", "Gracias, {X}", "según {X}", "{X} no vino", "Un saludo\n{X}", "signed by {X}", "thanks to {X}", "ask {X} first", "with {X}", "by {X}, {date}",
+        "from {X}", "to: {X}", "call {X}, please", "a letter by {X}", "regards,\n{X}", "thank you, {X}", "{X} told me so", "{X} said no", "{X} has left", "{X} is away",
+        "{X} will be there", "ask for {X}", "a note from {X}", "the {n} of {X}", "I am {X}.", "this is {X} speaking", "Mit Gruß\n{X}", "von {X}", "de {X}", "por {X}",
+        "chair: {X}", "author: {X}", "author {X}", "reviewed by {X}", "approved: {X}", "who is {X}?", "tell {X} the news", "sent by {X}", "{X} wants to {v} it",
     ],
-    "EMAIL": ["write to {X}", "mail {X} first", "My mailbox is {X}.", "no reply from {X} yet", "sent from {X} at {clock}", "e-mail: {X}", "From: {X}", "To: {X}", "bcc {X}", "mailto:{X}", "{X} is full", "{X} bounced", "forward it to {X}, thanks", "use {X} instead of the form", "{N}: {X}", "{w} {X} {w}", "{w}={X}", "{w}:{X}", "questions? {X}", "schreiben Sie an {X}", "écrivez à {X}", "escriba a {X}", "{X} or the front desk", "login {X}", "ask {X} for a copy", "{w} <{X}>", "subscribe {X} to {Prod}", "and also {X}"],
-    "PHONE": ["ring me on {X}", "phone: {X}", "Tel {X}", "tel. {X}", "tel:{X}", "mobile {X}", "Mobile: {X}", "fax {X}", "call {X} before {clock}", "my number is {X}.", "dial {X}", "reach us at {X}", "text to {X}", "{X} is engaged", "nobody answers {X}", "{N}: {X}", "{w}:{X}", "Telefon {X}", "unter {X} erreichbar", "appelez le {X}", "llame al {X}", "WhatsApp {X}", "on {X}, after six", "{X} (office)", "my private phone is {X}", "the switchboard, {X}, is closed", "emergency: {X}", "and also {X}", "at {X} please", "the phone there is {X}", "phone number {X}", "please call {X}", "call back at {X}", "number: {X}", "mobile number {X}", "home phone {X}", "fax number: {X}", "her mobile is {X}", "you may phone {X}", "ring {X} twice", "hotline: {X}", "the hotline is {X}", "telephone {X}", "Telefon: {X}", "dial {X} and wait", "text {X} first", "they dialled {X} twice", "a call to {X}", "that number, {X}, is wrong", "phone {X} or write", "no one picks up at {X}", "fax: {X}", "Telephone: {X}", "mobile: {X}, office closed", "call me, {X}"],
-    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K}={X}", "{K} #{X}", "{K}#{X}", "({K} {X})", "{K} = {X};", "her {K} was {X}.", "{K}, {X},", "{K} no. {X}", "{K} number {X}", "{K} is {X}", "with {K} {X} at the border", "{w} {K} {X} {w}", "{N}: {K} {X}", "{K} of the applicant: {X}", "please note {K} {X}.", "valid {K} {X}", "{K} - {X}"],
-    "ADDRESS": ["we moved to {X}.", "lives at {X}", "residence: {X}", "Address {X}", "mail it to {X}", "the new flat is {X}", "born at {X}, raised elsewhere", "pick me up at {X}", "the parcel went to {X} again", "near {X}", "taxi to {X} at {clock}", "{N}: {X}", "{w} {X} {w}", "{w} at {X}.", "wohnt in {X}", "habite {X}", "vive en {X}", "from {X} to the {n}", "{X} has no lift", "the keys of {X}", "visit us: {X}", "bill for {X}", "{X} was sold", "I grew up in {X}.", "{n} delivery: {X}", "and also {X}"],
+    "EMAIL": ["write to {X}", "mail {X} first", "My mailbox is {X}.", "no reply from {X} yet", "sent from {X} at {clock}", "e-mail: {X}", "From: {X}", "To: {X}",
+        "bcc {X}", "mailto:{X}", "{X} is full", "{X} bounced", "forward it to {X}, thanks", "use {X} instead of the form", "{N}: {X}", "{w} {X} {w}", "{w}={X}",
+        "{w}:{X}", "questions? {X}", "schreiben Sie an {X}", "écrivez à {X}", "escriba a {X}", "{X} or the front desk", "login {X}", "ask {X} for a copy", "{w} <{X}>",
+        "subscribe {X} to {Prod}", "and also {X}"],
+    "PHONE": ["ring me on {X}", "phone: {X}", "Tel {X}", "tel. {X}", "tel:{X}", "mobile {X}", "Mobile: {X}", "fax {X}", "call {X} before {clock}", "my number is {X}.",
+        "dial {X}", "reach us at {X}", "text to {X}", "{X} is engaged", "nobody answers {X}", "{N}: {X}", "{w}:{X}", "Telefon {X}", "unter {X} erreichbar",
+        "appelez le {X}", "llame al {X}", "WhatsApp {X}", "on {X}, after six", "{X} (office)", "my private phone is {X}", "the switchboard, {X}, is closed",
+        "emergency: {X}", "and also {X}", "at {X} please", "the phone there is {X}", "phone number {X}", "please call {X}", "call back at {X}", "number: {X}",
+        "mobile number {X}", "home phone {X}", "fax number: {X}", "her mobile is {X}", "you may phone {X}", "ring {X} twice", "hotline: {X}", "the hotline is {X}",
+        "telephone {X}", "Telefon: {X}", "dial {X} and wait", "text {X} first", "they dialled {X} twice", "a call to {X}", "that number, {X}, is wrong",
+        "phone {X} or write", "no one picks up at {X}", "fax: {X}", "Telephone: {X}", "mobile: {X}, office closed", "call me, {X}"],
+    "ID_NUMBER": ["{K} {X}", "{K}: {X}", "{K}={X}", "{K} #{X}", "{K}#{X}", "({K} {X})", "{K} = {X};", "her {K} was {X}.", "{K}, {X},", "{K} no. {X}", "{K} number {X}",
+        "{K} is {X}", "with {K} {X} at the border", "{w} {K} {X} {w}", "{N}: {K} {X}", "{K} of the applicant: {X}", "please note {K} {X}.", "valid {K} {X}", "{K} - {X}"],
+    "ADDRESS": ["we moved to {X}.", "lives at {X}", "residence: {X}", "Address {X}", "mail it to {X}", "the new flat is {X}", "born at {X}, raised elsewhere",
+        "pick me up at {X}", "the parcel went to {X} again", "near {X}", "taxi to {X} at {clock}", "{N}: {X}", "{w} {X} {w}", "{w} at {X}.", "wohnt in {X}",
+        "habite {X}", "vive en {X}", "from {X} to the {n}", "{X} has no lift", "the keys of {X}", "visit us: {X}", "bill for {X}", "{X} was sold", "I grew up in {X}.",
+        "{n} delivery: {X}", "and also {X}"],
 }
 TITLES = ["Mr", "Mrs", "Ms", "Dr", "Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Señora", "Señor", "Sra.", "Sr.", "Mme", "M.", "Monsieur", "Madame", "Prof."]
-ID_WORDS = {"ssn": ["SSN", "social security number", "social security"], "ni": ["NI number", "national insurance number", "national insurance"], "pass": ["passport", "passport no.", "Reisepass"], "tax": ["tax ID", "tax number", "Steuer-ID", "TIN"], "card": ["identity card no.", "identity card", "ID card", "Ausweis", "DNI", "NIF"]}
+ID_WORDS = {"ssn": ["SSN", "social security number", "social security"], "ni": ["NI number", "national insurance number", "national insurance"], "pass": ["passport",
+    "passport no.", "Reisepass"], "tax": ["tax ID", "tax number", "Steuer-ID", "TIN"], "card": ["identity card no.", "identity card", "ID card", "Ausweis", "DNI", "NIF"]}
 _ONSETS = "b bl br c ch cl d dr f fl g gl gr h j k kl kr l m n p pl pr qu r s sch sh sl sp st t th tr v w z".split()
 _NUCLEI = "a e i o u a e i o ai ea ee ie oo ou ü é".split()
 _CODAS = ["", "", "n", "r", "l", "m", "s", "t", "nd", "rk", "ss", "ck", "ng", "st"]
@@ -118,10 +175,12 @@ def _fill(r: random.Random, text: str, held: bool = False) -> str:
         number = lambda: r.choice([_digits(r, r.randint(1, 4)), f"{_digits(r, 2)},{_digits(r, 3)}", f"{_digits(r, r.randint(1, 4))}.{_digits(r, 2)}"])
         return {
             "n": noun, "N": lambda: noun().capitalize(), "NN": lambda: noun().upper(), "a": lambda: r.choice(ADJECTIVES), "v": lambda: r.choice(VERBS), "V": lambda: r.choice(VERBS).capitalize(), "VV": lambda: r.choice(VERBS).upper(), "w": lambda: odd_word(r), "W": lambda: odd_word(r).capitalize(),
-            "Prod": product, "P": lambda: odd_word(r).capitalize() + r.choice(["", "stad", "ville", "ham", "burg", "by"]), "role": lambda: r.choice([r.choice(ROLES), f"{noun()} {r.choice(ROLES)}"]), "fam": lambda: _pick(r, FAMILY, held), "qty": number, "Qty": number,
+            "Prod": product, "P": lambda: odd_word(r).capitalize() + r.choice(["", "stad", "ville", "ham", "burg", "by"]), "role": lambda: r.choice([r.choice(ROLES),
+                f"{noun()} {r.choice(ROLES)}"]), "fam": lambda: _pick(r, FAMILY, held), "qty": number, "Qty": number,
             "code": lambda: r.choice([lambda: _identity(r)[1], lambda: f"{odd_word(r).upper()[:3]}{_digits(r, r.randint(5, 9))}", lambda: f"{odd_word(r).upper()[:2]}{_digits(r, r.randint(6, 7))}"])(),
             "ref": lambda: r.choice([f"{odd_word(r).upper()[:3]}{_digits(r, r.randint(4, 8))}", f"{odd_word(r).upper()[:3]}-{_digits(r, r.randint(3, 6))}", _digits(r, r.randint(6, 10)), f"{_digits(r, 5)}/{_digits(r, 4)}", f"{r.choice('ABCDEFGHKRSTX')}{_digits(r, 6)}"]),
-            "clock": lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", "date": lambda: r.choice([f"20{_digits(r, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{_digits(r, 2)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{_digits(r, 2)}"]),
+            "clock": lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", "date": lambda: r.choice([f"20{_digits(r, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
+                f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{_digits(r, 2)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{_digits(r, 2)}"]),
         }[key]()
 
     out, rest = [], text
@@ -202,18 +261,26 @@ def _identity(r: random.Random) -> tuple[str, str]:
 def _address(r: random.Random, held: bool) -> str:
     noun = lambda: (r.choice(NOUNS) if r.random() < 0.5 else odd_word(r)).capitalize()
     stem = r.choice([noun(), f"{noun()} {noun()}", f"Saint {_pick(r, GIVEN, held)}", f"{r.choice('NESW')}. {noun()}", _pick(r, FAMILY, held), f"Old {noun()}", f"{r.randint(1, 9)}th"])
-    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Ave.", "Avenue", "Blvd", "Boulevard", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace", "Quay", "Square", "Row", "Hill", "Place", "Crescent", "Gardens", "Parade"])
+    kind = r.choice(["Street", "Road", "Rd.", "Rd", "Ave", "Ave.", "Avenue", "Blvd", "Boulevard", "Lane", "Close", "Drive", "Way", "St.", "St", "Court", "Terrace",
+        "Quay", "Square", "Row", "Hill", "Place", "Crescent", "Gardens", "Parade"])
     german = odd_word(r).capitalize() + r.choice(["gasse", "allee", "weg", "str.", "straße", "platz", "ufer", "ring", "damm", "steig"])
     plain = r.choice(["Am", "An der", "Auf dem", "Hinter der", "Unter den", "Im", "Zum", "Beim"]) + " " + r.choice(["", "Alten ", "Neuen "]) + odd_word(r).capitalize()
-    french = r.choice(["rue", "chemin", "allée", "avenue", "boulevard", "quai", "impasse", "place", "cours", "route", "passage"]) + " " + r.choice(["de la ", "du ", "des ", "de l'", "Saint-", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
-    spanish = r.choice(["Calle", "Avda.", "Avenida", "Camino", "Plaza", "Paseo", "C/", "Ronda", "Travesía"]) + " " + r.choice(["de la ", "del ", "de los ", "de las ", "San ", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
+    french = r.choice(["rue", "chemin", "allée", "avenue", "boulevard", "quai", "impasse", "place", "cours", "route", "passage"]) + " " + r.choice(["de la ", "du ",
+        "des ", "de l'", "Saint-", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
+    spanish = r.choice(["Calle", "Avda.", "Avenida", "Camino", "Plaza", "Paseo", "C/", "Ronda", "Travesía"]) + " " + r.choice(["de la ", "del ", "de los ", "de las ",
+        "San ", ""]) + r.choice([noun(), f"{noun()} {noun()}"])
     n, zipcode, p = str(r.randint(1, 2999)), _digits(r, 5), odd_word(r).capitalize()
-    unit = r.choice(["", "", "", f" #{r.randint(1, 99)}", f", Suite {r.randint(1, 499)}", f", Apt {r.randint(1, 40)}", f", Unit {r.randint(1, 40)}", f" No. {r.randint(1, 40)}"])
+    unit = r.choice(["", "", "", f" #{r.randint(1, 99)}", f", Suite {r.randint(1, 499)}", f", Apt {r.randint(1, 40)}", f", Unit {r.randint(1, 40)}",
+        f" No. {r.randint(1, 40)}"])
     town = r.choice(["", f", {p}", f", {p} {zipcode}", f", {zipcode} {p}", f", {p}, {zipcode}"])
-    letter, floor = r.choice(["", "", "", "a", "b", " c"]), r.choice(["", "", f", piso {r.randint(1, 9)}", f", {r.randint(1, 9)}º {r.choice('ABCD')}", f", {r.randint(1, 9)}.º"])
+    letter, floor = r.choice(["", "", "", "a", "b", " c"]), r.choice(["", "", f", piso {r.randint(1, 9)}", f", {r.randint(1, 9)}º {r.choice('ABCD')}",
+        f", {r.randint(1, 9)}.º"])
     return r.choice([
-        f"{n}{letter} {stem} {kind}{unit}{town}", f"{n} {stem} {kind}{unit}{town}", f"{r.choice(['Flat', 'Apt', 'Unit', 'Apartment'])} {r.randint(1, 40)}, {n} {stem} {kind}{town}", f"{german} {n[:3]}{letter}{town}", f"{german} {n[:2]}{letter}, {zipcode} {p}", f"{plain} {n[:3]}{letter}{town}",
-        f"{n[:3]}{r.choice(['', ',', ' bis', ' ter', ' bis,'])} {french}{town}", f"{n[:3]}, {french}, {zipcode} {p}", f"{spanish}, {n[:2]}{floor}{town}", f"{spanish} {n[:2]}{floor}{town}",
+        f"{n}{letter} {stem} {kind}{unit}{town}", f"{n} {stem} {kind}{unit}{town}",
+            f"{r.choice(['Flat', 'Apt', 'Unit', 'Apartment'])} {r.randint(1, 40)}, {n} {stem} {kind}{town}", f"{german} {n[:3]}{letter}{town}",
+            f"{german} {n[:2]}{letter}, {zipcode} {p}", f"{plain} {n[:3]}{letter}{town}",
+        f"{n[:3]}{r.choice(['', ',', ' bis', ' ter', ' bis,'])} {french}{town}", f"{n[:3]}, {french}, {zipcode} {p}", f"{spanish}, {n[:2]}{floor}{town}",
+            f"{spanish} {n[:2]}{floor}{town}",
     ])
 
 
@@ -244,7 +311,8 @@ def labelled_table(rows: int = 11000, seed: int = 11, held: bool = False) -> lis
             if kind != "ID_NUMBER":
                 a, z = _loosened(r, a), _loosened(r, z)
         if kind != "ID_NUMBER":
-            value = {"PERSON": _person, "PHONE": _phone}[kind](r, held, told(wrap)) if kind in ("PERSON", "PHONE") else {"EMAIL": _email, "ADDRESS": _address}[kind](r, held)
+            value = {"PERSON": _person, "PHONE": _phone}[kind](r, held, told(wrap)) if kind in ("PERSON", "PHONE") else {"EMAIL": _email, "ADDRESS": _address}[kind](r,
+                held)
         return [(a, None), (value, kind), (z, None)]
 
     for _ in range(rows):
