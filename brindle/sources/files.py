@@ -6,6 +6,7 @@ import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,13 @@ from brindle.functions.text import extension, file_name
 KINDS = {".pdf": "pdf", ".xlsx": "sheet", ".xls": "sheet", ".xlsm": "sheet", ".csv": "sheet", ".mp4": "media", ".mkv": "media", ".mov": "media", ".avi": "media", ".webm": "media", ".mp3": "media", ".wav": "media", ".m4a": "media", ".json": "transcript"}
 
 
+def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a URI of any store that Arrow knows, or of a local path."""
+    if "://" in path or path.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), path
+
+
 def with_checks(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Add filename, kind and problem (unknown_type, empty_file, too_large or null) to rows of the binaryFile source; that source itself passes over files without content."""
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[extension("path")]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import denoise_lines, ocr_lines, srt_time
 
-from .files import extracted
+from .files import extracted, store_of
 
 TRANSCRIPT = "source_file string, language string, duration_sec double, model string, text string, segments array<struct<start:double,end:double,text:string>>"
 
@@ -36,6 +38,34 @@ def screen_text(files: DataFrame, model: Callable[[str, bytes], Iterator[dict]],
     return rows.withColumn("text", denoise_lines(ocr_lines("text"))).where(F.col("error").isNotNull() | (F.length("text") >= min_chars))
 
 
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write images (doc_id, name, content) below a shared folder by document: doc_id, name, image_path, error.
+
+    An image is written when the result is; one that is there is written anew, so
+    repeated tasks do no harm. Of a name the last part alone counts. One that
+    can't be written, or has no content, has an error and a null path.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = store_of(folder)
+        for pdf in batches:
+            out = []
+            for doc, name, content in zip(pdf["doc_id"], pdf["name"], pdf["content"]):
+                try:
+                    place = "/".join(re.split(r"[/\\]", x)[-1] for x in (doc, name))
+                    if not content or {"", ".", ".."} & set(place.split("/")):
+                        raise ValueError("no content or no name")
+                    files.create_dir(f"{root}/{place.split('/')[0]}", recursive=True)
+                    with files.open_output_stream(f"{root}/{place}") as f:
+                        f.write(content)
+                    out.append((doc, name, place, None))
+                except Exception as e:
+                    out.append((doc, name, None, str(e)[:200]))
+            yield pd.DataFrame(out, columns=["doc_id", "name", "image_path", "error"])
+
+    return images.select("doc_id", "name", "content").mapInPandas(write, "doc_id string, name string, image_path string, error string")
+
+
 def subtitles(segments: DataFrame) -> DataFrame:
     """doc_id, seg_no, entry: numbered subtitle entries; written in order they are a subtitle file."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_sec", "seg_no"))

@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brindle.functions.text import normal_headers
 
-from .files import extracted
+from .files import extracted, store_of
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
@@ -82,13 +82,6 @@ def one_sheet(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row_number").alias("_row_number"), *[F.col("cells")[i].alias(h) for i, h in enumerate(headers)])
 
 
-def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path of a URI of any store that Arrow knows, or of a local path."""
-    if "://" in path or path.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(path)
-    return pyarrow.fs.LocalFileSystem(), path
-
-
 class SheetSource(DataSource):
     """spark.read.format("sheet").load(path): the first sheet of a workbook or CSV file, or of all in a folder, all columns text. A task reads a file; the headers are those of the first one."""
 
@@ -97,14 +90,14 @@ class SheetSource(DataSource):
         return "sheet"
 
     def _files(self) -> list[str]:
-        files, path = _store(self.options["path"])
+        files, path = store_of(self.options["path"])
         if files.get_file_info(path).type != pyarrow.fs.FileType.Directory:
             return [path]
         inside = files.get_file_info(pyarrow.fs.FileSelector(path))
         return sorted(x.path for x in inside if x.is_file and not x.base_name.startswith(("_", ".")) and x.size)
 
     def _content(self, path: str) -> bytes:
-        with _store(self.options["path"])[0].open_input_stream(path) as f:
+        with store_of(self.options["path"])[0].open_input_stream(path) as f:
             return f.read()
 
     def schema(self) -> str:

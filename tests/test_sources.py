@@ -99,3 +99,11 @@ def test_a_failing_batch_does_not_end_the_stream(spark, tmp_path):
     assert sorted(taken) == ["0.csv", "2.csv"] and sorted(refused) == [("1.csv", "failed: no"), ("x.bin", "unknown_type")] and len(refreshed) == 2
     arrivals.ingest(files, take, str(tmp_path / "log")).awaitTermination()
     assert len(taken) == 2  # a file is taken once
+
+
+def test_images_are_written_by_document(spark, tmp_path):
+    df = spark.createDataFrame([("d1", "a.png", b"1"), ("d1", "../../b.png", b"2"), ("d2", "a.png", b"3"), ("d2", "none.png", None), ("d2", "..", b"4"), (None, "x", b"5")], "doc_id string, name string, content binary")
+    got = {(r["doc_id"], r["name"]): (r["image_path"], r["error"] is None) for r in media.write_images(df, f"file://{tmp_path}/figures").collect()}
+    assert got == {("d1", "a.png"): ("d1/a.png", True), ("d1", "../../b.png"): ("d1/b.png", True), ("d2", "a.png"): ("d2/a.png", True), ("d2", "none.png"): (None, False), ("d2", ".."): (None, False), (None, "x"): (None, False)}
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.png")) == ["figures/d1/a.png", "figures/d1/b.png", "figures/d2/a.png"]
+    assert media.write_images(df.limit(0), str(tmp_path)).count() == 0
