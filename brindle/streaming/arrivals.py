@@ -58,5 +58,9 @@ def ingest(files: DataFrame, take: Callable[[DataFrame, int], None], checkpoint:
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream over one table's parquet file or folder."""
-    one = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spark.readStream.schema(one.schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)  # a stream is of a folder; of this one the file alone

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from brindle.sources import extract, files, media, sheet
 from brindle.streaming import arrivals
 
@@ -107,3 +109,17 @@ def test_images_are_written_by_document(spark, tmp_path):
     assert got == {("d1", "a.png"): ("d1/a.png", True), ("d1", "../../b.png"): ("d1/b.png", True), ("d2", "a.png"): ("d2/a.png", True), ("d2", "none.png"): (None, False), ("d2", ".."): (None, False), (None, "x"): (None, False)}
     assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.png")) == ["figures/d1/a.png", "figures/d1/b.png", "figures/d2/a.png"]
     assert media.write_images(df.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path, parts):
+    rows = spark.range(30).selectExpr("id", "cast(id % 2 as string) as source")
+    rows.repartition(parts or 1).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    if not parts:
+        [one] = (tmp_path / "in" / "documents.parquet").glob("part-*.parquet")
+        (tmp_path / "one").mkdir()
+        one.rename(tmp_path / "one" / "documents.parquet")
+    taken = []
+    stream = arrivals.table_stream(spark, str(tmp_path / ("in" if parts else "one")), "documents")
+    stream.writeStream.foreachBatch(lambda df, _: taken.extend(r["id"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(taken) == list(range(30))
