@@ -22,6 +22,10 @@ from brindle.session import cut_lineage
 
 BLOCK = "__block"
 _FIRST = "__first"
+#: Blocks that a fold takes in one go.
+RUN = 12
+#: Keys of several runs that are broadcast at most.
+BROADCAST_KEYS = 10_000
 
 
 def with_block(df: DataFrame, block: Column) -> DataFrame:
@@ -87,66 +91,83 @@ class Fold:
         return []
 
 
-def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], fold: Fold, schema: str) -> DataFrame:
-    """The fold over each key's rows in order, block by block of __block (not null): key, __block, place within the block, and the columns of `schema`.
+def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], fold: Fold, schema: str, target: str = "number") -> DataFrame:
+    """The fold over each key's rows in order, spread over runs of RUN blocks of __block (whole numbers, not null): key, the number of the row from 1 within its key, and the columns of `schema`. Rows without a key are left out.
 
-    All blocks are folded at once, each from the state that the block before it
-    is taken to leave behind: at first none, then what it left in the round
-    before. Blocks whose state at the beginning has changed are folded again
-    until none has. Where states meet soon after a block's beginning, as windows
-    do, two or three rounds are enough; the result is that of the sequential pass
-    in any case. A task holds one state and the rows it finishes.
+    All runs are folded at once, each from the state that the run before it is
+    taken to leave behind: at first none, then what it left in the round before.
+    Runs whose state at the beginning was another are folded again until none
+    is. Where states meet soon after a run's beginning, as windows do, two or
+    three rounds are enough, of which all but the first look at keys of several
+    runs alone; the result is that of the sequential pass in any case. A task
+    holds one state and the rows it finishes. Only one row a run, with its
+    state, is sorted by key; finished rows are written once in each round.
     """
-    kind = dict(df.dtypes)[key]
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
-    rows = cut_lineage(df.select(key, BLOCK, *dict.fromkeys([*order, *columns])))
-    of_key = Window.partitionBy(key).orderBy(BLOCK)
-    blocks = cut_lineage(rows.select(key, BLOCK).distinct().select(key, BLOCK, F.lead(BLOCK).over(of_key).alias("__next")))
-    todo = blocks.select(key, BLOCK, F.col("__next").isNull().alias("__last"), F.lit("null").alias("__from"))
+    kind = dict(df.dtypes)[key]
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.floor(F.col(BLOCK) / RUN).alias("__run"), *dict.fromkeys([*order, *columns]))
+    fields = ["__key", "__run", "__place", "__open", "__from", "__left", *names]
 
-    def ended(at: tuple, state: Any, last: bool, place: int) -> list[tuple]:
-        flushed = fold.flush(state) if last else []
-        return [*((*at, place + i, None, *x) for i, x in enumerate(flushed)), (*at, -1, json.dumps(state), *(None,) * len(names))]
+    def ended(at: tuple, start: str, state: Any, place: int) -> list[tuple]:
+        # a key's last run alone keeps the rows flushed; its place tells how many others there are
+        flushed = [(*at, place + i, True, None, None, *x) for i, x in enumerate(fold.flush(state))]
+        return [*flushed, (*at, place, None, start, json.dumps(state), *(None,) * len(names))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state, last, place = None, None, False, 0
+        at, begun, state, place = None, "null", None, 0
         for pdf in batches:
             out: list[tuple] = []
-            for k, b, start, is_last, *row in pdf[[key, BLOCK, "__from", "__last", *columns]].itertuples(index=False, name=None):
+            for k, b, start, *row in pdf[["__key", "__run", "__from", *columns]].itertuples(index=False, name=None):
                 if (k, b) != at:
                     if at is not None:
-                        out += ended(at, state, last, place)
-                    at, state, last, place = (k, b), json.loads(start), is_last, 0
+                        out += ended(at, begun, state, place)
+                    at, begun, state, place = (k, b), start, json.loads(start), 0
                 state, done = fold.step(state, tuple(row))
                 for x in done:
-                    out.append((*at, place, None, *x))
+                    out.append((*at, place, False, None, None, *x))
                     place += 1
-            yield pd.DataFrame(out, columns=[key, BLOCK, "place", "__left", *names])
+            yield pd.DataFrame(out, columns=fields)
         if at is not None:
-            yield pd.DataFrame(ended(at, state, last, place), columns=[key, BLOCK, "place", "__left", *names])
+            yield pd.DataFrame(ended(at, begun, state, place), columns=fields)
+
+    def folded(some: DataFrame, number: int) -> DataFrame:
+        # by a hash of its own: a shuffle by a join's columns would be taken out, and adaptive execution may then leave a run in pieces
+        ordered = some.repartition(F.xxhash64("__key", "__run")).sortWithinPartitions("__key", "__run", *order)
+        return cut_lineage(ordered.mapInPandas(run, f"__key {kind}, __run bigint, __place int, __open boolean, __from string, __left string, {schema}").withColumn("__round", F.lit(number)))
 
+    of_key = Window.partitionBy("__key").orderBy("__run")
+    known = ["__key", "__run", "__round", "__place", "__from", "__left"]
     done: DataFrame | None = None
+    states: DataFrame | None = None
+    several: DataFrame | None = None
+    new, number = folded(rows.withColumn("__from", F.lit("null")), 0), 0
     while True:
-        both = rows.join(todo, [key, BLOCK]).repartition(key, BLOCK).sortWithinPartitions(key, BLOCK, *order)
-        new = cut_lineage(both.mapInPandas(run, f"`{key}` {kind}, {BLOCK} {dict(df.dtypes)[BLOCK]}, place int, __left string, {schema}"))
-        before = done
-        done = new if done is None else cut_lineage(done.join(todo.select(key, BLOCK), [key, BLOCK], "left_anti").unionByName(new))
-        left = new.where("place = -1").select(key, BLOCK, F.col("__left"))
-        if before is not None:
-            was = before.where("place = -1").select(key, BLOCK, F.col("__left").alias("__was"))
-            left = left.join(was, [key, BLOCK]).where("__left <> __was").drop("__was")
-        else:
-            left = left.where("__left <> 'null'")
-        following = left.join(blocks, [key, BLOCK]).where("__next is not null").select(key, F.col("__next").alias(BLOCK), F.col("__left").alias("__from"))
-        lasts = blocks.select(key, BLOCK, F.col("__next").isNull().alias("__last"))
-        todo = cut_lineage(following.join(lasts, [key, BLOCK]).select(key, BLOCK, "__last", "__from"))
-        if not todo.limit(1).count():
-            return done.where("place >= 0").drop("__left")
-
-
-def numbered(df: DataFrame, key: str, place: str, target: str) -> DataFrame:
-    """Add the number from 1 of each row within its key, by __block and place (which counts from 0 in each block)."""
-    sizes = df.groupBy(key, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(key, BLOCK, F.coalesce(before, F.lit(0)).alias("__before"))
-    return df.join(offsets, [key, BLOCK]).withColumn(target, F.col("__before") + F.col(place) + 1).drop("__before")
+        own = new.where("__open is null").select(*known)
+        if states is not None:  # the newest of each run
+            both = states.select(*known).unionByName(own).groupBy("__key", "__run").agg(F.max(F.struct(*known[2:])).alias("s"))
+            own = both.select("__key", "__run", *[F.col(f"s.{c}").alias(c) for c in known[2:]])
+        before = F.coalesce(F.lag("__left").over(of_key), F.lit("null"))
+        earlier = F.coalesce(F.sum("__place").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        states = cut_lineage(own.select(*known, F.when(before != F.col("__from"), before).alias("__again"), F.lead("__run").over(of_key).isNull().alias("__last"), earlier.alias("__before")))
+        found = new.where("__open is not null").drop("__from", "__left")
+        done = found if done is None else done.unionByName(found)
+        again = states.where("__again is not null").select(F.col("__key").alias("__k"), F.col("__run").alias("__r"), F.col("__again").alias("__from"))
+        if not again.limit(1).count():
+            break
+        number += 1
+        if several is None:
+            keys = states.where("not __last").select(F.col("__key").alias("__k")).distinct()
+            if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+                keys = F.broadcast(keys)  # then other keys are left out before any shuffle of the rows
+            several = cut_lineage(rows.join(keys, F.col("__key") == F.col("__k"), "left_semi"))
+        elif number % 8 == 0:  # a plan of few parts, however many rounds there are
+            done = cut_lineage(_newest(done, states).select(done.columns))
+        new = folded(several.join(again, (F.col("__key") == F.col("__k")) & (F.col("__run") == F.col("__r"))).drop("__k", "__r"), number)
+    rest = _newest(done, states).where("not __open or __last")
+    return rest.select(F.col("__key").alias(key), (F.col("__before") + F.col("__place") + 1).alias(target), *names)
+
+
+def _newest(done: DataFrame, states: DataFrame) -> DataFrame:
+    """Finished rows of each run's newest round."""
+    s = states.select(F.col("__key").alias("__k"), F.col("__run").alias("__r"), F.col("__round").alias("__n"), "__last", "__before")
+    return done.join(s, (F.col("__key") == F.col("__k")) & (F.col("__run") == F.col("__r")) & (F.col("__round") == F.col("__n")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import DEFAULT, Config
 from brindle.functions.text import timestamp_label
-from brindle.operators.ordered import BLOCK, Fold, blockwise_fill, blockwise_fold, numbered, with_block
+from brindle.operators.ordered import BLOCK, Fold, blockwise_fill, blockwise_fold, with_block
 
 BLOCK_SECONDS = 1800
 
@@ -48,8 +48,8 @@ def speech_windows(segments: DataFrame, config: Config = DEFAULT, block_seconds:
     """
     rows = segments.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", "seg_no", "start_sec", F.coalesce("end_sec", "start_sec").alias("end_sec"), F.trim("text").alias("text"))
     rows = with_block(rows, F.coalesce(F.floor(F.col("start_sec") / block_seconds), F.lit(-(2**40))))
-    found = blockwise_fold(rows, "doc_id", ["start_sec", "seg_no"], ["start_sec", "end_sec", "text"], _Speech(config), "start double, end double, n_segments long, text string")
-    return numbered(found, "doc_id", "place", "window_no").select("doc_id", "window_no", "start", "end", "n_segments", "text")
+    found = blockwise_fold(rows, "doc_id", ["start_sec", "seg_no"], ["start_sec", "end_sec", "text"], _Speech(config), "start double, end double, n_segments long, text string", "window_no")
+    return found.select("doc_id", "window_no", "start", "end", "n_segments", "text")
 
 
 def screen_homes(windows: DataFrame, screens: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -131,8 +131,8 @@ class _Orphans(Fold):
 def orphan_windows(orphans: DataFrame, config: Config = DEFAULT, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Screens outside of all windows in sessions: doc_id, session_no, start, end, n_screens, texts; a new one after a gap of over window_seconds or once window_chars are reached."""
     rows = with_block(orphans.select("doc_id", "start_sec", "text"), F.coalesce(F.floor(F.col("start_sec") / block_seconds), F.lit(-(2**40))))
-    found = blockwise_fold(rows, "doc_id", ["start_sec", "text"], ["start_sec", "text"], _Orphans(config), "start double, end double, n_screens long, texts array<string>")
-    return numbered(found, "doc_id", "place", "session_no").select("doc_id", "session_no", "start", "end", "n_screens", "texts")
+    found = blockwise_fold(rows, "doc_id", ["start_sec", "text"], ["start_sec", "text"], _Orphans(config), "start double, end double, n_screens long, texts array<string>", "session_no")
+    return found.select("doc_id", "session_no", "start", "end", "n_screens", "texts")
 
 
 def gap_sessions(events: DataFrame, entity: str, time: str, gap_seconds: float, block_seconds: int = BLOCK_SECONDS) -> DataFrame:

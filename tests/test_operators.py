@@ -325,3 +325,33 @@ def test_windows_do_not_depend_on_blocks(spark, seconds):
 def test_folds_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, seg_no int, start_sec double, end_sec double, text string")
     assert timeline.speech_windows(empty).count() == timeline.orphan_windows(empty).count() == 0
+
+
+def test_windows_of_scattered_rows(spark, tmp_path):
+    r = random.Random(5)
+    data = [(f"d{d:03}", i, i * 5.0, i * 5.0 + 4, "y" * r.randint(20, 200)) for d in range(60) for i in range(5000 if d == 1 else 700)]
+    want = {}
+    for d, _, a, z, text in data:
+        done, start, size, n = want.get(d) or ([], None, -1, 0)
+        start, size, n = a if start is None else start, size + len(text) + 1, n + 1
+        full = size >= 700 or z - start >= 60
+        want[d] = (done + [(start, z, n)], None, -1, 0) if full else (done, start, size, n)
+    whole = {d: len(done) + (n > 0) for d, (done, _, _, n) in want.items()}
+    segments = spark.createDataFrame(data, "doc_id string, seg_no int, start_sec double, end_sec double, text string")
+    segments.repartition(12).write.parquet(str(tmp_path / "segments"))
+    segments = spark.read.parquet(str(tmp_path / "segments")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.sparkContext.setJobGroup(str(tmp_path), "windows")
+    try:
+        windows = timeline.speech_windows(segments)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path)))
+        got = windows.collect()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {d: sum(x["doc_id"] == d for x in got) for d in whole} == whole
+    found = {(x["doc_id"], x["window_no"]): (x["start"], x["end"], x["n_segments"]) for x in got}
+    assert all(found[d, i + 1] == x for d, (done, *_) in want.items() for i, x in enumerate(done))
+    assert jobs <= 26
