@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from brindle.config import DEFAULT, Config
 from brindle.functions.text import timestamp_label
 from brindle.operators.ordered import BLOCK, Fold, blockwise_fill, blockwise_fold, with_block
+from brindle.session import cut_lineage
 
 BLOCK_SECONDS = 1800
 
@@ -99,7 +100,8 @@ def composed_body(narration: Column, screen: Column, inherited: Column) -> Colum
 def composed_timeline(segments: DataFrame, screens: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, start, end, kind, inherited, has_screen_text, body: windows of speech with their screens and windows of screens alone."""
     windows = speech_windows(segments, config)
-    homes = screen_homes(windows, screens.where("start_sec is not null and text is not null").select("doc_id", "start_sec", "text").distinct(), config)
+    # four parts of the plan read the homes
+    homes = cut_lineage(screen_homes(windows, screens.where("start_sec is not null and text is not null").select("doc_id", "start_sec", "text").distinct(), config))
     own = homes.where("window_no is not null").groupBy("doc_id", "window_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "text"))), lambda x: x["text"]).alias("screens"), F.lit(False).alias("inherited"))
     carried = carried_screens(windows, homes, config).select("doc_id", "window_no", F.array("text").alias("screens"), F.lit(True).alias("inherited"))
     shown = windows.join(own.unionByName(carried), ["doc_id", "window_no"], "left")

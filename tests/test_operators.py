@@ -355,3 +355,11 @@ def test_windows_of_scattered_rows(spark, tmp_path):
     found = {(x["doc_id"], x["window_no"]): (x["start"], x["end"], x["n_segments"]) for x in got}
     assert all(found[d, i + 1] == x for d, (done, *_) in want.items() for i, x in enumerate(done))
     assert jobs <= 26
+
+
+def test_timeline_works_out_homes_once(spark):
+    s = spark.createDataFrame([("d", i, i * 5.0, i * 5.0 + 1, "x" * 300) for i in range(20)], "doc_id string, seg_no int, start_sec double, end_sec double, text string")
+    v = spark.createDataFrame([("d", t, "on screen") for t in (1.0, 70.0, 5000.0)], "doc_id string, start_sec double, text string")
+    out = timeline.composed_timeline(s, v)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 0
+    assert out.where("has_screen_text").count() >= 3
