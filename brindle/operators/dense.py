@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.topk import merged
+
 #: Query vectors are sent to all tasks in blocks of at most this many numbers.
 BLOCK_NUMBERS = 4_000_000
+_ROWS, _QUERIES = 1024, 512
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
@@ -41,21 +44,18 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, vec_id: s
     unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_d: np.ndarray | None = None
-        kept_i: np.ndarray | None = None
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            d = np.round(1.0 - unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T, 9)
-            i = np.broadcast_to(pdf["id"].to_numpy(), d.shape)
-            if kept_d is not None:
-                d, i = np.concatenate([kept_d, d], axis=1), np.concatenate([kept_i, i], axis=1)
-            order = np.lexsort((np.asarray(i, dtype=str) if i.dtype == object else i, d), axis=1)[:, :k]
-            kept_d, kept_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if kept_d is not None:
-            n = kept_d.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": kept_i.ravel(), "distance": kept_d.ravel()})
+        kept: list = [None] * len(range(0, len(unit), _QUERIES))
+        for whole in batches:
+            whole = whole[whole["v"].notna()]
+            for first in range(0, len(whole), _ROWS):  # what is looked at at once is small, however many queries and rows there are
+                pdf = whole.iloc[first : first + _ROWS]
+                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+                x, i = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).T, pdf["id"].to_numpy()
+                for n, own in enumerate(kept):
+                    d = np.round(1.0 - unit[n * _QUERIES : (n + 1) * _QUERIES] @ x, 9)
+                    kept[n] = merged(own, -d, i, i, k)
+        for n, own in enumerate(kept):
+            if own is not None:
+                yield pd.DataFrame({"query_id": np.repeat(ids[n * _QUERIES : (n + 1) * _QUERIES], own[0].shape[1]), "id": own[1].ravel(), "distance": -own[0].ravel()})
 
     return vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).mapInPandas(best, schema)

@@ -363,3 +363,22 @@ def test_timeline_works_out_homes_once(spark):
     out = timeline.composed_timeline(s, v)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 0
     assert out.where("has_screen_text").count() >= 3
+
+
+def test_dense_looks_at_few_queries_and_rows_at_once(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(7)
+    data = [(f"v{i:03}", [float(r.randint(0, 2)) for _ in range(3)]) for i in range(200)]
+    v = spark.createDataFrame(data, "vec_id string, embedding array<float>").coalesce(1)
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, dense.search(v, q, 5).collect()))
+    unit = np.array([x for _, x in data])
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
+    far = np.round(1 - unit @ unit.T, 9)
+    want = {data[i][0]: [n for _, n in sorted(zip(far[i], (x for x, _ in data)))[:5]] for i in range(200)}
+    monkeypatch.setattr(dense, "_ROWS", 16)
+    monkeypatch.setattr(dense, "_QUERIES", 7)
+    got = dense.search(v, q, 5).collect()
+    assert sorted(map(tuple, got)) == whole
+    assert {x: [h["id"] for h in sorted((h for h in got if h["query_id"] == x), key=lambda h: h["rank"])] for x in want} == want
