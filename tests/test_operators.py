@@ -365,6 +365,21 @@ def test_timeline_works_out_homes_once(spark):
     assert out.where("has_screen_text").count() >= 3
 
 
+def test_bm25_counts_words_once_for_all_blocks(spark, monkeypatch):
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(r.randint(0, 12))) for i in range(300)], "id int, text string")
+    asked = spark.createDataFrame([(i, say(3)) for i in range(20)], "q int, t string")
+    index = bm25.build(docs, "id", "text")
+    want = sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect()))
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 3)
+    hits = bm25.search(index, asked, "q", "t", 7)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sorted(map(tuple, hits.collect())) == want
+    monkeypatch.setattr(bm25, "PASS_BLOCKS", 2)
+    assert sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect())) == want
+
+
 def test_dense_looks_at_few_queries_and_rows_at_once(spark, monkeypatch):
     import numpy as np
 
