@@ -397,3 +397,11 @@ def test_dense_looks_at_few_queries_and_rows_at_once(spark, monkeypatch):
     got = dense.search(v, q, 5).collect()
     assert sorted(map(tuple, got)) == whole
     assert {x: [h["id"] for h in sorted((h for h in got if h["query_id"] == x), key=lambda h: h["rank"])] for x in want} == want
+
+
+def test_overviews_of_recordings_of_several_runs(spark):
+    data = [(f"d{d}", i, i * 50.0, i * 50.0 + 4, f"word{i:05} " + "z" * 60) for d in range(3) for i in range(1500)]
+    segments = spark.createDataFrame(data, "doc_id string, seg_no int, start_sec double, end_sec double, text string").repartition(9)
+    got = rows(timeline.transcript_overview(segments), "doc_id", "n_windows", "duration", "overview")
+    whole = " ".join(x[4] for x in data[:1500])[:1500].rsplit(" ", 1)[0] + " …"
+    assert got == [(f"d{d}", 500, 1499 * 50.0 + 4, whole) for d in range(3)]
