@@ -9,10 +9,13 @@ table of parts x sources, worked out in blocks of parts and joined to the items
 where they are packed, so the proportions hold across parts as well and nothing
 that grows with the documents comes to the driver.
 What a window has chosen is laid into containers by best fit, the largest piece
-first; containers that are not nearly full are opened again in the next window.
-The items of the last open containers of each part go through the same packing
-once more, gathered from groups of parts, until few are left; they start with
-the deficits of all that has been laid into containers by then.
+first. Of containers that are not nearly full the emptiest, up to the tokens of
+AGAIN_WINDOWS windows, are laid again in the next window; the others stay open
+for what fits. The items of the emptiest containers of each part, up to as many
+tokens, go through the same packing once more, gathered from groups of parts,
+until few are left; they start with the deficits of all that has been laid into
+containers by then. So no window and no rest has more than a bounded number of
+tokens, whatever sizes the items have.
 
 All documents are packed whatever the targets say: when a source is used up its
 share passes to the others. A document is divided only if it alone exceeds a
@@ -40,6 +43,8 @@ TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW_CONTAINERS = 64
 PART_TOKENS = 2_000_000
 NEARLY_FULL = 0.995
+#: Tokens that are laid again in the next window, or left over by a part, at most, in windows.
+AGAIN_WINDOWS = 4
 GROUP_PARTS = 16
 #: Parts whose running sums are worked out in one window; one row a block is then summed over all blocks.
 BLOCK_PARTS = 4096
@@ -67,15 +72,18 @@ class BestFit:
         if left > size:
             insort(self.room, (left - size, number))
 
-    def release(self, fill: float) -> list[tuple]:
-        """Take out the items of all containers that are filled less."""
+    def release(self, fill: float, tokens: int) -> list[tuple]:
+        """Take out the items of containers that are filled less, the emptiest first, up to so many tokens; other such containers stay open, the rest is closed."""
         most, keep, out = self.capacity * (1 - fill), [], []
-        for left, number in self.room:
-            if left > most:
+        for left, number in reversed(self.room):
+            if left <= most:
+                break
+            if self.capacity - left <= tokens:
+                tokens -= self.capacity - left
                 out += self.items.pop(number)
             else:
                 keep.append((left, number))
-        self.room = []
+        self.room = keep[::-1]
         return out
 
 
@@ -109,8 +117,8 @@ def _pack(items: list[tuple], shares: dict, deficits: dict, capacity: int, keep_
         for item in sorted(chosen, key=lambda x: (-x[1], x[2], x[3])):
             box.put(item[1], item)
         if any(queues.values()):
-            again = box.release(NEARLY_FULL)
-    rest = box.release(NEARLY_FULL) if keep_rest else []
+            again = box.release(NEARLY_FULL, AGAIN_WINDOWS * window)  # or items that fill no container together would be laid again in every window
+    rest = box.release(NEARLY_FULL, AGAIN_WINDOWS * window) if keep_rest else []
     for number, held in box.items.items():
         for item in held:
             yield number, item

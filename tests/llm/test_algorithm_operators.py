@@ -138,6 +138,19 @@ def test_windows_follow_the_shares():
     assert abs(head.count("a") / len(head) - 0.8) < 0.02
 
 
+def test_items_that_fill_no_container_together_are_laid_a_bounded_number_of_times(monkeypatch):
+    """No two of them fit into one container, so none gets nearly full."""
+    items = [("a", 600, i, 1, 0) for i in range(4000)]
+    laid = []
+    put = packing.BestFit.put
+    monkeypatch.setattr(packing.BestFit, "put", lambda self, size, item: laid.append(size) or put(self, size, item))
+    got = list(packing._pack(items, {"a": 1.0}, {}, 1000, True))
+    assert sorted(item[2] for _, item in got) == list(range(4000))
+    most = packing.AGAIN_WINDOWS * packing.WINDOW_CONTAINERS * 1000
+    assert sum(item[1] for number, item in got if number < 0) <= most
+    assert len(laid) <= 4000 * (2 * packing.AGAIN_WINDOWS + 1)
+
+
 @pytest.mark.parametrize("part_tokens", [2_000_000, 40_000])
 def test_full_pieces_are_charged_to_their_source(spark, part_tokens):
     """A source of long documents is never more than a window from its share, full pieces included."""
