@@ -380,6 +380,32 @@ def test_bm25_counts_words_once_for_all_blocks(spark, monkeypatch):
     assert sorted(map(tuple, bm25.search(index, asked, "q", "t", 7).collect())) == want
 
 
+def test_bm25_looks_at_no_words_but_the_querys_own(spark, monkeypatch):
+    """Words of other queries cost a query nothing, and scores are those of the formula."""
+    import math
+
+    r = random.Random(8)
+    data = [(i, [f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randint(0, 15))]) for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "id int, text string")
+    asked = [(i, [f"w{r.randint(0, 60)}" for _ in range(4)]) for i in range(30)]
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in asked], "q int, t string")
+    index = bm25.build(docs, "id", "text")
+    idf = {x["term"]: x["idf"] for x in index.terms.collect()}
+    part = lambda n, dl: n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / index.avgdl))
+    score = lambda words, own: round(math.fsum(idf.get(t, 0.0) * part(own.count(t), len(own)) for t in words if t in own), 9)
+    want = {(i, n + 1): x for i, words in asked for n, (_, x) in enumerate(sorted((-score(words, own), j) for j, own in data)[:7])}
+    monkeypatch.setattr(bm25, "_ROWS", 32)
+    assert {(h["query_id"], h["rank"]): h["id"] for h in bm25.search(index, q, "q", "t", 7).collect()} == want
+    added = []
+    monkeypatch.setattr(bm25._Rows, "add", lambda self, term, value: added.append(term))
+    import numpy as np
+    import pandas as pd
+
+    rows = bm25._Rows(pd.DataFrame({"id": [1, 2], "ord": [1, 2], "words": ["w1 w2 w1", "w3"], "dl": [3, 1]}), {"w1": 0, "w2": 1, "w3": 2}, 2.0)
+    rows.best(None, np.array([1]), np.array([0.5]), 5)
+    assert added == [1]
+
+
 def test_dense_looks_at_few_queries_and_rows_at_once(spark, monkeypatch):
     import numpy as np
 
