@@ -24,6 +24,8 @@ BLOCK = "__block"
 _FIRST = "__first"
 #: Blocks that a fold takes in one go.
 RUN = 12
+#: Rounds in which all runs are folded at once.
+ROUNDS = 2
 #: Keys of several runs that are broadcast at most.
 BROADCAST_KEYS = 10_000
 
@@ -96,12 +98,15 @@ def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Seque
 
     All runs are folded at once, each from the state that the run before it is
     taken to leave behind: at first none, then what it left in the round before.
-    Runs whose state at the beginning was another are folded again until none
-    is. Where states meet soon after a run's beginning, as windows do, two or
-    three rounds are enough, of which all but the first look at keys of several
-    runs alone; the result is that of the sequential pass in any case. A task
-    holds one state and the rows it finishes. Only one row a run, with its
-    state, is sorted by key; finished rows are written once in each round.
+    Runs whose state at the beginning was another are folded again. Where states
+    meet soon after a run's beginning, as windows mostly do, that is enough.
+    Where they don't (segments at even distances), each round would set right
+    one run more; so after ROUNDS rounds a key's runs from the first wrong one
+    on are folded one after the other, in a stream, and there are ROUNDS + 1
+    rounds at most, however many runs a key has. The result is that of the
+    sequential pass in any case. A task holds one state and the rows it
+    finishes. Only one row a run, with its state, is sorted by key; finished
+    rows are written once in each round.
     """
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
     kind = dict(df.dtypes)[key]
@@ -121,6 +126,8 @@ def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Seque
                 if (k, b) != at:
                     if at is not None:
                         out += ended(at, begun, state, place)
+                    if start is None:  # goes on from the run before
+                        start = json.dumps(state)
                     at, begun, state, place = (k, b), start, json.loads(start), 0
                 state, done = fold.step(state, tuple(row))
                 for x in done:
@@ -130,9 +137,9 @@ def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Seque
         if at is not None:
             yield pd.DataFrame(ended(at, begun, state, place), columns=fields)
 
-    def folded(some: DataFrame, number: int) -> DataFrame:
+    def folded(some: DataFrame, number: int, *whole: str) -> DataFrame:
         # by a hash of its own: a shuffle by a join's columns would be taken out, and adaptive execution may then leave a run in pieces
-        ordered = some.repartition(F.xxhash64("__key", "__run")).sortWithinPartitions("__key", "__run", *order)
+        ordered = some.repartition(F.xxhash64(*whole)).sortWithinPartitions("__key", "__run", *order)
         return cut_lineage(ordered.mapInPandas(run, f"__key {kind}, __run bigint, __place int, __open boolean, __from string, __left string, {schema}").withColumn("__round", F.lit(number)))
 
     of_key = Window.partitionBy("__key").orderBy("__run")
@@ -140,7 +147,7 @@ def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Seque
     done: DataFrame | None = None
     states: DataFrame | None = None
     several: DataFrame | None = None
-    new, number = folded(rows.withColumn("__from", F.lit("null")), 0), 0
+    new, number = folded(rows.withColumn("__from", F.lit("null")), 0, "__key", "__run"), 0
     while True:
         own = new.where("__open is null").select(*known)
         if states is not None:  # the newest of each run
@@ -160,9 +167,13 @@ def blockwise_fold(df: DataFrame, key: str, order: Sequence[str], columns: Seque
             if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
                 keys = F.broadcast(keys)  # then other keys are left out before any shuffle of the rows
             several = cut_lineage(rows.join(keys, F.col("__key") == F.col("__k"), "left_semi"))
-        elif number % 8 == 0:  # a plan of few parts, however many rounds there are
-            done = cut_lineage(_newest(done, states).select(done.columns))
-        new = folded(several.join(again, (F.col("__key") == F.col("__k")) & (F.col("__run") == F.col("__r"))).drop("__k", "__r"), number)
+        same = F.col("__key") == F.col("__k")
+        if number < ROUNDS:
+            new = folded(several.join(again, same & (F.col("__run") == F.col("__r"))).drop("__k", "__r"), number, "__key", "__run")
+        else:
+            first = again.groupBy("__k").agg(F.min("__r").alias("__r"), F.min_by("__from", "__r").alias("__from"))
+            rest = several.join(first, same & (F.col("__run") >= F.col("__r")))
+            new = folded(rest.withColumn("__from", F.when(F.col("__run") == F.col("__r"), F.col("__from"))).drop("__k", "__r"), number, "__key")
     rest = _newest(done, states).where("not __open or __last")
     return rest.select(F.col("__key").alias(key), (F.col("__before") + F.col("__place") + 1).alias(target), *names)
 

@@ -431,3 +431,28 @@ def test_overviews_of_recordings_of_several_runs(spark):
     got = rows(timeline.transcript_overview(segments), "doc_id", "n_windows", "duration", "overview")
     whole = " ".join(x[4] for x in data[:1500])[:1500].rsplit(" ", 1)[0] + " …"
     assert got == [(f"d{d}", 500, 1499 * 50.0 + 4, whole) for d in range(3)]
+
+
+def test_windows_that_never_meet_take_few_rounds(spark, monkeypatch):
+    """Segments at even distances: a run that begins at another place in its window never comes to the same windows."""
+    from brindle.operators import ordered
+
+    data = [(f"d{d}", i, i * 50.0, i * 50.0 + 4, "ab" * 20) for d in range(2) for i in range(1501)] + [("e", i, i * 50.0, i * 50.0, "word") for i in range(7)]
+    segments = spark.createDataFrame(data, "doc_id string, seg_no int, start_sec double, end_sec double, text string").repartition(5)
+    cuts = []
+    cut = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(ordered, "RUN", 1)
+    got = timeline.speech_windows(segments, block_seconds=2500)
+    want = []
+    for doc in ("d0", "d1", "e"):
+        begun, n, no = None, 0, 0
+        own = [x for x in data if x[0] == doc]
+        for _, i, a, z, t in own:
+            begun, n = (a if begun is None else begun), n + 1
+            if z - begun >= 60 or n * (len(t) + 1) >= 700 or i == len(own) - 1:
+                no += 1
+                want.append((doc, no, begun, z, n))
+                begun, n = None, 0
+    assert rows(got, "doc_id", "window_no", "start", "end", "n_segments") == want
+    assert len(cuts) <= 2 * (ordered.ROUNDS + 1) + 1
