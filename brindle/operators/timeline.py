@@ -83,9 +83,15 @@ def carried_screens(windows: DataFrame, homes: DataFrame, config: Config = DEFAU
 
 
 def joined_lines(texts: Column, config: Config = DEFAULT) -> Column:
-    """Lines of an array of screen texts, without those that an earlier kept line has in it, joined by " | " and cut at a line."""
+    """Lines of an array of screen texts, without those that an earlier kept line has in it, joined by " | " and cut at a line.
+
+    Once the kept lines are longer than what is shown, no further one can change
+    the result and none is compared: a window of thousands of screens would
+    compare all its lines with each other.
+    """
     lines = F.filter(F.transform(F.flatten(F.transform(texts, lambda t: F.split(t, r"\r?\n"))), lambda x: F.trim(x)), lambda x: x != "")
-    kept = F.aggregate(lines, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda s: F.instr(F.lower(s), F.lower(x)) > 0), a).otherwise(F.array_append(a, x)))
+    full = lambda a: F.length(F.array_join(a, " | ")) > config.screen_chars
+    kept = F.aggregate(lines, F.array().cast("array<string>"), lambda a, x: F.when(full(a) | F.exists(a, lambda s: F.instr(F.lower(s), F.lower(x)) > 0), a).otherwise(F.array_append(a, x)))
     whole = F.concat_ws(" | ", kept)
     cut = F.substring(whole, 1, config.screen_chars)
     return F.when(F.length(whole) > config.screen_chars, F.concat(F.regexp_replace(cut, r"(?s) \| (?:(?! \| ).)*$", ""), F.lit(" | …"))).otherwise(whole)

@@ -456,3 +456,18 @@ def test_windows_that_never_meet_take_few_rounds(spark, monkeypatch):
                 begun, n = None, 0
     assert rows(got, "doc_id", "window_no", "start", "end", "n_segments") == want
     assert len(cuts) <= 2 * (ordered.ROUNDS + 1) + 1
+
+
+def test_lines_of_thousands_of_screens_are_compared_as_far_as_they_show(spark):
+    import time
+
+    lines = [f"Line {i}" for i in range(9, 30_000)]
+    kept = []
+    for x in lines[:2000]:
+        if not any(x.lower() in y.lower() for y in kept):
+            kept.append(x)
+    want = " | ".join(kept)[:1400].rsplit(" | ", 1)[0] + " | …"
+    one = spark.createDataFrame([(lines,), (["a\nB", "b", "ab"],)], "t array<string>")
+    began = time.time()
+    assert [r[0] for r in one.select(timeline.joined_lines(F.col("t"))).collect()] == [want, "a | B | ab"]
+    assert time.time() - began < 20
