@@ -471,3 +471,37 @@ def test_lines_of_thousands_of_screens_are_compared_as_far_as_they_show(spark):
     began = time.time()
     assert [r[0] for r in one.select(timeline.joined_lines(F.col("t"))).collect()] == [want, "a | B | ab"]
     assert time.time() - began < 20
+
+
+def test_bm25_scores_few_rows_by_the_formula(monkeypatch):
+    """Bounds of many queries at once leave few rows to the formula, and lists are those of scoring every row by every word."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(11)
+    words = [[f"w{int(r.paretovariate(0.6)) % 80}" for _ in range(r.randint(0, 25))] for _ in range(6000)]
+    words[4000:4100] = words[:100]  # ties
+    data = pd.DataFrame({"id": range(6000), "ord": [-i for i in range(6000)], "words": [" ".join(w) for w in words], "dl": [len(w) for w in words]})
+    terms = {f"w{i}": i for i in range(81)}
+    own = [np.array(sorted(r.sample(range(40), 6) + [80])) for _ in range(200)] + [np.array([], dtype=np.int64)]
+    values = [np.array([r.choice([-0.3, 0.5, 2.74, 9.1]) for _ in t]) for t in own]
+    parts = [bm25._Rows(data.iloc[a:z], terms, 12.0) for a, z in ((0, 5000), (5000, 5003), (5003, 6000))]
+    want = [None] * len(own)
+    for rows in parts:
+        want = [rows.best(x, t, v, 7) for x, t, v in zip(want, own, values)]
+    added = []
+    monkeypatch.setattr(bm25._Rows, "add", lambda self, term, value: added.append(term))
+    got: list = [None] * len(own)
+    for rows in parts:
+        for some in bm25._grouped(own, np.diff(rows.at), len(rows.ids)):
+            rows.best_of(got, some, own, values, 7)
+    assert [[x.tolist() for x in y] for y in got] == [[x.tolist() for x in y] for y in want]
+    assert not added
+
+
+def test_bm25_takes_many_queries_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, " ")], "id int, text string")
+    index = bm25.build(docs, "id", "text")
+    assert (index.n_docs, index.avgdl, index.terms.count()) == (3, 2 / 3, 2)
+    hits = bm25.search(index, spark.range(20_000).select("id", F.lit("beta").alias("t")), "id", "t", 1)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
